@@ -12,24 +12,44 @@ import re
 import numpy as np
 
 _encoders: dict = {}
+#: Words of these letters alone are one pre-token, and normalising leaves them as they are.
+PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_signs() -> list[str]:
+    """The sign that a byte-level vocabulary has for each byte: itself if it prints in Latin-1, else the next from 256 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
 class WordIds(dict):
-    def __init__(self, path: str, bound: int = 400_000):
+    def __init__(self, path: str, bound: int = 600_000):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer, self.bound = Tokenizer.from_file(path), bound
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join(["[\x1c-\x1f]", *specials]))
+        self.signs, self.model = byte_signs(), self.tokenizer.model
 
     def direct(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
+        """Plain words by the merges alone, a stop or comma behind a plain word apart, all else by the tokenizer."""
         if len(self) > self.bound:
             self.clear()
-        ids = self[word] = self.direct(word)
+        if PLAIN.fullmatch(word):
+            signs = word if word.isascii() else "".join(self.signs[b] for b in word.encode())
+            ids = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        elif word[-1] in ".," and (PLAIN.fullmatch(lower := word[:-1]) or word[:-1].isascii() and PLAIN.fullmatch(lower := lower.lower())):
+            ids = self[lower] + self[word[-1]]
+        elif word.isascii() and word.isalpha():
+            ids = self[word.lower()]
+        else:
+            ids = self.direct(word)
+        self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
