@@ -1,8 +1,8 @@
 """All queries of the library, without those of the training-data subpackage."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from corpusmill.plans import findings, graph, properties  # noqa: F401  (each registers its queries)
+from corpusmill.plans.bindings import QUERIES, SQL
 
+flagship = findings.audit_by_source
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "flagship"]
