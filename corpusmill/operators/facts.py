@@ -90,11 +90,13 @@ def flatten_json(df: DataFrame, json_col: str, depth: int = 4) -> DataFrame:
         out = leaves if out is None else out.unionByName(leaves)
         level.createOrReplaceTempView("_flatten_level")
         level = df.sparkSession.sql(f"select {', '.join('l.`' + c + '`' for c in keep)}, case when e.key is null then concat(l._key, '[', e.pos, ']') when l._key = '' then e.key else concat(l._key, '.', e.key) end as _key, e.value as _v from _flatten_level l, lateral variant_explode(l._v) e")
-    rest = level.select(*keep, F.col("_key").alias("key"), F.coalesce(F.to_json("_v"), F.lit("")).alias("value"))
+    kind = F.schema_of_variant("_v")
+    whole = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("_v")).otherwise(F.variant_get("_v", "$", "string"))
+    rest = level.select(*keep, F.col("_key").alias("key"), F.coalesce(whole, F.lit("")).alias("value"))
     return out.unionByName(rest)
 
 
-FINDING = "struct<severity:string,level:string,ruleId:string,rule:string,ruleID:string,sourceFile:string,path:string,location:string,file:string,message:string,title:string,description:string>"
+FINDING = "map<string,string>"
 
 
 def extract_findings(raw: DataFrame, column: str = "result") -> DataFrame:
@@ -103,7 +105,7 @@ def extract_findings(raw: DataFrame, column: str = "result") -> DataFrame:
     plain = F.when(F.ltrim(F.col(column)).startswith("["), F.from_json(column, f"array<{FINDING}>"))
     found = F.coalesce(plain, wrapped["findings"], wrapped["result"]["findings"])
     rows = raw.select("repo", F.explode(found).alias("f"))
-    first = lambda *names: F.coalesce(*[F.nullif(F.col(f"f.{n}"), F.lit("")) for n in names])
+    first = lambda *names: F.coalesce(*[F.nullif(F.col("f")[n], F.lit("")) for n in names])
     return rows.select("repo", first("severity", "level").alias("severity"), first("ruleId", "rule", "ruleID").alias("rule_id"), first("sourceFile", "path", "location", "file").alias("path"), first("message", "title", "description").alias("message"))
 
 
