@@ -110,6 +110,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array([table.astype("<f4").tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["weights", "bias"])
 
     found = chosen.mapInArrow(extract, "y int, codes binary, counts binary").repartition(1).mapInArrow(learn, "weights binary, bias double").first()
+    if found is None:  # no labelled text: no task has run
+        return train([])
     return np.frombuffer(found.weights, "<f4"), found.bias
 
 

@@ -210,7 +210,7 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
                 return
             at, lo = at[go], lo[go]
             sp = np.where(tight[go], (np.uint64(0) - lo) & (BOTTOM - np.uint64(1)), sp[go])
-            value[at] = ((value[at] << U8) | data[at, pos[at]]) & MASK
+            value[at] = ((value[at] << U8) | data[at, np.minimum(pos[at], width - 1)]) & MASK
             pos[at] += 1
             low[at], span[at] = (lo << U8) & MASK, sp << U8
 

@@ -181,9 +181,12 @@ def train(rows: list[tuple[int, str]], landmarks: int = 160, seed: int = 5) -> t
     if ones in (0, len(rows)):
         return dull
     rng = np.random.default_rng(seed)
-    bags = [(y, {w for w in bytes(letters([t])[0]).split(b"\0") if 3 <= len(w) <= 64}) for y, t in rows]
+    bags = []  # of the toxic texts only
     toxic, clean, parts, clean_parts = Counter(), Counter(), Counter(), Counter()
-    for y, words in bags:
+    for y, text in rows:
+        words = {w for w in bytes(letters([text])[0]).split(b"\0") if 3 <= len(w) <= 64}
+        if y:
+            bags.append(words)
         (toxic if y else clean).update(words)
         (parts if y else clean_parts).update({w[i : i + PART] for w in words for i in range(max(1, len(w) - PART + 1))})
     odds = {x: np.log((n + 0.5) / ones) - np.log((clean_parts[x] + 0.5) / (len(rows) - ones)) for x, n in parts.items() if n >= 2}
@@ -217,7 +220,7 @@ def train(rows: list[tuple[int, str]], landmarks: int = 160, seed: int = 5) -> t
     def nystroem(words):
         return kernel(words, marks).astype(np.float64) @ root
 
-    hints = [sorted((w for w in words if rare(w)), key=lambda w: (-tell(w), w))[:20] for y, words in bags if y]
+    hints = [sorted((w for w in words if rare(w)), key=lambda w: (-tell(w), w))[:20] for words in bags]
     hints = [h for h in hints if h]
     strong = [w for w in telling if toxic[w] >= max(3, ones // 100)]  # in so many toxic texts, in hardly a clean one
     marked = set(strong)
@@ -273,6 +276,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id",
         yield pa.RecordBatch.from_arrays([pa.array([beta.astype("<f4").tobytes()], pa.binary()), pa.array([slope]), pa.array([shift])], ["beta", "slope", "shift"])
 
     found = chosen.repartition(1).mapInArrow(learn, "beta binary, slope double, shift double").first()
+    if found is None:  # no labelled text: no task has run
+        return train([])
     return np.frombuffer(found.beta, "<f4"), found.slope, found.shift
 
 

@@ -24,7 +24,7 @@ def byte_signs() -> list[str]:
 
 
 class WordIds(dict):
-    def __init__(self, path: str, bound: int = 600_000):
+    def __init__(self, path: str, bound: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()
