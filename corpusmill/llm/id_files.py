@@ -28,7 +28,7 @@ FRAME = "part long, frame long, first long, n_ids long, doc_ids array<long>, len
 NAMES = ["part", "frame", "first", "n_ids", "doc_ids", "lengths", "blocks"]
 
 
-def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", frame_ids: int = 1 << 20, block_ids: int = 1 << 11) -> None:
+def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", frame_ids: int = 1 << 21, block_ids: int = 1 << 11) -> None:
     """Writes the ids of all documents, in order of doc_id, each with the end id behind it."""
     end = np.array([end_id], "<u4").tobytes()
 

@@ -1,14 +1,17 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
-A block is coded on its own: its models start empty, and it carries a checksum. Blocks of equal standing
-are coded side by side, one id of each per step, with numpy over the blocks.
-
-For each id the models of order 2 and order 1 name a candidate (the id that followed their context last) and
-how often they have been right. Chances that a candidate is right come from adaptive tables by those
-confidences, mixed in the logistic domain with weights learned per block; so does the chance that the
-id was seen in the block at all. The step codes which of four cases holds (order 2 right, order 1 right,
-seen, new); a seen id is then coded by its order-0 count in the block, a new one evenly. All arithmetic is
-in integers, so that any machine decodes what another has coded.
+A block is coded on its own: its models start empty, and it carries a checksum. Blocks are coded side by side, one id
+of each per step, with numpy over the blocks; shorter blocks are padded with zeros, which cost next to nothing.
+
+Within a block an id goes by its rank of first appearance. For each id the models of order 2 and order 1 name a
+candidate (the id that followed their context last) and how often they have been right. Chances that a candidate is
+right come from adaptive tables by those confidences, mixed in the logistic domain with weights learned per block; so
+does the chance that the id was seen in the block at all. The step codes which of four cases holds (order 2 right,
+order 1 right, seen, new); a seen id is then coded by its order-0 count in the block, a new one evenly. All arithmetic
+is in integers, so that any machine decodes what another has coded.
+
+The range has 48 bits and is kept at 2**32 or more by words of 16 bits, one a symbol at most. Carries are added to the
+word before and resolved at the end.
 """
 
 from __future__ import annotations
@@ -18,163 +21,167 @@ import zlib
 import numpy as np
 
 IDS = 1 << 16
-SLOTS2, SLOTS1 = 1 << 13, 1 << 13
-TOP, BOTTOM, MASK = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64((1 << 56) - 1)
-U8, U48 = np.uint64(8), np.uint64(48)
+SLOTS2 = 1 << 12
+FLOOR, M32, M48, S16, S32, S48 = (np.uint64(x) for x in (1 << 32, (1 << 32) - 1, (1 << 48) - 1, 16, 32, 48))
 
 _x = np.arange(4096)
 STRETCH = np.round(np.log((_x + 0.5) / (4095.5 - _x)) * 256).clip(-2047, 2047).astype(np.int32)
 SQUASH = np.round(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))).clip(32, 65504).astype(np.int32)
-
-
-class Mixer:
-    """Chances of one yes-or-no question in every block, mixed from several tables."""
-
-    def __init__(self, blocks: int, sizes: list[int]):
-        self.tables = [np.full((blocks, s), 32768, np.int32) for s in sizes]
-        self.weights = np.full((len(sizes), blocks), 65536 // len(sizes) + 8192, np.int32)
-        self.lane = np.arange(blocks)
-
-    def chance(self, contexts: list[np.ndarray]) -> np.ndarray:
-        """Chance of yes, of 65536."""
-        self.contexts = contexts
-        self.inputs = [STRETCH[t[self.lane, c] >> 4] for t, c in zip(self.tables, contexts)]
-        dot = sum(w * s for w, s in zip(self.weights, self.inputs)) >> 16
-        self.p = SQUASH[np.clip(dot + 2048, 0, 4095)]
-        return self.p
-
-    def learn(self, yes: np.ndarray, asked: np.ndarray) -> None:
-        target = yes.astype(np.int32) * 65535
-        error = np.where(asked, (target - self.p) >> 4, 0)
-        for k, (t, c) in enumerate(zip(self.tables, self.contexts)):
-            old = t[self.lane, c]
-            t[self.lane, c] = old + np.where(asked, (target - old) >> 4, 0)
-            self.weights[k] += (self.inputs[k] * error) >> 10
+#: What a count at one digit adds to the sums below its 16 siblings.
+ABOVE = (np.arange(16) > np.arange(16)[:, None]).astype(np.uint16)
 
 
 class Models:
-    def __init__(self, blocks: int):
-        self.lane = np.arange(blocks)
-        self.guess2, self.sure2 = np.zeros((blocks, SLOTS2), np.uint16), np.zeros((blocks, SLOTS2), np.uint8)
-        self.guess1, self.sure1 = np.zeros((blocks, SLOTS1), np.uint16), np.zeros((blocks, SLOTS1), np.uint8)
-        self.counts = [np.zeros((blocks, 16 << (4 * k)), np.uint16) for k in range(4)]
-        self.total = np.zeros(blocks, np.int64)
-        self.last, self.before = np.zeros(blocks, np.int64), np.zeros(blocks, np.int64)
-        self.mix2, self.mix1, self.mix0 = Mixer(blocks, [8, 128, 1]), Mixer(blocks, [8, 8, 1]), Mixer(blocks, [16, 8, 1])
-
-    def predict(self) -> tuple[np.ndarray, ...]:
-        """The four cases' bounds of 65536, and both candidates."""
-        self.slot2 = ((self.last * 0x9E3B + self.before * 0x85EB51) >> 3) & (SLOTS2 - 1)
-        self.slot1 = (self.last * 0x9E3B >> 2) & (SLOTS1 - 1)
-        c2, n2 = self.guess2[self.lane, self.slot2].astype(np.int64), self.sure2[self.lane, self.slot2].astype(np.int64)
-        c1, n1 = self.guess1[self.lane, self.slot1].astype(np.int64), self.sure1[self.lane, self.slot1].astype(np.int64)
-        equal = (c1 == c2) & (n1 > 0)
-        self.ask2, self.ask1 = n2 > 0, (n1 > 0) & ~(equal & (n2 > 0))
-        zero = np.zeros_like(n2)
-        p2 = np.where(self.ask2, self.mix2.chance([n2, n2 * 16 + n1 * 2 + equal, zero]), 0)
-        p1 = np.where(self.ask1, self.mix1.chance([n1, n2, zero]), 0)
-        age = np.minimum(np.log2(self.total + 1).astype(np.int64), 15)
-        p0 = np.where(self.total > 0, self.mix0.chance([age, n1, zero]), 0)
-        f2 = p2.astype(np.int64)
-        f1 = ((65536 - f2) * p1) >> 16
-        rest = 65536 - f2 - f1
-        f0 = np.where(self.total > 0, np.clip((rest * p0) >> 16, 1, rest - 1), 0)
-        self.c2, self.c1, self.n2, self.n1 = c2, c1, n2, n1
-        return f2, f2 + f1, f2 + f1 + f0
-
-    def below(self, at: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 counts below the ids in the blocks at, and the ids' own."""
-        cum = np.zeros(len(at), np.int64)
-        for k in range(4):
-            digit, base = (ids >> (12 - 4 * k)) & 15, ids >> (16 - 4 * k) << 4
-            rows = self.counts[k][at[:, None], base[:, None] + np.arange(16)]
-            cum += np.where(np.arange(16) < digit[:, None], rows, 0).sum(axis=1, dtype=np.int64)
-        return cum, self.counts[3][at, ids].astype(np.int64)
-
-    def find(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The ids whose order-0 range holds the value."""
-        ids, left = np.zeros(len(at), np.int64), value.copy()
-        for k in range(4):
-            sums = np.cumsum(self.counts[k][at[:, None], (ids << 4)[:, None] + np.arange(16)], axis=1, dtype=np.int64)
-            digit = (sums <= left[:, None]).sum(axis=1)
-            left -= np.where(digit > 0, sums[np.arange(len(at)), np.maximum(digit - 1, 0)], 0)
-            ids = ids << 4 | digit
-        return ids
-
-    def update(self, ids: np.ndarray, active: np.ndarray, case: np.ndarray) -> None:
-        self.mix2.learn(case == 0, self.ask2 & active)
-        self.mix1.learn(case == 1, self.ask1 & active & (case > 0))
-        self.mix0.learn(case == 2, (self.total > 0) & active & (case > 1))
-        on = self.lane[active]
-        x = ids[active]
-        for guess, sure, slot in ((self.guess2, self.sure2, self.slot2[active]), (self.guess1, self.sure1, self.slot1[active])):
-            right, n = guess[on, slot] == x, sure[on, slot]
-            keep = right | (n > 2)
-            sure[on, slot] = np.where(right, np.minimum(n + 1, 7), np.where(n > 2, n >> 1, 1))
-            guess[on, slot] = np.where(keep, guess[on, slot], x)
-        for k in range(4):
-            self.counts[k][on, x >> (12 - 4 * k)] += 1
-        self.total[on] += 1
-        self.before[active], self.last[active] = self.last[active], x
+    """The state of all blocks, in flat tables with one stretch for each block."""
+
+    def __init__(self, blocks: int, longest: int):
+        n, self.levels = blocks, 1
+        while 16**self.levels < longest + 1:
+            self.levels += 1
+        room = 16**self.levels
+        lane = np.arange(n)
+        self.at1, self.at2, self.at0 = lane * room, lane * SLOTS2, lane * room
+        self.next1, self.next2 = np.zeros(n * room, np.int32), np.zeros(n * SLOTS2, np.int32)
+        # sums below each sibling, of 16 siblings a row, from the root on
+        self.sums = [np.zeros((n * 16**k, 16), np.uint16) for k in range(self.levels)]
+        self.node0 = [lane * 16**k for k in range(self.levels)]
+        self.own = np.zeros(n * room, np.uint16)
+        self.seen, self.last, self.before, self.t = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
+        ask = np.arange(3)[:, None]
+        self.table_a, self.table_b = np.full(n * 3 * 16, 32768, np.int32), np.full(n * 3 * 128, 32768, np.int32)
+        self.at_a, self.at_b = (lane * 3 + ask) * 16, (lane * 3 + ask) * 128
+        self.weight_a, self.weight_b = np.full((3, n), 40960, np.int32), np.full((3, n), 40960, np.int32)
+        self.key_a, self.key_b, self.asked = np.zeros((3, n), np.int64), np.zeros((3, n), np.int64), np.zeros((3, n), np.int32)
+
+    def predict(self) -> np.ndarray:
+        """Bounds of the four cases, of 65536, as five rows."""
+        self.slot1 = self.at1 + self.last
+        self.slot2 = self.at2 + ((self.last * 0x9E3B + self.before * 0x85EB51 >> 3) & (SLOTS2 - 1))
+        self.entry1, self.entry2 = self.next1[self.slot1], self.next2[self.slot2]
+        self.c1, self.c2 = self.entry1 >> 3, self.entry2 >> 3
+        n1, n2 = self.entry1 & 7, self.entry2 & 7
+        self.n1, self.n2 = n1, n2
+        equal = self.c1 == self.c2
+        ask2 = n2 > 0
+        asked = self.asked
+        asked[0], asked[1], asked[2] = ask2, (n1 > 0) & ~(equal & ask2), self.t > 0
+        a, b = self.key_a, self.key_b
+        a[0], a[1], a[2] = n2, n1, min(self.t.bit_length(), 15)
+        b[1] = n2 * 8 + n1
+        b[0], b[2] = b[1] * 2 + equal, n1
+        a += self.at_a
+        b += self.at_b
+        self.old_a, self.old_b = self.table_a.take(a), self.table_b.take(b)
+        self.in_a, self.in_b = STRETCH.take(self.old_a >> 4), STRETCH.take(self.old_b >> 4)
+        dot = (self.weight_a * self.in_a + self.weight_b * self.in_b) >> 16
+        self.p = p = SQUASH.take(dot + 2048, mode="clip")
+        q = (p * asked).astype(np.int64)
+        bounds = np.empty((5, len(n1)), np.int64)
+        bounds[0], bounds[4] = 0, IDS
+        bounds[1] = q[0]
+        bounds[2] = q[0] + ((IDS - q[0]) * q[1] >> 16)
+        rest = IDS - bounds[2]
+        bounds[3] = bounds[2] + (np.clip(rest * q[2] >> 16, 1, rest - 1) if self.t else 0)
+        return bounds
+
+    def below(self, x: np.ndarray) -> np.ndarray:
+        """Order-0 counts below x."""
+        cum = 0
+        for k in range(self.levels):
+            up = 4 * (self.levels - 1 - k)
+            cum = cum + self.sums[k].reshape(-1).take((self.node0[k] << 4) + (x >> up)).astype(np.int64)
+        return cum
+
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whose order-0 range holds the value, and the counts below."""
+        x, left = np.zeros(len(value), np.int64), value.astype(np.uint16)
+        for k in range(self.levels):
+            node = self.node0[k] + x
+            under = (self.sums[k].take(node, axis=0) if k else self.sums[0]) <= left[:, None]
+            ones = np.bitwise_count(under.view(np.uint64))
+            digit = (ones[:, 0] + ones[:, 1]).astype(np.int64) - 1
+            left = left - self.sums[k].reshape(-1).take((node << 4) + digit)
+            x = x << 4 | digit
+        return x, value - left
+
+    def update(self, x: np.ndarray, case: np.ndarray) -> None:
+        for entry, guess, sure, table, slot in ((self.entry1, self.c1, self.n1, self.next1, self.slot1), (self.entry2, self.c2, self.n2, self.next2, self.slot2)):
+            wrong = np.where(sure > 2, (entry & ~7) | sure >> 1, x << 3 | 1)
+            table[slot] = np.where((guess == x) & (sure > 0), entry + (sure < 7), wrong)
+        ask = np.arange(3)[:, None]
+        live = self.asked * (case >= ask)
+        target = (case == ask) * np.int32(65535)
+        error = ((target - self.p) >> 4) * live
+        self.table_a[self.key_a] = self.old_a + ((target - self.old_a) >> 4) * live
+        self.table_b[self.key_b] = self.old_b + ((target - self.old_b) >> 4) * live
+        self.weight_a += self.in_a * error >> 10
+        self.weight_b += self.in_b * error >> 10
+        for k in range(self.levels):
+            prefix = x >> 4 * (self.levels - 1 - k)
+            if k == 0:
+                self.sums[0] += ABOVE.take(prefix, axis=0)
+                continue
+            node = self.node0[k] + (prefix >> 4)
+            self.sums[k][node] = self.sums[k].take(node, axis=0) + ABOVE.take(prefix & 15, axis=0)
+        self.own[self.at0 + x] += np.uint16(1)
+        self.seen += case == 3
+        self.before, self.last, self.t = self.last, x, self.t + 1
+
+
+def second(case: np.ndarray, span: np.ndarray, t: int) -> np.ndarray:
+    """The unit of the range for the second symbol: of t for a seen id, else of 65536."""
+    return np.where(case == 2, span // np.uint64(max(t, 1)), span >> S16)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
-    """Each block's code, behind its length and checksum (4 bytes each)."""
-    n = len(blocks)
-    sizes = np.array([len(b) for b in blocks])
-    longest = int(sizes.max(initial=0))
-    ids = np.zeros((n, longest), np.int64)
+    """Each block's code, behind its length and checksum (4 bytes each); at most 65,535 ids below 65,536 a block."""
+    n, longest = len(blocks), max((len(b) for b in blocks), default=0)
+    if longest >= IDS or any(len(b) and int(b.max()) >= IDS for b in blocks):
+        raise ValueError("blocks hold at most 65,535 ids, each below 65,536")
+    ids = np.zeros((longest, n), np.int64)
     for k, b in enumerate(blocks):
-        ids[k, : len(b)] = b
-    out, pos = np.zeros((n, 6 * longest + 16), np.uint8), np.zeros(n, np.int64)
-    low, span = np.zeros(n, np.uint64), np.full(n, MASK)
-    m = Models(n)
-
-    def code(at, start, freq, total):
-        r = span[at] // total.astype(np.uint64)
-        lo, sp = low[at] + r * start.astype(np.uint64), r * freq.astype(np.uint64)
-        low[at], span[at] = lo & MASK, sp
-        # a carry cannot happen: low + span stays below 2**56, as shift_out keeps it
-        shift_out(at)
-
-    def shift_out(at):
-        while len(at):
-            lo, sp = low[at], span[at]
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < BOTTOM)
-            go = same | tight
-            if not go.any():
-                return
-            at, lo = at[go], lo[go]
-            sp = np.where(tight[go], (np.uint64(0) - lo) & (BOTTOM - np.uint64(1)), sp[go])
-            out[at, pos[at]] = (lo >> U48).astype(np.uint8)
-            pos[at] += 1
-            low[at], span[at] = (lo << U8) & MASK, sp << U8
+        ids[: len(b), k] = b
+    m, lane = Models(n, longest), np.arange(n)
+    ranks = np.zeros(n * IDS, np.uint16)  # of ids that have appeared, from 1
+    width = 2 * longest + 4
+    out, pos = np.zeros(n * width, np.uint32), lane * width + 1
+    low, span = np.zeros(n, np.uint64), np.full(n, M48)
+
+    def code(unit, start, freq):
+        nonlocal low, span, pos
+        low = low + unit * start.astype(np.uint64)
+        span = unit * freq.astype(np.uint64)
+        out[pos - 1] += (low >> S48).astype(np.uint32)
+        low = low & M48
+        out[pos] = low >> S32
+        short = span < FLOOR
+        shift = short * S16
+        low, span, pos = (low << shift) & M48, span << shift, pos + short
 
     for t in range(longest):
-        active = sizes > t
-        x = ids[:, t]
-        b2, b1, b0 = m.predict()
-        seen = m.counts[3][m.lane, x] > 0
-        case = np.where(m.ask2 & (x == m.c2), 0, np.where(m.ask1 & (x == m.c1), 1, np.where(seen, 2, 3)))
-        start = np.choose(case, [np.zeros_like(b2), b2, b1, b0])
-        stop = np.choose(case, [b2, b1, b0, np.full_like(b2, 65536)])
-        at = m.lane[active]
-        code(at, start[at], (stop - start)[at], np.full(len(at), 65536))
-        at = np.flatnonzero(active & (case == 2))
-        if len(at):
-            cum, own = m.below(at, x[at])
-            code(at, cum, own, m.total[at])
-        at = np.flatnonzero(active & (case == 3))
-        if len(at):
-            code(at, x[at], np.ones(len(at), np.int64), np.full(len(at), IDS))
-        m.update(x, active, case)
-    for _ in range(7):
-        out[np.arange(n), pos] = (low >> U48).astype(np.uint8)
-        pos += 1
-        low = (low << U8) & MASK
+        bounds = m.predict()
+        key = lane * IDS + ids[t]
+        rank = ranks.take(key).astype(np.int64)
+        new = rank == 0
+        x = np.where(new, m.seen, rank - 1)
+        case = np.where(m.asked[0] * (x == m.c2), 0, np.where(m.asked[1] * (x == m.c1), 1, 2 + new))
+        at = case * n + lane
+        start = bounds.take(at)
+        code(span >> S16, start, bounds.take(at + n) - start)
+        ranks[key] = x + 1
+        is2, is3 = case == 2, case == 3
+        start = np.where(is2, m.below(x), ids[t] * is3)
+        code(second(case, span, t), start, np.where(is2, m.own.take(m.at0 + x), np.where(is3, 1, IDS)))
+        m.update(x, case)
+    rows, ends = out.reshape(n, width), pos - lane * width
+    for _ in range(3):
+        rows[lane, ends] = low >> S32
+        low, ends = (low << S16) & M48, ends + 1
+    for k in range(int(ends.max(initial=1)) - 1, 0, -1):
+        rows[:, k - 1] += np.where(k < ends, rows[:, k] >> 16, 0).astype(np.uint32)
+    words = (rows & 0xFFFF).astype("<u2")
     heads = np.array([[len(b), zlib.crc32(b.astype("<u4").tobytes())] for b in blocks], "<u4").reshape(n, 2)
-    return [heads[k].tobytes() + out[k, : pos[k]].tobytes() for k in range(n)]
+    return [heads[k].tobytes() + words[k, 1 : ends[k]].tobytes() for k in range(n)]
 
 
 def decode(codes: list[bytes]) -> list[np.ndarray]:
@@ -183,62 +190,51 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
     heads = np.array([np.frombuffer(c[:8], "<u4") for c in codes], np.int64).reshape(n, 2)
     sizes = heads[:, 0]
     longest = int(sizes.max(initial=0))
-    width = max((len(c) for c in codes), default=0) + 16
-    data = np.zeros((n, width), np.uint8)
+    if longest >= IDS:
+        raise ValueError("a block's length is damaged")
+    width = max((len(c) // 2 for c in codes), default=0) + 2 * longest + 4
+    data = np.zeros((n, width), np.uint16)
     for k, c in enumerate(codes):
-        data[k, : len(c) - 8] = np.frombuffer(c[8:], np.uint8)
-    low, span, value = np.zeros(n, np.uint64), np.full(n, MASK), np.zeros(n, np.uint64)
-    for k in range(7):
-        value = value << U8 | data[:, k]
-    pos = np.full(n, 7)
-    m = Models(n)
-    out = np.zeros((n, longest), np.int64)
-
-    def point(at, total):
-        r = span[at] // total.astype(np.uint64)
-        return r, np.minimum(((value[at] - low[at]) & MASK) // r, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def take(at, r, start, freq):
-        low[at] = (low[at] + r * start.astype(np.uint64)) & MASK
-        span[at] = r * freq.astype(np.uint64)
-        while len(at):
-            lo, sp = low[at], span[at]
-            same = (lo ^ (lo + sp)) < TOP
-            tight = ~same & (sp < BOTTOM)
-            go = same | tight
-            if not go.any():
-                return
-            at, lo = at[go], lo[go]
-            sp = np.where(tight[go], (np.uint64(0) - lo) & (BOTTOM - np.uint64(1)), sp[go])
-            value[at] = ((value[at] << U8) | data[at, np.minimum(pos[at], width - 1)]) & MASK
-            pos[at] += 1
-            low[at], span[at] = (lo << U8) & MASK, sp << U8
+        body = c[8 : len(c) - len(c) % 2]
+        data[k, : len(body) // 2] = np.frombuffer(body, "<u2")
+    m, lane = Models(n, longest), np.arange(n)
+    value, span = np.zeros(n, np.uint64), np.full(n, M48)
+    for k in range(3):
+        value = value << S16 | data[:, k]
+    data, pos = data.reshape(-1), lane * width + 3
+    room = longest + 1
+    named, base = np.zeros(n * room, np.int64), lane * room
+    ranks = np.zeros((longest, n), np.int64)
+    one, last = np.uint64(1), np.uint64(IDS - 1)  # a unit of 0 comes of damage alone, which the checksum finds
+
+    def take(unit, start, freq):
+        nonlocal value, span, pos
+        value = value - unit * start.astype(np.uint64)
+        span = unit * freq.astype(np.uint64)
+        short = span < FLOOR
+        shift = short * S16
+        value = (value << shift) | (data.take(pos, mode="clip") * short)
+        span, pos = span << shift, pos + short
 
     for t in range(longest):
-        active = sizes > t
-        b2, b1, b0 = m.predict()
-        at = m.lane[active]
-        r, v = point(at, np.full(len(at), 65536))
-        case = np.full(n, 3)
-        case[at] = (v >= b2[at]).astype(np.int64) + (v >= b1[at]) + (v >= b0[at])
-        start = np.choose(case, [np.zeros_like(b2), b2, b1, b0])
-        stop = np.choose(case, [b2, b1, b0, np.full_like(b2, 65536)])
-        take(at, r, start[at], (stop - start)[at])
-        x = np.where(case == 0, m.c2, m.c1)
-        at = np.flatnonzero(active & (case == 2))
-        if len(at):
-            r, v = point(at, m.total[at])
-            x[at] = m.find(at, v)
-            cum, own = m.below(at, x[at])
-            take(at, r, cum, own)
-        at = np.flatnonzero(active & (case == 3))
-        if len(at):
-            r, v = point(at, np.full(len(at), IDS))
-            x[at] = v
-            take(at, r, v, np.ones(len(at), np.int64))
-        m.update(x, active, case)
-        out[:, t] = x
-    blocks = [out[k, : sizes[k]].astype(np.uint32) for k in range(n)]
+        bounds = m.predict()
+        unit = np.maximum(span >> S16, one)
+        v = np.minimum(value // unit, last).astype(np.int64)
+        case = (v >= bounds[1]).astype(np.int64) + (v >= bounds[2]) + (v >= bounds[3])
+        at = case * n + lane
+        start = bounds.take(at)
+        take(unit, start, bounds.take(at + n) - start)
+        unit = np.maximum(second(case, span, t), one)
+        v = np.minimum(value // unit, last).astype(np.int64)
+        is2, is3 = case == 2, case == 3
+        found, below = m.find(np.minimum(v, t - 1)) if t else (v * 0, v * 0)
+        x = np.where(is2, found, np.where(is3, m.seen, np.where(case == 0, m.c2, m.c1)))
+        take(unit, np.where(is2, below, v * is3), np.where(is2, m.own.take(m.at0 + found), np.where(is3, 1, IDS)))
+        named[base + m.seen] = v
+        m.update(x, case)
+        ranks[t] = x
+    ids = named.take(ranks + base).astype(np.uint32)
+    blocks = [np.ascontiguousarray(ids[: sizes[k], k]) for k in range(n)]
     for b, check in zip(blocks, heads[:, 1]):
         if zlib.crc32(b.astype("<u4").tobytes()) != check:
             raise ValueError("a block's checksum does not match")
