@@ -79,7 +79,8 @@ class Models:
         bounds = np.empty((5, len(n1)), np.int64)
         bounds[0], bounds[4] = 0, IDS
         bounds[1] = q[0]
-        bounds[2] = q[0] + ((IDS - q[0]) * q[1] >> 16)
+        rest = IDS - q[0]  # 32 at least; each case that can come keeps a share
+        bounds[2] = q[0] + np.clip(rest * q[1] >> 16, 1, rest - 8) * asked[1]
         rest = IDS - bounds[2]
         bounds[3] = bounds[2] + (np.clip(rest * q[2] >> 16, 1, rest - 1) if self.t else 0)
         return bounds
