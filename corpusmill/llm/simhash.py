@@ -11,6 +11,8 @@ A key with more than ``block`` fingerprints is split by hash, and every two part
 Of the pairs found in a key only a spanning forest is written, which loses no connection; connected
 components run as rounds of joins with a written table after each.
 
+``keep_one``, the pipeline's stage, goes by the Jaccard similarity of shingle sets instead, each link confirmed by the texts.
+
 Edge cases: null text has no words and fingerprint zero, as an empty text has; all rows with fingerprint zero
 are linked. Null ids keep their rows; a component's id is its smallest non-null id (null if it has none).
 Repeated ids keep their rows, each by its own text. Empty tables give empty results; other columns are ignored.
@@ -27,10 +29,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
-from corpusmill.llm.common import discard, materialize, read
+from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, materialize, mix, read, spans, utf8, word_bounds, word_hashes
 
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
+BANDS, DEEP = 20, 4  # bands of so many min-hashes
+FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
+TURNS = TURNS | np.uint64(1)
+BLANK = flag_table(b" \t\n\r\x0b\x0c").astype(bool)
 
 
 def fingerprint(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -155,6 +161,24 @@ def block_keys(fp: str) -> F.Column:
     return F.array(*[F.lit(t << 22).cast("long") + part[i] * 2048 + part[j] for t, (i, j) in enumerate(combinations(range(6), 2))])
 
 
+def whole_groups(batches, names: tuple):
+    """Tables of whole groups of the named columns, from batches sorted by them."""
+    held = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if not len(held):
+            continue
+        cols = [held.column(c).to_numpy() for c in names]
+        same = np.logical_and.reduce([c == c[-1] for c in cols])
+        cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
+        if cut:
+            yield held.slice(0, cut).combine_chunks()
+            held = held.slice(cut)
+    if held is not None and len(held):
+        yield held.combine_chunks()
+
+
 def links(prints: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that connect all pairs within the radius."""
     if radius > 4:
@@ -177,18 +201,8 @@ def links(prints: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
                 signs = prints.view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(signs[a]), pa.array(signs[b])], ["a", "b"])
 
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            cols = [held.column(c).to_numpy() for c in ("key", "lo", "hi")]
-            same = np.logical_and.reduce([c == c[-1] for c in cols])
-            cut = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut:
-                yield from found(held.slice(0, cut).combine_chunks())
-                held = held.slice(cut)
-        if held is not None and len(held):
-            yield from found(held.combine_chunks())
+        for table in whole_groups(batches, ("key", "lo", "hi")):
+            yield from found(table)
 
     dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -233,15 +247,137 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, radius: int = 4, block: int = 2048) -> DataFrame:
-    """One row of each near-duplicate group (smallest id, then first by place), all columns as they are."""
+def gram_sets(column: pa.Array, shingle: int):
+    """The sorted distinct hashes of each row's word shingles; a text of fewer words is one shingle, one without words has none."""
+    data, offsets = utf8(column)
+    for i, j in spans(offsets):
+        part, edges = LOWER[data[offsets[i] : offsets[j]]], offsets[i : j + 1] - offsets[i]
+        starts, ends = word_bounds(~BLANK[part], edges)
+        words = word_hashes(part, starts, ends)
+        rows = np.searchsorted(starts, edges)
+        for a, b in zip(rows, rows[1:]):
+            yield np.unique(gram_hashes(words[a:b], min(shingle, b - a))) if b > a else words[:0]
+
+
+def min_hashes(grams: np.ndarray) -> np.ndarray:
+    """BANDS * DEEP smallest values of a set under as many hash functions."""
+    low = np.full(BANDS * DEEP, ~np.uint64(0))
+    for i in range(0, len(grams), 2048):
+        low = np.minimum(low, ((grams[i : i + 2048] ^ FLIPS[:, None]) * TURNS[:, None]).min(axis=1))
+    return mix(low)
+
+
+def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
+    """_row, doc_id, cls (equal for equal shingle sets), size, sig (a byte of each minimum), keys (one per band) of docs (_row, doc_id, text)."""
+
+    def add(batches):
+        for batch in batches:
+            cls, sizes, sigs, keys = [], [], [], []
+            for grams in gram_sets(batch.column(2), shingle):
+                low = min_hashes(grams)
+                cls.append(signed(xxh64_intdigest(grams.tobytes())))
+                sizes.append(len(grams))
+                sigs.append(low.astype(np.uint8).tobytes())
+                bands = low.reshape(BANDS, DEEP)
+                key = np.arange(BANDS, dtype=np.uint64)
+                for k in range(DEEP):
+                    key = mix(key * np.uint64(0xBF58476D1CE4E5B9) + bands[:, k])
+                keys.append(key.view(np.int64) if len(grams) else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_row", "doc_id", "cls", "size", "sig", "keys"])
+
+    return docs.select("_row", "doc_id", "text").mapInArrow(add, "_row long, doc_id long, cls long, size int, sig binary, keys array<long>")
+
+
+def dealt_texts(pairs: DataFrame, texts: DataFrame, side: str, other: str, block: int) -> DataFrame:
+    """pairs with the text of one side; a class in many pairs is dealt over parts, each with a copy of its text."""
+    parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    held = parts.join(texts.withColumnRenamed("cls", side), side).select(side, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias(f"text_{side}"))
+    dealt = pairs.join(parts, side).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
+    return dealt.join(held, [side, "part"]).drop("part")
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
+    """Those of the pairs (a, b) of classes whose shingle sets have the Jaccard similarity at least."""
+
+    def confirm(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(gram_sets(batch.column(2), shingle), gram_sets(batch.column(3), shingle)):
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    one = dealt_texts(pairs, texts, "a", "b", block)
+    return dealt_texts(one, texts, "b", "a", block).select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
+
+
+def pairs_apart(met: DataFrame, similarity: float, block: int) -> DataFrame:
+    """Pairs a < b of classes under one key that are of different roots and may be similar, from met (key, cls, root, size, sig).
+
+    Sizes further apart than the similarity cannot reach it; of the signature, half the similarity times its length has to agree."""
+    counts = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    met = met.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root", "size", "sig")
+
+    def found(table):
+        cls, root, size = (table.column(c).to_numpy() for c in ("cls", "root", "size"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+        new = np.zeros(len(table), bool)
+        for c in (table.column(c).to_numpy() for c in ("key", "lo", "hi")):
+            new[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(np.append(True, new[1:]))
+        last = np.repeat(np.append(first[1:], len(table)), np.diff(np.append(first, len(table))))
+        todo = last - np.arange(len(table)) - 1  # each row meets those behind it in its group
+        ends = np.cumsum(todo)
+        i = 0
+        while i < len(table):
+            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
+            a = np.repeat(np.arange(i, j), todo[i:j])
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo[i:j]) - todo[i:j], todo[i:j])
+            near = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
+            a, b = a[near], b[near]
+            near = (sig[a] == sig[b]).sum(axis=1) >= similarity / 2 * sig.shape[1]
+            a, b = cls[a[near]], cls[b[near]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+            i = j
+
+    def compare(batches):
+        for table in whole_groups(batches, ("key", "lo", "hi")):
+            yield from found(table)
+
+    dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+    """One row of each near-duplicate group (smallest id, then first by place), all columns as they are.
+
+    Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
+    tell these (pairs at 0.8 differ in about nine bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
+    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one; then all pairs
+    under a key that are not yet connected are. No link goes unconfirmed, and a large group costs no square of pairs."""
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     chosen = numbered.select("_row", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = materialize(with_fingerprints(chosen, "text", shingle, "fp").drop("text"), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
-    least = materialize(prints.groupBy("fp").agg(first.alias("least")), "classes")
-    named = least.join(classes(least, radius, block), "fp")
-    kept = named.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
+    prints = materialize(with_sets(chosen, shingle), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "sig", "keys"))
+    least = materialize(prints.groupBy("cls").agg(first.alias("least")).select("cls", "least.*"), "classes")
+    discard(prints)
+    keyed = least.select("cls", F.explode("keys").alias("key"))
+    centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").drop("n")
+    met = materialize(keyed.join(centres, "key"), "met")
+    named = least.join(met.select("cls").distinct(), "cls").select("cls", "_row")
+    texts = materialize(chosen.join(named, "_row").select("cls", "text"), "texts")
+    stars = materialize(met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
+    links = materialize(confirmed(stars, texts, shingle, similarity), "links")
+    roots = materialize(components(links), "roots")
+    tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+    apart = pairs_apart(tagged.join(least.select("cls", "size", "sig"), "cls"), similarity, block)
+    more = materialize(apart.join(stars, ["a", "b"], "left_anti"), "pairs")  # a centre is the smallest of its key
+    links = links.unionByName(materialize(confirmed(more, texts, shingle, similarity), "links"))
+    roots = components(links)
+    rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
+    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
     return numbered.join(materialize(kept, "kept"), "_row", "left_semi").drop("_row")
 
 

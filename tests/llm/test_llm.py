@@ -125,6 +125,30 @@ def test_near_duplicates_odd_rows(spark, odd):
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_keep_one_goes_by_jaccard(spark):
+    """Groups by five-word shingles at 0.8, against brute force; in one large group and in pairs around the bound."""
+    rng = np.random.default_rng(9)
+    texts = []
+    for size in [*rng.integers(60, 300, 60), 400]:
+        base = [f"t{x}" for x in rng.integers(0, 50_000, size)]
+        for _ in range(4 if size != 400 else 120):
+            copy = list(base)
+            for at in rng.choice(size, rng.integers(0, max(2, size // 30)), replace=False):
+                copy[at] = f"n{rng.integers(0, 50_000)}"
+            texts.append(" ".join(copy))
+    sets = [{" ".join(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root, near = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root[i], root[j]
+                near += simhash.fingerprint(texts[i], 5) != simhash.fingerprint(texts[j], 5)
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert near > 500 and sorted(r.doc_id for r in simhash.keep_one(frame, block=16).collect()) == sorted(set(root))
+
+
 def test_packing_is_gapless_and_whole(spark, docs, odd):
     for frame, size in ((docs, 256), (odd, 4096)):
         rows = packing.pack(frame, word_bpe(), size).collect()
