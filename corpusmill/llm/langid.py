@@ -3,8 +3,10 @@
 A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams (ASCII letters lower-cased, digits and
 ASCII signs as one blank). Document frequencies come from all training rows. Per language, spherical k-means
 over a sample of about ``per_language`` texts (chosen by hash of the id) gives ``k`` centroids; a text
-takes the language of the nearest by cosine. Beyond the largest distance seen in training (plus a margin) a text
-is rejected; so is one without a letter.
+takes the language of the nearest by cosine. A text further from it than a high quantile of that language's training
+distances, plus ``margin`` of the way from there to no likeness at all, is rejected; so is one without a letter. Short texts lie further off by nature, so the limits go by
+language and length: each sampled text is measured whole and by its first 8, 16, 32, ... bytes, and a length with too few
+of them has no limit, or beyond the longest one that one's.
 
 Edge cases: null text or one with no letter gives ``und``, score 0, rejected; rows with a null lang are not
 learned from; repeated ids keep their rows; with nothing to learn from every text is ``und``; ties take
@@ -28,6 +30,7 @@ FOLD[:128] = 32
 FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 ROWS = 64
+LENGTHS = 15  # classes of length, by the binary logarithm of how many features a text has
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -62,6 +65,32 @@ def weigh(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def length_class(found: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum((found > 0).sum(axis=1), 1)).astype(np.int64), LENGTHS - 1)
+
+
+def limits(texts: list[str], idf: np.ndarray, centres: np.ndarray, quantile: float, margin: float) -> np.ndarray:
+    """The distance limit of each class of length, never larger for longer texts."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    cut = {t for whole in data for t in [whole, *(whole[: 1 << k] for k in range(3, 13) if len(whole) > 1 << k)]}
+    of, far = [], []
+    for _, _, found in chunks(pa.array([t.decode("utf-8", "ignore") for t in sorted(cut)], pa.string())):
+        has = (found > 0).any(axis=1)
+        of.append(length_class(found)[has])
+        far.append(1 - (weigh(found, idf) @ centres.T).max(axis=1)[has])
+    of, far = np.concatenate(of), np.concatenate(far)
+    out, last = np.ones(LENGTHS), 0.0
+    for c in reversed(range(LENGTHS)):
+        if (of == c).sum() >= 20:  # fewer say nothing of a high quantile
+            worst = float(np.quantile(far[of == c], quantile))
+            last = max(last, worst + margin * (1 - worst))
+            out[c] = last
+    seen = np.flatnonzero(out < 1)
+    if len(seen):
+        out[seen[-1] :] = out[seen[-1]]
+    return out
+
+
 def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     """Spherical k-means; starts from texts far apart."""
     centres = [x.mean(axis=0)]
@@ -79,7 +108,7 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", k: int = 4, per_language: int = 500, margin: float = 0.2) -> dict:
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", k: int = 4, per_language: int = 500, quantile: float = 0.995, margin: float = 1 / 3) -> dict:
     """The model, from rows with text and lang."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and text rlike '\\\\p{L}'")
 
@@ -96,7 +125,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     idf = np.log((1 + n) / (1 + np.array([held.get(c, 0) for c in range(DIMS)]))).astype(np.float32)
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return {"idf": idf, "centres": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, np.int64), "langs": [], "limit": 0.0}
+        return {"idf": idf, "centres": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, np.int64), "langs": [], "limits": np.zeros((0, LENGTHS))}
     share = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, min(1.0, per_language / size))])
     picked = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < share[F.col("lang")]).select("lang", "text")
     shared = docs.sparkSession.sparkContext.broadcast(idf)
@@ -105,28 +134,29 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
         texts = pa.array(frame["text"].sort_values(), pa.string())
         x = np.concatenate([weigh(found, shared.value) for _, _, found in chunks(texts)])
         c = cluster(x, k)
-        worst = float(1 - (x @ c.T).max(axis=1).min())
-        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [v.astype("<f4").tobytes() for v in c], "worst": worst})
+        far = limits(frame["text"].tolist(), shared.value, c, quantile, margin)
+        return pd.DataFrame({"lang": frame["lang"].iloc[0], "centre": [v.astype("<f4").tobytes() for v in c], "limits": [far.tolist()] * len(c)})
 
-    found = sorted(picked.groupBy("lang").applyInPandas(centres, "lang string, centre binary, worst double").collect(), key=lambda r: (r.lang, r.centre))
+    found = sorted(picked.groupBy("lang").applyInPandas(centres, "lang string, centre binary, limits array<double>").collect(), key=lambda r: (r.lang, r.centre))
     langs = sorted({r.lang for r in found})
-    return {"idf": idf, "centres": np.array([np.frombuffer(r.centre, "<f4") for r in found], np.float32), "of": np.array([langs.index(r.lang) for r in found]), "langs": langs, "limit": min(0.98, max(r.worst for r in found) + margin)}
+    return {"idf": idf, "centres": np.array([np.frombuffer(r.centre, "<f4") for r in found], np.float32), "of": np.array([langs.index(r.lang) for r in found]), "langs": langs, "limits": np.array([r.limits for r in found])}
 
 
 def nearest(column: pa.Array, model: dict) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language, cosine and rejection of each text; letters are not looked at."""
-    names, cosines = [], []
+    names, cosines, beyond = [], [], []
     for _, _, found in chunks(column):
         if not model["langs"]:
             names += ["und"] * len(found)
             cosines.append(np.zeros(len(found)))
+            beyond.append(np.ones(len(found), bool))
             continue
         near = weigh(found, model["idf"]) @ model["centres"].T
         best = near.argmax(axis=1)
         names += [model["langs"][c] for c in model["of"][best]]
-        cosines.append(near[np.arange(len(near)), best].astype(np.float64))
-    cosine = np.clip(np.concatenate(cosines), 0, 1) if cosines else np.zeros(0)
-    return names, cosine, 1 - cosine > model["limit"]
+        cosines.append(np.clip(near[np.arange(len(near)), best].astype(np.float64), 0, 1))
+        beyond.append(1 - cosines[-1] > model["limits"][best, length_class(found)])
+    return names, np.concatenate(cosines) if cosines else np.zeros(0), np.concatenate(beyond) if beyond else np.zeros(0, bool)
 
 
 def predict(docs: DataFrame, model: dict, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -270,6 +270,23 @@ def test_langid_held_out(spark):
     assert np.mean([r.lang_pred == r.lang for r in rows]) >= 0.95
 
 
+def test_langid_rejects_other_languages(spark):
+    """Texts of other languages and junk go though some training texts are short and odd; clean texts stay."""
+    frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    other = [
+        "De burgemeester heeft gisteren besloten dat het oude gebouw aan de gracht wordt afgebroken en vervangen door nieuwe woningen voor jonge gezinnen uit de buurt.",
+        "W sobotę wieczorem wszyscy mieszkańcy naszej wsi spotkali się przy ognisku, żeby wspólnie śpiewać piosenki i opowiadać dzieciom stare historie o królach.",
+        "昨天晚上我们一起去了城里的图书馆,读了很多关于历史和科学的书,然后慢慢地走回家,路上还买了一些水果和面包。",
+        "Вчера вечером мы пошли в городскую библиотеку и долго читали книги по истории, а потом медленно шли домой через парк.",
+        "aGVsbG8gd29ybGQgdGhpcyBpcyBhIHRlc3QgbWVzc2FnZSB3aXRoIG5vIG1lYW5pbmc0IHF4enZrIHdwcWpoIGJ0bWNmIHpxeGtqdiBwbXdxIHJ0eQ",
+        "xqzv wkjq pzxr vbqk mwxz qjfh zzkv xpwq kqjz vxwm jqpz wvkx qzxj hvkq zwpx qkvj xzmq wjzk",
+    ]
+    model = langid.fit(frame)
+    assert all(r.rejected for r in langid.predict(spark.createDataFrame(list(enumerate(other)), "doc_id long, text string"), model).collect())
+    good = frame.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id").distinct(), "doc_id")
+    assert langid.predict(good, model).where("not rejected").count() >= 0.99 * good.count()
+
+
 def test_models_on_odd_rows(spark, odd, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
