@@ -2,7 +2,7 @@
 
 A text is a normalised TF-IDF vector of hashed byte 2- and 3-grams (ASCII letters lower-cased, digits and
 ASCII signs as one blank). Document frequencies come from all training rows. Per language, spherical k-means
-over a sample of about ``per_language`` texts (chosen by hash of the id) gives ``k`` centroids; a text
+over a sample of about ``per_language`` texts (chosen by hash of the row) gives ``k`` centroids; a text
 takes the language of the nearest by cosine. A text further from it than a high quantile of that language's training
 distances, plus ``margin`` of the way from there to no likeness at all, is rejected; so is one without a letter. Short texts lie further off by nature, so the limits go by
 language and length: each sampled text is measured whole and by its first 8, 16, 32, ... bytes, and a length with too few
@@ -108,6 +108,13 @@ def cluster(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-9)
 
 
+def sampled(rows: DataFrame, sizes: dict[str, int], per_language: int) -> DataFrame:
+    """About per_language rows of each language, by hash of id, text and place: neither equal ids nor equal texts go together."""
+    share = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, min(1.0, per_language / size))])
+    spot = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(1 << 40)) / float(1 << 40)
+    return rows.withColumn("spot", spot).where(F.col("spot") < share[F.col("lang")]).select("lang", "text")
+
+
 def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", k: int = 4, per_language: int = 500, quantile: float = 0.995, margin: float = 1 / 3) -> dict:
     """The model, from rows with text and lang."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null and text rlike '\\\\p{L}'")
@@ -126,8 +133,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return {"idf": idf, "centres": np.zeros((0, DIMS), np.float32), "of": np.zeros(0, np.int64), "langs": [], "limits": np.zeros((0, LENGTHS))}
-    share = F.create_map(*[F.lit(x) for name, size in sizes.items() for x in (name, min(1.0, per_language / size))])
-    picked = rows.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6) < share[F.col("lang")]).select("lang", "text")
+    picked = sampled(rows, sizes, per_language)
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
     def centres(frame: pd.DataFrame) -> pd.DataFrame:

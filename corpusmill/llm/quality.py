@@ -6,8 +6,8 @@ said twice in a row is one feature). A softmax over the mean gives the label; ve
 together by numpy stochastic gradient descent. For scoring, vectors and softmax fold into one number per
 feature, so a whole text costs one table lookup per feature.
 
-Training takes at most ``train_docs`` labelled documents (those with the smallest hash of the id), in one task;
-everything is scored. Labels join by id; a doc_id labelled twice takes the larger label.
+Training takes at most ``train_docs`` labelled documents (those with the smallest hash of the id, of a repeated id its first
+row), in one task; everything is scored. Labels join by id; a doc_id labelled twice takes the larger label.
 
 Edge cases: null, empty and word-less texts have no features and score by the bias alone, as an average
 document; null ids are scored and never trained on; with no label, or only one label, to learn from, scores are
@@ -90,8 +90,7 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], dims: int = 8, epochs:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", train_docs: int = 8000) -> tuple[np.ndarray, float]:
     """Learns from the labels (doc_id, label) given; null labels do not count."""
-    picked = sample_labels(labels, doc_id, label, train_docs)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").select("text", "y")
+    chosen = labelled_rows(docs, labels, label, doc_id, text, train_docs)
 
     def extract(batches):
         for batch in batches:
@@ -121,6 +120,15 @@ def sample_labels(labels: DataFrame, doc_id: str, label: str, bound: int) -> Dat
     return rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
 
 
+def labelled_rows(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, text: str, bound: int) -> DataFrame:
+    """text and y of at most bound rows: of each sampled id, the first row by place (with a text, if it has any)."""
+    picked = sample_labels(labels, doc_id, label, bound)
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    place = F.min(F.struct(F.col("text").isNull().alias("none"), "_row"))
+    one = rows.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(place.alias("at")).select(F.col("at._row").alias("_row"), "y")
+    return rows.join(F.broadcast(one), "_row").select("text", "y")
+
+
 def score(docs: DataFrame, model: tuple[np.ndarray, float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score of every row."""
     held = docs.sparkSession.sparkContext.broadcast(model)

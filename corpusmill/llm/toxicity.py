@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.common import read, remainder
-from corpusmill.llm.quality import sample_labels
+from corpusmill.llm.quality import labelled_rows
 
 DECAY = 0.6
 PART = 4
@@ -267,8 +267,7 @@ def calibrate(f: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, doc_id: str = "doc_id", text: str = "text", train_docs: int = 6000):
-    picked = sample_labels(labels, doc_id, label, train_docs)
-    chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(picked), "doc_id").where("text is not null").select("y", "text")
+    chosen = labelled_rows(docs, labels, label, doc_id, text, train_docs).where("text is not null").select("y", "text")
 
     def learn(batches):
         rows = [r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]

@@ -287,6 +287,19 @@ def test_langid_rejects_other_languages(spark):
     assert langid.predict(good, model).where("not rejected").count() >= 0.99 * good.count()
 
 
+def test_samples_bound_rows_not_ids(spark, docs):
+    """A repeated or null id brings one row, or its share of them, to the fit."""
+    labelled = spark.read.parquet(f"{SF}/labels.parquet")
+    for module, label in ((quality, "quality"), (toxicity, "toxic")):
+        key = labelled.where(f"{label} = 1").join(docs.where("text is not null"), "doc_id").select("doc_id").orderBy("doc_id").first().doc_id
+        again = docs.where(F.col("doc_id") == key).withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(300)))).drop("copy")
+        few, many = module.fit(docs, labelled, label), module.fit(docs.unionByName(again), labelled, label)
+        assert all(np.array_equal(a, b) for a, b in zip(few, many))
+        assert quality.labelled_rows(docs.unionByName(again), labelled, label, "doc_id", "text", 50).count() <= 50
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit("en").alias("lang"))
+    assert 400 < langid.sampled(rows, {"en": 20_000}, 500).count() < 600
+
+
 def test_models_on_odd_rows(spark, odd, docs):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 1), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int")
     for module, label in ((quality, "quality"), (toxicity, "toxic")):
