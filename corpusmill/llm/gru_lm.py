@@ -7,9 +7,9 @@ the head classes that hold few tokens the second factor depends on the state too
 in its class. The last class uses the base model's smoothed counts, so any token has a chance. The network's value is
 mixed with the base model's (``trust``), token by token.
 
-Training is truncated backpropagation through time in numpy. A share of the training texts (by hash of the id, growing
-with the corpus, ``least_tokens`` at least) is read by all partitions in ``rounds``; each partition goes on from the
-common weights over its own texts and the weights are averaged, by tokens read. Scoring carries the state over the
+Training is truncated backpropagation through time in numpy. All training texts (``share`` of them by hash of the id, 1 at every
+size) are read by all partitions, a part in each of the ``rounds``; each partition goes on from the common weights over its own
+texts and the weights are averaged, by tokens read. Scoring carries the state over the
 windows of a text, so a text's log-likelihood is complete.
 
 Counts beyond the ``known`` most frequent tokens are not broadcast: texts send those of their tokens that are not
@@ -353,7 +353,7 @@ def log_likelihoods(w, v: Vocabulary, texts: list[np.ndarray], trust: float) ->
     return out
 
 
-def score(docs: DataFrame, train_docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = 300_000, head: int = 4096, inputs: int = 8192, classes: int = 64, share: float = 0.08, least_tokens: int = 1_500_000, trust: float = 0.9, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, train_docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = 300_000, head: int = 4096, inputs: int = 8192, classes: int = 64, share: float = 1.0, trust: float = 0.9, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learning from train_docs."""
     spark = docs.sparkSession
     lessons = train_docs.select(F.pmod(F.xxhash64(doc_id), F.lit(1_000_000)).alias("row_hash"), F.col(text).alias("text"))
@@ -365,7 +365,7 @@ def score(docs: DataFrame, train_docs: DataFrame, doc_id: str = "doc_id", text:
     v.end = words.index(END) if END in words else len(words)
     ids = Shared(spark, b"\n".join(words))
     del top, words
-    w = train(lessons, v, ids, min(1.0, max(share, least_tokens / max(1, sums.n))), rounds)
+    w = train(lessons, v, ids, share, rounds)
     model = Shared(spark, pack_weights(w))
     shape = {k: np.empty(x.shape, np.bool_) for k, x in w.items()}
     held = Shared(spark, v)

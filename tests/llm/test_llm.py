@@ -332,6 +332,15 @@ def test_language_model(spark, docs, odd):
     assert all(r.n_known == 0 and np.isfinite(r.score) and np.isfinite(r.base_score) for r in none)
 
 
+def test_language_model_learns_from_all_texts(spark, monkeypatch):
+    """At every size: here over the 1.5 million tokens beyond which a sample was taken."""
+    seen = []
+    monkeypatch.setattr(gru_lm, "train", lambda docs, v, ids, share, rounds: seen.append((v.total, share)) or gru_lm.start_weights(v))
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words " * 2500).alias("text"))
+    gru_lm.score(frame, frame)
+    assert seen == [(2_000_400, 1.0)]
+
+
 def test_pipeline_keeps_clean_documents(spark, docs):
     stages = dict(corpus_pipeline.STAGES)
     frame = docs
