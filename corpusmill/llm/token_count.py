@@ -1,7 +1,7 @@
 """Token counts by a map-side two-tier lookup.
 
 Tier 1 is a compact table of the corpus' frequent pre-tokens and their token counts, of at most
-``table_size`` entries, broadcast to the workers. Tier 2 is a bounded cache in each worker, filled by
+``table_size`` entries of at most ``LONGEST`` characters, broadcast to the workers. Tier 2 is a bounded cache in each worker, filled by
 the tokenizer itself. Pre-tokens are never shuffled: only a bounded summary of each input partition
 (``per_partition`` entries) moves when tier 1 is chosen; the choice affects speed, never a count.
 
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 UNIT = re.compile(r"\s*\S+|\s+")
+LONGEST = 256  # characters of a pre-token in tier 1; tier 2 counts longer ones
 _loaded: dict = {}
 
 
@@ -69,7 +70,7 @@ def frequent_units(docs: DataFrame, text: str, table_size: int, per_partition: i
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if value:
-                    seen.update(value.split())
+                    seen.update(w for w in value.split() if len(w) <= LONGEST)
                 if len(seen) > 16 * per_partition:
                     seen = Counter(dict(seen.most_common(8 * per_partition)))
         top = seen.most_common(per_partition)
@@ -84,7 +85,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", t
     """doc_id, n_bytes, n_tokens of every row."""
     spark = docs.sparkSession
     units = frequent_units(docs, text, table_size, per_partition)
-    counts = np.array([_length(tokenizer_path, u) for u in units], np.uint16)
+    counts = np.array([_length(tokenizer_path, u) for u in units], np.uint32)
     table = spark.sparkContext.broadcast(("\n".join(u[1:] for u in units), counts))
 
     def count(batches):

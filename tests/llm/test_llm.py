@@ -190,6 +190,15 @@ def test_token_counts_equal_the_library(spark, docs, odd):
     assert token_count.count_tokens(odd.limit(0), path).count() == 0
 
 
+def test_token_counts_of_a_very_long_word(spark):
+    from tokenizers import Tokenizer
+
+    path, long = public_tokenizers.path("byte_bpe_50k.json"), "".join(chr(0x4E00 + k % 5000) for k in range(70_000))
+    want = len(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids)
+    got = token_count.count_tokens(spark.createDataFrame([(1, long)], "doc_id long, text string"), path).first().n_tokens
+    assert got == want > 65_535
+
+
 def test_neighbours_against_brute_force(spark):
     frame = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in frame.collect() if r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
