@@ -10,7 +10,7 @@ meet by query. Queries go out in blocks of at most ``block`` vectors, one pass o
 Equal vectors of a partition stand in its tree once, with their k + 1 smallest ids, which is all a
 result can need.
 
-Edge cases: vectors that are null, zero, of another length than most (the first by id decides), or hold null or non-finite
+Edge cases: vectors that are null, zero, of another length than most (a tie goes to the shorter), or hold null or non-finite
 components take no part, as query or candidate; rows with a null id neither; a query's own id is never
 its neighbour; repeated ids keep their rows as candidates and are queried once; ties go to the smaller id; with fewer candidates
 than k all are given; empty tables give empty results; other columns are ignored.
@@ -91,7 +91,7 @@ def search(frame: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found."""
     spark = frame.sparkSession
     all_vectors = usable(frame, vec_id, vector)
-    first = all_vectors.orderBy("vec_id").select(F.size("v").alias("n")).first()
+    first = all_vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "n").first()
     schema = "query_id long, vec_id long, score double"
     if first is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")

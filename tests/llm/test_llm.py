@@ -222,6 +222,11 @@ def test_neighbours_ties_and_odd_vectors(spark):
     assert ann.search(frame.limit(0), frame.limit(0)).count() == 0
 
 
+def test_neighbours_take_the_most_frequent_length(spark):
+    frame = spark.createDataFrame([(0, [1.0, 2.0, 3.0]), *((k, [float(k), 1.0]) for k in range(1, 6))], "vec_id long, embedding array<float>")
+    assert sorted(r.vec_id for r in ann.search(frame, frame.where("vec_id = 1")).collect()) == [2, 3, 4, 5]
+
+
 def test_range_coder_round_trip_and_checksum():
     rng = np.random.default_rng(4)
     blocks = [np.minimum(rng.zipf(1.3, n), 49407).astype("<u4") for n in (0, 1, 2, 700, 2048)] + [np.full(500, 7, "<u4"), np.arange(900, dtype="<u4") * 50]
