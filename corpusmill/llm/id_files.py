@@ -30,7 +30,7 @@ NAMES = ["part", "frame", "first", "n_ids", "doc_ids", "lengths", "blocks"]
 
 def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text", frame_ids: int = 1 << 21, block_ids: int = 1 << 11) -> None:
     """Writes the ids of all documents, in order of doc_id, each with the end id behind it."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def encode(batches):
         from pyspark import TaskContext
@@ -39,18 +39,17 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
         keys, sizes, chunks, held = [], [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(chunks), "<u4")
+            ids = np.concatenate(chunks)
             blocks = range_coder.encode([ids[i : i + block_ids] for i in range(0, len(ids), block_ids)])
             row = [[part], [frame], [keys[0]], [len(ids)], [list(keys)], [list(sizes)], [blocks]]
             kinds = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2 + [pa.list_(pa.binary())]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds)], NAMES)
 
         for batch in batches:
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                data = words.encode(value) + end
+            for key, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1))):
                 keys.append(key)
-                sizes.append(len(data) // 4)
-                chunks.append(data)
+                sizes.append(len(ids) + 1)
+                chunks += [ids, end]
                 held += sizes[-1]
                 if held >= frame_ids:
                     yield flush()

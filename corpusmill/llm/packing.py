@@ -30,16 +30,16 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int, end_id: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of at most size ids."""
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], "<u4")
 
     def cut(batches):
         words = encoder(tokenizer_path)
         for batch in batches:
             rows = []
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = words.encode(value) + end
-                n = len(ids) // 4
-                rows += [(key, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)]), n) for a in range(0, n, size)]
+            for key, ids in zip(batch.column(0).to_pylist(), words.encode_column(batch.column(1))):
+                ids = np.append(ids, end)
+                n = len(ids)
+                rows += [(key, a, min(size, n - a), zlib.crc32(ids[a : a + size]), n) for a in range(0, n, size)]
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

@@ -1,19 +1,30 @@
 """Whole texts to token ids with a worker cache, for tokenizers whose split drops white space.
 
-Such a tokenizer never joins characters over white space, so a text's ids are the ids of its words in
-turn. Ids are kept as little-endian unsigned 32-bit bytes. Texts that hold a special token's string, or
-a control character that Python alone calls white space, go to the tokenizer whole.
+Such a tokenizer never joins characters over white space, so a text's ids are the ids of its words in turn. Texts
+are taken in groups of some megabytes. Arrow splits a group at ASCII white space and numbers its distinct words; a word
+of letters with ASCII signs behind them is two units, any other word is one. Only the distinct units of a group are
+looked up, in a cache of at most ``bound`` units; units it lacks go to the library, plain letters all in one call, by the
+model's merges alone. The ids of the whole group are then put together by position. Special tokens' strings hold no white
+space, so the tokenizer itself finds them in the word that holds them.
+
+When the cache is full, the units that no group has asked for since it was last full leave it.
 """
 
 from __future__ import annotations
 
-import re
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from corpusmill.llm.common import spans
 
 _encoders: dict = {}
-#: Words of these letters alone are one pre-token, and normalising leaves them as they are.
-PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+GROUP = 4 << 20  # bytes of text in one group
+#: Letters that are lower-cased alike everywhere and left alone by normalising, and the ASCII signs.
+LETTERS = "".join(map(chr, [*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)]))
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
 def byte_signs() -> list[str]:
@@ -23,41 +34,142 @@ def byte_signs() -> list[str]:
     return [chr(b) if b in shown else chr(next(spare)) for b in range(256)]
 
 
-class WordIds(dict):
-    def __init__(self, path: str, bound: int = 150_000):
+def split_words(words: pa.Array, before: str = "") -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Letters and signs of words that are made of both in this order, else the word and nothing; and which are split.
+
+    before: what a word may begin with."""
+    words = words.cast(pa.string())
+    letters = pc.ascii_rtrim(words, SIGNS)
+    plain = pc.fill_null(pc.match_substring_regex(letters, f"^[{before}]?[{LETTERS}]+$" if before else f"^[{LETTERS}]+$"), False)
+    return pc.if_else(plain, letters, words), pc.if_else(plain, pc.utf8_ltrim(words, before + LETTERS), ""), plain.to_numpy(zero_copy_only=False)
+
+
+def model_ids(model, words: list[str]) -> np.ndarray:
+    """Ids of words that are one pre-token each, by the merges alone, in one call."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    plain = Tokenizer(model)
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    return np.array(plain.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+
+
+class UnitCache:
+    """Unit to a place in flat tables: how many ids it has and, if ids are kept, where they begin in one buffer.
+
+    The first ``fixed`` units never leave."""
+
+    def __init__(self, bound: int, kind: str | None = None):
+        self.bound, self.fixed, self.at = bound, 0, {}
+        self.start, self.count, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.ids = None if kind is None else np.zeros(0, kind)
+
+    def places(self, units: list[str]) -> np.ndarray:
+        """The units' places, -1 where they are not held."""
+        found = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
+        self.asked[found[found >= 0]] = True
+        return found
+
+    def add(self, units: list[str], count: np.ndarray, ids: np.ndarray | None = None) -> np.ndarray:
+        """Their places; the units are new."""
+        first = len(self.count)
+        self.at.update(zip(units, range(first, first + len(units))))
+        self.count = np.append(self.count, count)
+        self.asked = np.append(self.asked, np.ones(len(units), bool))
+        if self.ids is not None:
+            self.start = np.append(self.start, len(self.ids) + np.cumsum(count) - count)
+            self.ids = np.append(self.ids, ids.astype(self.ids.dtype))
+        return first + np.arange(len(units))
+
+    def make_room(self) -> None:
+        """Between groups only: places change."""
+        if len(self.at) <= self.bound + self.fixed:
+            return
+        keep = self.asked.copy()
+        if keep.sum() > self.bound // 2 + self.fixed:
+            keep &= np.random.default_rng(1).random(len(keep)) < 0.5
+        keep[: self.fixed] = True
+        units = [u for u, k in zip(self.at, keep.tolist()) if k]
+        count, ids = self.count[keep], None
+        if self.ids is not None:
+            ids = gather(self.ids, self.start[keep], count)
+            self.start, self.ids = self.start[:0], self.ids[:0]
+        self.at, self.count, self.asked = {}, self.count[:0], self.asked[:0]
+        self.add(units, count, ids)
+        self.asked[:] = False
+
+
+def gather(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The stretches ids[start:start + count], end to end."""
+    ends = np.cumsum(count)
+    return ids[np.repeat(start - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class WordIds:
+    def __init__(self, path: str, bound: int = 300_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.bound = Tokenizer.from_file(path), bound
-        specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join(["[\x1c-\x1f]", *specials]))
+        self.tokenizer = Tokenizer.from_file(path)
         self.signs, self.model = byte_signs(), self.tokenizer.model
+        vocabulary = self.tokenizer.get_vocab()
+        self.cache = UnitCache(bound, "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def direct(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def units(self, units: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """Places of distinct units in the cache. plain: nothing but letters of LETTERS, lower-cased."""
+        names = units.to_numpy(zero_copy_only=False).tolist()
+        places = self.cache.places(names)
+        new = places < 0
+        if (fresh := np.flatnonzero(new & plain)).size:
+            words = [names[i] for i in fresh]
+            ids = model_ids(self.model, self.signed(words))
+            count = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+            if len(count) != len(words):
+                raise ValueError("a word does not end with its last token")
+            places[fresh] = self.cache.add(words, count, ids)
+        if (fresh := np.flatnonzero(new & ~plain)).size:
+            ids = [self.direct(names[i]) for i in fresh]
+            places[fresh] = self.cache.add([names[i] for i in fresh], np.array([len(x) for x in ids]), np.concatenate(ids))
+        return places
+
+    def signed(self, words: list[str]) -> list[str]:
+        return [w if w.isascii() else "".join(self.signs[b] for b in w.encode()) for w in words]
+
+    def encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, end to end, and each text's bounds in them."""
+        self.cache.make_room()
+        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()))
+        edges = split.offsets.to_numpy().astype(np.int64)
+        words = split.flatten().dictionary_encode()
+        codes = words.indices.to_numpy()
+        letters, tails, plain = split_words(words.dictionary)
+        parts = []
+        for column, mask in ((pc.if_else(pa.array(plain), pc.utf8_lower(letters), letters), plain), (tails, None)):
+            column = column.dictionary_encode()
+            at = column.indices.to_numpy()
+            lower = np.zeros(len(column.dictionary), bool)
+            if mask is not None:
+                lower[at[mask]] = True
+            parts.append(self.units(column.dictionary, lower)[at][codes])
+        places = np.stack(parts, axis=1).ravel()
+        count = self.cache.count[places]
+        bounds = np.concatenate([[0], np.cumsum(count)])[2 * (edges - edges[0])]
+        return gather(self.cache.ids, self.cache.start[places], count), bounds
+
+    def encode_column(self, texts: pa.Array):
+        """The ids (unsigned, 32 bits) of each text in turn; null is empty."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        for i, j in spans(offsets, GROUP):
+            ids, bounds = self.encode_group(texts[i:j])
+            ids, bounds = ids.astype("<u4"), bounds.tolist()
+            yield from (ids[a:b] for a, b in zip(bounds, bounds[1:]))
 
-    def direct(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        """Plain words by the merges alone, a stop or comma behind a plain word apart, all else by the tokenizer."""
-        if len(self) > self.bound:
-            self.clear()
-        if PLAIN.fullmatch(word):
-            signs = word if word.isascii() else "".join(self.signs[b] for b in word.encode())
-            ids = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
-        elif word[-1] in ".," and (PLAIN.fullmatch(lower := word[:-1]) or word[:-1].isascii() and PLAIN.fullmatch(lower := lower.lower())):
-            ids = self[lower] + self[word[-1]]
-        elif word.isascii() and word.isalpha():
-            ids = self[word.lower()]
-        else:
-            ids = self.direct(word)
-        self[word] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.whole.search(text):
-            return self.direct(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def encode(self, text: str | None) -> np.ndarray:
+        return next(self.encode_column(pa.array([text], pa.string())))
 
 
 def encoder(path: str) -> WordIds:

@@ -164,7 +164,7 @@ def test_packing_is_gapless_and_whole(spark, docs, odd):
             ids = WordIds(word_bpe())
             texts = {r.doc_id: r.text for r in docs.collect()}
             for r in rows:
-                data = ids.direct(texts[r.doc_id]) + b"\2\0\0\0"
+                data = ids.direct(texts[r.doc_id] or "").tobytes() + b"\2\0\0\0"
                 assert r.doc_tokens == len(data) // 4 and r.ids_crc32 == zlib.crc32(data[4 * r.start : 4 * (r.start + r.length)])
     assert packing.pack(odd.limit(0), word_bpe()).count() == 0
 
@@ -172,10 +172,15 @@ def test_packing_is_gapless_and_whole(spark, docs, odd):
 def test_word_ids_equal_the_library():
     import random
 
-    ids, rng = WordIds(word_bpe(), bound=50), random.Random(2)
-    for _ in range(3000):
-        s = "".join(rng.choice("abzABZ .,'\n\téÉßİ́\x1c\x85<|endoftext|>09½中") for _ in range(rng.randint(0, 14)))
-        assert ids.encode(s) == ids.direct(s)
+    rng, letters = random.Random(2), "".join(map(chr, range(0xA0, 0x180))) + "abzXYZ"
+    signs = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    odd = ["".join(rng.choice("abzABZJ .,'\n\téÉßİ\u0301\u030c\x00\x1c\x85<|endoftext|>09½中") for _ in range(rng.randint(0, 14))) for _ in range(3000)]
+    plain = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + "".join(rng.choice(signs) for _ in range(rng.randint(0, 3))) for _ in range(3000)]
+    ids = WordIds(word_bpe(), bound=50)
+    for texts in (odd, plain, [" ".join(plain), None, *plain[:9]]):
+        for k in range(0, len(texts), 100):  # the cache is cleared between groups
+            for text, got in zip(texts[k : k + 100], ids.encode_column(pa.array(texts[k : k + 100]))):
+                assert got.tolist() == ids.direct(text or "").tolist()
 
 
 def test_token_counts_equal_the_library(spark, docs, odd):
@@ -190,6 +195,18 @@ def test_token_counts_equal_the_library(spark, docs, odd):
     assert token_count.count_tokens(odd.limit(0), path).count() == 0
 
 
+def test_token_counts_of_blanks_and_signs():
+    import random
+
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), random.Random(7)
+    for alphabet in ("ab 's  \n!", "abzABZ .,'\n\té \r\x0b\x0c\x1c\x85\xa0\x00<|endoftext|>09½中$%!-_sdm\u3000"):
+        texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 12))) for _ in range(4000)]
+        lengths = token_count.Lengths(path, [" a", "b"], np.array([1, 1]), bound=50)
+        for k in range(0, len(texts), 500):
+            got = lengths.of_column(pa.array(texts[k : k + 500]))
+            assert got.tolist() == [token_count._length(path, t) for t in texts[k : k + 500]]
+
+
 def test_token_counts_of_a_very_long_word(spark):
     from tokenizers import Tokenizer
 
@@ -256,7 +273,7 @@ def test_id_files_round_trip(spark, odd, tmp_path):
     got = sorted(id_files.read_ids(spark, path).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 1, 2, 3, 4, 5, 6] and [r.start for r in got] == list(np.cumsum([0] + [r.n_tokens for r in got[:-1]]))
     ids = WordIds(word_bpe())
-    assert got[6].ids_crc32 == zlib.crc32(ids.direct(LONG) + b"\2\0\0\0") and got[3].n_tokens == 1
+    assert got[6].ids_crc32 == zlib.crc32(ids.direct(LONG).tobytes() + b"\2\0\0\0") and got[3].n_tokens == 1
     empty = str(tmp_path / "none")
     id_files.write_ids(odd.limit(0), empty, word_bpe())
     assert id_files.read_ids(spark, empty).count() == 0
