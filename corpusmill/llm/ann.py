@@ -1,14 +1,19 @@
-"""Approximate nearest neighbours by low-dimensional stable projections and kd-trees.
+"""Approximate nearest neighbours by low-dimensional stable projections and a kd-tree.
 
-Vectors are projected to ``dims`` numbers by one Gaussian matrix: the squared projected distance over the
-squared true distance is then chi-square with ``dims`` degrees of freedom. Each partition of the vectors keeps a
-kd-tree of its projections. A query visits the tree's leaves in order of their projected distance and checks the
-vectors in them by true distance; it stops when a vector nearer than its k-th best so far would lie behind the next
-leaf with a chance below ``1 - confidence``. There is no cap on checked vectors. The partitions' best lists
-meet by query. Queries go out in blocks of at most ``block`` vectors, one pass over the vectors for each.
+Vectors are projected to ``dims`` numbers by one Gaussian matrix: the squared projected distance over the squared true
+distance is then chi-square with ``dims`` degrees of freedom. The kd-tree over the projections has its upper levels on
+the driver, split at the medians of at most ``sample`` vectors (those with the smallest hashes), and all vectors are dealt
+to its cells of about ``cell_rows``; each task builds the lower levels over its cell.
 
-Equal vectors of a partition stand in its tree once, with their k + 1 smallest ids, which is all a
-result can need.
+A query takes projected neighbours in order of their projected distance, found in shells of growing radius, and checks
+each by true distance. After each it tests whether a vector nearer than its k-th best so far would lie within the radius
+reached with a chance of ``confidence`` at least; if so it stops. There is no cap on checked vectors. A query is first
+answered in its own cell; its k-th distance then says which other cells could hold more, and it is sent to those only.
+Queries travel as rows; a cell asked by more than ``block`` queries is copied for each block of them.
+
+Equal vectors are indexed once, with their k + 1 smallest ids, which is all a result can need. On vectors without any
+structure (even on a sphere of 64 dimensions), where the 10th neighbour is hardly nearer than the rest, the defaults check
+about half of 2,000 vectors and a third of 40,000, at a recall of 0.94; on clustered ones a few per cent.
 
 Edge cases: vectors that are null, zero, of another length than most (a tie goes to the shorter), or hold null or non-finite
 components take no part, as query or candidate; rows with a null id neither; a query's own id is never
@@ -19,16 +24,17 @@ than k all are given; empty tables give empty results; other columns are ignored
 from __future__ import annotations
 
 import math
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import read
+from corpusmill.llm.common import materialize, read
 
 LEAF = 64
+GROWTH = 1.2  # of the squared radius from shell to shell
+FOUND = "query_id long, vec_id long, score double"
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -44,40 +50,109 @@ def chi_square_quantile(p: float, dims: int) -> float:
     return hi
 
 
+def box_gaps(low: np.ndarray, high: np.ndarray, point: np.ndarray) -> np.ndarray:
+    """Squared distances of a point to boxes."""
+    return (np.maximum(np.maximum(low - point, point - high), 0) ** 2).sum(axis=1)
+
+
+class Cells:
+    """The upper levels: a complete binary tree of splits, its leaves numbered from 0, with their regions."""
+
+    def __init__(self, points: np.ndarray, levels: int):
+        dims = points.shape[1]
+        self.levels, self.axis, self.value = levels, np.zeros((1 << levels) - 1, np.int64), np.zeros((1 << levels) - 1)
+        self.low, self.high = np.full((1, dims), -np.inf), np.full((1, dims), np.inf)
+        held = [np.arange(len(points))]
+        for level in range(levels):
+            low, high = np.repeat(self.low, 2, axis=0), np.repeat(self.high, 2, axis=0)
+            below = []
+            for k, at in enumerate(held):
+                p, node = points[at], (1 << level) - 1 + k
+                if len(p):
+                    self.axis[node] = np.argmax(p.max(axis=0) - p.min(axis=0))
+                    self.value[node] = np.median(p[:, self.axis[node]])
+                right = p[:, self.axis[node]] > self.value[node]
+                below += [at[~right], at[right]]
+                high[2 * k, self.axis[node]] = low[2 * k + 1, self.axis[node]] = self.value[node]
+            self.low, self.high, held = low, high, below
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        node, rows = np.zeros(len(points), np.int64), np.arange(len(points))
+        for _ in range(self.levels):
+            node = 2 * node + 1 + (points[rows, self.axis[node]] > self.value[node])
+        return node - (1 << self.levels) + 1
+
+
 class Tree:
-    """A kd-tree over projections: leaves of at most LEAF vectors, with their boxes."""
+    """The lower levels over one cell: nodes with their boxes, children, and stretches of points."""
 
-    def __init__(self, ids: list[np.ndarray], vectors: np.ndarray, projection: np.ndarray):
-        self.ids, self.vectors = ids, vectors
-        points = vectors @ projection
-        self.leaves, todo = [], [np.arange(len(points))]
+    def __init__(self, points: np.ndarray):
+        self.order, nodes, todo = np.arange(len(points)), [], [(0, len(points), -1)]
+        low, high = [], []
         while todo:
-            at = todo.pop()
-            if len(at) <= LEAF:
-                self.leaves.append(at)
-                continue
-            p = points[at]
-            axis = int(np.argmax(p.max(axis=0) - p.min(axis=0)))
-            order = np.argsort(p[:, axis], kind="stable")
-            todo += [at[order[: len(at) // 2]], at[order[len(at) // 2 :]]]
-        self.low = np.array([points[at].min(axis=0) for at in self.leaves])
-        self.high = np.array([points[at].max(axis=0) for at in self.leaves])
-
-    def search(self, query: np.ndarray, projected: np.ndarray, own: int, k: int, stop: float) -> list[tuple[float, int]]:
-        gap = np.maximum(np.maximum(self.low - projected, projected - self.high), 0)
-        reach = np.maximum(np.sqrt((gap**2).sum(axis=1)) - 1e-9, 0)
-        best: list[tuple[float, int]] = []
-        for leaf in np.argsort(reach, kind="stable"):
-            if len(best) == k and reach[leaf] ** 2 > stop * best[-1][0] ** 2:
-                break
-            at = self.leaves[leaf]
-            d = np.sqrt(((self.vectors[at] - query) ** 2).sum(axis=1))
-            if len(best) == k:
-                at, d = at[d <= best[-1][0]], d[d <= best[-1][0]]
-            if len(at):
-                best += [(float(x), int(i)) for x, a in zip(d, at) for i in self.ids[a] if i != own]
-                best = sorted(best)[:k]
-        return best
+            a, b, parent = todo.pop()
+            p = points[self.order[a:b]]
+            if parent >= 0:
+                nodes[parent][2].append(len(nodes))
+            nodes.append((a, b, []))
+            low.append(p.min(axis=0))
+            high.append(p.max(axis=0))
+            if b - a > LEAF:
+                axis = int(np.argmax(high[-1] - low[-1]))
+                middle = (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(p[:, axis], middle)]
+                todo += [(a, a + middle, len(nodes) - 1), (a + middle, b, len(nodes) - 1)]
+        self.points, self.low, self.high = points[self.order], np.array(low), np.array(high)
+        self.first, self.last = np.array([n[0] for n in nodes]), np.array([n[1] for n in nodes])
+        self.below = np.array([n[2] or [-1, -1] for n in nodes])
+
+    def shells(self, point: np.ndarray):
+        """Sends in a squared radius (larger each time), gives (places, squared projected distances) of the points within it that are new, in order."""
+        nodes, gaps = np.zeros(1, np.int64), box_gaps(self.low[:1], self.high[:1], point)
+        places, apart = np.zeros(0, np.int64), np.zeros(0)
+        radius = yield
+        while True:
+            new = []
+            while (near := gaps <= radius).any():
+                at, nodes, gaps = nodes[near], nodes[~near], gaps[~near]
+                leaf = self.below[at, 0] < 0
+                new += [np.arange(a, b) for a, b in zip(self.first[at[leaf]], self.last[at[leaf]])]
+                inner = self.below[at[~leaf]].ravel()
+                nodes, gaps = np.append(nodes, inner), np.append(gaps, box_gaps(self.low[inner], self.high[inner], point))
+            if new:
+                new = np.concatenate(new)
+                places, apart = np.append(places, new), np.append(apart, ((self.points[new] - point) ** 2).sum(axis=1))
+            inside = apart <= radius
+            order = np.argsort(apart[inside], kind="stable")
+            out = places[inside][order], apart[inside][order]
+            places, apart = places[~inside], apart[~inside]
+            radius = yield (*out, not len(nodes) and not len(places))
+
+
+def nearest(tree: Tree, vectors: np.ndarray, ids: list, query: np.ndarray, point: np.ndarray, own: int, k: int, stop: float, bound: float = math.inf) -> tuple[list[tuple[float, int]], int]:
+    """The k nearest found (distance, id), none beyond bound, and how many vectors were checked. vectors and ids are in the tree's order."""
+    best: list[tuple[float, int]] = []
+    shells, checked = tree.shells(point), 0
+    next(shells)
+    start = np.sort(((tree.points[: min(len(tree.points), 256)] - point) ** 2).sum(axis=1))[: k + 1]
+    radius = start[-1] / 4
+    kth = bound
+    while True:
+        radius = min(radius, stop * kth**2 * (1 + 1e-9))
+        places, apart, end = shells.send(radius)
+        for i in range(0, len(places), LEAF):
+            at = places[i : i + LEAF]
+            d = np.sqrt(((vectors[at] - query) ** 2).sum(axis=1))
+            for j in range(len(at)):
+                if apart[i + j] > stop * kth**2:
+                    return best, checked
+                checked += 1
+                if d[j] <= kth:
+                    best = sorted(best + [(float(d[j]), int(x)) for x in ids[at[j]] if x != own])[:k]
+                    kth = min(bound, best[-1][0]) if len(best) == k else bound
+        if end or radius >= stop * kth**2:
+            return best, checked
+        radius = max(radius * GROWTH, 1e-12)
 
 
 def usable(frame: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -87,51 +162,77 @@ def usable(frame: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return whole.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound)
 
 
-def search(frame: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", dims: int = 8, confidence: float = 0.99, block: int = 8192, seed: int = 11) -> DataFrame:
+def as_matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(-1, width)
+
+
+def search(frame: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "vec_id", vector: str = "embedding", dims: int = 20, confidence: float = 0.95, cell_rows: int = 16_384, sample: int = 65_536, block: int = 4096, seed: int = 11) -> DataFrame:
     """query_id, rank, vec_id, score (Euclidean distance) of each query's k nearest found."""
     spark = frame.sparkSession
-    all_vectors = usable(frame, vec_id, vector)
-    first = all_vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "n").first()
-    schema = "query_id long, vec_id long, score double"
-    if first is None:
+    vectors = usable(frame, vec_id, vector)
+    usual = vectors.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("times")).orderBy(F.desc("times"), "n").first()
+    if usual is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    all_vectors = all_vectors.where(F.size("v") == first.n)
-    asked = usable(queries, vec_id, vector).where(F.size("v") == first.n).groupBy("vec_id").agg(F.min("v").alias("v"))
-    projection = np.random.default_rng(seed).normal(size=(first.n, dims))
+    width = usual.n
+    projection = np.random.default_rng(seed).normal(size=(width, dims))
     stop = chi_square_quantile(confidence, dims)
 
-    def run_with(held):
-        def run(batches):
-            ids, vectors = [], []
-            for batch in batches:
-                ids.append(batch.column(0).to_numpy())
-                vectors.append(batch.column(1).flatten().to_numpy().reshape(-1, first.n))
-            if not ids:
-                return
-            ids, vectors = np.concatenate(ids), np.concatenate(vectors)
-            order = np.argsort(ids, kind="stable")
-            ids, vectors = ids[order], vectors[order]
-            distinct, at = np.unique(vectors.view(np.dtype((np.void, vectors.itemsize * first.n))).ravel(), return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            starts = np.searchsorted(at[order], np.arange(len(distinct)))
-            groups = [g[: k + 1] for g in np.split(ids[order], starts[1:])]
-            tree = Tree(groups, vectors[order[starts]], projection)
-            own, points = held.value
-            projected = points @ projection
-            out = [(int(q), i, d) for q, v, p in zip(own, points, projected) for d, i in tree.search(v, p, int(q), k, stop)]
-            for i in range(0, len(out), 10_000):
-                cols = list(zip(*out[i : i + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.float64())], ["query_id", "vec_id", "score"])
-
-        return run
-
-    rows, found = iter(asked.toLocalIterator()), None
-    while part := list(islice(rows, block)):
-        held = spark.sparkContext.broadcast((np.array([r.vec_id for r in part]), np.array([r.v for r in part])))
-        one = all_vectors.mapInArrow(run_with(held), schema)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    def project(batches):
+        for batch in batches:
+            points = batch.column(0).flatten().to_numpy().reshape(-1, width) @ projection
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.FixedSizeListArray.from_arrays(points.ravel(), dims).cast(pa.list_(pa.float64()))], [*batch.schema.names, "p"])
+
+    turn = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+    few = vectors.where(F.size("v") == width).withColumn("turn", turn).where(F.col("turn") <= k + 1)
+    distinct = few.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    index = materialize(distinct.mapInArrow(project, "v array<double>, ids array<long>, p array<double>"), "vectors")
+    asked = usable(queries, vec_id, vector).where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v")).select("v", F.col("vec_id").alias("query_id"))
+    asked = materialize(asked.mapInArrow(project, "v array<double>, query_id long, p array<double>"), "queries")
+    drawn = index.select(F.xxhash64("v").alias("h"), "p").orderBy("h").limit(sample).select("p").toPandas()["p"]
+    levels = max(0, math.ceil(math.log2(max(1, index.count() / cell_rows))))
+    cells = spark.sparkContext.broadcast(Cells(np.array(drawn.tolist(), float).reshape(-1, dims), levels))
+
+    def deal(batches):
+        for batch in batches:
+            points = batch.column("p").flatten().to_numpy().reshape(-1, dims)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.value.of(points).astype(np.int32))], [*batch.schema.names, "cell"])
+
+    index = index.mapInArrow(deal, "v array<double>, ids array<long>, p array<double>, cell int")
+    own = asked.withColumn("bound", F.lit(float("inf"))).mapInArrow(deal, "v array<double>, query_id long, p array<double>, bound double, cell int")
+
+    def answer(key, held: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: list = []
+        if len(held) and len(wanted):
+            tree = Tree(as_matrix(held["p"], dims))
+            vectors, ids = as_matrix(held["v"], width)[tree.order], [held["ids"][int(i)].as_py() for i in tree.order]
+            for q, v, p, bound in zip(wanted["query_id"].to_pylist(), as_matrix(wanted["v"], width), as_matrix(wanted["p"], dims), wanted["bound"].to_pylist()):
+                out += [(q, i, d) for d, i in nearest(tree, vectors, ids, v, p, q, k, stop, bound)[0]]
+        columns = list(zip(*out)) or [()] * 3
+        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
+
+    def ask(wanted: DataFrame) -> DataFrame:
+        """Answers from the cells named in wanted; a cell's queries are dealt over parts, each with a copy of the cell."""
+        parts = wanted.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+        copies = index.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        dealt = wanted.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
+        return copies.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInArrow(answer, FOUND)
+
+    first = materialize(ask(own), "answers")
+    bounds = first.groupBy("query_id").agg(F.max("score").alias("most"), F.count("*").alias("n")).where(F.col("n") >= k).select("query_id", "most")
+    open_ = own.drop("bound").join(bounds, "query_id", "left").select("v", "query_id", "p", F.coalesce("most", F.lit(float("inf"))).alias("bound"), "cell")
+
+    def spread(batches):
+        c = cells.value
+        for batch in batches:
+            points = batch.column("p").flatten().to_numpy().reshape(-1, dims)
+            for i, (point, bound, home) in enumerate(zip(points, batch.column("bound").to_pylist(), batch.column("cell").to_pylist())):
+                near = np.flatnonzero(box_gaps(c.low, c.high, point) <= stop * bound**2)
+                near = near[near != home]
+                one = batch.slice(i, 1).take(pa.array(np.zeros(len(near), np.int64)))
+                yield pa.RecordBatch.from_arrays([*one.columns[:4], pa.array(near.astype(np.int32))], batch.schema.names)
+
+    further = open_.mapInArrow(spread, "v array<double>, query_id long, p array<double>, bound double, cell int")
+    found = first.unionByName(ask(further)) if levels else first
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
