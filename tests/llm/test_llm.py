@@ -216,19 +216,53 @@ def test_token_counts_of_a_very_long_word(spark):
     assert got == want > 65_535
 
 
-def test_neighbours_against_brute_force(spark):
-    frame = spark.read.parquet(f"{SF}/embeddings.parquet")
+def recall_at_10(frame, found):
+    """Share of the true ten nearest (one of equal distances is as good as another) among the found ones."""
     rows = [(r.vec_id, np.array(r.embedding, float)) for r in frame.collect() if r.embedding and np.isfinite(r.embedding).all() and any(r.embedding)]
-    got: dict = {}
-    for r in ann.query(spark, SF).collect():
-        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    matrix, names, got = np.array([v for _, v in rows]), np.array([i for i, _ in rows]), {}
+    for r in found.collect():
+        got.setdefault(r.query_id, []).append(r.score)
     hit = total = 0
     for q, v in rows:
         if q % 100 == 0:
-            best = sorted((float(np.sqrt(((w - v) ** 2).sum())), i) for i, w in rows if i != q)[:10]
-            hit += sum(i in got[q] for _, i in best)
-            total += len(best)
-    assert hit >= 0.9 * total
+            tenth = np.sort(np.sqrt(((matrix - v) ** 2).sum(axis=1))[names != q])[9]
+            assert len(got[q]) == 10
+            hit += sum(s <= tenth + 1e-9 for s in got[q])
+            total += 10
+    return hit / total
+
+
+def test_neighbours_against_brute_force(spark):
+    """One cell and many cells, on vectors without structure and on clusters."""
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    assert recall_at_10(frame, ann.query(spark, "/root/testdata/sf0.1")) >= 0.9
+    assert recall_at_10(frame, ann.search(frame, frame.where("vec_id % 100 = 0"), cell_rows=300, block=5)) >= 0.9
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(40, 32))[rng.integers(0, 40, 3000)] + 0.1 * rng.normal(size=(3000, 32))
+    clusters = spark.createDataFrame([(k, v) for k, v in enumerate(points.tolist())], "vec_id long, embedding array<double>")
+    assert recall_at_10(clusters, ann.search(clusters, clusters.where("vec_id % 100 = 0"), cell_rows=500)) >= 0.9
+
+
+@pytest.mark.parametrize("clustered, most", [(True, 0.05), (False, 0.75)])
+def test_neighbours_stop_early(clustered, most):
+    """The chi-square test ends the walk before all vectors are checked."""
+    rng = np.random.default_rng(3)
+    if clustered:
+        points = rng.normal(size=(100, 64))[rng.integers(0, 100, 5000)] + 0.1 * rng.normal(size=(5000, 64))
+    else:
+        points = rng.normal(size=(2000, 64))
+        points /= np.linalg.norm(points, axis=1, keepdims=True)
+    projected = points @ rng.normal(size=(64, 20))
+    tree, stop = ann.Tree(projected), ann.chi_square_quantile(0.95, 20)
+    checked = hit = 0
+    for q in range(0, len(points), 100):
+        best, n = ann.nearest(tree, points[tree.order], [[int(i)] for i in tree.order], points[q], projected[q], q, 10, stop)
+        d = np.sqrt(((points - points[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        hit += len({i for _, i in best} & set(np.argsort(d)[:10].tolist()))
+        checked += n
+    queries = len(range(0, len(points), 100))
+    assert checked < most * queries * len(points) and hit >= 0.9 * queries * 10
 
 
 def test_neighbours_ties_and_odd_vectors(spark):
@@ -363,13 +397,71 @@ def test_language_model(spark, docs, odd):
     assert all(r.n_known == 0 and np.isfinite(r.score) and np.isfinite(r.base_score) for r in none)
 
 
-def test_language_model_learns_from_all_texts(spark, monkeypatch):
-    """At every size: here over the 1.5 million tokens beyond which a sample was taken."""
-    seen = []
-    monkeypatch.setattr(gru_lm, "train", lambda docs, v, ids, share, rounds: seen.append((v.total, share)) or gru_lm.start_weights(v))
-    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.lit("some words " * 2500).alias("text"))
-    gru_lm.score(frame, frame)
-    assert seen == [(2_000_400, 1.0)]
+def small_vocabulary():
+    counts = np.array(sorted(np.random.default_rng(8).integers(5, 500, 300).tolist(), reverse=True))
+    v = gru_lm.Vocabulary(counts, int(counts.sum()) + 40, 320, 130, 100)
+    v.end = 3
+    return v
+
+
+def random_weights(v):
+    rng = np.random.default_rng(9)
+    w = {k: x.astype(np.float64) + rng.normal(size=x.shape) * 0.3 for k, x in gru_lm.start_weights(v).items()}
+    w["bi"].reshape(-1)[v.head :] = -1e4
+    return w
+
+
+def test_language_model_gradients(monkeypatch):
+    """Against finite differences, for some entries of each weight."""
+    monkeypatch.setattr(gru_lm.np, "float32", np.float64)
+    v, rng = small_vocabulary(), np.random.default_rng(10)
+    w = random_weights(v)
+    ids = rng.integers(0, 301, (9, 5))
+    x, y, h = np.minimum(ids[:-1], v.inputs), ids[1:], rng.normal(size=(5, gru_lm.HIDDEN))
+    _, g, _ = gru_lm.gradients(w, v, x, y, h)
+    rows, values = g.pop("emb")
+    g["emb"] = np.zeros_like(w["emb"])
+    g["emb"][rows] = values
+    for key, whole in w.items():
+        flat, grad = whole.reshape(-1), g[key].reshape(-1)
+        for at in [*np.argsort(-np.abs(grad))[:4], *rng.integers(0, len(flat), 4)]:
+            if flat[at] < -1e3:
+                continue
+            old, loss = flat[at], []
+            for d in (1e-5, -1e-5):
+                flat[at] = old + d
+                loss.append(gru_lm.gradients(w, v, x, y, h)[0])
+            flat[at] = old
+            assert abs((loss[0] - loss[1]) / 2e-5 - grad[at]) < 1e-4 * max(1, abs(grad[at])), (key, at)
+
+
+def test_language_model_chances_sum_to_one():
+    """Over all known tokens, the other seen ones and the unknown one, in any state; for the mixture with the base model."""
+    v = small_vocabulary()
+    w = {k: x.astype(np.float32) for k, x in random_weights(v).items()}
+    for before in ([], [5], [200, 7, 300, 1]):
+        each = [np.array([*before, t]) for t in range(301)]
+        prefix = gru_lm.log_likelihoods(w, v, [np.array(before)], 0.9)[0] if before else 0.0
+        chance = 10 ** (gru_lm.log_likelihoods(w, v, each, 0.9) - prefix)
+        chance[v.head : 300] *= v.counts[v.head :] + 0.1
+        chance[300] *= 40 + 0.1 * 21  # twenty seen tokens beyond the table, forty times, and the unknown one
+        assert abs(chance.sum() - 1) < 1e-4
+
+
+def test_language_model_gains_on_held_out_texts(spark):
+    rows = gru_lm.query(spark, "/root/testdata/sf0.01").where("held_out").collect()
+    n = sum(r.n_tokens for r in rows)
+    assert sum(r.score for r in rows) / n > sum(r.base_score for r in rows) / n + 0.1
+
+
+def test_language_model_trains_on_every_token(spark, monkeypatch):
+    """Over both rounds and all tasks, each training token is read once."""
+    held = spark.sparkContext.accumulator(0)
+    real = gru_lm.train_stream
+    monkeypatch.setattr(gru_lm, "train_stream", lambda w, v, seen, stream: held.add(len(stream)) or real(w, v, seen, stream))
+    frame = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words ") , F.col("id").cast("string")).alias("text"))
+    gru_lm.score(frame, frame, known=50)
+    assert held.value == 1600
 
 
 def test_pipeline_keeps_clean_documents(spark, docs):
