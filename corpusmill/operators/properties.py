@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from corpusmill.functions.storage import cut
 from corpusmill.functions.text import kebab, normal_name, prefixes
 
-# Parts of names that mark a secret, and parts that tell a harmless one.
-SECRET_MARKERS = ["password", "passwd", "secret", "credential", "private-key", "privatekey", "api-key", "apikey", "access-key"]
-HARMLESS_MARKERS = ["token-limit", "token-validity", "token-expiration", "max-tokens"]
+# Parts of names that mark a secret.
+SECRET_MARKERS = [
+    "password", "passwd", "secret", "client-secret", "api-key", "apikey", "access-key", "private-key", "credential", "credentials", "authorization",
+    "api-token", "access-token", "refresh-token", "bearer-token", "auth-token", "oauth-token", "github-token", "signing-key", "jwt-secret",
+]
+# Parts of names that tell of tokens, but of no secret.
+HARMLESS_MARKERS = [
+    "max-output-tokens", "max-tokens", "token-limit", "token-count", "token-budget", "tokens-per-minute", "tokens-per-request", "tokenizer", "token-window",
+    "output-tokens", "input-tokens", "input-token-budget", "output-token-budget",
+]
+# Last segments that name the secret itself, and ends of such segments behind - or _.
+SECRET_LEAVES = ["password", "passwd", "secret", "credential", "credentials", "authorization", "token", "pat", "apikey", "clientsecret"]
+SECRET_LEAF_ENDS = ["password", "passwd", "secret", "token"]
+SECRET_KEY_WORDS = ["api", "access", "private", "signing"]
+# Defaults that are no better than none, and ones that only say that a value has to be set.
+WEAK_DEFAULTS = ["admin", "password", "passwd", "changeme", "changeit", "secret", "default", "root", "token", "key"]
+SAFE_SENTINELS = ["CHANGE_ME_OR_SET_ENV", "MUST_BE_SET", "REQUIRED", "NOT_CONFIGURED", "SET_VIA_ENV", "SET_ME"]
 
 
 def normalize_names(df: DataFrame, column: str = "name") -> DataFrame:
@@ -19,16 +33,36 @@ def normalize_names(df: DataFrame, column: str = "name") -> DataFrame:
 
 def is_sensitive(name: Column) -> Column:
     n = F.lower(name)
-    marked = n.rlike("|".join(SECRET_MARKERS)) | n.rlike("(^|[._-])pat([._-]|$)") | n.rlike("[.-]token($|[._-])")
+    marked = n.rlike("|".join(SECRET_MARKERS)) | n.rlike(r"(^|[._\[\]-])pat([._\[\]-]|$)") | n.rlike(r"[.-]token$|\.token\.|-token-")
     return marked & ~n.rlike("|".join(HARMLESS_MARKERS))
 
 
+def is_likely_secret(name: Column) -> Column:
+    """Whether the last segment names a secret itself, not something about one."""
+    n = F.lower(F.trim(name))
+    leaf = F.regexp_extract(n, r"([^.\]]*)$", 1)
+    ends = "|".join(SECRET_LEAF_ENDS + [f"{w}[-_]key" for w in SECRET_KEY_WORDS])
+    whole = "|".join(SECRET_LEAVES + [f"{w}[-_]key" for w in SECRET_KEY_WORDS])
+    return leaf.rlike(f"^({whole})$|[-_]({ends})$") & ~n.rlike("|".join(HARMLESS_MARKERS))
+
+
 def redact_secrets(properties: DataFrame) -> DataFrame:
     """value of sensitive names as [redacted], unless it is only a reference to the environment."""
-    hide = is_sensitive(F.col("name")) & ~F.coalesce(F.col("value").rlike(r"^\$\{[A-Z0-9_]+\}$"), F.lit(False))
+    hide = is_sensitive(F.col("name")) & ~F.coalesce(F.trim("value").rlike(r"^\$\{[A-Z][A-Z0-9_]*\}$"), F.lit(False))
     return properties.withColumn("sensitive", is_sensitive(F.col("name"))).withColumn("value", F.when(hide, "[redacted]").otherwise(F.col("value")))
 
 
+def secret_values(properties: DataFrame) -> DataFrame:
+    """Of likely secrets: verdict LITERAL, WEAK_DEFAULT, DEFAULT, SENTINEL or REFERENCE by the value."""
+    default = F.trim(F.regexp_extract(F.trim("value"), r"^\$\{[^:{}]+:([^{}]*)\}$", 1))
+    sentinel = F.translate(F.upper(default), "-", "_").isin(SAFE_SENTINELS)
+    verdict = (
+        F.when(F.trim("value").rlike(r"^\$\{[^:{}]+\}$"), "REFERENCE").when(F.lower(default).isin(WEAK_DEFAULTS), "WEAK_DEFAULT").when(sentinel, "SENTINEL")
+        .when(default != "", "DEFAULT").when(F.trim("value").rlike(r"^\$\{"), "REFERENCE").otherwise("LITERAL")
+    )
+    return properties.where(is_likely_secret(F.col("name")) & (F.trim("value") != "")).withColumn("verdict", verdict)
+
+
 def match_references(properties: DataFrame, refs: DataFrame) -> DataFrame:
     """All names of either side, with the number of rows on each and where the name is."""
     p = properties.groupBy("name").agg(F.count("*").alias("configured"))
@@ -39,29 +73,60 @@ def match_references(properties: DataFrame, refs: DataFrame) -> DataFrame:
 
 
 def owning_prefix(properties: DataFrame, owners: DataFrame) -> DataFrame:
-    """name, prefix: the longest known prefix strictly above each distinct name; names are exploded, so the join has equal keys."""
+    """name, prefix: the longest known prefix strictly above each distinct name; names are exploded, so the join has equal keys.
+
+    An owner with a true column map_typed also owns the names that go on with [ behind it."""
     names = properties.select("name").distinct()
     steps = names.select("name", F.explode(prefixes(F.col("name"), ".")).alias("prefix")).where("prefix <> name")
-    return steps.join(owners.select("prefix").distinct(), "prefix", "left_semi").groupBy("name").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+    found = steps.join(owners.select("prefix").distinct(), "prefix", "left_semi")
+    if "map_typed" in owners.columns:
+        opens = F.filter(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: F.when(F.substr("name", i, F.lit(1)) == "[", F.substr("name", F.lit(1), i - 1))), lambda x: x.isNotNull())
+        mapped = names.where(F.col("name").contains("[")).select("name", F.explode(opens).alias("prefix"))
+        found = found.unionByName(mapped.join(owners.where("map_typed").select("prefix").distinct(), "prefix", "left_semi"))
+    return found.groupBy("name").agg(F.max_by("prefix", F.length("prefix")).alias("prefix"))
+
 
+def _marked(names: DataFrame, other: DataFrame, mark: str) -> DataFrame:
+    return names.join(other.select("name").distinct().withColumn(mark, F.lit(True)), "name", "left")
 
-def classify_property(properties: DataFrame, definitions: DataFrame, owners: DataFrame, known: DataFrame, refs: DataFrame) -> DataFrame:
-    """kind of each distinct name by precedence: defined, below a custom prefix, known, referenced, unknown."""
+
+def classify_property(properties: DataFrame, definitions: DataFrame, owners: DataFrame, catalog: DataFrame, map_owners: DataFrame, known: DataFrame, refs: DataFrame, third_party: DataFrame) -> DataFrame:
+    """kind of each distinct name, by precedence: a custom definition or a prefix of one, the catalogue (name, third_party), below a
+    map property (prefix), known (name, third_party), referenced by a condition or otherwise (name, conditional), below a
+    third-party prefix, unknown."""
     names = properties.select("name").distinct()
-    out = names.join(definitions.select("name").distinct().withColumn("d", F.lit(1)), "name", "left")
-    out = out.join(owning_prefix(properties, owners), "name", "left")
-    out = out.join(known.select("name").distinct().withColumn("k", F.lit(1)), "name", "left").join(refs.select("name").distinct().withColumn("r", F.lit(1)), "name", "left")
-    kind = F.when(F.col("d") == 1, "CUSTOM").when(F.col("prefix").isNotNull(), "CUSTOM_PREFIX").when(F.col("k") == 1, "KNOWN").when(F.col("r") == 1, "REFERENCED").otherwise("UNKNOWN")
+    out = _marked(names, definitions, "d").join(owning_prefix(properties, owners), "name", "left")
+    out = out.join(catalog.groupBy("name").agg(F.bool_or("third_party").alias("c")), "name", "left")
+    out = out.join(owning_prefix(properties, map_owners.withColumn("map_typed", F.lit(True))).withColumnRenamed("prefix", "m"), "name", "left")
+    out = out.join(known.groupBy("name").agg(F.bool_or("third_party").alias("k")), "name", "left")
+    out = out.join(refs.groupBy("name").agg(F.bool_or("conditional").alias("r")), "name", "left")
+    out = out.join(owning_prefix(properties, third_party).withColumnRenamed("prefix", "t"), "name", "left")
+    kind = (
+        F.when(F.col("d") | F.col("prefix").isNotNull(), "CUSTOM_CONFIGURATION_PROPERTIES").when(F.col("c"), "THIRD_PARTY").when(F.col("c").isNotNull(), "SPRING_BOOT")
+        .when(F.col("m").isNotNull(), "SPRING_BOOT_MAP_PROPERTY").when(F.col("k"), "THIRD_PARTY").when(F.col("k").isNotNull(), "SPRING_BOOT").when(F.col("r"), "CONDITIONAL_PROPERTY")
+        .when(F.col("r").isNotNull(), "CODE_REFERENCED").when(F.col("t").isNotNull(), "THIRD_PARTY").otherwise("UNKNOWN")
+    )
     return out.select("name", kind.alias("kind"))
 
 
-def configuration_summary(properties: DataFrame) -> DataFrame:
-    return properties.groupBy("repo").agg(F.count("*").alias("properties"), F.countDistinct("name").alias("names"), F.countDistinct("profile").alias("profiles"), F.count_if(is_sensitive(F.col("name"))).alias("sensitive"))
+def configuration_summary(properties: DataFrame, kinds: DataFrame, refs: DataFrame) -> DataFrame:
+    """Per repo: rows, framework, custom and unknown ones by kind, sensitive ones, references (repo), and the profiles in order."""
+    rows = properties.join(kinds, "name", "left")
+    kind = F.col("kind")
+    held = rows.groupBy("repo").agg(
+        F.count("*").alias("properties"), F.count_if(kind.isin("SPRING_BOOT", "SPRING_BOOT_MAP_PROPERTY")).alias("known"), F.count_if(kind == "CUSTOM_CONFIGURATION_PROPERTIES").alias("custom"),
+        F.count_if(kind == "UNKNOWN").alias("unknown"), F.count_if(is_sensitive(F.col("name"))).alias("sensitive"), F.array_sort(F.collect_set(F.when(F.trim("profile") != "", F.col("profile")))).alias("profiles"),
+    )
+    return held.join(refs.groupBy("repo").agg(F.count("*").alias("references")), "repo", "left").withColumn("references", F.coalesce("references", F.lit(0)))
 
 
 def profile_drift(properties: DataFrame, relevant: str = ".*") -> DataFrame:
-    """Names set in two profiles or more with different values; rows without a profile count for values, not for profiles."""
-    held = properties.where(F.col("name").rlike(relevant)).groupBy("repo", "name").agg(F.countDistinct("profile").alias("n_profiles"), F.countDistinct("value").alias("n_values"))
+    """Names set in two profiles or more with different values, and as evidence each profile's values in order.
+
+    Rows without a profile count for values, not for profiles. Evidence holds distinct pairs only."""
+    rows = properties.where(F.col("name").rlike(relevant))
+    pair = F.when(F.col("profile").isNotNull(), F.concat_ws("=", "profile", F.coalesce("value", F.lit(""))))
+    held = rows.groupBy("repo", "name").agg(F.countDistinct("profile").alias("n_profiles"), F.countDistinct("value").alias("n_values"), F.array_sort(F.collect_set(pair)).alias("evidence"))
     return held.where("n_profiles >= 2 and n_values > 1")
 
 
@@ -87,10 +152,14 @@ def conditional_matrix(refs: DataFrame, properties: DataFrame) -> DataFrame:
     return held.select("name", "missing_matches").join(odd, "name", "left").select("name", "missing_matches", F.coalesce("unexpected", F.lit(0)).alias("unexpected"))
 
 
-def missing_override(properties: DataFrame, base_profile: str, override_profile: str) -> DataFrame:
-    """Names that the base profile sets and the other does not."""
-    base = properties.where(F.col("profile") == base_profile).select("repo", "name").distinct()
-    return base.join(properties.where(F.col("profile") == override_profile).select("repo", "name"), ["repo", "name"], "left_anti")
+def missing_override(properties: DataFrame, base_profile: str | None, override_profiles: list[str], key: str | None = None, value: str | None = None) -> DataFrame:
+    """Names that the base profile (null: rows without one) sets and none of the others does; of names and values that match the patterns."""
+    base = properties.where(F.col("profile").isNull() if base_profile is None else F.col("profile") == base_profile)
+    for column, pattern in (("name", key), ("value", value)):
+        if pattern is not None:
+            base = base.where(F.col(column).rlike(pattern))
+    other = properties.where(F.col("profile").isin(override_profiles)).select("repo", "name")
+    return base.select("repo", "name").distinct().join(other, ["repo", "name"], "left_anti")
 
 
 def resolve_placeholders(properties: DataFrame, rounds: int = 16) -> DataFrame:
@@ -121,8 +190,14 @@ def unused_prefixes(owners: DataFrame, properties: DataFrame) -> DataFrame:
     return owners.select("prefix").distinct().join(used, "prefix", "left_anti")
 
 
+def unknown_properties(kinds: DataFrame, properties: DataFrame) -> DataFrame:
+    """Per repo: distinct names of kind UNKNOWN, and the first of them."""
+    names = properties.select("repo", "name").distinct().join(kinds.where("kind = 'UNKNOWN'").select("name"), "name", "left_semi")
+    return names.groupBy("repo").agg(F.count("*").alias("unknown"), F.min("name").alias("first_name"))
+
+
 def deprecated_properties(properties: DataFrame, catalog: DataFrame) -> DataFrame:
-    return properties.join(F.broadcast(catalog.where("deprecated").select("name", "reason")), "name")
+    return properties.join(catalog.where("deprecated").select("name", "reason"), "name")
 
 
 def dominant_namespace(properties: DataFrame, least: int = 3) -> DataFrame:
@@ -133,17 +208,36 @@ def dominant_namespace(properties: DataFrame, least: int = 3) -> DataFrame:
     return held.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
 
-def review_signals(properties: DataFrame, refs: DataFrame) -> DataFrame:
-    """Per repo: sensitive names, names that differ between profiles, names the code refers to."""
-    per = properties.groupBy("repo", "name").agg(F.countDistinct("value").alias("values")).join(refs.select("name").distinct().withColumn("r", F.lit(1)), "name", "left")
-    return per.groupBy("repo").agg(F.count_if(is_sensitive(F.col("name"))).alias("sensitive"), F.count_if(F.col("values") > 1).alias("changed"), F.count_if(F.col("r") == 1).alias("referenced"))
+def review_signals(properties: DataFrame, refs: DataFrame, kinds: DataFrame) -> DataFrame:
+    """Per repo: sensitive names, names that differ between profiles, names the code refers to, names of unknown kind."""
+    per = properties.groupBy("repo", "name").agg(F.countDistinct("value").alias("values")).join(refs.select("name").distinct().withColumn("r", F.lit(1)), "name", "left").join(kinds, "name", "left")
+    return per.groupBy("repo").agg(
+        F.count_if(is_sensitive(F.col("name"))).alias("sensitive"), F.count_if(F.col("values") > 1).alias("changed"), F.count_if(F.col("r") == 1).alias("referenced"), F.count_if(F.col("kind") == "UNKNOWN").alias("unknown")
+    )
+
 
+def filter_properties(properties: DataFrame, profile: str | None = None, sensitive: bool | None = None, text: str | None = None, kind: str | None = None, file: str | None = None, focus: str | None = None, refs: DataFrame | None = None) -> DataFrame:
+    """Rows that meet all that is given; kind and file go by the columns kind and file.
 
-def filter_properties(properties: DataFrame, profile: str | None = None, sensitive: bool | None = None, text: str | None = None) -> DataFrame:
+    focus: sensitive, unknown, changed (more than one value of a name in a repo, over all rows) or referenced (in refs)."""
+    whole = properties
     if profile is not None:
         properties = properties.where(F.col("profile") == profile)
     if sensitive is not None:
         properties = properties.where(is_sensitive(F.col("name")) == sensitive)
+    if kind is not None:
+        properties = properties.where(F.col("kind") == kind)
+    if file is not None:
+        properties = properties.where(F.col("file") == file)
+    if focus == "sensitive":
+        properties = properties.where(is_sensitive(F.col("name")))
+    elif focus == "unknown":
+        properties = properties.where("kind = 'UNKNOWN'")
+    elif focus == "changed":
+        many = whole.groupBy("repo", "name").agg(F.countDistinct("value").alias("n")).where("n > 1").select("repo", "name")
+        properties = properties.join(many, ["repo", "name"], "left_semi")
+    elif focus == "referenced":
+        properties = properties.join(refs.select("name").distinct(), "name", "left_semi")
     if text:
         properties = properties.where(F.lower(F.concat_ws(" ", "name", "value")).contains(text.lower()))
     return properties
