@@ -35,7 +35,7 @@ END = b" "  # no word holds white space
 HIDDEN, DIMS, WINDOW = 16, 16, 32
 SIZE, TAILS = 64, 8  # tokens of a head class, classes of the other known tokens
 GROUP = 8 << 20  # bytes of text split in one step
-ROWS = 8192  # outputs held at once
+ROWS = 8192  # rows of class chances held at once
 LANES = 2048  # texts scored side by side
 
 
@@ -139,13 +139,16 @@ def run_states(w, pre: np.ndarray, h: np.ndarray, keep: bool = False) -> tuple[n
     return states, kept
 
 
+_ones = np.ones(1 << 16, np.float32)
+
+
 def _log_softmax(logits: np.ndarray, pick: np.ndarray, back: bool):
     """Log chances of the picked columns, and chances less one at them."""
     np.minimum(logits, 60, out=logits)  # far above any that training gives; keeps the sum finite
     rows = np.arange(len(pick))
     out = logits[rows, pick]
     np.exp(logits, out=logits)
-    sums = logits @ np.ones(logits.shape[1], np.float32)
+    sums = logits @ _ones[: logits.shape[1]]
     out -= np.log(sums)
     if back:
         logits /= sums[:, None]
@@ -156,9 +159,13 @@ def _log_softmax(logits: np.ndarray, pick: np.ndarray, back: bool):
 def class_parts(w, v: Vocabulary, states: np.ndarray, y: np.ndarray, back: bool = False):
     """Natural log chances of the targets y given states (rows), inside other classes than the head's only that of the class; and gradients."""
     cls = v.of[y]
-    out, p = _log_softmax(states @ w["wc"] + w["bc"], cls, back)
     if back:
+        out, p = _log_softmax(states @ w["wc"] + w["bc"], cls, back)
         grads = {"wc": states.T @ p, "bc": p.sum(axis=0), "wi": np.zeros_like(w["wi"]), "bi": np.zeros_like(w["bi"]), "dh": p @ w["wc"].T}
+    else:
+        out = np.empty(len(y), np.float32)
+        for a in range(0, len(y), ROWS):
+            out[a : a + ROWS] = _log_softmax(states[a : a + ROWS] @ w["wc"] + w["bc"], cls[a : a + ROWS], back)[0]
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     bounds = np.searchsorted(cls[order], np.arange(v.heads + 1)).tolist()
     for c in range(v.heads):
@@ -331,6 +338,9 @@ def log_likelihoods(w, v: Vocabulary, texts: list[np.ndarray], trust: float) ->
     table = w["emb"] @ w["wx"] + w["b"]
     order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
     share = 1 / np.where(np.arange(v.classes) < v.heads, 1, np.maximum(v.mass, 1e-9))
+    base = np.ones(len(v.counts) + 1)
+    base[: v.head] = v.counts[: v.head] + 0.1
+    base *= (1 - trust) / v.norm
     for first in range(0, len(order), LANES):
         lanes = order[first : first + LANES]
         lengths = np.array([len(texts[i]) for i in lanes])
@@ -346,13 +356,9 @@ def log_likelihoods(w, v: Vocabulary, texts: list[np.ndarray], trust: float) ->
             states, _ = run_states(w, table[x], h[:n])
             h[:n] = states[-1]
             prev[:n] = np.minimum(y[-1], v.inputs)
-            rows, yy = states.reshape(-1, HIDDEN), y.ravel()
-            value = np.empty(len(yy))
-            for a in range(0, len(yy), ROWS):
-                z = yy[a : a + ROWS]
-                parts, _ = class_parts(w, v, rows[a : a + ROWS], z)
-                base = np.where(z < v.head, np.append(v.counts, 0)[z] + 0.1, 1) / v.norm
-                value[a : a + ROWS] = trust * np.exp(parts.astype(np.float64)) * share[v.of[z]] + (1 - trust) * base
+            z = y.ravel()
+            parts, _ = class_parts(w, v, states.reshape(-1, HIDDEN), z)
+            value = trust * np.exp(parts.astype(np.float64)) * share[v.of[z]] + base[z]
             out[lanes[:n]] += np.log10(value).reshape(y.shape).sum(axis=0)
             t += steps
     return out
