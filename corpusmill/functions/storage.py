@@ -1,4 +1,4 @@
-"""Tables in the shared folder that cut the lineage of iterative operators."""
+"""Tables in the shared folder that cut the lineage of iterative operators, and connected components over them."""
 
 from __future__ import annotations
 
@@ -6,12 +6,15 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a fresh local one only where none is set."""
+    """The folder named in spark.checkpoint.dir; in local mode a fresh local one where none is set, elsewhere an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
     return named
@@ -21,4 +24,46 @@ def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_paths = [path]
+    return out
+
+
+def joined(parts: list[DataFrame]) -> DataFrame:
+    """Tables of cut() that have one schema, read as one."""
+    paths = [p for d in parts for p in d._shared_paths]
+    out = parts[0].sparkSession.read.schema(parts[0].schema).parquet(*paths)
+    out._shared_paths = paths
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes what cut() wrote."""
+    spark = df.sparkSession
+    for path in df._shared_paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, root (the smallest node reachable) of every node of the edges (a, b), whatever their direction.
+
+    By alternating large and small stars, which end after some log n rounds however long the chains are; each round's
+    table replaces the one before, which is deleted."""
+    edges = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    before = None
+    while True:
+        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if mark == before or mark[0] == 0:
+            break
+        before = mark
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        new = cut(small.where("a <> b").distinct())
+        discard(edges)
+        edges = new
+    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
+    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

@@ -30,11 +30,13 @@ def _(spark, d):
     return s.parse_property_lines(lines(spark, d))
 
 
-@plan("s10_within_budget", """WITH w AS (SELECT source AS repo, doc_id AS path, n_chars AS size, count(*) OVER o AS n, sum(n_chars) OVER o AS total FROM documents WINDOW o AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING))
-SELECT repo, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(CASE WHEN n > 45 OR size > 15000 OR total > 120000 THEN path END) AS first_offender, first_offender IS NULL AS accepted FROM w GROUP BY repo""")
+@plan("s10_within_budget", """WITH w AS (SELECT source AS repo, doc_id AS path, n_chars AS size, count(*) OVER o AS n, sum(n_chars) OVER o AS total FROM documents WINDOW o AS (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)),
+g AS (SELECT repo, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes, min(CASE WHEN n > 45 OR size > 15000 OR total > 120000 THEN path END) AS first_offender FROM w GROUP BY repo),
+x AS (SELECT *, sum(CASE WHEN first_offender IS NULL THEN files ELSE 0 END) OVER (ORDER BY repo) AS rf, sum(CASE WHEN first_offender IS NULL THEN bytes ELSE 0 END) OVER (ORDER BY repo) AS rb FROM g)
+SELECT repo, files, bytes, first_offender, first_offender IS NULL AS accepted, first_offender IS NULL AND rf <= 100 AND rb <= 300000 AS accepted_in_run FROM x""")
 def _(spark, d):
     docs = load(spark, d, "documents").select(F.col("source").alias("repo"), F.col("doc_id").alias("path"), F.col("n_chars").alias("size"))
-    return s.within_budget(docs, 45, 15_000, 120_000)
+    return s.within_budget(docs, 45, 15_000, 120_000, 100, 300_000)
 
 
 @plan("r1_severity_states", f"WITH {CAT} SELECT c.severity, count(DISTINCT c.rule_id) AS rules, count(DISTINCT CASE WHEN enabled THEN c.rule_id END) AS enabled_rules, count(DISTINCT CASE WHEN enabled THEN c.rule_id END) = 0 AS fully_disabled FROM cat c JOIN (SELECT DISTINCT rule_id FROM ({HITS.replace('lines AS', 'SELECT * FROM (WITH lines AS', 1)} SELECT rule_id FROM hits))) h USING (rule_id) GROUP BY c.severity")
@@ -148,9 +150,10 @@ def _(spark, d):
     return f.sort_findings(hits(spark, d).withColumn("message", F.col("evidence"))).select("repo", "path", "line", "rule_id", "position")
 
 
-@plan("f6_summarize", f"WITH {EV}, u AS (SELECT CAST(c_custkey AS VARCHAR) AS repo FROM customer) SELECT repo, count(severity) AS total, count(*) FILTER (WHERE severity = 'ERROR') AS error, count(*) FILTER (WHERE severity = 'WARNING') AS warning, count(*) FILTER (WHERE severity = 'INFO') AS info, CAST(0 AS BIGINT) AS unknown FROM u LEFT JOIN ev USING (repo) GROUP BY ROLLUP (repo)")
+@plan("f6_summarize", f"WITH {EV}, u AS (SELECT CAST(c_custkey AS VARCHAR) AS repo, c_custkey % 8 = 0 AS bad FROM customer), g AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARNING') AS w, count(*) FILTER (WHERE severity = 'INFO') AS i FROM ev GROUP BY repo) SELECT repo, CAST(sum(CASE WHEN bad THEN 0 ELSE 1 END) AS BIGINT) AS completed, CAST(sum(CASE WHEN bad THEN 1 ELSE 0 END) AS BIGINT) AS failed, CAST(coalesce(sum(n), 0) AS BIGINT) AS total, CAST(coalesce(sum(e), 0) AS BIGINT) AS error, CAST(coalesce(sum(w), 0) AS BIGINT) AS warning, CAST(coalesce(sum(i), 0) AS BIGINT) AS info, CAST(0 AS BIGINT) AS unknown FROM u LEFT JOIN g USING (repo) GROUP BY ROLLUP (repo)")
 def _(spark, d):
-    return f.summarize(events(spark, d), load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo")))
+    repos = load(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("repo"), F.when(F.col("c_custkey") % 8 == 0, "FAILED").otherwise("COMPLETED").alias("status"))
+    return f.summarize(events(spark, d), repos)
 
 
 @plan("f7_meets_threshold", f"WITH {EV} SELECT repo, count_if({RANK} >= 2) AS n_at_or_above, count_if({RANK} >= 2) > 0 AS met FROM ev GROUP BY repo")
@@ -158,15 +161,33 @@ def _(spark, d):
     return f.meets_threshold(events(spark, d), "warning")
 
 
-@plan("f8_drop_foreign_paths", "WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/+', '/', 'g') AS path FROM pages) SELECT page_id, path FROM p WHERE NOT (path = 'blog' OR starts_with(path, 'blog/') OR path = '/srv/blog' OR starts_with(path, '/srv/blog/'))")
+@plan("f8_drop_foreign_paths", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/+', '/', 'g') AS rest FROM pages), q AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN rest WHEN 1 THEN concat('.\', replace(rest, '/', '\')) WHEN 2 THEN concat('C:\Work\', replace(rest, '/', '\')) ELSE concat('x/../', rest) END AS path, rest FROM p)
+SELECT page_id, path FROM q WHERE NOT (CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END = 'blog' OR starts_with(CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END, 'blog/') OR (page_id % 4 = 2 AND (lower(rest) = 'docs' OR starts_with(lower(rest), 'docs/'))))""")
 def _(spark, d):
-    p = pages(spark, d).select("page_id", F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "/+", "/").alias("path"))
-    return f.drop_foreign_paths(p, "blog", "/srv")
+    rest, k = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "/+", "/"), F.col("page_id") % 4
+    back = F.translate(rest, "/", "\\")
+    path = F.when(k == 0, rest).when(k == 1, F.concat(F.lit(".\\"), back)).when(k == 2, F.concat(F.lit("C:\\Work\\"), back)).otherwise(F.concat(F.lit("x/../"), rest))
+    return f.drop_foreign_paths(pages(spark, d).select("page_id", path.alias("path")), "blog", "c:/work", "c:/work/docs")
 
 
-@plan("f9_filter_findings", f"WITH {HITS} SELECT repo, path, CAST(line AS INT) AS line, rule_id FROM hits WHERE category IN ('SECURITY') AND severity <> 'INFO' AND contains(lower(concat_ws(' ', rule_id, category, path, evidence)), 'a')")
+# Hits with the other fields of a finding, made of their place.
+RICH = HITS + """, rich AS (SELECT *, CASE WHEN line % 2 = 0 THEN 'RUNTIME' ELSE 'STATIC' END AS runtime, CASE path % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, concat(' Found  ', rule_id) AS title, CASE path % 5 WHEN 0 THEN 'FooController#get' WHEN 1 THEN 'BarService#run' WHEN 2 THEN concat('X', path % 2, '#parseIt') WHEN 3 THEN 'Y#go' ELSE 'plain' END AS target, evidence AS message, CASE WHEN line % 4 = 1 THEN NULL ELSE rule_id END AS some_rule FROM hits)"""
+
+
+def rich(spark, d):
+    k, line = F.col("path"), F.col("line")
+    target = F.when(k % 5 == 0, "FooController#get").when(k % 5 == 1, "BarService#run").when(k % 5 == 2, F.concat(F.lit("X"), k % 2, F.lit("#parseIt"))).when(k % 5 == 3, "Y#go").otherwise("plain")
+    confidence = F.when(k % 3 == 0, "HIGH").when(k % 3 == 1, "MEDIUM").otherwise("LOW")
+    return hits(spark, d).select("*", F.when(line % 2 == 0, "RUNTIME").otherwise("STATIC").alias("runtime"), confidence.alias("confidence"), F.concat(F.lit(" Found  "), "rule_id").alias("title"), target.alias("target"), F.col("evidence").alias("message"))
+
+
+def partly_ruled(spark, d):
+    return rich(spark, d).withColumn("rule_id", F.when(F.col("line") % 4 != 1, F.col("rule_id")))
+
+
+@plan("f9_filter_findings", f"WITH {RICH} SELECT repo, path, CAST(line AS INT) AS line, rule_id FROM rich WHERE category IN ('SECURITY') AND runtime = 'STATIC' AND confidence IN ('HIGH', 'LOW') AND severity <> 'INFO' AND contains(lower(concat_ws(' ', message, path, rule_id, title, category, runtime, confidence, target, evidence)), '1')")
 def _(spark, d):
-    return f.filter_findings(hits(spark, d), category=["SECURITY"], hide_info=True, text="A").select("repo", "path", "line", "rule_id")
+    return f.filter_findings(rich(spark, d), category=["SECURITY"], runtime=["STATIC"], confidence=["HIGH", "LOW"], hide_info=True, text="1").select("repo", "path", "line", "rule_id")
 
 
 @plan("f10_facet_counts", f"WITH {EV} SELECT 'severity' AS facet, severity AS value, count(*) AS n FROM ev GROUP BY severity UNION ALL SELECT 'rule_id', rule_id, count(*) FROM ev GROUP BY rule_id")
@@ -174,32 +195,44 @@ def _(spark, d):
     return f.facet_counts(events(spark, d), ["severity", "rule_id"])
 
 
-_STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'FIXED' WHEN quality = 1 THEN 'ACCEPTED_RISK' WHEN toxic = 1 THEN 'FALSE_POSITIVE' ELSE 'OPEN' END"
+_STATUS = "CASE WHEN quality = 1 AND toxic = 0 THEN 'FIXED' WHEN quality = 1 THEN 'ACCEPTED_RISK' WHEN toxic = 1 THEN 'FALSE_POSITIVE' ELSE 'odd' END"
+_ONE_KEY = "concat_ws(':', 'finding', coalesce(some_rule, lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))), lower(target), CAST(path AS VARCHAR), sha256(coalesce(nullif(message, ''), title)))"
+_GROUP_KEY = "concat('group:', coalesce(some_rule, lower(trim(regexp_replace(title, '\\s+', ' ', 'g')))))"
 
 
-@plan("f11_join_triage", f"WITH {HITS} SELECT repo, path, CAST(line AS INT) AS line, rule_id, coalesce({_STATUS.replace('ELSE', 'WHEN quality = 0 THEN')}, 'OPEN') AS status FROM hits LEFT JOIN labels ON path = doc_id".replace("WHEN quality = 0 THEN 'OPEN' END", "WHEN quality = 0 THEN 'OPEN' END"))
+@plan("f11_join_triage", f"""WITH {RICH}, r AS (SELECT *, {_ONE_KEY} AS triage_key FROM rich), t AS (SELECT triage_key, arg_min({_STATUS}, doc_id) AS status FROM r JOIN labels ON path = doc_id GROUP BY triage_key)
+SELECT repo, path, CAST(line AS INT) AS line, some_rule AS rule_id, r.triage_key, CASE WHEN status <> 'odd' THEN status ELSE 'OPEN' END AS status FROM r LEFT JOIN t USING (triage_key)""")
 def _(spark, d):
-    triage = load(spark, d, "labels").select(F.col("doc_id").alias("key"), F.expr(_STATUS).alias("status"))
-    return f.join_triage(hits(spark, d), triage, "path").select("repo", "path", "line", "rule_id", "status")
+    found = partly_ruled(spark, d)
+    labelled = found.withColumn("key", f.triage_key(False)).join(load(spark, d, "labels").select(F.col("doc_id").alias("path"), F.expr(_STATUS).alias("status")), "path")
+    triage = labelled.groupBy("key").agg(F.min_by("status", "path").alias("status"))
+    return f.join_triage(found, triage).select("repo", "path", "line", "rule_id", "triage_key", "status")
+
 
+@plan("f11_grouped_keys", f"WITH {RICH} SELECT {_GROUP_KEY} AS triage_key, count(*) AS n FROM rich GROUP BY 1")
+def _(spark, d):
+    return partly_ruled(spark, d).select(f.triage_key(True).alias("triage_key")).groupBy("triage_key").agg(F.count("*").alias("n"))
 
-_GROUP = f"SELECT rule_id, category, count(*) AS occurrences, CASE WHEN count(DISTINCT path) > 1 THEN 'Multiple' ELSE CAST(min(path) AS VARCHAR) END AS target, arg_min(repo, (-({RANK}), repo, path, line)) AS first_repo, arg_min(path, (-({RANK}), repo, path, line)) AS first_path, CAST(arg_min(line, (-({RANK}), repo, path, line)) AS INT) AS first_line, max({RANK}) AS worst_rank FROM hits"
 
+_CONF = "CASE confidence WHEN 'HIGH' THEN 3 WHEN 'MEDIUM' THEN 2 ELSE 1 END"
+_KIND = "CASE path % 5 WHEN 0 THEN 'controller' WHEN 1 THEN 'service' WHEN 2 THEN 'parser-helper' WHEN 3 THEN 'method' ELSE 'general' END"
+_FIRST = f"(-({RANK}), -({_CONF}), repo, path, line, title)"
+_AGGS = f"count(*) AS occurrences, CASE WHEN count(DISTINCT target) > 1 THEN 'Multiple targets' ELSE min(target) END AS target, arg_min(title, {_FIRST}) AS first_title, arg_min(category, {_FIRST}) AS first_category, arg_min(repo, {_FIRST}) AS first_repo, arg_min(path, {_FIRST}) AS first_path, CAST(arg_min(line, {_FIRST}) AS INT) AS first_line, max({RANK}) AS worst_rank, arg_min({_CONF}, {_FIRST}) AS confidence_rank FROM rich"
 
-@plan("f12_group_findings", f"WITH {HITS} {_GROUP} GROUP BY rule_id, category")
+
+@plan("f12_group_findings", f"WITH {RICH} SELECT some_rule AS rule_id, category, runtime, {_KIND} AS target_kind, lower(trim(regexp_replace(rich.title, '\\s+', ' ', 'g'))) AS title, {_AGGS} GROUP BY 1, 2, 3, 4, 5")
 def _(spark, d):
-    return f.group_findings(hits(spark, d))
+    return f.group_findings(partly_ruled(spark, d))
 
 
-@plan("f13_top_concerns", f"WITH {HITS}, g AS ({_GROUP} WHERE severity IN ('ERROR', 'WARNING') GROUP BY rule_id, category) SELECT *, CASE rule_id WHEN 'DIGEST' THEN 1 WHEN 'EMAIL' THEN 2 ELSE 1000 END AS priority FROM g ORDER BY priority, worst_rank DESC, occurrences DESC, rule_id LIMIT 3")
+@plan("f13_top_concerns", f"WITH {RICH}, g AS (SELECT coalesce(some_rule, lower(trim(regexp_replace(rich.title, '\\s+', ' ', 'g')))) AS concern, {_AGGS} GROUP BY 1), q AS (SELECT *, CASE concern WHEN 'DIGEST' THEN 1 WHEN 'EMAIL' THEN 2 ELSE CASE first_category WHEN 'CONFIGURATION' THEN 3 ELSE 20 END END AS priority FROM g WHERE worst_rank >= 2) SELECT * FROM q ORDER BY priority, worst_rank DESC, occurrences DESC, confidence_rank DESC, first_title, concern LIMIT 5")
 def _(spark, d):
-    return f.top_concerns(hits(spark, d), {"DIGEST": 1, "EMAIL": 2}, 3)
+    return f.top_concerns(partly_ruled(spark, d), {"DIGEST": 1, "EMAIL": 2}, 5, {"CONFIGURATION": 3})
 
 
-@plan("f14_collect_occurrences", f"WITH {HITS} SELECT repo, rule_id, string_agg(concat(path, ':', line), ',' ORDER BY path, line) AS places, min(path) AS first_path FROM hits GROUP BY repo, rule_id")
+@plan("f14_collect_occurrences", f"WITH {HITS}, a AS (SELECT repo, rule_id, count(*) AS occurrences, min(path) AS first_path, CAST(arg_min(line, (path, line)) AS INT) AS first_line FROM hits GROUP BY repo, rule_id) SELECT repo, rule_id, path, string_agg(line, ',' ORDER BY line) AS lines, a.occurrences, a.first_path, a.first_line FROM hits JOIN a USING (repo, rule_id) GROUP BY ALL")
 def _(spark, d):
-    places = F.concat_ws(",", F.transform("occurrences", lambda o: F.concat(o["path"], F.lit(":"), o["line"])))
-    return f.collect_occurrences(hits(spark, d)).select("repo", "rule_id", places.alias("places"), "first_path")
+    return f.collect_occurrences(hits(spark, d)).withColumn("lines", F.concat_ws(",", F.col("lines").cast("array<string>")))
 
 
 @plan("f15_snippets", f"WITH {HITS}, w AS (SELECT h.repo, h.path, h.line AS hit, h.rule_id, unnest(range(greatest(h.line - 2, 1), h.line + 3)) AS line FROM hits h) SELECT w.repo, w.path, CAST(w.line AS INT) AS line, CAST(hit AS INT) AS hit, rule_id, text, w.line = hit AS highlight FROM w JOIN lines USING (repo, path, line)")
@@ -207,6 +240,13 @@ def _(spark, d):
     return f.snippets(hits(spark, d), lines(spark, d), 2, 20)
 
 
+@plan("f15_redacted_snippets", f"WITH {HITS}, w AS (SELECT h.repo, h.path, h.line AS hit, h.rule_id, unnest(range(greatest(h.line - 1, 1), h.line + 2)) AS line FROM hits h), t AS (SELECT w.*, text, regexp_extract(text, '^([^=:]*)[=:]', 1) AS k FROM w JOIN lines USING (repo, path, line)) SELECT repo, concat(path, '.properties') AS path, CAST(line AS INT) AS line, CAST(hit AS INT) AS hit, rule_id, CASE WHEN regexp_matches(lower(k), 'password|secret|credential|(^|[^a-z])pat([^a-z]|$)|[.-]token *$') AND NOT starts_with(trim(text), '#') THEN concat(regexp_extract(text, '^([^=:]*[=:]\\s*)', 1), '[redacted]') ELSE text END AS text FROM t")
+def _(spark, d):
+    """Hits in the documents as if these were property files, their lines marked with the names of secrets by the rules."""
+    name = lambda df: df.withColumn("path", F.concat(F.col("path").cast("string"), F.lit(".properties")))
+    return f.snippets(name(hits(spark, d)), name(lines(spark, d)), 1, 20).select("repo", "path", "line", "hit", "rule_id", "text")
+
+
 @plan("f16_permalinks", f"WITH {HITS} SELECT repo, path, CAST(line AS INT) AS line, rule_id, CASE WHEN repo <> 'src3' THEN concat('https://github.com/org/', repo, '/blob/abc/', path, '#L', line) END AS link FROM hits")
 def _(spark, d):
     repos = load(spark, d, "documents").select(F.col("source").alias("repo")).distinct().select("repo", F.when(F.col("repo") == "src3", "https://example.org/x.git").otherwise(F.concat(F.lit("git@github.com:org/"), "repo", F.lit(".git"))).alias("remote"), F.lit("abc").alias("head"))
@@ -214,29 +254,59 @@ def _(spark, d):
     return f.permalinks(h, repos).select("repo", F.col("path").cast("long").alias("path"), "line", "rule_id", "link")
 
 
-@plan("f17_review_plan", f"WITH {HITS} SELECT repo, path, CAST(line AS INT) AS line, rule_id, CAST(row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, rule_id, path, line) AS INT) AS step FROM hits WHERE severity <> 'INFO'")
+FIXES = {"EMAIL": "Remove the address", "CARD": "Mask the number", "PASSWORD": "Move it to the vault"}
+
+
+@plan("f17_review_plan", f"WITH {RICH} SELECT repo, path, CAST(line AS INT) AS line, rule_id, category, target, CASE rule_id WHEN 'EMAIL' THEN 'Remove the address' WHEN 'CARD' THEN 'Mask the number' WHEN 'PASSWORD' THEN 'Move it to the vault' END AS fix, CAST(row_number() OVER (PARTITION BY repo ORDER BY {RANK} DESC, rule_id, path, line) AS INT) AS step FROM rich WHERE severity <> 'INFO' AND path % 4 <> 0")
 def _(spark, d):
-    return f.review_plan(f.filter_findings(hits(spark, d), hide_info=True)).select("repo", "path", "line", "rule_id", "step")
+    catalog = spark.createDataFrame(list(FIXES.items()), "rule_id string, fix string")
+    found = f.filter_findings(rich(spark, d), hide_info=True).withColumn("status", F.when(F.col("path") % 4 == 0, "FIXED").otherwise("OPEN"))
+    return f.review_plan(found, catalog).select("repo", "path", "line", "rule_id", "category", "target", "fix", "step")
 
 
-@plan("f18_enrich_findings", f"WITH {HITS}, {CAT} SELECT h.repo, h.path, CAST(h.line AS INT) AS line, h.rule_id, cat.title, CASE WHEN h.line % 2 = 0 THEN 'ERROR' ELSE cat.severity END AS severity, cat.category FROM hits h LEFT JOIN cat USING (rule_id)")
+@plan("f18_enrich_findings", f"WITH {HITS}, {CAT} SELECT h.repo, h.path, CAST(h.line AS INT) AS line, h.rule_id, cat.title, CASE WHEN h.line % 2 = 0 THEN 'ERROR' ELSE cat.severity END AS severity, cat.category, concat(lower(cat.severity), ' at run time') AS runtime FROM hits h LEFT JOIN cat USING (rule_id)")
 def _(spark, d):
     h = hits(spark, d).select("repo", "path", "line", "rule_id", F.when(F.col("line") % 2 == 0, "ERROR").alias("severity"), F.lit(None).cast("string").alias("category"))
-    return f.enrich_findings(h, catalog(spark)).select("repo", "path", "line", "rule_id", "title", "severity", "category")
+    known = catalog(spark).withColumn("runtime", F.concat(F.lower("severity"), F.lit(" at run time")))
+    return f.enrich_findings(h, known).select("repo", "path", "line", "rule_id", "title", "severity", "category", "runtime")
+
+
+_PLACE = "physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startLine:int>>"
+_RESULT = f"struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<{_PLACE}>>,relatedLocations:array<struct<id:int,message:struct<text:string>,{_PLACE}>>>"
+_DOC = f"struct<version:string,runs:array<struct<tool:struct<driver:struct<rules:array<struct<id:string,name:string>>>>,results:array<{_RESULT}>>>>"
+
+
+@plan("s9_sarif_export", f"""WITH {HITS}, o AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY path, rule_id, line, evidence) - 1 AS pos FROM hits), p AS (SELECT *, pos // 20 AS part FROM o), n AS (SELECT repo, part, count(DISTINCT coalesce(CASE WHEN line % 5 <> 0 THEN rule_id END, 'UNKNOWN')) AS n_rules FROM p GROUP BY repo, part)
+SELECT p.repo, p.part, CAST(n_rules AS INT) AS n_rules, CASE WHEN line % 5 <> 0 THEN rule_id ELSE 'UNKNOWN' END AS rule_id, CASE severity WHEN 'ERROR' THEN 'error' WHEN 'WARNING' THEN 'warning' ELSE 'note' END AS level, evidence AS message, CASE WHEN path % 6 <> 0 THEN CAST(path AS VARCHAR) END AS uri, CASE WHEN path % 6 <> 0 AND line % 7 <> 0 THEN CAST(line AS INT) END AS start, CASE WHEN line % 2 = 0 THEN concat('1:also:', path, ' ') ELSE '' END AS related FROM p JOIN n USING (repo, part)""")
+def _(spark, d):
+    """The documents read again, one row a result."""
+    k, line = F.col("path"), F.col("line")
+    related = F.array(F.struct(F.when(line % 2 == 0, k).alias("path"), line.alias("line"), F.lit("also").alias("message")))
+    found = hits(spark, d).select("repo", "rule_id", "severity", "category", k, line, F.col("evidence").alias("message"), related.alias("related"))
+    order = f.numbered(found, "at", ["repo"], [k], [F.col("rule_id"), line, F.col("message")])
+    shown = order.select("repo", F.floor((F.col("at") - 1) / 20).alias("_part"), F.when(line % 5 != 0, F.col("rule_id")).alias("rule_id"), "severity", F.when(k % 6 != 0, k).alias("path"), F.when(line % 7 != 0, line).otherwise(0).alias("line"), F.concat_ws("\t", F.lpad(F.col("at").cast("string"), 9, "0"), "message").alias("message"), "related")
+    parts = f.sarif_export(shown.withColumn("repo", F.concat_ws("\t", "repo", F.col("_part").cast("string"))), 1 << 30)
+    rows = parts.select("repo", "n_rules", F.explode(F.from_json("document", _DOC)["runs"][0]["results"]).alias("x"))
+    named = F.split("repo", "\t")
+    place = F.col("x.locations")[0]["physicalLocation"]
+    sites = F.concat_ws("", F.transform("x.relatedLocations", lambda y: F.concat(y["id"].cast("string"), F.lit(":"), y["message"]["text"], F.lit(":"), y["physicalLocation"]["artifactLocation"]["uri"], F.lit(" "))))
+    return rows.select(named[0].alias("repo"), named[1].cast("long").alias("part"), "n_rules", F.col("x.ruleId").alias("rule_id"), F.col("x.level").alias("level"), F.split("x.message.text", "\t")[1].alias("message"), place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("start"), sites.alias("related"))
 
 
-@plan("s9_sarif_export", f"WITH {HITS} SELECT repo, CAST(count(DISTINCT rule_id) AS INT) AS n_rules, CAST(count(*) AS INT) AS n_results FROM hits GROUP BY repo")
+@plan("s9_sarif_parts", f"WITH {HITS}, o AS (SELECT *, (row_number() OVER (PARTITION BY repo ORDER BY path, rule_id, line, evidence) - 1) // 25 AS part FROM hits) SELECT repo, part, CAST(count(DISTINCT rule_id) AS INT) AS n_rules, CAST(count(*) AS INT) AS n_results, min(path) AS first_path FROM o GROUP BY repo, part")
 def _(spark, d):
-    return f.sarif_export(hits(spark, d).withColumn("message", F.col("evidence"))).select("repo", "n_rules", "n_results")
+    found = f.sarif_export(hits(spark, d).withColumn("message", F.col("evidence")), 25)
+    first = F.from_json("document", _DOC)["runs"][0]["results"][0]["locations"][0]["physicalLocation"]["artifactLocation"]["uri"]
+    return found.select("repo", "part", "n_rules", "n_results", first.cast("long").alias("first_path"))
 
 
-_FLAG = f"""WITH {HITS}, kept AS (SELECT * FROM hits WHERE NOT (rule_id = 'LICENSE' AND repo IN (SELECT source FROM documents WHERE doc_id % 7 = 0)))
-SELECT s.repo, count(severity) AS total, count(*) FILTER (WHERE severity = 'ERROR') AS error, count(*) FILTER (WHERE severity = 'WARNING') AS warning, count(*) FILTER (WHERE severity = 'INFO') AS info, CAST(0 AS BIGINT) AS unknown FROM (SELECT DISTINCT source AS repo FROM documents) s LEFT JOIN kept USING (repo) GROUP BY ROLLUP (s.repo)"""
+_FLAG = f"""WITH {HITS}, kept AS (SELECT * FROM hits WHERE NOT (rule_id = 'LICENSE' AND repo IN (SELECT source FROM documents WHERE doc_id % 7 = 0))), s AS (SELECT DISTINCT source AS repo FROM documents), g AS (SELECT repo, count(*) AS n, count(*) FILTER (WHERE severity = 'ERROR') AS e, count(*) FILTER (WHERE severity = 'WARNING') AS w, count(*) FILTER (WHERE severity = 'INFO') AS i FROM kept GROUP BY repo)
+SELECT repo, count(*) AS completed, CAST(0 AS BIGINT) AS failed, CAST(coalesce(sum(n), 0) AS BIGINT) AS total, CAST(coalesce(sum(e), 0) AS BIGINT) AS error, CAST(coalesce(sum(w), 0) AS BIGINT) AS warning, CAST(coalesce(sum(i), 0) AS BIGINT) AS info, CAST(0 AS BIGINT) AS unknown FROM s LEFT JOIN g USING (repo) GROUP BY ROLLUP (repo)"""
 
 
 @plan("audit_by_source", _FLAG)
 def audit_by_source(spark, d):
     """Findings per source by severity, after suppression."""
     out = load(spark, d, "documents").where("doc_id % 7 = 0").select(F.col("source").alias("repo"), F.lit("LICENSE").alias("rule_id"))
-    found = f.enrich_findings(hits(spark, d), r.rule_catalog(spark, CATALOG))
+    found = f.enrich_findings(hits(spark, d), r.rule_catalog(spark, CATALOG).withColumn("runtime", F.lit(None).cast("string")))
     return f.summarize(f.suppress(found, out), files(spark, d).select("repo").distinct())

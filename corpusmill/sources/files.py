@@ -42,12 +42,32 @@ def parse_property_lines(lines: DataFrame) -> DataFrame:
     return rows.where("name <> ''").select("repo", "path", "line", "name", "value")
 
 
-def within_budget(files: DataFrame, max_files: int, max_file_bytes: int, max_total_bytes: int) -> DataFrame:
-    """Per repo: accepted, and the first path at which a limit is passed. Running sums stay inside a repo."""
-    order = Window.partitionBy("repo").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    run = files.select("repo", "path", "size", F.count("*").over(order).alias("n"), F.sum("size").over(order).alias("total"))
-    over = (F.col("n") > max_files) | (F.col("size") > max_file_bytes) | (F.col("total") > max_total_bytes)
-    return run.groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min(F.when(over, F.col("path"))).alias("first_offender")).withColumn("accepted", F.col("first_offender").isNull())
+def within_budget(files: DataFrame, max_files: int, max_file_bytes: int, max_total_bytes: int, run_files: int | None = None, run_bytes: int | None = None) -> DataFrame:
+    """Per repo: accepted, and the first path at which a limit is passed; accepted_in_run: whether it and the accepted repos before
+    it, in order of name, stay within the limits of the whole run.
+
+    Running sums go block by block (paths that begin alike), with the sums of the blocks before, so that a repo of any size is spread."""
+    # blocks of paths (by their first characters) bound what one task sorts; sums of the blocks before are added
+    block = F.substring(F.col("path").cast("string"), 1, 2)
+    if dict(files.dtypes)["path"] != "string":
+        block = F.floor(F.col("path") / 1000)
+    rows = files.select("repo", "path", "size", block.alias("_b"))
+    before = Window.partitionBy("repo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    cells = rows.groupBy("repo", "_b").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    cells = cells.select("repo", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
+    order = Window.partitionBy("repo", "_b").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.withColumn("n", F.count("*").over(order)).withColumn("total", F.sum("size").over(order)).join(cells, ["repo", "_b"])
+    over = (F.col("n") + F.col("n0") > max_files) | (F.col("size") > max_file_bytes) | (F.col("total") + F.col("s0") > max_total_bytes)
+    out = run.groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min(F.when(over, F.col("path"))).alias("first_offender")).withColumn("accepted", F.col("first_offender").isNull())
+    if run_files is None and run_bytes is None:
+        return out
+    upto = Window.orderBy("repo").rowsBetween(Window.unboundedPreceding, 0)  # one row a repo
+    taken = lambda c: F.sum(F.when(F.col("accepted"), F.col(c)).otherwise(0)).over(upto)
+    fits = F.lit(True)
+    for limit, column in ((run_files, "files"), (run_bytes, "bytes")):
+        if limit is not None:
+            fits = fits & (taken(column) <= limit)
+    return out.withColumn("accepted_in_run", F.col("accepted") & fits)
 
 
 def module_of_path(files: DataFrame, modules: DataFrame) -> DataFrame:
