@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.storage import cut, joined
+from corpusmill.operators.rules import rank_first
+
 
 def extract_facts(lines: DataFrame, patterns: dict[str, str], owner_kind: str | None = None) -> DataFrame:
     """repo, path, line, kind, name of every match (group 1) of every pattern, and the last owner_kind fact before it."""
-    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), lambda m, k=k: F.struct(F.lit(k).alias("kind"), m.alias("name"))) for k, p in patterns.items()]))
+
+    def named(kind: str):
+        return lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name"))
+
+    hits = F.flatten(F.array(*[F.transform(F.regexp_extract_all("text", F.lit(p), 1), named(k)) for k, p in patterns.items()]))
     facts = lines.select("repo", "path", "line", F.posexplode(hits).alias("seq", "f")).select("repo", "path", "line", "seq", "f.kind", "f.name")
     if owner_kind is None:
         return facts
@@ -17,11 +24,11 @@ def extract_facts(lines: DataFrame, patterns: dict[str, str], owner_kind: str |
 
 
 def component_inventory(facts: DataFrame, stereotypes: list[str], main: str) -> DataFrame:
-    """Owners with a stereotype among their annotations: the main one always wins, else the first in the list."""
-    held = facts.groupBy("repo", "path").agg(F.sort_array(F.collect_set("name")).alias("annotations"))
-    kind = F.when(F.array_contains("annotations", main), main)
-    for s in stereotypes:
-        kind = kind.when(F.array_contains("annotations", s), s)
+    """Owners (repo, path, owner) with a stereotype among their annotations (line, seq, name): the main one always wins, else the
+    first in annotation order. annotations: all of the owner's, once each, in order."""
+    first = facts.groupBy("repo", "path", "owner", "name").agg(F.min(F.struct("line", "seq")).alias("at"))
+    held = first.groupBy("repo", "path", "owner").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("annotations"))
+    kind = F.when(F.array_contains("annotations", main), main).otherwise(F.try_element_at(F.filter("annotations", lambda x: x.isin(stereotypes)), F.lit(1)))
     return held.withColumn("type", kind).where("type is not null")
 
 
@@ -36,93 +43,170 @@ def endpoint_paths(class_paths: DataFrame, method_paths: DataFrame) -> DataFrame
     return method_paths.join(class_paths, "owner", "left").select("owner", "method", join_path(F.col("class_path"), F.col("method_path")).alias("endpoint"))
 
 
-def listener_inventory(facts: DataFrame) -> DataFrame:
-    """One row per listener and destination (comma lists are split; none leaves a null)."""
-    parts = F.filter(F.split("destinations", r"\s*,\s*"), lambda x: x != "")
-    return facts.select("repo", "listener", "broker", F.explode_outer(parts).alias("destination"))
+def attribute(text: Column, names: str) -> Column:
+    """The text of an annotation's attribute (one of the names, split by |): quoted, in braces, or plain; empty if there is none."""
+    return F.regexp_extract(text, rf"(?:^|[(,\s])(?:{names})\s*=\s*(\{{[^}}]*\}}|\"[^\"]*\"|[^,)\s]+)", 1)
 
 
-def schedule_inventory(facts: DataFrame) -> DataFrame:
-    """Scheduled members with trigger kind and value; enabled: whether the repo switches scheduling on."""
-    on = facts.groupBy("repo").agg(F.bool_or(F.col("kind") == "enable").alias("enabled"))
-    kind = F.when(F.col("value").rlike(r"cron\s*="), "cron").when(F.col("value").rlike("fixedRate"), "fixedRate").when(F.col("value").rlike("fixedDelay"), "fixedDelay").otherwise("none")
-    rows = facts.where("kind = 'schedule'").select("repo", "member", kind.alias("trigger"), F.regexp_extract("value", r"=\s*\"?([^\",)]*)", 1).alias("trigger_value"))
-    return rows.join(on, "repo")
+def listener_inventory(facts: DataFrame) -> DataFrame:
+    """One row per listener and destination, with the group id: from the attributes of its annotation (repo, listener, broker,
+    attributes). Lists in braces and comma lists are split; no destination leaves a null."""
+    text = attribute(F.col("attributes"), "topics|queues|destination")
+    quoted = F.regexp_extract_all(text, F.lit('"([^"]*)"'), F.lit(1))
+    parts = F.filter(F.flatten(F.transform(quoted, lambda x: F.split(F.trim(x), r"\s*,\s*"))), lambda x: x != "")
+    group = F.nullif(F.regexp_replace(attribute(F.col("attributes"), "groupId|group"), '"', ""), F.lit(""))
+    return facts.select("repo", "listener", "broker", group.alias("group_id"), F.explode_outer(parts).alias("destination"))
 
 
-def property_references(lines: DataFrame, ignored: DataFrame | None = None) -> DataFrame:
-    """name, default_value, required of the ${name:default} uses in lines."""
-    use = F.explode(F.regexp_extract_all("text", F.lit(r"(\$\{[^{}]+\})"), 1)).alias("use")
-    rows = lines.select("repo", "path", "line", use)
-    name = F.regexp_extract("use", r"^\$\{([^:}]*)", 1)
-    default = F.when(F.col("use").contains(":"), F.regexp_extract("use", r"^\$\{[^:}]*:([^}]*)\}", 1))
-    rows = rows.select("repo", "path", "line", name.alias("name"), default.alias("default_value"), default.isNull().alias("required"))
-    return rows if ignored is None else rows.join(F.broadcast(ignored), "name", "left_anti")
+def schedule_inventory(facts: DataFrame) -> DataFrame:
+    """Scheduled members with trigger, its value and zone, and asynchronous members (trigger async); enabled: whether the repo
+    switches scheduling (for asynchronous members: asynchronous calls) on.
+
+    facts: repo, member, kind (schedule, async, enable, enable_async), value (the annotation's attributes)."""
+    on = facts.groupBy("repo").agg(F.bool_or(F.col("kind") == "enable").alias("_on"), F.bool_or(F.col("kind") == "enable_async").alias("_async"))
+    v = F.col("value")
+    plain = lambda name: F.nullif(F.regexp_replace(attribute(v, name), '"', ""), F.lit(""))
+    kinds = ("cron", "fixedRate", "fixedDelay")
+    trigger = F.coalesce(*[F.when(v.rlike(rf"(^|[(,\s]){k}(String)?\s*="), k) for k in kinds], F.lit("none"))
+    value = F.coalesce(*[F.when(trigger == k, plain(f"{k}|{k}String")) for k in kinds])
+    timed = facts.where("kind = 'schedule'").select("repo", "member", trigger.alias("trigger"), value.alias("trigger_value"), plain("zone").alias("zone"))
+    none = F.lit(None).cast("string")
+    free = facts.where("kind = 'async'").select("repo", "member", F.lit("async").alias("trigger"), none.alias("trigger_value"), none.alias("zone"))
+    return timed.unionByName(free).join(on, "repo").withColumn("enabled", F.when(F.col("trigger") == "async", F.col("_async")).otherwise(F.col("_on"))).drop("_on", "_async")
+
+
+# Names of properties of the machine and the build tool, whose look-ups tell nothing.
+SYSTEM_PREFIXES = ["java.", "os.", "user.", "sun.", "file.", "awt.", "jdk.", "org.gradle.", "systemprop."]
+SYSTEM_NAMES = ["distributionurl", "distribution-url", "path.separator", "line.separator", "native.encoding"]
+
+
+def property_references(lines: DataFrame) -> DataFrame:
+    """type, name, default_value, required, expected_value, match_if_missing of the uses of properties in lines.
+
+    VALUE: ${name:default}; LOOKUP: getProperty("name", "default") and getenv("NAME"); CONDITION: conditional annotations.
+    A use without a default is required. Look-ups of the machine's own properties are left out."""
+    place, none = ["repo", "path", "line"], F.lit(None).cast("string")
+
+    def uses(pattern: str):
+        return lines.select(*place, F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)).alias("use"))
+
+    u = F.col("use")
+    value = uses(r"\$\{[^{}]+\}").select(*place, F.lit("VALUE").alias("type"), F.trim(F.regexp_extract(u, r"^\$\{([^:}]*)", 1)).alias("name"), F.when(u.contains(":"), F.regexp_extract(u, r"^\$\{[^:}]*:([^}]*)\}", 1)).alias("default_value"), none.alias("expected_value"), F.lit(None).cast("boolean").alias("match_if_missing"))
+    second = F.nullif(F.regexp_extract(u, r'"[^"]*"\s*,\s*"([^"]*)"', 1), F.lit(""))
+    look = uses(r'(?:getProperty|getRequiredProperty|getenv)\(\s*"[^"]+"(?:\s*,\s*"[^"]*")?').select(*place, F.lit("LOOKUP").alias("type"), F.trim(F.regexp_extract(u, r'"([^"]+)"', 1)).alias("name"), second.alias("default_value"), none.alias("expected_value"), F.lit(None).cast("boolean").alias("match_if_missing"))
+    low = F.lower("name")
+    look = look.where(~low.rlike("^(" + "|".join(p.replace(".", "[.]") for p in SYSTEM_PREFIXES) + ")") & ~low.isin(SYSTEM_NAMES))
+    text = lambda names: F.regexp_replace(attribute(u, names), '"', "")
+    prefix, key = text("prefix"), F.coalesce(F.nullif(text("name|value"), F.lit("")), F.regexp_extract(u, r'\(\s*"([^"]+)"', 1))
+    cond = uses(r"@ConditionalOnProperty\([^)]*\)").select(*place, F.lit("CONDITION").alias("type"), F.when(prefix != "", F.concat(F.regexp_replace(prefix, "[.]$", ""), F.lit("."), key)).otherwise(key).alias("name"), none.alias("default_value"), F.nullif(text("havingValue"), F.lit("")).alias("expected_value"), (text("matchIfMissing") == "true").alias("match_if_missing"))
+    required = F.when(F.col("type") == "CONDITION", ~F.col("match_if_missing")).otherwise(F.col("default_value").isNull())
+    return value.unionByName(look).unionByName(cond).where("name <> ''").withColumn("required", required)
 
 
 def best_base_url(endpoints: DataFrame, url_properties: DataFrame, least: int = 4) -> DataFrame:
-    """The URL property whose name tokens occur most in an endpoint's hint, only if better than the runner-up."""
-    tokens = lambda c: F.explode(F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= least)))
-    e = endpoints.select("endpoint", tokens(F.col("hint")).alias("token"))
-    u = url_properties.select("name", tokens(F.col("name")).alias("token"))
-    scores = e.join(u, "token").groupBy("endpoint", "name").agg(F.count("*").alias("score"))
-    order = Window.partitionBy("endpoint").orderBy(F.desc("score"), "name")
-    ranked = scores.withColumn("rn", F.row_number().over(order)).withColumn("next", F.lead("score").over(order))
-    return ranked.where("rn = 1 and (next is null or score > next)").select("endpoint", "name", "score")
+    """The URL property whose name tokens occur most often in an endpoint's hint, only if better than the runner-up.
+
+    Occurrences are counted per endpoint and token before the join. Names of the same tokens tie everywhere, so they go as one
+    that cannot win."""
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
+    e = endpoints.select("endpoint", F.explode(split(F.col("hint"))).alias("token")).groupBy("endpoint", "token").agg(F.count("*").alias("n"))
+    u = url_properties.select("name", F.array_sort(F.array_distinct(split(F.col("name")))).alias("tokens")).groupBy("tokens").agg(F.min("name").alias("name"), F.countDistinct("name").alias("names"))
+    scores = e.join(u.select("name", "names", F.explode("tokens").alias("token")), "token").groupBy("endpoint", "name", "names").agg(F.sum("n").alias("score"))
+    best = scores.groupBy("endpoint").agg(F.max("score").alias("score"))
+    first = scores.join(best, ["endpoint", "score"]).groupBy("endpoint", "score").agg(F.min("name").alias("name"), F.sum("names").alias("names"))
+    return first.where("names = 1").select("endpoint", "name", "score")
 
 
 def pick_version(candidates: DataFrame) -> DataFrame:
     """The first hit of the highest confidence per module."""
     rank = F.when(F.col("confidence") == "HIGH", 3).when(F.col("confidence") == "MEDIUM", 2).otherwise(1)
-    order = Window.partitionBy("module").orderBy(F.desc(rank), "seq")
-    return candidates.withColumn("rn", F.row_number().over(order)).where("rn = 1").drop("rn")
+    return rank_first(candidates, ["module"], [F.desc(rank), F.col("seq")])
+
 
+def flatten_json(df: DataFrame, json_col: str) -> DataFrame:
+    """Rows (all columns, key, value) of the leaves at any depth: dotted names, items as key[i], null as ''.
 
-def flatten_json(df: DataFrame, json_col: str, depth: int = 4) -> DataFrame:
-    """Rows (all columns, key, value) of the leaves: dotted names, items as key[i], null as ''; down to depth levels."""
-    level = df.withColumn("_key", F.lit("")).withColumn("_v", F.try_parse_json(F.col(json_col))).where("_v is not null")
-    out = None
-    keep = [c for c in df.columns]
-    for _ in range(depth):
+    Empty objects and lists have no leaves. Text that is not JSON gives one row with null for key and value. Each level is a round
+    that writes the nested values still open, so the number of rounds is the deepest nesting."""
+    keep, spark = list(df.columns), df.sparkSession
+    level = df.withColumn("_key", F.lit("")).withColumn("_v", F.try_parse_json(F.col(json_col)))
+    none = F.lit(None).cast("string")
+    parts = [cut(level.where("_v is null").select(*keep, none.alias("key"), none.alias("value")))]
+    level = level.where("_v is not null")
+    while True:
         kind = F.schema_of_variant("_v")
         nested = kind.startswith("OBJECT") | kind.startswith("ARRAY")
-        leaves = level.where(~nested).select(*keep, F.col("_key").alias("key"), F.coalesce(F.variant_get("_v", "$", "string"), F.lit("")).alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level.createOrReplaceTempView("_flatten_level")
-        level = df.sparkSession.sql(f"select {', '.join('l.`' + c + '`' for c in keep)}, case when e.key is null then concat(l._key, '[', e.pos, ']') when l._key = '' then e.key else concat(l._key, '.', e.key) end as _key, e.value as _v from _flatten_level l, lateral variant_explode(l._v) e")
-    kind = F.schema_of_variant("_v")
-    whole = F.when(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.to_json("_v")).otherwise(F.variant_get("_v", "$", "string"))
-    rest = level.select(*keep, F.col("_key").alias("key"), F.coalesce(whole, F.lit("")).alias("value"))
-    return out.unionByName(rest)
+        tagged = cut(level.select(*keep, "_key", F.col("_v").cast("string").alias("_text"), nested.alias("_nested")))
+        parts.append(cut(tagged.where("not _nested").select(*keep, F.col("_key").alias("key"), F.coalesce("_text", F.lit("")).alias("value"))))
+        if tagged.where("_nested").isEmpty():
+            return joined(parts)
+        inner = tagged.where("_nested").withColumn("_v", F.parse_json("_text")).lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_name", "_item"))
+        key = F.when(F.col("_name").isNull(), F.concat("_key", F.lit("["), "_pos", F.lit("]"))).when(F.col("_key") == "", F.col("_name")).otherwise(F.concat_ws(".", "_key", "_name"))
+        level = inner.select(*keep, key.alias("_key"), F.col("_item").alias("_v"))
 
 
-FINDING = "map<string,string>"
+def document_profile(flat: DataFrame, document: list[str], file_profile: str, keys=("spring.config.activate.on-profile", "spring.profiles")) -> DataFrame:
+    """flat (key, value, the document's columns and file_profile) with the column profile: the first of a comma list under the first
+    of the keys that the document sets, else what its file says."""
+    first = lambda k: F.max(F.when((F.col("key") == k) & (F.trim("value") != ""), F.col("value")))
+    named = flat.groupBy(*document).agg(F.nullif(F.trim(F.split(F.coalesce(*[first(k) for k in keys]), ",")[0]), F.lit("")).alias("_own"))
+    return flat.join(named, document, "left").withColumn("profile", F.coalesce("_own", file_profile)).drop("_own")
 
 
 def extract_findings(raw: DataFrame, column: str = "result") -> DataFrame:
-    """Findings of worker JSON: an array, {findings}, or {result: {findings}}; the first field present wins."""
-    wrapped = F.from_json(column, f"struct<findings:array<{FINDING}>,result:struct<findings:array<{FINDING}>>>")
-    plain = F.when(F.ltrim(F.col(column)).startswith("["), F.from_json(column, f"array<{FINDING}>"))
-    found = F.coalesce(plain, wrapped["findings"], wrapped["result"]["findings"])
-    rows = raw.select("repo", F.explode(found).alias("f"))
-    first = lambda *names: F.coalesce(*[F.nullif(F.col("f")[n], F.lit("")) for n in names])
-    return rows.select("repo", first("severity", "level").alias("severity"), first("ruleId", "rule", "ruleID").alias("rule_id"), first("sourceFile", "path", "location", "file").alias("path"), first("message", "title", "description").alias("message"))
+    """Findings of worker JSON: an array, {findings}, or either of them under result; the first field present wins.
 
+    Texts that are not JSON give none: see malformed_results."""
+    v = F.try_parse_json(F.col(column))
+    lists = [F.try_variant_get(v, path, "array<variant>") for path in ("$", "$.findings", "$.result", "$.result.findings", "$.result.result", "$.result.result.findings")]
+    rows = raw.select("repo", F.explode(F.coalesce(*lists)).alias("f")).where(F.schema_of_variant("f").startswith("OBJECT"))
+
+    def first(*paths: str) -> Column:
+        is_text = lambda p: F.when(F.schema_of_variant(F.try_variant_get("f", f"$.{p}", "variant")) == "STRING", F.try_variant_get("f", f"$.{p}", "string"))
+        return F.coalesce(*[F.nullif(is_text(p), F.lit("")) for p in paths])
+
+    return rows.select(
+        "repo", first("severity", "level").alias("severity"), first("ruleId", "rule", "ruleID", "rule.id").alias("rule_id"),
+        first("sourceFile", "path", "location", "file", "primaryLocation.sourceFile", "primaryLocation.path", "primaryLocation.file").alias("path"), first("message", "title", "description").alias("message"),
+    )
 
-def metadata_catalog(sources: DataFrame) -> DataFrame:
-    """name (lower case), type, deprecated, reason from metadata JSON; the source of the highest rank wins."""
-    item = "struct<name:string,type:string,deprecation:struct<reason:string>,deprecated:boolean>"
-    rows = sources.select("rank", F.explode(F.from_json("json", f"struct<properties:array<{item}>>")["properties"]).alias("p"))
-    rows = rows.select(F.lower("p.name").alias("name"), "rank", F.col("p.type").alias("type"), (F.coalesce("p.deprecated", F.lit(False)) | F.col("p.deprecation").isNotNull()).alias("deprecated"), F.col("p.deprecation.reason").alias("reason"))
-    last = Window.partitionBy("name").orderBy(F.desc("rank"))
-    return rows.withColumn("rn", F.row_number().over(last)).where("rn = 1").drop("rn", "rank")
 
+def malformed_results(raw: DataFrame, column: str = "result") -> DataFrame:
+    """Rows whose text is there and not JSON."""
+    return raw.where((F.trim(column) != "") & F.try_parse_json(F.col(column)).isNull())
 
-BUILD_MODEL = "struct<projects:array<struct<path:string,name:string>>,declaredDependencies:array<struct<configuration:string,group:string,artifact:string,version:string>>,resolvedDependencies:array<struct<configuration:string,group:string,artifact:string,version:string,direct:boolean>>,resolutionResults:array<struct<configuration:string,attempted:boolean,successful:boolean,message:string>>>"
+
+def metadata_catalog(sources: DataFrame) -> DataFrame:
+    """name (lower case), type, deprecated, reason, hints from metadata JSON; the source of the highest rank wins, in it the last entry.
+
+    hints: the values that the sources name for the property, without repeats, in order."""
+    item = "struct<name:string,type:string,deprecation:struct<reason:string>,deprecated:boolean>"
+    parsed = F.from_json("json", f"struct<properties:array<{item}>,hints:array<struct<name:string,values:array<struct<value:string>>>>>")
+    rows = sources.select("rank", F.posexplode(parsed["properties"]).alias("pos", "p"))
+    rows = rows.select(F.lower("p.name").alias("name"), "rank", "pos", F.col("p.type").alias("type"), (F.coalesce("p.deprecated", F.lit(False)) | F.col("p.deprecation").isNotNull()).alias("deprecated"), F.col("p.deprecation.reason").alias("reason"))
+    hints = sources.select(F.explode(parsed["hints"]).alias("h")).select(F.lower("h.name").alias("name"), F.explode("h.values").alias("v"))
+    hints = hints.groupBy("name").agg(F.array_sort(F.collect_set("v.value")).alias("hints"))
+    best = rank_first(rows.where("name is not null"), ["name"], [F.desc("rank"), F.desc("pos"), F.col("type")]).drop("rank", "pos")
+    return best.join(hints, "name", "left")
+
+
+_OF = "projectPath:string,configuration:string,group:string,artifact:string"
+#: Table of a build-model report: the report's field, and the fields of its items.
+BUILD_TABLES = {
+    "projects": ("projects", "path:string,name:string,projectDir:string"),
+    "plugins": ("plugins", "projectPath:string,pluginId:string,implementationClass:string"),
+    "repositories": ("repositories", "projectPath:string,name:string,type:string,url:string"),
+    "configurations": ("configurations", "projectPath:string,name:string,resolvable:boolean,consumable:boolean,dependencyCount:int,extendsFrom:array<string>"),
+    "declared": ("declaredDependencies", f"{_OF},version:string,notation:string"),
+    "resolved": ("resolvedDependencies", f"{_OF},version:string,direct:boolean,selectedReason:string"),
+    "results": ("resolutionResults", "projectPath:string,configuration:string,attempted:boolean,successful:boolean,fallbackUsed:boolean,errorType:string,errorMessage:string,resolvedDependencyCount:int"),
+    "conflicts": ("dependencyConflicts", f"{_OF},requestedVersions:array<string>,selectedVersion:string"),
+    "source_sets": ("sourceSets", "projectPath:string,name:string,javaDirs:array<string>,resourceDirs:array<string>"),
+    "tasks": ("tasks", "projectPath:string,name:string,group:string,description:string"),
+    "toolchains": ("javaToolchains", "projectPath:string,languageVersion:string,vendor:string,implementation:string"),
+}
 
 
 def build_model_tables(reports: DataFrame, column: str = "json") -> dict[str, DataFrame]:
-    """Tables projects, declared, resolved, results of build-model reports, one row per array item."""
-    parsed = reports.select("repo", F.from_json(column, BUILD_MODEL).alias("m"))
-    fields = {"projects": "projects", "declared": "declaredDependencies", "resolved": "resolvedDependencies", "results": "resolutionResults"}
-    return {k: parsed.select("repo", F.explode(f"m.{f}").alias("x")).select("repo", "x.*") for k, f in fields.items()}
+    """A table for each kind of item of build-model reports, one row per item, with the repo; see BUILD_TABLES."""
+    return {name: reports.select("repo", F.explode(F.from_json(column, f"struct<{field}:array<struct<{item}>>>")[field]).alias("x")).select("repo", "x.*") for name, (field, item) in BUILD_TABLES.items()}

@@ -1,14 +1,14 @@
 """Dependency graph: declarations, resolution, closure, impact, cycles, levels, hashes.
 
-Edges are (src, dst): src depends on dst. Loops run on the driver over whole rounds only; each round's table is
-written to the shared folder, and a round limit raises instead of cutting a result short."""
+Edges are (src, dst): src depends on dst. Loops run on the driver over whole rounds only and have no limit on rounds;
+each round writes only what is new to the shared folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.storage import cut
+from corpusmill.functions.storage import cut, discard, joined
 
 
 def is_dynamic(version: Column) -> Column:
@@ -16,44 +16,122 @@ def is_dynamic(version: Column) -> Column:
     return (v == "") | v.rlike(r"[$+\[\](),]") | F.upper(v).isin("LATEST", "RELEASE")
 
 
-def dependency_declarations(lines: DataFrame) -> DataFrame:
-    """group, artifact, version of the quoted coordinates g:a[:v] in lines."""
-    found = lines.select("repo", "path", "line", F.explode(F.regexp_extract_all("text", F.lit("['\"]([A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+(?::[^'\":]+)?)['\"]"), 1)).alias("coordinate"))
+def dependency_declarations(lines: DataFrame, catalog: DataFrame | None = None, catalog_name: str = "libs") -> DataFrame:
+    """kind, project_path, group, artifact, version, dynamic of what lines declare: quoted coordinates g:a[:v], project
+    references project(':a:b'), and catalogue aliases libs.x.y by the table catalog (alias, group, artifact, version).
+
+    An alias that the catalogue does not have is dynamic and without coordinates; libs.versions and libs.bundles are none."""
+    place, none = ["repo", "path", "line"], F.lit(None).cast("string")
+    found = lines.select(*place, F.explode(F.regexp_extract_all("text", F.lit("['\"]([A-Za-z0-9_.-]+:[A-Za-z0-9_.-]+(?::[^'\":]+)?)['\"]"), 1)).alias("coordinate"))
     parts = F.split("coordinate", ":")
-    rows = found.select("repo", "path", "line", parts[0].alias("group"), parts[1].alias("artifact"), F.try_element_at(parts, F.lit(3)).alias("version"))
-    return rows.withColumn("dynamic", is_dynamic(F.col("version")))
+    rows = found.select(*place, F.lit("COORDINATE").alias("kind"), none.alias("project_path"), parts[0].alias("group"), parts[1].alias("artifact"), F.try_element_at(parts, F.lit(3)).alias("version"))
+    refs = lines.select(*place, F.explode(F.regexp_extract_all("text", F.lit("project\\s*\\(\\s*(?:path\\s*[:=]\\s*)?['\"]([^'\"]+)['\"]"), 1)).alias("p"))
+    path = F.regexp_replace(F.concat(F.lit(":"), "p"), "^:+", ":")
+    rows = rows.unionByName(refs.select(*place, F.lit("PROJECT").alias("kind"), path.alias("project_path"), none.alias("group"), none.alias("artifact"), none.alias("version")))
+    if catalog is not None:
+        alias = lambda c: F.regexp_replace(F.lower(c), "[_-]", ".")
+        used = lines.select(*place, F.explode(F.regexp_extract_all("text", F.lit(rf"\b{catalog_name}\.([A-Za-z_][A-Za-z0-9_.-]*)"), 1)).alias("a")).where("a not like 'versions.%' and a not like 'bundles.%'")
+        known = catalog.select(alias(F.col("alias")).alias("k"), "group", "artifact", "version")
+        rows = rows.unionByName(used.join(known, alias(F.col("a")) == F.col("k"), "left").select(*place, F.lit("ALIAS").alias("kind"), none.alias("project_path"), "group", "artifact", "version"))
+    return rows.withColumn("dynamic", (F.col("kind") != "PROJECT") & is_dynamic(F.col("version")))
+
+
+def _candidates(decls: DataFrame, modules: DataFrame, key: list[str], name: str) -> DataFrame:
+    """decls with {name}_n, how many modules have the key, and {name}_m, the one to take: of several those of the
+    declaration's build system if there are any, then one if all lie at one path of one repo; else null."""
+    spot = F.countDistinct(F.struct("repo", "path"))
+    known = modules.where(" and ".join(f"`{k}` is not null" for k in key))
+    every = known.groupBy(*key).agg(F.count("*").alias("_n"), F.min("module").alias("_m"), spot.alias("_s"), F.count("version").alias("_v"))
+    kin = known.groupBy(*key, "build_system").agg(F.count("*").alias("_kn"), F.min("module").alias("_km"), spot.alias("_ks"))
+    rows = decls.join(every, key, "left").join(kin, [*key, "build_system"], "left")
+    own = (F.col("_n") > 1) & (F.col("_kn") > 0)
+    n, m, s = (F.when(own, F.col(f"_k{c}")).otherwise(F.col(f"_{c}")) for c in "nms")
+    rows = rows.withColumn(f"{name}_n", F.coalesce("_n", F.lit(0))).withColumn(f"{name}_m", F.when((n == 1) | (s == 1), m)).withColumn(f"{name}_v", F.coalesce("_v", F.lit(0)))
+    return rows.drop("_n", "_m", "_s", "_v", "_kn", "_km", "_ks")
 
 
 def resolve_dependencies(decls: DataFrame, modules: DataFrame) -> DataFrame:
-    """resolution and module of each declaration (decl, group, artifact, version, dynamic).
-
-    Exact coordinates first. A fixed version that no module has is local only if the one module of that group and
-    artifact has no version; a missing or dynamic version takes the one module there is. Several modules leave it
-    unresolved, none makes it external, or unresolved when the declaration is dynamic."""
-    exact = modules.where("version is not null").groupBy("group", "artifact", "version").agg(F.count("*").alias("n3"), F.min("module").alias("m3"))
-    loose = modules.groupBy("group", "artifact").agg(F.count("*").alias("n2"), F.min("module").alias("m2"), F.count("version").alias("with_version"))
-    rows = decls.join(exact, ["group", "artifact", "version"], "left").join(loose, ["group", "artifact"], "left")
-    fixed = ~F.col("dynamic")
+    """resolution and module of each declaration (decl, repo, build_system, target, project_path, group, artifact, version, dynamic).
+
+    In turn: an explicit target; a project path in the same repo, else its last part as a project's name; exact
+    coordinates; group and artifact. A fixed version that no module has is local only if the one module of that group and
+    artifact has no version. Candidates that stay several are unresolved; none is external, or unresolved if dynamic."""
+    rows = decls.withColumn("project_name", F.regexp_extract("project_path", "([^:]*)$", 1))
+    rows = rows.join(modules.select(F.col("module").alias("_target")).distinct(), F.col("target") == F.col("_target"), "left")
+    for key, name in ((["repo", "project_path"], "p"), (["project_name"], "q"), (["group", "artifact", "version"], "e"), (["group", "artifact"], "l")):
+        rows = _candidates(rows, modules, key, name)
+    fixed = F.col("version").isNotNull() & ~F.col("dynamic")
+    open_ = F.when(F.col("dynamic"), "UNRESOLVED").otherwise("EXTERNAL")
+
+    def take(name: str, other: Column) -> Column:
+        return F.when(F.col(f"{name}_m").isNotNull(), "LOCAL").when(F.col(f"{name}_n") > 0, "UNRESOLVED").otherwise(other)
+
+    path = F.col("project_path").isNotNull()
+    whole = F.col("group").isNotNull() & F.col("artifact").isNotNull()
+    fits = (F.col("l_n") == 1) & (F.col("l_v") == 0)
     resolution = (
-        F.when(fixed & (F.col("n3") == 1), "LOCAL").when(fixed & (F.col("n3") > 1), "UNRESOLVED")
-        .when(fixed & (F.col("n2") == 1) & (F.col("with_version") == 0), "LOCAL").when(fixed, "EXTERNAL")
-        .when(F.col("n2") == 1, "LOCAL").otherwise("UNRESOLVED")
+        F.when(F.col("_target").isNotNull(), "LOCAL").when(F.col("target").isNotNull(), "UNRESOLVED").when(path & (F.col("p_n") > 0), take("p", open_)).when(path, take("q", open_)).when(~whole, "UNRESOLVED")
+        .when(fixed & (F.col("e_n") > 0), take("e", open_)).when(fixed & (F.col("l_n") > 0), F.when(fits, "LOCAL").otherwise("EXTERNAL")).otherwise(take("l", open_))
     )
-    module = F.when(resolution == "LOCAL", F.coalesce(F.when(fixed & (F.col("n3") == 1), F.col("m3")), F.col("m2")))
-    return rows.select("decl", "group", "artifact", "version", resolution.alias("resolution"), module.alias("module"))
-
-
-def inherit_coordinates(modules: DataFrame, rounds: int = 32) -> DataFrame:
-    """module, group, version with what the parent chain has where a module says nothing; a cycle of parents gives nothing."""
-    up = modules.select(F.col("module").alias("_p"), F.col("parent").alias("_pp"), F.col("group").alias("_g"), F.col("version").alias("_v"))
-    work = modules.select("module", "parent", "group", "version")
-    for _ in range(rounds):
-        need = F.col("parent").isNotNull() & (F.col("group").isNull() | F.col("version").isNull())
-        if work.where(need).isEmpty():
-            break
-        step = work.join(up, F.col("parent") == F.col("_p"), "left")
-        work = cut(step.select("module", F.when(need, F.col("_pp")).alias("parent"), F.when(need, F.coalesce("group", "_g")).otherwise(F.col("group")).alias("group"), F.when(need, F.coalesce("version", "_v")).otherwise(F.col("version")).alias("version")))
-    return work.select("module", "group", "version")
+    found = (
+        F.when(F.col("target").isNotNull(), F.col("_target")).when(path & (F.col("p_n") > 0), F.col("p_m")).when(path, F.col("q_m")).when(~whole, None)
+        .when(fixed & (F.col("e_n") > 0), F.col("e_m")).otherwise(F.col("l_m"))
+    )
+    return rows.select("decl", "project_path", "group", "artifact", "version", resolution.alias("resolution"), F.when(resolution == "LOCAL", found).alias("module"))
+
+
+def parent_links(modules: DataFrame) -> DataFrame:
+    """module, parent: the module at parent_path in the same repo, else the one module with the declared parent_group and parent_artifact."""
+    at = modules.select("repo", F.col("path").alias("parent_path"), F.col("module").alias("_at"))
+    only = modules.where("`group` is not null and artifact is not null").groupBy(F.col("group").alias("parent_group"), F.col("artifact").alias("parent_artifact")).agg(F.count("*").alias("_n"), F.min("module").alias("_only")).where("_n = 1")
+    rows = modules.join(at, ["repo", "parent_path"], "left").join(only, ["parent_group", "parent_artifact"], "left")
+    link = lambda c: F.when(F.col(c) != F.col("module"), F.col(c))
+    return rows.select("module", F.coalesce(link("_at"), link("_only")).alias("parent"))
+
+
+def parent_cycles(modules: DataFrame) -> DataFrame:
+    """node: the modules on a cycle of parents, by pointer doubling: after as many steps as there are modules, only these are reached."""
+    jump = cut(modules.where("parent is not null").select("module", "parent"))
+    steps, n = 1, jump.count()
+    while steps < n:
+        far = jump.select(F.col("module").alias("_m"), F.col("parent").alias("_p"))
+        new = cut(jump.join(far, F.col("parent") == F.col("_m")).select("module", F.col("_p").alias("parent")))
+        discard(jump)
+        jump, steps = new, steps * 2
+    return jump.select(F.col("parent").alias("node")).distinct()
+
+
+def ancestors(modules: DataFrame) -> DataFrame:
+    """module, ancestor, depth up the parents, by doubling; a module on a cycle of parents has none."""
+    links = modules.where("parent is not null").select("module", "parent")
+    links = cut(links.join(parent_cycles(modules).withColumnRenamed("node", "module"), "module", "left_anti"))
+    known, far = [cut(links.select("module", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")))], 1
+    while True:
+        whole = joined(known)
+        last = whole.where(F.col("depth") == far).select(F.col("module").alias("_m"), F.col("ancestor").alias("_mid"))
+        step = last.join(whole.select(F.col("module").alias("_mid"), "ancestor", "depth"), "_mid").select(F.col("_m").alias("module"), "ancestor", (F.col("depth") + far).alias("depth"))
+        new = cut(step)
+        if new.isEmpty():
+            return whole
+        known, far = [*known, new], far * 2
+
+
+def inherit_coordinates(modules: DataFrame) -> DataFrame:
+    """module, group, version with what the nearest parent has where a module says nothing; in_cycle: whether its parents
+    run in a circle that it lies on, so that it inherits nothing."""
+    up = cut(ancestors(modules).unionByName(modules.select("module", F.col("module").alias("ancestor"), F.lit(0).alias("depth"))))
+    own = modules.select(F.col("module").alias("ancestor"), "group", "version")
+    near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
+    held = up.join(own, "ancestor").groupBy("module").agg(near("group"), near("version"))
+    bad = parent_cycles(modules).select(F.col("node").alias("module"), F.lit(True).alias("_bad"))
+    return held.join(bad, "module", "left").select("module", "group", "version", F.coalesce("_bad", F.lit(False)).alias("in_cycle"))
+
+
+def managed_versions(modules: DataFrame, managed: DataFrame) -> DataFrame:
+    """module, group, artifact, version that hold for each module: its own managed rows (module, group, artifact, version), else the nearest parent's."""
+    up = ancestors(modules).unionByName(modules.select("module", F.col("module").alias("ancestor"), F.lit(0).alias("depth")))
+    rows = up.join(managed.withColumnRenamed("module", "ancestor"), "ancestor")
+    return rows.groupBy("module", "group", "artifact").agg(F.min_by("version", "depth").alias("version"))
 
 
 def duplicate_modules(modules: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -65,24 +143,35 @@ def repo_edges(deps: DataFrame) -> DataFrame:
     return deps.where("resolution = 'LOCAL' and src_repo <> dst_repo").select("src_repo", "dst_repo").distinct()
 
 
-def reach(edges: DataFrame, start: DataFrame, rounds: int = 200) -> DataFrame:
-    """(origin, node) pairs that the pairs in start lead to along edges, start's own pairs included; semi-naive."""
-    known = cut(start.select("origin", "node").distinct())
-    frontier = known
-    for _ in range(rounds):
-        step = frontier.join(edges, frontier.node == edges.src).select("origin", F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(known, ["origin", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = cut(known.unionByName(frontier))
-    raise RuntimeError(f"still growing after {rounds} rounds")
+def reach(edges: DataFrame, start: DataFrame) -> DataFrame:
+    """(origin, node) pairs that the pairs in start lead to along edges, start's own pairs included; semi-naive.
+
+    Each round writes its new pairs only; what is known is all rounds' tables read together."""
+    parts = [cut(start.select("origin", "node").distinct())]
+    while True:
+        step = parts[-1].join(edges, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
+        new = cut(step.join(joined(parts), ["origin", "node"], "left_anti"))
+        if new.isEmpty():
+            return joined(parts)
+        parts.append(new)
 
 
 def dependency_closure(edges: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(src, dst) of all transitive dependencies, of the targets (column src) or of all; a node is not its own."""
+    """(src, dst) of all transitive dependencies, of the targets (column src) or of all; a node is not its own.
+
+    Of all: by doubling, so a chain of n takes some log n rounds."""
     edges = cut(edges.select("src", "dst").distinct())
-    first = edges if targets is None else edges.join(targets, "src", "left_semi")
-    return reach(edges, first.select(F.col("src").alias("origin"), F.col("dst").alias("node"))).select(F.col("origin").alias("src"), F.col("node").alias("dst")).where("src <> dst")
+    if targets is not None:
+        first = edges.join(targets.select("src").distinct(), "src", "left_semi")
+        found = reach(edges, first.select(F.col("src").alias("origin"), F.col("dst").alias("node")))
+        return found.select(F.col("origin").alias("src"), F.col("node").alias("dst")).where("src <> dst")
+    known = edges
+    while True:
+        step = known.select("src", F.col("dst").alias("_mid")).join(known.select(F.col("src").alias("_mid"), "dst"), "_mid").select("src", "dst").distinct()
+        new = cut(step.join(known, ["src", "dst"], "left_anti"))
+        if new.isEmpty():
+            return known.where("src <> dst")
+        known = joined([known, new])
 
 
 def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -95,71 +184,79 @@ def impact(edges: DataFrame, changed: DataFrame) -> DataFrame:
     return every.join(direct.withColumn("d", F.lit(1)), "node", "left").select("node", F.when(F.col("d") == 1, "DIRECT").otherwise("TRANSITIVE").alias("kind"))
 
 
-def cycle_groups(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """edges (a table of cut()) without those at nodes that have no edge in or none out, over and over."""
+    n = edges.count()
+    while n:
+        kept = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        left = kept.count()
+        if left == n:
+            break
+        discard(edges)
+        edges, n = kept, left
+    return edges
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
     """(node, component) of nodes on a cycle; the component is its smallest node.
 
-    Nodes without an edge in or out are trimmed until none is left; on the rest, nodes take the smallest label that
-    reaches them and split off those that reach back, until all are placed."""
+    Nodes without an edge in or out are trimmed until none is left. On the rest, nodes take the smallest label that
+    reaches them and split off those that reach back; all labels' groups of a round are placed at once, until none is left."""
     edges = cut(edges.select("src", "dst").distinct())
     loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    left = edges.where("src <> dst")
-    for _ in range(rounds):
-        kept = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == left.count():
-            break
-        left = kept
-    else:
-        raise RuntimeError("trimming did not end")
-    out = None
-    for _ in range(rounds):
-        if left.isEmpty():
-            break
+    left, out = _trimmed(cut(edges.where("src <> dst"))), []
+    while not left.isEmpty():
         colour = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
-        colour = _spread(left, cut(colour), rounds)
+        colour = _spread(left, cut(colour))
         inner = left.join(colour.select(F.col("node").alias("src"), F.col("colour").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("b")), "dst").where("a = b")
-        back = cut(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("a").alias("origin")))
-        found = reach(back.select("src", "dst"), colour.where("node = colour").select(F.col("colour").alias("origin"), "node"))
-        found = cut(found.join(colour.select("node", F.col("colour").alias("origin")), ["node", "origin"]))
-        sized = found.groupBy("origin").agg(F.count("*").alias("n")).where("n > 1").select("origin")
-        part = found.join(sized, "origin").select("node", F.col("origin").alias("component"))
-        out = part if out is None else out.unionByName(part)
-        gone = found.select("node")
-        left = cut(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst"))
-    if out is None:
+        back = cut(inner.select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # edges stay within a colour
+        found = cut(reach(back, colour.where("node = colour").select(F.col("colour").alias("origin"), "node")))
+        out.append(cut(found.select("node", F.col("origin").alias("component"))))
+        gone = found.select("node").distinct()
+        left = _trimmed(cut(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")))
+    if not out:
         return loops
-    named = out.groupBy("component").agg(F.min("node").alias("least"))
-    out = out.join(named, "component").select("node", F.col("least").alias("component"))
-    return out.unionByName(loops.join(out.select("node"), "node", "left_anti"))
+    whole = joined(out)
+    sized = whole.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    groups = whole.join(sized, "component").select("node", F.col("least").alias("component"))
+    return groups.unionByName(loops.join(groups.select("node"), "node", "left_anti"))
 
 
-def _spread(edges: DataFrame, colour: DataFrame, rounds: int) -> DataFrame:
+def cycle_owners(groups: DataFrame, owners: DataFrame) -> DataFrame:
+    """component, nodes, and the distinct repos (node, repo) that its nodes belong to, one row a repo."""
+    sizes = groups.groupBy("component").agg(F.count("*").alias("nodes"))
+    return groups.join(owners, "node").select("component", "repo").distinct().join(sizes, "component")
+
+
+def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
     """The smallest node that reaches each node."""
-    for _ in range(rounds):
-        step = edges.join(colour, edges.src == colour.node).groupBy("dst").agg(F.min("colour").alias("c"))
-        new = cut(colour.join(step, colour.node == step.dst, "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour")))
+    while True:
+        step = edges.join(colour, F.col("src") == F.col("node")).groupBy("dst").agg(F.min("colour").alias("c"))
+        new = cut(colour.join(step, F.col("node") == F.col("dst"), "left").select("node", F.least("colour", F.coalesce("c", "colour")).alias("colour")))
         if new.join(colour, ["node", "colour"], "left_anti").isEmpty():
             return new
+        discard(colour)
         colour = new
-    raise RuntimeError("colours did not settle")
 
 
-def dependency_levels(edges: DataFrame, rounds: int = 500) -> DataFrame:
+def dependency_levels(edges: DataFrame) -> DataFrame:
     """(node, level): every dependency is on a lower level; a cycle's nodes share their component's level."""
     edges = cut(edges.select("src", "dst").distinct())
     comp = cut(cycle_groups(edges))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     named = cut(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
     flat = edges.join(named.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(named.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs <> cd").select("cs", "cd").distinct()
-    left, todo, level, out = cut(flat), cut(named.select("c").distinct()), 0, None
-    while not todo.isEmpty():
-        if level > rounds:
-            raise RuntimeError("levels did not end")
-        ready = cut(todo.join(left.select(F.col("cs").alias("c")).distinct(), "c", "left_anti").withColumn("level", F.lit(level)))
-        out = ready if out is None else out.unionByName(ready)
-        todo = cut(todo.join(ready.select("c"), "c", "left_anti"))
-        left = cut(left.join(ready.select(F.col("c").alias("cd")), "cd", "left_anti").select("cs", "cd"))
-        level += 1
-    return named.join(out, "c").select("node", "level")
+    left, level, out = cut(flat), 0, []
+    every = named.select("c").distinct()
+    while True:
+        placed = joined(out).select("c") if out else every.limit(0)
+        ready = cut(every.join(left.select(F.col("cs").alias("c")).distinct(), "c", "left_anti").join(placed, "c", "left_anti").withColumn("level", F.lit(level)))
+        if ready.isEmpty():
+            return named.join(joined(out), "c").select("node", "level") if out else named.select("node", F.lit(0).alias("level"))
+        out.append(ready)
+        new = cut(left.join(ready.select(F.col("c").alias("cd")), "cd", "left_anti").select("cs", "cd"))
+        discard(left)
+        left, level = new, level + 1
 
 
 def effective_hash(nodes: DataFrame, closure: DataFrame) -> DataFrame:
@@ -186,6 +283,11 @@ def resolution_summary(results: DataFrame) -> DataFrame:
     return results.groupBy("configuration").agg(F.count("*").alias("attempted"), F.count_if("ok").alias("succeeded"), (~F.bool_or("ok")).alias("nothing_resolved"))
 
 
+def failed_resolutions(results: DataFrame) -> DataFrame:
+    """configuration, message, n of the failed rows, whatever their message."""
+    return results.where("not ok").groupBy("configuration", F.coalesce(F.nullif(F.trim("message"), F.lit("")), F.lit("no message")).alias("message")).agg(F.count("*").alias("n"))
+
+
 def graph_diagnostics(unresolved: DataFrame, duplicates: DataFrame, cycles: DataFrame) -> DataFrame:
     """code, subject, n over the three kinds of trouble; repeats are counted."""
     rows = [d.select(F.lit(code).alias("code"), F.col(d.columns[0]).cast("string").alias("subject")) for code, d in (("UNRESOLVED", unresolved), ("DUPLICATE", duplicates), ("CYCLE", cycles))]

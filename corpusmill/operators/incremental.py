@@ -13,9 +13,16 @@ def file_manifest(files: DataFrame) -> DataFrame:
 
 
 def tree_hash(manifest: DataFrame) -> DataFrame:
-    """One hash per repo over its sorted files; only hashes meet in a group, never contents."""
-    item = F.concat_ws("\t", F.col("path").cast("string"), F.col("size").cast("string"), "sha256")
-    return manifest.groupBy("repo").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(item))), 256).alias("content_hash"))
+    """One hash per repo over its files; only hashes meet in a group, never contents.
+
+    Files are hashed in 65,536 buckets by the hash of their path, these in 256, these as one, so that no list grows
+    with more than a small part of a repo."""
+    path = F.sha2(F.col("path").cast("string"), 256)
+    rows = manifest.select("repo", F.substring(path, 1, 4).alias("b"), F.concat_ws("\t", F.col("path").cast("string"), F.col("size").cast("string"), "sha256").alias("item"))
+    whole = lambda: F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list("item"))), 256)
+    for length in (2, 0):
+        rows = rows.groupBy("repo", "b").agg(whole().alias("h")).select("repo", F.substring("b", 1, length).alias("b"), F.concat_ws("\t", "b", "h").alias("item"))
+    return rows.groupBy("repo").agg(whole().alias("content_hash"))
 
 
 def manifest_diff(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -32,12 +39,17 @@ def result_key(repos: DataFrame, mode: str, ruleset_hash: str, engine_version: s
     return repos.withColumn("result_key", F.sha2(F.concat(*[F.concat(F.length(p).cast("string"), F.lit(":"), p) for p in parts]), 256))
 
 
-def incremental_audit(current: DataFrame, stored: DataFrame, files: DataFrame, audit: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Findings of all repos in current (repo, result_key): stored ones where the key is stored, else audited anew."""
-    hits = stored.join(current, ["repo", "result_key"], "left_semi").drop("result_key")
+def incremental_audit(current: DataFrame, stored: DataFrame, files: DataFrame, audit: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(findings, failures) of all repos in current (repo, result_key): stored findings where the key is stored, else audited anew.
+
+    audit gives findings and failures (repo, error) of files. A failed repo has its error and no findings, and the others
+    keep theirs. A repo stored without findings is in stored with a null rule."""
+    hits = stored.join(current, ["repo", "result_key"], "left_semi").drop("result_key").where("rule_id is not null")
     known = stored.select("repo", "result_key").distinct()
     misses = current.join(known, ["repo", "result_key"], "left_anti").select("repo")
-    return hits.unionByName(audit(files.join(misses, "repo", "left_semi")))
+    found, failures = audit(files.join(misses, "repo", "left_semi"))
+    failures = failures.groupBy("repo").agg(F.min("error").alias("error"))
+    return hits.unionByName(found.join(failures, "repo", "left_anti")), failures
 
 
 def dependency_context(closure: DataFrame, facts: DataFrame) -> DataFrame:

@@ -32,6 +32,13 @@ def sanitize_urls(df: DataFrame, column: str = "url", keys: str = "token|key|sec
     return df.withColumn("safe_url", F.regexp_replace(safe, "://[^/@]*@", "://"))
 
 
+def sanitize_remotes(df: DataFrame, column: str = "remote") -> DataFrame:
+    """Remotes without user info, query and fragment: as URLs, or as host:path."""
+    bare = F.regexp_replace(F.trim(column), "[?#].*$", "")
+    bare = F.regexp_replace(F.regexp_replace(bare, "://[^/@]*@", "://"), r"^[^/@:\s]+@([^/:]+:)", "$1")
+    return df.withColumn("safe_remote", bare)
+
+
 def surface_summary(inbound: DataFrame, outbound: DataFrame) -> DataFrame:
     """One row per repo: endpoints in and out, distinct base paths and hosts over both."""
     rows = inbound.select("repo", "host", "base_path", F.lit(1).alias("i"), F.lit(0).alias("o")).unionByName(outbound.select("repo", "host", "base_path", F.lit(0).alias("i"), F.lit(1).alias("o")))
@@ -43,9 +50,23 @@ def exposures(properties: DataFrame) -> DataFrame:
     return properties.select("name", F.explode(F.split("value", r"\s*,\s*")).alias("endpoint")).where("endpoint <> ''")
 
 
-def web_stack(facts: DataFrame) -> DataFrame:
-    """stack of each module from its facts' kinds: servlet before reactive, then routes, framework, controllers."""
+EXPLICIT_STACKS = {"servlet": "SERVLET", "reactive": "REACTIVE", "none": "NON_WEB"}
+
+
+def web_stack(facts: DataFrame, explicit: DataFrame | None = None) -> DataFrame:
+    """stack and reason of each module. An explicit type (module, type) wins; then its facts' kinds: servlet before reactive, then
+    routes, framework, controllers."""
     flag = lambda k: F.bool_or(F.col("kind") == k)
     held = facts.groupBy("module").agg(flag("servlet").alias("s"), flag("reactive").alias("r"), flag("route").alias("u"), flag("framework").alias("f"), flag("controller").alias("c"))
-    stack = F.when(F.col("s"), "SERVLET").when(F.col("r") | F.col("u"), "REACTIVE").when(F.col("f"), "NON_WEB").when(F.col("c"), "SERVLET").otherwise("UNKNOWN")
-    return held.select("module", stack.alias("stack"))
+    given = F.lit(None).cast("string")
+    if explicit is not None:
+        one = explicit.groupBy("module").agg(F.min(F.lower(F.trim("type"))).alias("_type"))
+        held = held.join(one, "module", "full_outer")
+        given = F.create_map(*[F.lit(x) for kv in EXPLICIT_STACKS.items() for x in kv])[F.col("_type")]
+    steps = [
+        (given.isNotNull(), given, "configured"), (F.col("s") & F.col("r"), "SERVLET", "both stacks are present and servlet comes first"), (F.col("s"), "SERVLET", "servlet stack is present"),
+        (F.col("r"), "REACTIVE", "reactive stack is present"), (F.col("u"), "REACTIVE", "routing functions are present"), (F.col("f"), "NON_WEB", "framework without a web stack"),
+        (F.col("c"), "SERVLET", "controllers are present"),
+    ]
+    pick = lambda i, rest: F.coalesce(*[F.when(s[0], s[i] if not isinstance(s[i], str) else F.lit(s[i])) for s in steps], F.lit(rest))
+    return held.select("module", pick(1, "UNKNOWN").alias("stack"), pick(2, "no evidence").alias("reason"))

@@ -11,38 +11,92 @@ from corpusmill.plans.bindings import COORD, closure_sql, coords, edges, edges_s
 DAG, CYC = 0.005, 0.015
 
 
-@plan("d1_dependency_declarations", """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 5 = 0 THEN ':1.+' ELSE concat(':', p_size) END AS v, replace(p_name, ' ', '-') AS artifact, replace(p_brand, '#', '-') AS g FROM part)
-SELECT p_partkey AS path, g AS "group", artifact, nullif(substr(v, 2), '') AS version, v IN ('', ':1.+') AS dynamic FROM p""")
+@plan("d1_dependency_declarations", """WITH p AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN '' WHEN p_size % 5 = 0 THEN ':1.+' ELSE concat(':', p_size) END AS v, replace(p_name, ' ', '-') AS artifact, replace(p_brand, '#', '-') AS g, concat(split_part(p_name, ' ', 1), '-', p_size % 4) AS al FROM part),
+c AS (SELECT DISTINCT replace(al, '-', '.') AS k, concat('grp.', split_part(al, '-', 1)) AS g, al AS a, CASE WHEN ends_with(al, '1') THEN NULL ELSE '2.0' END AS v FROM p WHERE NOT ends_with(al, '3'))
+SELECT p_partkey AS path, 'COORDINATE' AS kind, NULL AS project_path, g AS "group", artifact, nullif(substr(v, 2), '') AS version, v IN ('', ':1.+') AS dynamic FROM p
+UNION ALL SELECT p_partkey, 'PROJECT', concat(':mod:', artifact), NULL, NULL, NULL, false FROM p WHERE p_partkey % 2 = 0
+UNION ALL SELECT p_partkey, 'ALIAS', NULL, c.g, c.a, c.v, c.v IS NULL FROM p LEFT JOIN c ON c.k = replace(al, '-', '.') WHERE p_partkey % 5 = 0""")
 def _(spark, d):
     p = load(spark, d, "part")
     v = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 5 == 0, ":1.+").otherwise(F.concat(F.lit(":"), "p_size"))
-    text = F.concat(F.lit("implementation '"), F.regexp_replace("p_brand", "#", "-"), F.lit(":"), F.regexp_replace("p_name", " ", "-"), v, F.lit("'"))
+    artifact, alias = F.regexp_replace("p_name", " ", "-"), F.concat(F.split("p_name", " ")[0], F.lit("-"), F.col("p_size") % 4)
+    project = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' project(path: ":mod:'), artifact, F.lit('")'))).otherwise("")
+    used = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" implementation(libs."), alias, F.lit(") libs.versions.x"))).otherwise("")
+    text = F.concat(F.lit("implementation '"), F.regexp_replace("p_brand", "#", "-"), F.lit(":"), artifact, v, F.lit("'"), project, used)
     rows = p.select(F.lit("r").alias("repo"), F.col("p_partkey").alias("path"), F.lit(1).alias("line"), text.alias("text"))
-    return g.dependency_declarations(rows).select("path", "group", "artifact", "version", "dynamic")
+    catalog = p.select(alias.alias("artifact")).where(~F.col("artifact").endswith("3")).distinct()
+    catalog = catalog.select(F.regexp_replace("artifact", "-", "_").alias("alias"), F.concat(F.lit("grp."), F.split("artifact", "-")[0]).alias("group"), "artifact", F.when(~F.col("artifact").endswith("1"), "2.0").alias("version"))
+    return g.dependency_declarations(rows, catalog).select("path", "kind", "project_path", "group", "artifact", "version", "dynamic")
 
 
 def declarations(spark, d):
-    li = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("decl"), F.col("l_partkey").alias("module"), "l_linenumber")
-    rows = li.join(load(spark, d, "part").select(F.col("p_partkey").alias("module"), F.col("p_brand").alias("group"), F.col("p_name").alias("artifact"), "p_size"), "module")
-    version = F.when(F.col("l_linenumber") > 1, (F.col("p_size") + F.col("l_linenumber") % 2).cast("string"))
-    return rows.select("decl", "group", "artifact", version.alias("version"), version.isNull().alias("dynamic"))
+    """A declaration per line: by the part's coordinates, by a project path, by an explicit target, or incomplete."""
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("module"), F.col("p_brand").alias("group"), F.col("p_name").alias("artifact"), "p_size")
+    rows = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("decl"), F.col("l_partkey").alias("module"), "l_linenumber", "l_suppkey").join(part, "module")
+    n = F.col("l_linenumber")
+    version = F.when(n > 1, (F.col("p_size") + n % 2).cast("string"))
+    path = F.when(n == 5, F.concat(F.lit(":"), "artifact"))
+    target = F.when(n == 6, F.when(F.col("l_suppkey") % 3 == 0, -1).otherwise(F.col("module")))
+    return rows.select(
+        "decl", F.col("group").alias("repo"), F.when(F.col("l_suppkey") % 2 == 0, "gradle").otherwise("maven").alias("build_system"), target.cast("long").alias("target"), path.alias("project_path"),
+        F.when(n != 7, F.col("group")).alias("group"), "artifact", version.alias("version"), version.isNull().alias("dynamic"),
+    )
+
+
+def local_modules(spark, d):
+    c = coords(spark, d)
+    return c.select("module", F.col("group").alias("repo"), F.concat(F.lit("m/"), F.col("module") % 97).alias("path"), F.when(F.col("module") % 2 == 0, "gradle").otherwise("maven").alias("build_system"), F.when(F.col("module") % 3 == 0, F.concat(F.lit(":"), "artifact")).alias("project_path"), F.when(F.col("module") % 4 == 0, F.col("artifact")).alias("project_name"), "group", "artifact", "version")
+
+
+def _pick(name: str, on: str) -> str:
+    """Joins the candidates of a key and the one to take, as n, m and v with the name behind."""
+    return f"""LEFT JOIN LATERAL (SELECT count(*) AS n_{name}, count(version) AS v_{name}, CASE WHEN count(*) > 1 AND count(*) FILTER (WHERE build_system = d.build_system) > 0 THEN CASE WHEN count(*) FILTER (WHERE build_system = d.build_system) = 1 OR count(DISTINCT (repo, path)) FILTER (WHERE build_system = d.build_system) = 1 THEN min(module) FILTER (WHERE build_system = d.build_system) END WHEN count(*) = 1 OR count(DISTINCT (repo, path)) = 1 THEN min(module) END AS m_{name} FROM lm WHERE {on}) ON true"""
+
+
+@plan("d2_resolve_dependencies", f"""WITH {COORD}, lm AS (SELECT module, "group" AS repo, concat('m/', module % 97) AS path, CASE WHEN module % 2 = 0 THEN 'gradle' ELSE 'maven' END AS build_system, CASE WHEN module % 3 = 0 THEN concat(':', artifact) END AS project_path, CASE WHEN module % 4 = 0 THEN artifact END AS project_name, "group", artifact, version FROM coord),
+d AS (SELECT l_orderkey * 10 + l_linenumber AS decl, p_brand AS repo, CASE WHEN l_suppkey % 2 = 0 THEN 'gradle' ELSE 'maven' END AS build_system, CASE WHEN l_linenumber = 6 THEN CASE WHEN l_suppkey % 3 = 0 THEN -1 ELSE l_partkey END END AS target, CASE WHEN l_linenumber = 5 THEN concat(':', p_name) END AS project_path, CASE WHEN l_linenumber <> 7 THEN p_brand END AS "group", p_name AS artifact, CASE WHEN l_linenumber > 1 THEN CAST(p_size + l_linenumber % 2 AS VARCHAR) END AS version FROM lineitem JOIN part ON l_partkey = p_partkey),
+kd AS (SELECT DISTINCT repo, build_system, project_path, "group", artifact, version FROM d),
+kj AS (SELECT d.*, n_p, m_p, n_q, m_q, n_e, m_e, n_l, m_l, v_l FROM kd d {_pick('p', 'lm.repo = d.repo AND lm.project_path = d.project_path')} {_pick('q', 'lm.project_name = substr(d.project_path, 2)')} {_pick('e', 'lm."group" = d."group" AND lm.artifact = d.artifact AND lm.version = d.version')} {_pick('l', 'lm."group" = d."group" AND lm.artifact = d.artifact')}),
+j AS (SELECT d.decl, d.target, kj.* FROM d JOIN kj ON kj.repo = d.repo AND kj.build_system = d.build_system AND kj.project_path IS NOT DISTINCT FROM d.project_path AND kj."group" IS NOT DISTINCT FROM d."group" AND kj.artifact = d.artifact AND kj.version IS NOT DISTINCT FROM d.version),
+k AS (SELECT *, CASE WHEN target = -1 THEN 'UNRESOLVED' WHEN target IS NOT NULL THEN 'LOCAL' WHEN project_path IS NOT NULL THEN CASE WHEN n_p > 0 THEN CASE WHEN m_p IS NOT NULL THEN 'LOCAL' ELSE 'UNRESOLVED' END WHEN m_q IS NOT NULL THEN 'LOCAL' WHEN n_q > 0 THEN 'UNRESOLVED' WHEN version IS NULL THEN 'UNRESOLVED' ELSE 'EXTERNAL' END WHEN "group" IS NULL THEN 'UNRESOLVED'
+WHEN version IS NOT NULL AND n_e > 0 THEN CASE WHEN m_e IS NOT NULL THEN 'LOCAL' ELSE 'UNRESOLVED' END WHEN version IS NOT NULL AND n_l > 0 THEN CASE WHEN n_l = 1 AND v_l = 0 THEN 'LOCAL' ELSE 'EXTERNAL' END WHEN m_l IS NOT NULL THEN 'LOCAL' WHEN n_l > 0 OR version IS NULL THEN 'UNRESOLVED' ELSE 'EXTERNAL' END AS resolution FROM j)
+SELECT decl, project_path, "group", artifact, version, resolution, CASE WHEN resolution = 'LOCAL' THEN CASE WHEN target IS NOT NULL THEN target WHEN project_path IS NOT NULL THEN CASE WHEN n_p > 0 THEN m_p ELSE m_q END WHEN version IS NOT NULL AND n_e > 0 THEN m_e ELSE m_l END END AS module FROM k""")
+def _(spark, d):
+    return g.resolve_dependencies(declarations(spark, d), local_modules(spark, d))
+
+
+_PARENTS = "m AS (SELECT p_partkey AS module, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey - 1 WHEN (p_partkey // 3) % 11 = 0 THEN p_partkey + 1 END AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS g, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS v FROM part)"
+
+
+def parents(spark, d):
+    """Chains of three parts; of some the first points at the second, so that these two run in a circle."""
+    k = F.col("p_partkey")
+    parent = F.when(k % 3 != 0, k - 1).when(F.floor(k / 3) % 11 == 0, k + 1)
+    return load(spark, d, "part").select(k.alias("module"), parent.alias("parent"), F.when(k % 3 == 0, F.col("p_brand")).alias("group"), F.when(k % 2 == 0, F.col("p_size").cast("string")).alias("version"))
 
 
-@plan("d2_resolve_dependencies", f"""WITH {COORD}, de AS (SELECT l_orderkey * 10 + l_linenumber AS decl, p_brand AS "group", p_name AS artifact, CASE WHEN l_linenumber > 1 THEN CAST(p_size + l_linenumber % 2 AS VARCHAR) END AS version FROM lineitem JOIN part ON l_partkey = p_partkey),
-e AS (SELECT "group", artifact, version, count(*) AS n3, min(module) AS m3 FROM coord WHERE version IS NOT NULL GROUP BY 1, 2, 3), l AS (SELECT "group", artifact, count(*) AS n2, min(module) AS m2, count(version) AS wv FROM coord GROUP BY 1, 2),
-j AS (SELECT de.*, n3, m3, n2, m2, wv FROM de LEFT JOIN e ON de."group" = e."group" AND de.artifact = e.artifact AND de.version = e.version LEFT JOIN l ON de."group" = l."group" AND de.artifact = l.artifact),
-k AS (SELECT *, CASE WHEN version IS NOT NULL AND n3 = 1 THEN 'LOCAL' WHEN version IS NOT NULL AND n3 > 1 THEN 'UNRESOLVED' WHEN version IS NOT NULL AND n2 = 1 AND wv = 0 THEN 'LOCAL' WHEN version IS NOT NULL THEN 'EXTERNAL' WHEN n2 = 1 THEN 'LOCAL' ELSE 'UNRESOLVED' END AS resolution FROM j)
-SELECT decl, "group", artifact, version, resolution, CASE WHEN resolution = 'LOCAL' THEN CASE WHEN version IS NOT NULL AND n3 = 1 THEN m3 ELSE m2 END END AS module FROM k""")
+@plan("d3_inherit_coordinates", f"""WITH {_PARENTS}, c AS (SELECT module FROM m WHERE (module // 3) % 11 = 0 AND module % 3 < 2 AND module + 1 - 2 * (module % 3) IN (SELECT module FROM m)), l AS (SELECT module, CASE WHEN module IN (SELECT module FROM c) THEN NULL ELSE parent END AS parent, g, v FROM m)
+SELECT a.module, coalesce(a.g, b.g, c.g) AS "group", coalesce(a.v, b.v, c.v) AS version, a.module IN (SELECT module FROM c) AS in_cycle FROM l a LEFT JOIN l b ON a.parent = b.module LEFT JOIN l c ON b.parent = c.module""")
 def _(spark, d):
-    return g.resolve_dependencies(declarations(spark, d), coords(spark, d))
+    return g.inherit_coordinates(parents(spark, d))
 
 
-@plan("d3_inherit_coordinates", """WITH m AS (SELECT p_partkey AS module, CASE WHEN p_partkey % 3 <> 0 THEN p_partkey - 1 END AS parent, CASE WHEN p_partkey % 3 = 0 THEN p_brand END AS g, CASE WHEN p_partkey % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS v FROM part)
-SELECT a.module, coalesce(a.g, b.g, c.g) AS "group", coalesce(a.v, b.v, c.v) AS version FROM m a LEFT JOIN m b ON a.parent = b.module LEFT JOIN m c ON b.parent = c.module""")
+@plan("d3_managed_versions", f"""WITH {_PARENTS}, c AS (SELECT module FROM m WHERE (module // 3) % 11 = 0 AND module % 3 < 2 AND module + 1 - 2 * (module % 3) IN (SELECT module FROM m)), l AS (SELECT module, CASE WHEN module IN (SELECT module FROM c) THEN NULL ELSE parent END AS parent FROM m), up AS (SELECT module, module AS anc, 0 AS depth FROM l UNION ALL SELECT module, parent, 1 FROM l WHERE parent IS NOT NULL UNION ALL SELECT a.module, b.parent, 2 FROM l a JOIN l b ON a.parent = b.module WHERE b.parent IS NOT NULL),
+mg AS (SELECT DISTINCT l_partkey AS module, 'g' AS "group", CAST(l_suppkey % 5 AS VARCHAR) AS artifact, CAST(max(l_linenumber) AS VARCHAR) AS version FROM lineitem GROUP BY l_partkey, l_suppkey % 5) SELECT up.module, "group", artifact, arg_min(version, depth) AS version FROM up JOIN mg ON anc = mg.module GROUP BY up.module, "group", artifact""")
 def _(spark, d):
-    k = F.col("p_partkey")
-    m = load(spark, d, "part").select(k.alias("module"), F.when(k % 3 != 0, k - 1).alias("parent"), F.when(k % 3 == 0, F.col("p_brand")).alias("group"), F.when(k % 2 == 0, F.col("p_size").cast("string")).alias("version"))
-    return g.inherit_coordinates(m)
+    managed = load(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("module"), (F.col("l_suppkey") % 5).cast("string").alias("artifact")).agg(F.max("l_linenumber").cast("string").alias("version"))
+    return g.managed_versions(parents(spark, d), managed.withColumn("group", F.lit("g")))
+
+
+@plan("d3_parent_links", """WITH m AS (SELECT p_partkey AS module, p_brand AS repo, concat('d/', p_name) AS path, concat('g', p_size % 10) AS "group", p_name AS artifact, CASE WHEN p_partkey % 2 = 0 THEN concat('d/', p_name) END AS parent_path, concat('g', (p_size + 1) % 10) AS pg, p_name AS pa FROM part),
+a AS (SELECT repo, path, min(module) AS first_at, count(*) AS n FROM m GROUP BY repo, path), o AS (SELECT "group", artifact, min(module) AS sole FROM m GROUP BY 1, 2 HAVING count(*) = 1)
+SELECT m.module, coalesce(nullif(CASE WHEN n = 1 THEN a.first_at END, m.module), nullif(sole, m.module)) AS parent FROM m LEFT JOIN a ON a.repo = m.repo AND a.path = m.parent_path AND n = 1 LEFT JOIN o ON o."group" = pg AND o.artifact = pa""")
+def _(spark, d):
+    p = load(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("module"), F.col("p_brand").alias("repo"), F.concat(F.lit("d/"), "p_name").alias("path"), F.concat(F.lit("g"), F.col("p_size") % 10).alias("group"), F.col("p_name").alias("artifact"), F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("d/"), "p_name")).alias("parent_path"), F.concat(F.lit("g"), (F.col("p_size") + 1) % 10).alias("parent_group"), F.col("p_name").alias("parent_artifact"))
+    alone = rows.groupBy("repo", "path").agg(F.count("*").alias("n")).where("n > 1").select("repo", "path")
+    shared = rows.join(alone, ["repo", "path"], "left_semi").withColumn("path", F.lit(None).cast("string"))  # a folder holds one module
+    return g.parent_links(rows.join(alone, ["repo", "path"], "left_anti").unionByName(shared))
 
 
 @plan("d4_duplicate_modules", f'WITH {COORD} SELECT module, CAST(row_number() OVER (PARTITION BY "group", artifact ORDER BY module) AS INT) AS turn FROM coord')
@@ -74,6 +128,19 @@ def _(spark, d):
     return g.cycle_groups(edges(spark, d, CYC))
 
 
+@plan("d8_cycle_owners", f"WITH RECURSIVE {closure_sql(CYC)}, c AS (SELECT a.src AS node, min(a.dst) AS component FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src) SELECT DISTINCT component, p_brand AS repo, nodes FROM c JOIN part ON node = p_partkey JOIN (SELECT component, count(*) AS nodes FROM c GROUP BY component) USING (component)")
+def _(spark, d):
+    owners = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_brand").alias("repo"))
+    return g.cycle_owners(g.cycle_groups(edges(spark, d, CYC)), owners)
+
+
+@plan("d9_levels_of_all_orders", "WITH e AS (SELECT l_orderkey * 10 + l_linenumber AS src, l_orderkey * 10 + l_linenumber + 1 AS dst FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_orderkey = a.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)), n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), i AS (SELECT node, node - row_number() OVER (PARTITION BY node // 10 ORDER BY node) AS island FROM n) SELECT node, CAST(max(node) OVER (PARTITION BY island, node // 10) - node AS INT) AS level FROM i")
+def _(spark, d):
+    """Each line of each order depends on the next one of its order: the whole table as one graph."""
+    li = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src"))
+    return g.dependency_levels(li.select("src", (F.col("src") + 1).alias("dst")).join(li.select(F.col("src").alias("dst")), "dst", "left_semi"))
+
+
 @plan("d9_dependency_levels", f"""WITH RECURSIVE {closure_sql(CYC)}, comp AS (SELECT a.src AS node, min(a.dst) AS c FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src GROUP BY a.src), nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), named AS (SELECT node, coalesce(c, node) AS c FROM nodes LEFT JOIN comp USING (node)), flat AS (SELECT DISTINCT a.c AS cs, b.c AS cd FROM edges JOIN named a ON src = a.node JOIN named b ON dst = b.node WHERE a.c <> b.c),
 up(c, level) AS (SELECT DISTINCT c, 0 FROM named UNION SELECT f.cs, up.level + 1 FROM up JOIN flat f ON f.cd = up.c)
 SELECT node, max(level) AS level FROM named JOIN up USING (c) GROUP BY node""")
@@ -106,6 +173,12 @@ def _(spark, d):
     return g.resolution_summary(load(spark, d, "orders").select(F.col("o_orderpriority").alias("configuration"), (F.col("o_orderstatus") == "F").alias("ok")))
 
 
+@plan("d13_failed_resolutions", "SELECT o_orderpriority AS configuration, CASE WHEN o_orderkey % 3 = 0 THEN 'no message' ELSE concat('status ', o_orderstatus) END AS message, count(*) AS n FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1, 2")
+def _(spark, d):
+    message = F.when(F.col("o_orderkey") % 3 == 0, " ").otherwise(F.concat(F.lit("status "), "o_orderstatus"))
+    return g.failed_resolutions(load(spark, d, "orders").select(F.col("o_orderpriority").alias("configuration"), (F.col("o_orderstatus") == "F").alias("ok"), message.alias("message")))
+
+
 @plan("d14_graph_diagnostics", f"""WITH RECURSIVE {closure_sql(CYC)} SELECT 'UNRESOLVED' AS code, CAST(l_partkey AS VARCHAR) AS subject, count(*) AS n FROM lineitem WHERE l_discount > 0.09 GROUP BY 2 UNION ALL SELECT 'DUPLICATE', p_name, count(*) FROM part GROUP BY p_name HAVING count(*) > 0 UNION ALL SELECT 'CYCLE', CAST(src AS VARCHAR), 1 FROM (SELECT DISTINCT a.src FROM reach a JOIN reach b ON a.src = b.dst AND a.dst = b.src)""")
 def _(spark, d):
     bad = load(spark, d, "lineitem").where("l_discount > 0.09").select("l_partkey")

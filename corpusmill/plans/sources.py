@@ -31,14 +31,14 @@ def _(spark, d):
     return spark.read.schema("path long, line long, rule_id string, severity string, message string, repo string").json(path)
 
 
-_TOKENS = "list_distinct([t FOR t IN regexp_split_to_array(lower({}), '[^a-z0-9]+') IF length(t) >= 4])"
+_TOKENS = "[t FOR t IN regexp_split_to_array(lower({}), '[^a-z0-9]+') IF length(t) >= 4]"
 
 
 @plan(
     "e7_best_base_url",
-    f"WITH p AS (SELECT page_id AS endpoint, unnest({_TOKENS.format('url')}) AS token FROM pages), "
+    f"WITH p AS (SELECT page_id AS endpoint, unnest({_TOKENS.format('concat(url, chr(32), url)')}) AS token FROM pages), "
     "n AS (SELECT DISTINCT regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS name FROM pages), "
-    f"u AS (SELECT name, unnest({_TOKENS.format('name')}) AS token FROM n WHERE name <> ''), "
+    f"u AS (SELECT name, unnest(list_distinct({_TOKENS.format('name')})) AS token FROM n WHERE name <> ''), "
     "sc AS (SELECT endpoint, name, count(*) AS score FROM p JOIN u USING (token) GROUP BY 1, 2), "
     "r AS (SELECT *, row_number() OVER w AS rn, lead(score) OVER w AS nxt FROM sc WINDOW w AS (PARTITION BY endpoint ORDER BY score DESC, name)) "
     "SELECT endpoint, name, score FROM r WHERE rn = 1 AND (nxt IS NULL OR score > nxt)",
@@ -46,4 +46,4 @@ _TOKENS = "list_distinct([t FOR t IN regexp_split_to_array(lower({}), '[^a-z0-9]
 def _(spark, d):
     pages = load(spark, d, "pages")
     hosts = pages.select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("name")).where("name <> ''").distinct()
-    return e.best_base_url(pages.select(F.col("page_id").alias("endpoint"), F.col("url").alias("hint")), hosts)
+    return e.best_base_url(pages.select(F.col("page_id").alias("endpoint"), F.concat_ws(" ", "url", "url").alias("hint")), hosts)
