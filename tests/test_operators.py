@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import catalog as c
 from corpusmill.operators import facts as e
 from corpusmill.operators import findings as f
 from corpusmill.operators import graph as g
@@ -118,3 +119,42 @@ def test_base_url_needs_a_strict_winner(spark):
     urls = spark.createDataFrame([("billing.url",), ("orders.url",)], "name string")
     ends = spark.createDataFrame([("a", "BillingClient billing call"), ("b", "billing orders")], "endpoint string, hint string")
     assert [(x.endpoint, x.name) for x in e.best_base_url(ends, urls).collect()] == [("a", "billing.url")]
+
+
+PLACES = {"application-[a-z0-9]+[.]": "application-dev.yml", "-(prod|production|staging)[.]": "application-prod.yml", "db/migration/V[0-9]": "db/migration/V1__a.sql", "db/migration/V1__": "db/migration/V1__a.sql", "application[.]": "application.yml", "-(test|ci|it|integration-test)[.]": "application-test.yml", "application(-(prod|production|staging|dev))?[.]": "application.yml"}
+
+
+def test_every_rule_of_the_catalogue_fires_and_holds_back(spark):
+    """Each rule on a repo of its facts' examples, and on one where a fact is missing or a guard is there."""
+    facts, rules, lines = {x["name"]: x for x in c.facts()}, c.rules(), []
+    assert len(rules) == 199
+    for rule in rules:
+        for kind in ("fires", "holds back"):
+            held = [rule["needs"][0]] * rule["least"] + rule["needs"][1:]
+            if kind == "holds back":
+                held = held + rule["none"][:1] if rule["none"] else held[1:]
+            for k, name in enumerate(held):
+                fact = facts[name]
+                path = PLACES.get(fact["path"]) if fact["path"] else f"src/A{k if rule['scope'] == 'repo' else ''}.java"
+                lines.append((f"{kind} {rule['rule_id']}", path, 10 * (k + 1), fact["example"]))
+    found = c.evaluate(c.line_facts(spark.createDataFrame(lines, "repo string, path string, line int, text string")))
+    got = {(x.repo, x.rule_id) for x in found.collect()}
+    assert [x["rule_id"] for x in rules if (f"fires {x['rule_id']}", x["rule_id"]) not in got] == []
+    assert [x["rule_id"] for x in rules if (f"holds back {x['rule_id']}", x["rule_id"]) in got] == []
+
+
+def test_long_chains(spark):
+    """A thousand links: closure, parents, overlap groups."""
+    n = 1000
+    chain = spark.range(n).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert g.dependency_closure(chain).count() == n * (n + 1) // 2
+    parents = spark.range(n + 1).select(F.col("id").alias("module"), F.when(F.col("id") < n, F.col("id") + 1).alias("parent"), F.when(F.col("id") == n, "top").alias("group"), F.lit(None).cast("string").alias("version"))
+    assert g.inherit_coordinates(parents).where("`group` = 'top' and version is null and not in_cycle").count() == n + 1
+    pairs = spark.range(n).select(F.col("id"), F.explode(F.array(F.concat(F.lit("k"), F.col("id")), F.concat(F.lit("k"), F.col("id") + 1))).alias("key"))
+    assert f.least_label(pairs).select("label").distinct().collect() == [(0,)]
+
+
+def test_parents_in_a_circle_inherit_nothing(spark):
+    rows = [("a", "b", None), ("b", "a", "gb"), ("c", "a", None), ("d", None, "gd"), ("e", "d", None)]
+    got = {x.module: (x.group, x.in_cycle) for x in g.inherit_coordinates(spark.createDataFrame([(*r, None) for r in rows], "module string, parent string, group string, version string")).collect()}
+    assert got == {"a": (None, True), "b": ("gb", True), "c": (None, False), "d": ("gd", False), "e": ("gd", False)}
