@@ -33,7 +33,7 @@ from corpusmill.llm.common import materialize, read, remainder, spans, utf8
 
 END = b" "  # no word holds white space
 HIDDEN, DIMS, WINDOW = 16, 16, 32
-SIZE, TAILS = 64, 8  # tokens of a head class, classes of the other known tokens
+SIZE, TAILS = 48, 8  # tokens of a head class, classes of the other known tokens
 GROUP = 8 << 20  # bytes of text split in one step
 ROWS = 8192  # rows of class chances held at once
 LANES = 2048  # texts scored side by side
@@ -364,7 +364,7 @@ def log_likelihoods(w, v: Vocabulary, texts: list[np.ndarray], trust: float) ->
     return out
 
 
-def score(docs: DataFrame, train_docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = 300_000, head: int = 4096, inputs: int = 8192, trust: float = 0.9, rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, train_docs: DataFrame, doc_id: str = "doc_id", text: str = "text", known: int = 300_000, head: int = 2048, inputs: int = 8192, trust: float = 0.9, rounds: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of docs, learning from train_docs."""
     spark = docs.sparkSession
     lessons = train_docs.select(F.col(text).alias("text"))
