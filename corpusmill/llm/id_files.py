@@ -58,7 +58,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2,
             yield flush()
 
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = chosen.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
+    # the text's hash is in the ranges too, so that a repeated id does not meet in one task
+    ordered = chosen.withColumn("h", F.xxhash64("text")).repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
     ordered.mapInArrow(encode, FRAME).write.parquet(path)
 
 

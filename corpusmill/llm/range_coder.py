@@ -7,7 +7,8 @@ Within a block an id goes by its rank of first appearance. For each id the model
 candidate (the id that followed their context last) and how often they have been right. Chances that a candidate is
 right come from adaptive tables by those confidences, mixed in the logistic domain with weights learned per block; so
 does the chance that the id was seen in the block at all. The step codes which of four cases holds (order 2 right,
-order 1 right, seen, new); a seen id is then coded by its order-0 count in the block, a new one evenly. All arithmetic
+order 1 right, seen, new); a seen id is then coded by its order-0 count in the block, a new one evenly. Order-0 counts are
+taken over every ``STRETCHED`` steps; ids that come up in between have a count of one kept for them. All arithmetic
 is in integers, so that any machine decodes what another has coded.
 
 The range has 48 bits and is kept at 2**32 or more by words of 16 bits, one a symbol at most. Carries are added to the
@@ -22,30 +23,27 @@ import numpy as np
 
 IDS = 1 << 16
 SLOTS2 = 1 << 12
+STRETCHED = 128  # steps from one taking over of the order-0 counts to the next
 FLOOR, M32, M48, S16, S32, S48 = (np.uint64(x) for x in (1 << 32, (1 << 32) - 1, (1 << 48) - 1, 16, 32, 48))
 
 _x = np.arange(4096)
 STRETCH = np.round(np.log((_x + 0.5) / (4095.5 - _x)) * 256).clip(-2047, 2047).astype(np.int32)
 SQUASH = np.round(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))).clip(32, 65504).astype(np.int32)
-#: What a count at one digit adds to the sums below its 16 siblings.
-ABOVE = (np.arange(16) > np.arange(16)[:, None]).astype(np.uint16)
+
+# By whether a candidate was right (8) and how sure it was: how sure it is then, and whether it stays. None is there at 0.
+SURE = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int32)
+STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 1], bool)
 
 
 class Models:
     """The state of all blocks, in flat tables with one stretch for each block."""
 
     def __init__(self, blocks: int, longest: int):
-        n, self.levels = blocks, 1
-        while 16**self.levels < longest + 1:
-            self.levels += 1
-        room = 16**self.levels
+        n, self.room = blocks, longest + STRETCHED + 1
         lane = np.arange(n)
-        self.at1, self.at2, self.at0 = lane * room, lane * SLOTS2, lane * room
-        self.next1, self.next2 = np.zeros(n * room, np.int32), np.zeros(n * SLOTS2, np.int32)
-        # sums below each sibling, of 16 siblings a row, from the root on
-        self.sums = [np.zeros((n * 16**k, 16), np.uint16) for k in range(self.levels)]
-        self.node0 = [lane * 16**k for k in range(self.levels)]
-        self.own = np.zeros(n * room, np.uint16)
+        self.at1, self.at2, self.at0 = lane * self.room, lane * SLOTS2, lane * self.room
+        self.next1, self.next2 = np.zeros(n * self.room, np.int32), np.zeros(n * SLOTS2, np.int32)
+        self.counts, self.new = np.zeros((n, self.room), np.uint16), np.zeros((STRETCHED, n), np.int64)
         self.seen, self.last, self.before, self.t = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
         ask = np.arange(3)[:, None]
         self.table_a, self.table_b = np.full(n * 3 * 16, 32768, np.int32), np.full(n * 3 * 128, 32768, np.int32)
@@ -80,35 +78,39 @@ class Models:
         bounds[0], bounds[4] = 0, IDS
         bounds[1] = q[0]
         rest = IDS - q[0]  # 32 at least; each case that can come keeps a share
-        bounds[2] = q[0] + np.clip(rest * q[1] >> 16, 1, rest - 8) * asked[1]
+        bounds[2] = q[0] + np.minimum(np.maximum(rest * q[1] >> 16, 1), rest - 8) * asked[1]
         rest = IDS - bounds[2]
-        bounds[3] = bounds[2] + (np.clip(rest * q[2] >> 16, 1, rest - 1) if self.t else 0)
+        bounds[3] = bounds[2] + (np.minimum(np.maximum(rest * q[2] >> 16, 1), rest - 1) if self.t else 0)
         return bounds
 
-    def below(self, x: np.ndarray) -> np.ndarray:
-        """Order-0 counts below x."""
-        cum = 0
-        for k in range(self.levels):
-            up = 4 * (self.levels - 1 - k)
-            cum = cum + self.sums[k].reshape(-1).take((self.node0[k] << 4) + (x >> up)).astype(np.int64)
-        return cum
-
-    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whose order-0 range holds the value, and the counts below."""
-        x, left = np.zeros(len(value), np.int64), value.astype(np.uint16)
-        for k in range(self.levels):
-            node = self.node0[k] + x
-            under = (self.sums[k].take(node, axis=0) if k else self.sums[0]) <= left[:, None]
-            ones = np.bitwise_count(under.view(np.uint64))
-            digit = (ones[:, 0] + ones[:, 1]).astype(np.int64) - 1
-            left = left - self.sums[k].reshape(-1).take((node << 4) + digit)
-            x = x << 4 | digit
-        return x, value - left
+    def take_over(self, inverse: bool) -> None:
+        """Order-0 counts and their sums as of this step, with one for each id that may come up before the next time."""
+        if self.t:
+            keys = (self.new + self.at0).ravel()
+            np.add.at(self.counts.reshape(-1), keys, np.uint16(1))
+        columns = int(self.seen.max()) + STRETCHED
+        held = self.counts[:, :columns].astype(np.uint32)
+        may = np.arange(columns) - self.seen[:, None]
+        held[(may >= 0) & (may < STRETCHED)] = 1
+        self.width = columns + 1
+        self.sums = np.zeros((len(held), self.width), np.uint32)
+        np.cumsum(held, axis=1, out=self.sums[:, 1:])
+        self.total = self.sums[:, -1].astype(np.uint64)
+        self.row, self.sums = np.arange(len(held)) * self.width, self.sums.reshape(-1)
+        if inverse:
+            self.whose = np.repeat(np.broadcast_to(np.arange(columns, dtype=np.uint16), held.shape).ravel(), held.ravel())
+            self.whose_at = np.cumsum(self.total.astype(np.int64)) - self.total.astype(np.int64)
+
+    def range_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order-0 counts below x, and of x."""
+        at = self.row + x
+        below = self.sums.take(at)
+        return below, self.sums.take(at + 1) - below
 
     def update(self, x: np.ndarray, case: np.ndarray) -> None:
-        for entry, guess, sure, table, slot in ((self.entry1, self.c1, self.n1, self.next1, self.slot1), (self.entry2, self.c2, self.n2, self.next2, self.slot2)):
-            wrong = np.where(sure > 2, (entry & ~7) | sure >> 1, x << 3 | 1)
-            table[slot] = np.where((guess == x) & (sure > 0), entry + (sure < 7), wrong)
+        for guess, sure, table, slot in ((self.c1, self.n1, self.next1, self.slot1), (self.c2, self.n2, self.next2, self.slot2)):
+            state = (guess == x) * 8 + sure
+            table[slot] = np.where(STAYS.take(state), guess, x) << 3 | SURE.take(state)
         ask = np.arange(3)[:, None]
         live = self.asked * (case >= ask)
         target = (case == ask) * np.int32(65535)
@@ -117,21 +119,14 @@ class Models:
         self.table_b[self.key_b] = self.old_b + ((target - self.old_b) >> 4) * live
         self.weight_a += self.in_a * error >> 10
         self.weight_b += self.in_b * error >> 10
-        for k in range(self.levels):
-            prefix = x >> 4 * (self.levels - 1 - k)
-            if k == 0:
-                self.sums[0] += ABOVE.take(prefix, axis=0)
-                continue
-            node = self.node0[k] + (prefix >> 4)
-            self.sums[k][node] = self.sums[k].take(node, axis=0) + ABOVE.take(prefix & 15, axis=0)
-        self.own[self.at0 + x] += np.uint16(1)
+        self.new[self.t % STRETCHED] = x
         self.seen += case == 3
         self.before, self.last, self.t = self.last, x, self.t + 1
 
 
-def second(case: np.ndarray, span: np.ndarray, t: int) -> np.ndarray:
-    """The unit of the range for the second symbol: of t for a seen id, else of 65536."""
-    return np.where(case == 2, span // np.uint64(max(t, 1)), span >> S16)
+def second(case: np.ndarray, span: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """The unit of the range for the second symbol: of the order-0 total for a seen id, else of 65536."""
+    return np.where(case == 2, span // total, span >> S16)
 
 
 def encode(blocks: list[np.ndarray]) -> list[bytes]:
@@ -160,6 +155,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         low, span, pos = (low << shift) & M48, span << shift, pos + short
 
     for t in range(longest):
+        if t % STRETCHED == 0:
+            m.take_over(False)
         bounds = m.predict()
         key = lane * IDS + ids[t]
         rank = ranks.take(key).astype(np.int64)
@@ -171,8 +168,8 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
         code(span >> S16, start, bounds.take(at + n) - start)
         ranks[key] = x + 1
         is2, is3 = case == 2, case == 3
-        start = np.where(is2, m.below(x), ids[t] * is3)
-        code(second(case, span, t), start, np.where(is2, m.own.take(m.at0 + x), np.where(is3, 1, IDS)))
+        below, count = m.range_of(x)
+        code(second(case, span, m.total), np.where(is2, below, ids[t] * is3), np.where(is2, count, np.where(is3, 1, IDS)))
         m.update(x, case)
     rows, ends = out.reshape(n, width), pos - lane * width
     for _ in range(3):
@@ -218,6 +215,9 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
         span, pos = span << shift, pos + short
 
     for t in range(longest):
+        if t % STRETCHED == 0:
+            m.take_over(True)
+            most = (m.total - one).astype(np.int64)
         bounds = m.predict()
         unit = np.maximum(span >> S16, one)
         v = np.minimum(value // unit, last).astype(np.int64)
@@ -225,12 +225,13 @@ def decode(codes: list[bytes]) -> list[np.ndarray]:
         at = case * n + lane
         start = bounds.take(at)
         take(unit, start, bounds.take(at + n) - start)
-        unit = np.maximum(second(case, span, t), one)
+        unit = np.maximum(second(case, span, m.total), one)
         v = np.minimum(value // unit, last).astype(np.int64)
         is2, is3 = case == 2, case == 3
-        found, below = m.find(np.minimum(v, t - 1)) if t else (v * 0, v * 0)
+        found = m.whose.take(m.whose_at + np.minimum(v, most)).astype(np.int64)
+        below, count = m.range_of(found)
         x = np.where(is2, found, np.where(is3, m.seen, np.where(case == 0, m.c2, m.c1)))
-        take(unit, np.where(is2, below, v * is3), np.where(is2, m.own.take(m.at0 + found), np.where(is3, 1, IDS)))
+        take(unit, np.where(is2, below, v * is3), np.where(is2, count, np.where(is3, 1, IDS)))
         named[base + m.seen] = v
         m.update(x, case)
         ranks[t] = x
