@@ -11,7 +11,9 @@ A key with more than ``block`` fingerprints is split by hash, and every two part
 Of the pairs found in a key only a spanning forest is written, which loses no connection; connected
 components run as rounds of joins with a written table after each.
 
-``keep_one``, the pipeline's stage, goes by the Jaccard similarity of shingle sets instead, each link confirmed by the texts.
+``keep_one``, the pipeline's stage, has to find Jaccard similarities of 0.8, at which fingerprints differ in some ten bits.
+Blocks of bits cannot be keys at that radius, so bands of min-hashes are; under a key the same bit-sliced comparison picks the
+pairs within ``WIDE`` bits, and each link is confirmed by the texts.
 
 Edge cases: null text has no words and fingerprint zero, as an empty text has; all rows with fingerprint zero
 are linked. Null ids keep their rows; a component's id is its smallest non-null id (null if it has none).
@@ -29,11 +31,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 from xxhash import xxh64_intdigest
 
+from corpusmill.functions.storage import components
 from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, materialize, mix, read, spans, utf8, word_bounds, word_hashes
 
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
+WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
 BLANK = flag_table(b" \t\n\r\x0b\x0c").astype(bool)
@@ -208,27 +212,6 @@ def links(prints: DataFrame, radius: int = 4, block: int = 2048) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root (the smallest node reachable) of every node of the edges (a, b), by alternating stars."""
-    edges = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if mark == before or mark[0] == 0:
-            break
-        before = mark
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
-        new = materialize(small.where("a <> b").distinct(), "edges")
-        discard(edges)
-        edges = new
-    roots = edges.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
-
-
 def classes(prints: DataFrame, radius: int, block: int = 2048) -> DataFrame:
     """fp, root of the distinct fingerprints in prints (a materialized table with column fp)."""
     roots = components(links(prints.select("fp").distinct(), radius, block))
@@ -267,33 +250,46 @@ def min_hashes(grams: np.ndarray) -> np.ndarray:
     return mix(low)
 
 
+def set_print(grams: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(grams), 4096):
+        ones += np.unpackbits(mix(grams[i : i + 4096]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view("<i8")[0])
+
+
+SETS = "_row long, doc_id long, cls long, size int, fp long, sig binary, keys array<long>"
+
+
 def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """_row, doc_id, cls (equal for equal shingle sets), size, sig (a byte of each minimum), keys (one per band) of docs (_row, doc_id, text)."""
+    """_row, doc_id, cls (equal for equal shingle sets), size, fp (SimHash), sig (a byte of each minimum), keys (one per band) of docs (_row, doc_id, text)."""
 
     def add(batches):
         for batch in batches:
-            cls, sizes, sigs, keys = [], [], [], []
+            cls, sizes, prints, sigs, keys = [], [], [], [], []
             for grams in gram_sets(batch.column(2), shingle):
                 low = min_hashes(grams)
                 cls.append(signed(xxh64_intdigest(grams.tobytes())))
                 sizes.append(len(grams))
+                prints.append(set_print(grams))
                 sigs.append(low.astype(np.uint8).tobytes())
                 bands = low.reshape(BANDS, DEEP)
                 key = np.arange(BANDS, dtype=np.uint64)
                 for k in range(DEEP):
                     key = mix(key * np.uint64(0xBF58476D1CE4E5B9) + bands[:, k])
                 keys.append(key.view(np.int64) if len(grams) else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["_row", "doc_id", "cls", "size", "sig", "keys"])
+            columns = [batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "cls", "size", "fp", "sig", "keys"])
 
-    return docs.select("_row", "doc_id", "text").mapInArrow(add, "_row long, doc_id long, cls long, size int, sig binary, keys array<long>")
+    return docs.select("_row", "doc_id", "text").mapInArrow(add, SETS)
 
 
 def dealt_texts(pairs: DataFrame, texts: DataFrame, side: str, other: str, block: int) -> DataFrame:
     """pairs with the text of one side; a class in many pairs is dealt over parts, each with a copy of its text."""
     parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    held = parts.join(texts.withColumnRenamed("cls", side), side).select(side, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias(f"text_{side}"))
+    held = texts.withColumnRenamed("cls", side).join(parts.hint("merge"), side).select(side, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("text").alias(f"text_{side}"))
     dealt = pairs.join(parts, side).withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")).drop("parts")
-    return dealt.join(held, [side, "part"]).drop("part")
+    return dealt.join(held.hint("merge"), [side, "part"]).drop("part")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float, block: int = 256) -> DataFrame:
@@ -312,13 +308,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
 
 
 def pairs_apart(met: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs a < b of classes under one key that are of different roots and may be similar, from met (key, cls, root, size, sig).
+    """Pairs a < b of classes under one key that are of different roots and may be similar, from met (key, cls, root, size, fp, sig).
 
-    Sizes further apart than the similarity cannot reach it; of the signature, half the similarity times its length has to agree."""
+    Fingerprints have to lie within WIDE bits, by bit-sliced comparison; sizes further apart than the similarity cannot reach it;
+    of the signature, half the similarity times its length has to agree."""
     counts = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
     met = met.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root", "size", "sig")
+    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root", "size", "fp", "sig")
 
     def found(table):
         cls, root, size = (table.column(c).to_numpy() for c in ("cls", "root", "size"))
@@ -326,21 +323,12 @@ def pairs_apart(met: DataFrame, similarity: float, block: int) -> DataFrame:
         new = np.zeros(len(table), bool)
         for c in (table.column(c).to_numpy() for c in ("key", "lo", "hi")):
             new[1:] |= c[1:] != c[:-1]
-        first = np.flatnonzero(np.append(True, new[1:]))
-        last = np.repeat(np.append(first[1:], len(table)), np.diff(np.append(first, len(table))))
-        todo = last - np.arange(len(table)) - 1  # each row meets those behind it in its group
-        ends = np.cumsum(todo)
-        i = 0
-        while i < len(table):
-            j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + SLICE, "right")))
-            a = np.repeat(np.arange(i, j), todo[i:j])
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(todo[i:j]) - todo[i:j], todo[i:j])
+        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), WIDE):
             near = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
             a, b = a[near], b[near]
             near = (sig[a] == sig[b]).sum(axis=1) >= similarity / 2 * sig.shape[1]
             a, b = cls[a[near]], cls[b[near]]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-            i = j
 
     def compare(batches):
         for table in whole_groups(batches, ("key", "lo", "hi")):
@@ -354,31 +342,37 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     """One row of each near-duplicate group (smallest id, then first by place), all columns as they are.
 
     Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
-    tell these (pairs at 0.8 differ in about nine bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
+    tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
     a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one; then all pairs
     under a key that are not yet connected are. No link goes unconfirmed, and a large group costs no square of pairs."""
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    chosen = numbered.select("_row", F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # so that the numbers hold
+    chosen = numbered.select(F.col(row).alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prints = materialize(with_sets(chosen, shingle), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "sig", "keys"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "fp", "sig", "keys"))
     least = materialize(prints.groupBy("cls").agg(first.alias("least")).select("cls", "least.*"), "classes")
     discard(prints)
     keyed = least.select("cls", F.explode("keys").alias("key"))
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").drop("n")
     met = materialize(keyed.join(centres, "key"), "met")
     named = least.join(met.select("cls").distinct(), "cls").select("cls", "_row")
-    texts = materialize(chosen.join(named, "_row").select("cls", "text"), "texts")
+    # joins that carry texts are merge joins at every size, so their cost grows with the texts alone
+    texts = materialize(chosen.join(named.hint("merge"), "_row").select("cls", "text"), "texts")
     stars = materialize(met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     links = materialize(confirmed(stars, texts, shingle, similarity), "links")
     roots = materialize(components(links), "roots")
     tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    apart = pairs_apart(tagged.join(least.select("cls", "size", "sig"), "cls"), similarity, block)
+    apart = pairs_apart(tagged.join(least.select("cls", "size", "fp", "sig"), "cls"), similarity, block)
     more = materialize(apart.join(stars, ["a", "b"], "left_anti"), "pairs")  # a centre is the smallest of its key
-    links = links.unionByName(materialize(confirmed(more, texts, shingle, similarity), "links"))
-    roots = components(links)
+    confirmed_more = materialize(confirmed(more, texts, shingle, similarity), "links")
+    roots = components(links.unionByName(confirmed_more))
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
-    kept = rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias("_row"))
-    return numbered.join(materialize(kept, "kept"), "_row", "left_semi").drop("_row")
+    kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
+    for done in (least, met, texts, stars, links, more, confirmed_more):
+        discard(done)
+    return numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
