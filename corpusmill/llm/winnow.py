@@ -7,8 +7,10 @@ the benchmark's, and each hit is extended to all windows around it, which are co
 result is exact. Items of fewer words than a window are windows of their own length, found by keeping
 every gram of that length.
 
-The benchmark is joined map-side in blocks of at most ``block_bytes`` of text, one pass over the documents
-for each, so what is broadcast has a bound whatever the benchmark's size.
+The benchmark is joined map-side in blocks whose index takes at most ``block_bytes``, one pass over the documents for
+each, so what is broadcast and what a worker holds have a bound whatever the benchmark's size. An index is a few flat arrays:
+the items' text, their words, the sorted hashes of all windows with the word where each begins, and the fingerprints.
+A block is released before the next one is built.
 
 Edge cases: null or word-less texts have no words and no hits; null or word-less items match nothing; items
 with a null id mark words but are not listed; repeated ids keep their rows; empty tables give no rows or no
@@ -17,12 +19,14 @@ hits; other columns are ignored.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import LOWER, gram_hashes, read, spans, utf8, word_bounds, word_hashes
+from corpusmill.llm.common import LOWER, gram_hashes, materialize, read, spans, utf8, word_bounds, word_hashes
 
 K, WINDOW = 5, 10
 WORD = np.ones(256, bool)
@@ -68,30 +72,49 @@ def fingerprints(words: Words, k: int = K, window: int = WINDOW) -> tuple[np.nda
 
 
 class Index:
-    """A block of the benchmark: fingerprints, window hashes, and the windows themselves with their items."""
+    """A block of the benchmark in flat arrays: texts, words, fingerprints, and all windows in order of length and hash."""
 
     def __init__(self, items: list[tuple[int | None, str]], k: int = K, window: int = WINDOW):
         self.k, self.window = k, window
-        self.items: dict[bytes, set] = {}
-        self.prints: np.ndarray = np.zeros(0, np.uint64)
-        self.hashes: dict[int, np.ndarray] = {}
         data, offsets = utf8(pa.array([t for _, t in items], pa.string()))
         words = Words(data[offsets[0] : offsets[-1]], offsets)
         kept, grams = fingerprints(words, k, window)
         self.prints = np.unique(grams[kept])
-        found: dict[int, list] = {}
-        for row, (item, _) in enumerate(items):
-            n = int(words.n[row])
-            size = min(n, window)
-            for at in range(words.first[row], words.first[row] + n - size + 1) if n else ():
-                self.items.setdefault(words.text(at, size), set()).add(item)
-                found.setdefault(size, []).append(at)
-        for size, at in found.items():
-            self.hashes[size] = np.unique(gram_hashes(words.hashes, size)[np.array(at)])
+        self.data, self.starts, self.ends = words.data, words.starts.astype(np.int32), words.ends.astype(np.int32)
+        self.row = words.row.astype(np.int32)
+        self.names = np.array([-1 if i is None else i for i, _ in items], np.int64)
+        self.unnamed = np.array([i is None for i, _ in items], bool)
+        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # window length: sorted hashes, and the first words
+        size = np.minimum(words.n, window)[words.row]
+        place = np.arange(len(words.row)) - words.first[words.row]
+        starts = place + size <= words.n[words.row]
+        for n in np.unique(size):
+            at = np.flatnonzero(starts & (size == n))
+            hashes = gram_hashes(words.hashes, int(n))[at]
+            order = np.argsort(hashes, kind="stable")
+            self.sizes[int(n)] = hashes[order], at[order].astype(np.int32)
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.prints, self.data, self.starts, self.ends, self.row, self.names, self.unnamed)) + sum(h.nbytes + a.nbytes for h, a in self.sizes.values())
+
+    def text(self, at: int, k: int) -> bytes:
+        return b" ".join(self.data[a:b].tobytes() for a, b in zip(self.starts[at : at + k], self.ends[at : at + k]))
+
+    def windows(self, at: int, size: int, text: bytes, cache: dict) -> tuple[set, bool]:
+        """Items whose windows from place ``at`` in order of hash on hold this text, and whether there is any."""
+        if text not in cache:
+            hashes, first = self.sizes[size]
+            found: set = set()
+            end = int(np.searchsorted(hashes, hashes[at], "right"))
+            same = [int(i) for i in first[at:end] if self.text(int(i), size) == text]
+            found.update(int(self.names[r]) for r in {int(self.row[i]) for i in same} if not self.unnamed[r])
+            cache[text] = found, bool(same)
+        return cache[text]
 
     def hits(self, words: Words):
         """(position, length in words, items) of every window of the benchmark in these texts."""
-        for size, hashes in self.hashes.items():
+        cache: dict = {}
+        for size, (hashes, _) in self.sizes.items():
             grams = gram_hashes(words.hashes, size)
             if size == self.window:
                 kept, small = fingerprints(words, self.k, self.window)
@@ -101,8 +124,9 @@ class Index:
                 at = np.arange(len(grams))
             at = words.inside(at, size)
             at = at[member(hashes, grams[at])]
-            for i in at.tolist():
-                if found := self.items.get(words.text(i, size)):
+            for i, spot in zip(at.tolist(), np.searchsorted(hashes, grams[at]).tolist()):
+                found, any_ = self.windows(spot, size, words.text(i, size), cache)
+                if any_:
                     yield i, size, found
 
 
@@ -133,26 +157,29 @@ def scan(index: Index, column: pa.Array):
             yield n, runs, sorted(x for x in items.get(row, ()) if x is not None)
 
 
+#: Bytes of an index for a byte of text; for words of one letter up to about twice as much.
+SPREAD = 12
+
+
 def blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int):
-    """The benchmark's items in lists of at most block_bytes of text each."""
+    """The benchmark's items in lists whose index takes about block_bytes each; a longer item stands alone."""
     held, size = [], 0
-    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).where(F.length("t") > 0).toLocalIterator():
-        if held and size + len(r.t) > block_bytes:
+    for r in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"), F.octet_length(text).alias("n")).where("n > 0").toLocalIterator():
+        if held and (size + r.n) * SPREAD > block_bytes:
             yield held
             held, size = [], 0
         held.append((r.i, r.t))
-        size += len(r.t)
+        size += r.n
     yield held
 
 
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """doc_id, n_words, spans (start, end in words) and items of every document."""
     spark = docs.sparkSession
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    parts = list(blocks(benchmark, item_id, item_text, block_bytes))
 
     def against(index):
         def run(batches):
@@ -164,36 +191,48 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         return run
 
     schema = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<long>"
-    results = [against(spark.sparkContext.broadcast(Index(p))) for p in parts]
-    if len(results) == 1:
-        return chosen.mapInArrow(results[0], schema)
-    # several blocks: the hits of each, put together by row
-    numbered = chosen.withColumn("_row", F.monotonically_increasing_id())
-    whole = None
-    for run in results:
-        one = numbered.select(F.col("_row").alias("doc_id"), "text").mapInArrow(run, schema)
-        whole = one if whole is None else whole.unionByName(one)
+    parts = blocks(benchmark, item_id, item_text, block_bytes)
+    one, two = next(parts), next(parts, None)
+    if two is None:
+        return chosen.mapInArrow(against(spark.sparkContext.broadcast(Index(one))), schema)
+    # several blocks: the hits of each are written, the rows numbered once, and put together by row
+    numbered = materialize(chosen.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    found = []
+    for part in chain([one, two], parts):
+        held = spark.sparkContext.broadcast(Index(part))
+        hits = numbered.select(F.col("_row").alias("doc_id"), "text").mapInArrow(against(held), schema)
+        found.append(materialize(hits if not found else hits.where(F.size("spans") > 0), "hits"))
+        held.destroy()
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
     spots = F.flatten(F.transform(F.flatten(F.collect_list("spans")), lambda s: F.sequence(s["start"], s["end"] - 1)))
     merged = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(spots)).alias("_spots"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    opens = F.filter("_spots", lambda x: ~F.array_contains("_spots", x - 1))
-    closes = F.filter("_spots", lambda x: ~F.array_contains("_spots", x + 1))
-    merged = merged.withColumn("spans", F.zip_with(opens, closes, lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
+    opens = F.array_except("_spots", F.transform("_spots", lambda x: x + 1))
+    closes = F.array_except("_spots", F.transform("_spots", lambda x: x - 1))
+    merged = merged.withColumn("spans", F.zip_with(F.array_sort(opens), F.array_sort(closes), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"))))
     merged = merged.withColumnRenamed("doc_id", "_row").drop("_spots")
     return numbered.select("_row", "doc_id").join(merged, "_row").select("doc_id", "n_words", "spans", "items")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = 16 << 20) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", block_bytes: int = 128 << 20) -> DataFrame:
     """The documents that hold no window of the benchmark, all columns as they are. Null texts stay."""
-    spark = docs.sparkSession
-    at = docs.columns.index(text)
-    for part in blocks(benchmark, "item_id", "text", block_bytes):
-        index = spark.sparkContext.broadcast(Index(part))
+    spark, at = docs.sparkSession, docs.columns.index(text)
 
-        def keep(batches, index=index):
+    def without(index):
+        def keep(batches):
             for batch in batches:
                 yield batch.filter(pa.array([not runs for _, runs, _ in scan(index.value, batch.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(keep, docs.schema)
+        return keep
+
+    parts, held = blocks(benchmark, "item_id", "text", block_bytes), None
+    for part in parts:
+        if held is not None:  # what the block before left is written, so that its index can go
+            docs = materialize(docs, "clean")
+            held.destroy()
+        held = spark.sparkContext.broadcast(Index(part))
+        docs = docs.mapInArrow(without(held), docs.schema)
     return docs
 
 
