@@ -166,12 +166,14 @@ def resolve_placeholders(properties: DataFrame, rounds: int = 16) -> DataFrame:
     """name, value with ${name:default} expanded by other properties, unresolved: whether one is left.
 
     A round expands the first placeholder of each value; one that names nothing and has no default stays, with its
-    braces set aside so that the next one gets its turn."""
+    braces set aside so that the next one gets its turn. Chains of names are followed ``rounds`` deep; values of many
+    placeholders get a round more for each. What is left then, as in a circle of names, is marked unresolved."""
     table = cut(properties.groupBy("name").agg(F.min("value").alias("value")))
     source = table.select(F.col("name").alias("_key"), F.col("value").alias("_found"))
     work = table
     pattern = r"\$\{([^:{}$]*)(:([^{}$]*))?\}"
-    for _ in range(rounds):
+    most = table.agg(F.max(F.size(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))))).first()[0] or 0
+    for _ in range(rounds + most):
         if work.where(F.col("value").rlike(pattern)).isEmpty():
             break
         step = work.withColumn("_whole", F.regexp_extract("value", pattern, 0)).withColumn("_key", F.regexp_extract("value", pattern, 1)).withColumn("_rest", F.regexp_extract("value", pattern, 2)).withColumn("_default", F.regexp_extract("value", pattern, 3))

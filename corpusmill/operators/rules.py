@@ -27,7 +27,8 @@ def severity_states(catalog: DataFrame) -> DataFrame:
 def rule_scan(lines: DataFrame, rules: list[dict]) -> DataFrame:
     """Findings of line-local rules in one pass: the rule table becomes columns, so lines are read once.
 
-    A rule: rule_id, severity, category, pattern, and if need be literal (a cheap test first), unless, path."""
+    A rule: rule_id, severity, category, pattern, and if need be literal (a cheap test first), unless, path and owner (patterns
+    for the file's path and for the column owner). Tables of many rules go by catalog.line_facts instead."""
 
     def hit(r):
         text = F.col("text")
@@ -38,6 +39,8 @@ def rule_scan(lines: DataFrame, rules: list[dict]) -> DataFrame:
             test = test & ~text.rlike(r["unless"])
         if r.get("path"):
             test = test & F.col("path").cast("string").rlike(r["path"])
+        if r.get("owner"):
+            test = test & F.coalesce(F.col("owner").rlike(r["owner"]), F.lit(False))
         return F.when(test, F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["severity"]).alias("severity"), F.lit(r["category"]).alias("category"), F.regexp_extract(text, r["pattern"], 0).alias("evidence")))
 
     found = F.filter(F.array(*map(hit, rules)), lambda x: x.isNotNull())
@@ -142,6 +145,20 @@ def rule_version(build: DataFrame, resolved: DataFrame, needs: dict[int, int]) -
     return rows.where(need.isNotNull() & (F.col("platform") < need)).select("module", "version", "major", "platform", need.alias("needed"))
 
 
+def rule_version_pair(versions: DataFrame, rules: list[dict]) -> DataFrame:
+    """module, rule_id, major, other_major, least: modules where a component is at a major (or merely there, without one in the
+    rule) and another component's major lies below what that needs. versions: module, component, version, resolved.
+
+    A rule: rule_id, component, major, other, least. Of several versions of a component in a module the resolved one counts, then
+    the highest; unreadable majors, and components that are not there, are silent."""
+    major = F.expr("try_cast(regexp_extract(version, '^([0-9]+)', 1) as int)")
+    order = Window.partitionBy("module", "component").orderBy(F.desc("resolved"), F.desc_nulls_last("major"))
+    held = versions.withColumn("major", major).withColumn("_rn", F.row_number().over(order)).where("_rn = 1").select("module", "component", "major")
+    table = versions.sparkSession.createDataFrame([(r["rule_id"], r["component"], r.get("major"), r["other"], r["least"]) for r in rules], "rule_id string, component string, needs int, other string, least int")
+    uses = held.join(table, "component").where("needs is null or major = needs").select("module", "rule_id", "major", "other", "least")
+    return uses.join(held.select("module", F.col("component").alias("other"), F.col("major").alias("other_major")), ["module", "other"]).where("other_major < least").select("module", "rule_id", "major", "other_major", "least")
+
+
 def rule_presence(inventory: DataFrame, present: list[str], absent: list[str], scope: str = "repo") -> DataFrame:
     """Repos with all kinds of the first list and none of the second."""
     return rule_cooccurrence(inventory, present, absent, (scope,))

@@ -217,6 +217,13 @@ def _(spark, d):
     return r.rule_outside_scope(p, roots)
 
 
+@plan("r11_collapse_roots", "WITH p AS (SELECT DISTINCT page_id % 5 AS module, CASE WHEN page_id % 3 = 0 THEN string_split(regexp_extract(url, '://([^/]*)', 1), '.')[-1] ELSE array_to_string(list_reverse(string_split(regexp_extract(url, '://([^/]*)', 1), '.')), '.') END AS root FROM pages) SELECT module, root FROM p WHERE NOT EXISTS (SELECT 1 FROM p q WHERE q.module = p.module AND starts_with(p.root, q.root || '.'))")
+def _(spark, d):
+    parts = F.split(F.regexp_extract("url", "://([^/]*)", 1), "[.]")
+    root = F.when(F.col("page_id") % 3 == 0, F.element_at(parts, -1)).otherwise(F.array_join(F.reverse(parts), "."))
+    return r.collapse_roots(pages(spark, d).select((F.col("page_id") % 5).alias("module"), root.alias("root")).distinct())
+
+
 @plan("i1_file_manifest", "SELECT source AS repo, doc_id AS path, CAST(strlen(text) AS INT) AS size, sha256(text) AS sha256 FROM documents")
 def _(spark, d):
     return i.file_manifest(files(spark, d))

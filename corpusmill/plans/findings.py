@@ -100,6 +100,32 @@ def _(spark, d):
     return r.rule_version(build, resolved, {3: 17, 4: 21})
 
 
+PAIR_RULES = [
+    {"rule_id": "FRAMEWORK_NEEDS_PLATFORM", "component": "framework", "major": 3, "other": "platform", "least": 17},
+    {"rule_id": "THREADS_NEED_PLATFORM", "component": "threads", "other": "platform", "least": 21},
+    {"rule_id": "MAPPER_TOO_OLD", "component": "framework", "major": 3, "other": "mapper", "least": 6},
+]
+
+
+@plan("r13_version_pairs", """WITH v AS (SELECT l_orderkey AS module, ['framework', 'threads', 'platform', 'mapper'][1 + l_linenumber % 4] AS component, CASE WHEN l_partkey % 13 = 0 THEN 'x' ELSE concat(CASE l_linenumber % 4 WHEN 0 THEN 2 + l_partkey % 2 WHEN 2 THEN 8 + l_partkey % 17 WHEN 3 THEN 5 + l_partkey % 2 ELSE 1 END, '.', l_suppkey % 3) END AS version, l_returnflag = 'R' AS resolved FROM lineitem),
+h AS (SELECT module, component, TRY_CAST(nullif(regexp_extract(version, '^([0-9]+)', 1), '') AS INT) AS major FROM (SELECT *, row_number() OVER (PARTITION BY module, component ORDER BY resolved DESC, TRY_CAST(nullif(regexp_extract(version, '^([0-9]+)', 1), '') AS INT) DESC NULLS LAST) AS rn FROM v) WHERE rn = 1),
+t(rule_id, component, needs, other, least) AS (VALUES ('FRAMEWORK_NEEDS_PLATFORM', 'framework', 3, 'platform', 17), ('THREADS_NEED_PLATFORM', 'threads', NULL, 'platform', 21), ('MAPPER_TOO_OLD', 'framework', 3, 'mapper', 6))
+SELECT a.module, rule_id, a.major, b.major AS other_major, least FROM h a JOIN t ON a.component = t.component AND (needs IS NULL OR a.major = needs) JOIN h b ON b.module = a.module AND b.component = other WHERE b.major < least""")
+def _(spark, d):
+    n, part = F.col("l_linenumber") % 4, F.col("l_partkey")
+    major = F.when(n == 0, 2 + part % 2).when(n == 2, 8 + part % 17).when(n == 3, 5 + part % 2).otherwise(1)
+    version = F.when(part % 13 == 0, "x").otherwise(F.concat(major, F.lit("."), F.col("l_suppkey") % 3))
+    component = F.element_at(F.array(*map(F.lit, ("framework", "threads", "platform", "mapper"))), (n + 1).cast("int"))
+    return r.rule_version_pair(load(spark, d, "lineitem").select(F.col("l_orderkey").alias("module"), component.alias("component"), version.alias("version"), (F.col("l_returnflag") == "R").alias("resolved")), PAIR_RULES)
+
+
+@plan("r2_owner_guard", "SELECT conv_id AS path, turn AS line, regexp_extract(text, '[A-Z][a-z]+', 0) AS evidence FROM conversations WHERE regexp_matches(text, '[A-Z][a-z]+') AND role IN ('user', 'system')")
+def _(spark, d):
+    rows = load(spark, d, "conversations").select(F.lit("c").alias("repo"), F.col("conv_id").alias("path"), F.col("turn").alias("line"), "text", F.col("role").alias("owner"))
+    rule = {"rule_id": "NAME", "severity": "INFO", "category": "TEXT", "pattern": "[A-Z][a-z]+", "owner": "^(user|system)$"}
+    return r.rule_scan(rows, [rule]).select("path", "line", "evidence")
+
+
 @plan("r14_presence", "SELECT o_custkey AS repo FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey FROM lineitem) ON o_orderkey = l_orderkey GROUP BY o_custkey HAVING bool_or(l_orderkey IS NULL) AND NOT bool_or(l_orderkey IS NOT NULL AND o_orderpriority = '1-URGENT')")
 def _(spark, d):
     filled = load(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("f", F.lit(1))

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# Folders that no scan enters.
 PRUNED = (".git", ".gradle", "build", "target", "node_modules")
 
 
@@ -17,8 +18,15 @@ def glob_pattern(glob: str) -> str:
 
 
 def corpus_scan(spark: SparkSession, root: str, include=("**",), exclude=(), max_depth: int = 64) -> DataFrame:
-    """repo, path, content, size, origin of the files below root; the first folder names the repo."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """repo, path, content, size, origin of the files below root; the first folder names the repo.
+
+    Files whose base name no include glob can match, and hidden folders, are left out by the listing, so their contents are
+    never read; what is left is tested by its whole path."""
+    names = {g.rsplit("/", 1)[-1] for g in include}
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    if not any("**" in n for n in names):
+        reader = reader.option("pathGlobFilter", "{" + ",".join(sorted(names)) + "}" if len(names) > 1 else next(iter(names)))
+    raw = reader.load(root)
     base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))) + "/"
     rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}", "")
     files = raw.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("repo"), F.regexp_replace(rel, "^[^/]+/", "").alias("path"), "content", F.col("length").alias("size"))
