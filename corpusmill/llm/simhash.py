@@ -22,6 +22,7 @@ Repeated ids keep their rows, each by its own text. Empty tables give empty resu
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -307,44 +308,100 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return dealt_texts(one, texts, "b", "a", block).select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
-def pairs_apart(met: DataFrame, similarity: float, block: int) -> DataFrame:
-    """Pairs a < b of classes under one key that are of different roots and may be similar, from met (key, cls, root, size, fp, sig).
+def may_be_similar(sig_a: np.ndarray, sig_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes and minima (rows of bytes) may have the similarity: sizes further apart cannot reach it, and
+    of the minima as many agree as the similarity lets expect, less five times the spread."""
+    n = sig_a.shape[1]
+    least = n * similarity - 5 * (n * similarity * (1 - similarity)) ** 0.5
+    near = np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
+    near[near] = (sig_a[near] == sig_b[near]).sum(axis=1) >= least
+    return near
 
-    Fingerprints have to lie within WIDE bits, by bit-sliced comparison; sizes further apart than the similarity cannot reach it;
-    of the signature, half the similarity times its length has to agree."""
-    counts = met.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    met = met.join(counts.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts")), "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    met = met.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls", "root", "size", "fp", "sig")
+
+def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) that may be similar, by sets (cls, size, sig)."""
+    rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa")), "a")
+    rows = rows.join(sets.select(F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def test(batches):
+        for batch in batches:
+            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, BANDS * DEEP) for c in ("sa", "sb"))
+            keep = may_be_similar(sa, sb, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), similarity)
+            yield batch.select(["a", "b"]).filter(pa.array(keep))
+
+    return rows.mapInArrow(test, "a long, b long")
+
+
+def stars_of(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (centre, other) of the links (a, b): all links of one centre after another, those with most links first, until n are
+    taken or none is left."""
+    if len(a) <= n:
+        return a, b
+    out, taken = [], 0
+    while taken < n and len(a):
+        centre = int(np.argmax(np.bincount(np.concatenate([a, b]))))
+        own = (a == centre) | (b == centre)
+        other = np.where(a[own] == centre, b[own], a[own])
+        out.append((np.full(len(other), centre), other))
+        taken += len(other)
+        a, b = a[~own], b[~own]
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
+    """key, lo, hi, a, b: pairs of classes of different roots that may be similar, from dealt (key, lo, hi, cls, root, size, fp, sig, done).
+
+    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, and signatures to agree. Of a group (key, lo, hi) no more
+    pairs are given than it has rows, all those of one class a after another; the others come when the classes given as a are
+    marked as done, so that a round's pairs grow with the rows and none is lost."""
 
     def found(table):
         cls, root, size = (table.column(c).to_numpy() for c in ("cls", "root", "size"))
+        done = table.column("done").to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+        places = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
         new = np.zeros(len(table), bool)
-        for c in (table.column(c).to_numpy() for c in ("key", "lo", "hi")):
+        for c in places:
             new[1:] |= c[1:] != c[:-1]
-        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), WIDE):
-            near = (root[a] != root[b]) & (np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b]) - 1e-9)
-            a, b = a[near], b[near]
-            near = (sig[a] == sig[b]).sum(axis=1) >= similarity / 2 * sig.shape[1]
-            a, b = cls[a[near]], cls[b[near]]
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        group = np.cumsum(new)
+        pairs = []
+        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), group, WIDE):
+            open_ = (root[a] != root[b]) & ~done[a] & ~done[b]
+            a, b = a[open_], b[open_]
+            near = may_be_similar(sig[a], sig[b], size[a], size[b], similarity)
+            pairs.append((a[near], b[near]))
+        if not pairs:
+            return
+        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
+        order = np.argsort(group[a], kind="stable")
+        a, b = a[order], b[order]
+        edges = np.flatnonzero(np.append(True, group[a][1:] != group[a][:-1])) if len(a) else np.zeros(0, np.int64)
+        for i, j in zip(edges, np.append(edges[1:], len(a))):
+            rows = np.flatnonzero(group == group[a[i]])
+            x, y = stars_of(a[i:j] - rows[0], b[i:j] - rows[0], len(rows))
+            x, y = x + rows[0], y + rows[0]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in places), pa.array(cls[x]), pa.array(cls[y])], ["key", "lo", "hi", "a", "b"])
 
     def compare(batches):
         for table in whole_groups(batches, ("key", "lo", "hi")):
             yield from found(table)
 
-    dealt = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return spread.mapInArrow(compare, "key long, lo int, hi int, a long, b long")
+
 
+def union_all(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 2048) -> DataFrame:
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
     """One row of each near-duplicate group (smallest id, then first by place), all columns as they are.
 
     Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
     tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
-    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one; then all pairs
-    under a key that are not yet connected are. No link goes unconfirmed, and a large group costs no square of pairs."""
+    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, in
+    rounds, pairs under a key that are not yet connected and have not been tried are, at most as many as the key has classes, until
+    there are none. No link goes unconfirmed, and a large group gives no square of pairs."""
     row = "_row"
     while row in docs.columns:
         row += "_"
@@ -361,18 +418,39 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     # joins that carry texts are merge joins at every size, so their cost grows with the texts alone
     texts = materialize(chosen.join(named.hint("merge"), "_row").select("cls", "text"), "texts")
     stars = materialize(met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    links = materialize(confirmed(stars, texts, shingle, similarity), "links")
-    roots = materialize(components(links), "roots")
-    tagged = met.join(roots, F.col("cls") == F.col("node"), "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
-    apart = pairs_apart(tagged.join(least.select("cls", "size", "fp", "sig"), "cls"), similarity, block)
-    more = materialize(apart.join(stars, ["a", "b"], "left_anti"), "pairs")  # a centre is the smallest of its key
-    confirmed_more = materialize(confirmed(more, texts, shingle, similarity), "links")
-    roots = components(links.unionByName(confirmed_more))
+    sets = least.select("cls", "size", "fp", "sig")
+    links = [materialize(confirmed(likely(stars, sets, similarity), texts, shingle, similarity), "links")]
+    parts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    dealt = met.select("key", "cls").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls")
+    tried, done = [stars], []
+    while True:
+        roots = materialize(components(union_all(links)), "roots")
+        rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
+        apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+        rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+        if done:
+            marks = union_all(done).distinct().withColumn("done", F.lit(True))
+            rows = rows.join(marks, ["key", "lo", "hi", "cls"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
+        else:
+            rows = rows.withColumn("done", F.lit(False))
+        found = materialize(pairs_apart(rows.select("key", "lo", "hi", "cls", "root", "size", "fp", "sig", "done"), similarity), "found")
+        if found.isEmpty():
+            break
+        done.append(found.select("key", "lo", "hi", F.col("a").alias("cls")).distinct())
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = materialize(pairs.join(union_all(tried), ["a", "b"], "left_anti"), "pairs")
+        tried.append(more)
+        links.append(materialize(confirmed(more, texts, shingle, similarity), "links"))
+        discard(roots)
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
-    for done in (least, met, texts, stars, links, more, confirmed_more):
-        discard(done)
-    return numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
+    for table in (least, met, texts, roots, found, *tried, *links):
+        discard(table)
+    out = numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
+    out._shared_tables = [numbered, kept]  # to be discarded once the result is written
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
