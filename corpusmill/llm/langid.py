@@ -30,6 +30,7 @@ FOLD[:128] = 32
 FOLD[97:123] = np.arange(97, 123)
 FOLD[65:91] = np.arange(97, 123)
 ROWS = 64
+LONG = 1 << 20  # bytes of one text that are counted at once
 LENGTHS = 15  # classes of length, by the binary logarithm of how many features a text has
 
 
@@ -55,11 +56,22 @@ def chunks(column: pa.Array):
     """(i, j, counts) over a column, at most ROWS texts at once; a long text alone is summed in parts."""
     data, offsets = utf8(column)
     for i, j in spans(offsets, 1 << 18):
+        if j == i + 1 and offsets[j] - offsets[i] > LONG:
+            yield i, j, sum(part_counts(data[offsets[i] : offsets[j]]))
+            continue
         for a in range(i, j, ROWS):
             b = min(j, a + ROWS)
             yield a, b, counts(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
 
 
+def part_counts(text: np.ndarray):
+    """Counts of a long text in parts; a feature belongs to the part that it begins in."""
+    whole = lambda x: counts(x, np.array([0, len(x)]))
+    for a in range(0, len(text), LONG):
+        b = a + LONG
+        yield whole(text[a : b + 2]) - (whole(text[b : b + 2]) if b < len(text) else 0)
+
+
 def weigh(found: np.ndarray, idf: np.ndarray) -> np.ndarray:
     x = np.log1p(found).astype(np.float32) * idf
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)

@@ -12,7 +12,9 @@ that the machine scores highest, in rounds. Landmarks are the most telling words
 The machine is linear in the Nystroem features, so for scoring it folds into one weight per letter triple.
 
 Training takes at most ``train_docs`` labelled documents (smallest hash of the id), in one task; all rows are
-scored, whole.
+scored, whole. Inside training, candidates are words of 3 to 64 letters, at most 20 for a toxic text (the most telling ones);
+negatives are the 2,000 most frequent clean words and 6,000 drawn ones, joined in rounds by those that come out highest among the
+400,000 most frequent. These bound the fit's time on long texts; scoring has no such limits.
 
 Edge cases: null, empty and word-less texts score as a text without a telling word; null ids are scored and
 never learned from; an id labelled twice takes the larger label; with no label, or one label only, scores are that

@@ -409,6 +409,14 @@ def test_toxicity_sees_through_gaps(spark):
     assert (p[:3] > 0.5).all() and (p[3:] < 0.5).all()
 
 
+def test_langid_counts_a_long_text_in_parts(monkeypatch):
+    text = np.frombuffer(("Ünder dem Baum 12 sat Jörg. " * 40).encode(), np.uint8)
+    whole = langid.counts(text, np.array([0, len(text)]))
+    for size in (7, 100, 1120, 5000):
+        monkeypatch.setattr(langid, "LONG", size)
+        assert (sum(langid.part_counts(text)) == whole).all()
+
+
 def test_langid_held_out(spark):
     """Each language by itself."""
     rows = langid.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out and lang is not null").collect()
