@@ -62,10 +62,21 @@ def test_budget_names_the_first_offender(spark):
 
 
 def test_resolution_truth_table(spark):
-    modules = spark.createDataFrame([("m1", "g", "a", "1"), ("m2", "g", "b", None), ("m3", "g", "c", "1"), ("m4", "g", "c", "2")], "module string, group string, artifact string, version string")
-    decls = spark.createDataFrame([(1, "g", "a", "1", False), (2, "g", "a", "9", False), (3, "g", "b", "7", False), (4, "g", "a", None, True), (5, "g", "c", None, True), (6, "x", "y", "1", False), (7, "x", "y", None, True)], "decl int, group string, artifact string, version string, dynamic boolean")
+    modules = [("m1", "r", "p1", "maven", ":a", "a", "g", "a", "1"), ("m2", "r", "p2", "maven", None, None, "g", "b", None), ("m3", "r", "p3", "maven", None, "c", "g", "c", "1"), ("m4", "s", "p4", "gradle", None, "c", "g", "c", "2"), ("m5", "s", "p5", "maven", None, None, "g", "d", "1"), ("m6", "s", "p5", "maven", None, None, "g", "d", "1")]
+    modules = spark.createDataFrame(modules, "module string, repo string, path string, build_system string, project_path string, project_name string, group string, artifact string, version string")
+    none = (None, None)
+    decls = [
+        (1, "r", "maven", *none, "g", "a", "1", False), (2, "r", "maven", *none, "g", "a", "9", False), (3, "r", "maven", *none, "g", "b", "7", False), (4, "r", "maven", *none, "g", "a", None, True), (5, "r", "ant", *none, "g", "c", None, True),
+        (6, "r", "maven", *none, "x", "y", "1", False), (7, "r", "maven", *none, "x", "y", None, True), (8, "r", "gradle", *none, "g", "c", None, True), (9, "r", "maven", *none, "g", "d", "1", False), (10, "r", "maven", "m4", None, None, None, None, True),
+        (11, "r", "maven", "m9", None, None, None, None, True), (12, "r", "gradle", None, ":a", None, None, None, False), (13, "s", "gradle", None, ":x:a", None, None, None, False), (14, "s", "ant", None, ":c", None, None, None, False), (15, "r", "maven", *none, "g", None, "1", False),
+    ]
+    decls = spark.createDataFrame(decls, "decl int, repo string, build_system string, target string, project_path string, group string, artifact string, version string, dynamic boolean")
     got = {x.decl: (x.resolution, x.module) for x in g.resolve_dependencies(decls, modules).collect()}
-    assert got == {1: ("LOCAL", "m1"), 2: ("EXTERNAL", None), 3: ("LOCAL", "m2"), 4: ("LOCAL", "m1"), 5: ("UNRESOLVED", None), 6: ("EXTERNAL", None), 7: ("UNRESOLVED", None)}
+    open_ = ("UNRESOLVED", None)
+    assert got == {
+        1: ("LOCAL", "m1"), 2: ("EXTERNAL", None), 3: ("LOCAL", "m2"), 4: ("LOCAL", "m1"), 5: open_, 6: ("EXTERNAL", None), 7: open_, 8: ("LOCAL", "m4"), 9: ("LOCAL", "m5"), 10: ("LOCAL", "m4"),
+        11: open_, 12: ("LOCAL", "m1"), 13: ("LOCAL", "m1"), 14: open_, 15: open_,
+    }
 
 
 def test_graph_of_three_and_a_cycle(spark):
