@@ -38,6 +38,7 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
+PER_ROUND = 32  # candidate pairs for each row of a group that one round tries
 WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
@@ -352,7 +353,7 @@ def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
     """key, lo, hi, a, b: pairs of classes of different roots that may be similar, from dealt (key, lo, hi, cls, root, size, fp, sig, done).
 
     Fingerprints have to lie within WIDE bits, by bit-sliced comparison, and signatures to agree. Of a group (key, lo, hi) no more
-    pairs are given than it has rows, all those of one class a after another; the others come when the classes given as a are
+    pairs are given than PER_ROUND times its rows, all those of one class a after another; the others come when the classes given as a are
     marked as done, so that a round's pairs grow with the rows and none is lost."""
 
     def found(table):
@@ -378,7 +379,7 @@ def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
         edges = np.flatnonzero(np.append(True, group[a][1:] != group[a][:-1])) if len(a) else np.zeros(0, np.int64)
         for i, j in zip(edges, np.append(edges[1:], len(a))):
             rows = np.flatnonzero(group == group[a[i]])
-            x, y = stars_of(a[i:j] - rows[0], b[i:j] - rows[0], len(rows))
+            x, y = stars_of(a[i:j] - rows[0], b[i:j] - rows[0], PER_ROUND * len(rows))
             x, y = x + rows[0], y + rows[0]
             yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in places), pa.array(cls[x]), pa.array(cls[y])], ["key", "lo", "hi", "a", "b"])
 
@@ -400,7 +401,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
     tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
     a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, in
-    rounds, pairs under a key that are not yet connected and have not been tried are, at most as many as the key has classes, until
+    rounds, pairs under a key that are not yet connected and have not been tried are, at most PER_ROUND for each class of the key, until
     there are none. No link goes unconfirmed, and a large group gives no square of pairs."""
     row = "_row"
     while row in docs.columns:
@@ -424,9 +425,10 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     dealt = met.select("key", "cls").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls")
-    tried, done = [stars], []
+    tried, done, roots = [stars], [], None
     while True:
-        roots = materialize(components(union_all(links)), "roots")
+        if roots is None or not links[-1].isEmpty():
+            roots = materialize(components(union_all(links)), "roots")
         rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
         apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
@@ -443,7 +445,6 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
         more = materialize(pairs.join(union_all(tried), ["a", "b"], "left_anti"), "pairs")
         tried.append(more)
         links.append(materialize(confirmed(more, texts, shingle, similarity), "links"))
-        discard(roots)
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
     for table in (least, met, texts, roots, found, *tried, *links):
