@@ -22,7 +22,6 @@ Repeated ids keep their rows, each by its own text. Empty tables give empty resu
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, repeat
 
 import numpy as np
@@ -38,7 +37,7 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
-PER_ROUND = 32  # candidate pairs for each row of a group that one round tries
+PER_ROUND = 4  # candidate pairs for each row of a group that one round tries
 WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
@@ -392,7 +391,8 @@ def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, tables)
+    """Tables of materialize() that have one schema, as one scan, so that plans do not grow with the rounds."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t._shared_path for t in tables])
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
@@ -425,29 +425,29 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     dealt = met.select("key", "cls").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls")
-    tried, done, roots = [stars], [], None
+    tried, rounds, roots = [stars], [], None
     while True:
         if roots is None or not links[-1].isEmpty():
             roots = materialize(components(union_all(links)), "roots")
         rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
         apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        if done:
-            marks = union_all(done).distinct().withColumn("done", F.lit(True))
+        if rounds:
+            marks = union_all(rounds).select("key", "lo", "hi", F.col("a").alias("cls")).distinct().withColumn("done", F.lit(True))
             rows = rows.join(marks, ["key", "lo", "hi", "cls"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
         else:
             rows = rows.withColumn("done", F.lit(False))
         found = materialize(pairs_apart(rows.select("key", "lo", "hi", "cls", "root", "size", "fp", "sig", "done"), similarity), "found")
         if found.isEmpty():
             break
-        done.append(found.select("key", "lo", "hi", F.col("a").alias("cls")).distinct())
+        rounds.append(found)
         pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         more = materialize(pairs.join(union_all(tried), ["a", "b"], "left_anti"), "pairs")
         tried.append(more)
         links.append(materialize(confirmed(more, texts, shingle, similarity), "links"))
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
-    for table in (least, met, texts, roots, found, *tried, *links):
+    for table in (least, met, texts, roots, found, *rounds, *tried, *links):
         discard(table)
     out = numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
     out._shared_tables = [numbered, kept]  # to be discarded once the result is written
