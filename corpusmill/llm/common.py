@@ -111,6 +111,12 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def words_in_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+    """word_hashes() of the words, so many at a time, so that what it holds does not grow with the text."""
+    parts = [slice(i, i + step) for i in range(0, len(starts), step)]
+    return np.concatenate([np.zeros(0, np.uint64), *(word_hashes(data[starts[p][0] : ends[p][-1]], starts[p] - starts[p][0], ends[p] - starts[p][0]) for p in parts)])
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-grams at each position (len(words) - k + 1 of them)."""
     n = max(0, len(words) - k + 1)

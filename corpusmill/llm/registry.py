@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, over its whole table; SQL where SQL can express it."""
 
-from corpusmill.llm import ann, gru_lm, id_files, langid, packing, quality, simhash, token_count, toxicity, winnow
+from corpusmill.llm import ann, gru_lm, id_files, langid, line_rules, packing, quality, simhash, token_count, toxicity, winnow
 
 QUERIES = {
     "op1_decontaminate": winnow.query,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_langid": langid.query,
     "op9_toxicity": toxicity.query,
     "op10_id_files": id_files.query,
+    "op13_line_rules": line_rules.query,
 }
-SQL = {"op1_decontaminate": winnow.SQL}
+SQL = {"op1_decontaminate": winnow.SQL, "op13_line_rules": line_rules.SQL}
