@@ -1,6 +1,6 @@
 """The queries of this subpackage, one for each operator, over its whole table; SQL where SQL can express it."""
 
-from corpusmill.llm import ann, gru_lm, id_files, langid, line_rules, packing, quality, simhash, token_count, toxicity, turn_repair, winnow
+from corpusmill.llm import ann, collocations, gru_lm, id_files, langid, line_rules, packing, quality, simhash, token_count, toxicity, turn_repair, winnow
 
 QUERIES = {
     "op1_decontaminate": winnow.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_toxicity": toxicity.query,
     "op10_id_files": id_files.query,
     "op11_turn_repair": turn_repair.query,
+    "op12_collocations": collocations.query,
     "op13_line_rules": line_rules.query,
 }
-SQL = {"op1_decontaminate": winnow.SQL, "op13_line_rules": line_rules.SQL}
+SQL = {"op1_decontaminate": winnow.SQL, "op12_collocations": collocations.SQL, "op13_line_rules": line_rules.SQL}
