@@ -299,7 +299,8 @@ def edits(rows: DataFrame) -> DataFrame:
         if out:
             yield flushed(len(out))
 
-    return bounded.repartition("cid", "chunk").sortWithinPartitions("cid", "chunk", "at").mapInArrow(repair, schema)
+    # dealt by a hash of the join's keys, as a shuffle by the keys themselves is left out behind the join, whose skewed partitions may be split
+    return bounded.repartition(F.xxhash64("cid", "chunk")).sortWithinPartitions("cid", "chunk", "at").mapInArrow(repair, schema)
 
 
 def repaired(rows: DataFrame) -> DataFrame:
