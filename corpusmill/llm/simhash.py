@@ -37,7 +37,7 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
-PER_ROUND = 4  # candidate pairs for each row of a group that one round tries
+PER_ROUND = 64  # candidate pairs for each row of a group that one round tries
 WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
@@ -348,27 +348,35 @@ def stars_of(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarr
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
+def first_shared(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
+    """The first band in which all minima of two signatures (rows of bytes) agree."""
+    return (sig_a == sig_b).reshape(-1, BANDS, DEEP).all(axis=2).argmax(axis=1)
+
+
 def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
-    """key, lo, hi, a, b: pairs of classes of different roots that may be similar, from dealt (key, lo, hi, cls, root, size, fp, sig, done).
+    """key, lo, hi, a, b: pairs of classes of different roots that may be similar, from dealt (key, lo, hi, own, band, centre, cls, root, size, fp, sig, done).
 
-    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, and signatures to agree. Of a group (key, lo, hi) no more
-    pairs are given than PER_ROUND times its rows, all those of one class a after another; the others come when the classes given as a are
-    marked as done, so that a round's pairs grow with the rows and none is lost."""
+    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, and signatures to agree. A pair belongs to the first band that both
+    share, and there to one part or pair of parts, so it is given once; pairs with the key's centre have been tried before. Of a group (key, lo, hi)
+    no more pairs are given than PER_ROUND times its rows, all those of one class a after another; the others come when the classes given
+    as a are marked as done, so that a round's pairs grow with the rows and none is lost."""
 
     def found(table):
-        cls, root, size = (table.column(c).to_numpy() for c in ("cls", "root", "size"))
+        cls, root, size, own, band, centre = (table.column(c).to_numpy() for c in ("cls", "root", "size", "own", "band", "centre"))
         done = table.column("done").to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
         places = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
         new = np.zeros(len(table), bool)
         for c in places:
             new[1:] |= c[1:] != c[:-1]
-        group = np.cumsum(new)
+        group, apart = np.cumsum(new), places[1] != places[2]
+        closed = done | (cls == centre)
         pairs = []
         for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), group, WIDE):
-            open_ = (root[a] != root[b]) & ~done[a] & ~done[b]
+            open_ = (root[a] != root[b]) & ~closed[a] & ~closed[b] & (~apart[a] | (own[a] != own[b]))
             a, b = a[open_], b[open_]
             near = may_be_similar(sig[a], sig[b], size[a], size[b], similarity)
+            near[near] = first_shared(sig[a[near]], sig[b[near]]) == band[a[near]]
             pairs.append((a[near], b[near]))
         if not pairs:
             return
@@ -401,8 +409,8 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
     tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
     a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, in
-    rounds, pairs under a key that are not yet connected and have not been tried are, at most PER_ROUND for each class of the key, until
-    there are none. No link goes unconfirmed, and a large group gives no square of pairs."""
+    rounds, pairs of a key that are not yet connected are, each pair under one key, at most PER_ROUND for each class of the key, until
+    there are none. No link goes unconfirmed, and a round's pairs grow with the classes, not with their square."""
     row = "_row"
     while row in docs.columns:
         row += "_"
@@ -412,7 +420,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "fp", "sig", "keys"))
     least = materialize(prints.groupBy("cls").agg(first.alias("least")).select("cls", "least.*"), "classes")
     discard(prints)
-    keyed = least.select("cls", F.explode("keys").alias("key"))
+    keyed = least.select("cls", F.posexplode("keys").alias("band", "key"))
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").drop("n")
     met = materialize(keyed.join(centres, "key"), "met")
     named = least.join(met.select("cls").distinct(), "cls").select("cls", "_row")
@@ -422,13 +430,15 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     sets = least.select("cls", "size", "fp", "sig")
     links = [materialize(confirmed(likely(stars, sets, similarity), texts, shingle, similarity), "links")]
     parts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = met.select("key", "cls").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    dealt = met.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "cls")
-    tried, rounds, roots = [stars], [], None
+    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "centre", "cls")
+    rounds, roots = [], None
     while True:
         if roots is None or not links[-1].isEmpty():
-            roots = materialize(components(union_all(links)), "roots")
+            before, roots = roots, materialize(components(union_all(links)), "roots")
+            if before is not None:
+                discard(before)
         rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
         apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
         rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
@@ -437,17 +447,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
             rows = rows.join(marks, ["key", "lo", "hi", "cls"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
         else:
             rows = rows.withColumn("done", F.lit(False))
-        found = materialize(pairs_apart(rows.select("key", "lo", "hi", "cls", "root", "size", "fp", "sig", "done"), similarity), "found")
+        found = materialize(pairs_apart(rows.select("key", "lo", "hi", "own", "band", "centre", "cls", "root", "size", "fp", "sig", "done"), similarity), "found")
         if found.isEmpty():
             break
         rounds.append(found)
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = materialize(pairs.join(union_all(tried), ["a", "b"], "left_anti"), "pairs")
-        tried.append(more)
-        links.append(materialize(confirmed(more, texts, shingle, similarity), "links"))
+        links.append(materialize(confirmed(found.select("a", "b"), texts, shingle, similarity), "links"))
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
-    for table in (least, met, texts, roots, found, *rounds, *tried, *links):
+    for table in (least, met, texts, stars, roots, found, *rounds, *links):
         discard(table)
     out = numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
     out._shared_tables = [numbered, kept]  # to be discarded once the result is written
