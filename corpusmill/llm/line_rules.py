@@ -41,6 +41,8 @@ def repeated_words(part: np.ndarray, edges: np.ndarray) -> np.ndarray:
         return np.zeros(len(edges) - 1, np.int64)
     words = words_in_parts(part, starts, ends)
     whole = np.flatnonzero(row[:n] == row[WINDOW - 1 :])
+    if not len(whole):
+        return np.zeros(len(edges) - 1, np.int64)
     grams = mix(gram_hashes(words, WINDOW)[whole] + row[whole].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(grams, kind="stable")
     twin = grams[order][1:] == grams[order][:-1]

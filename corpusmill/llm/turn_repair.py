@@ -5,7 +5,7 @@ blank rows and duplicates have to be), and empty user or assistant rows are inse
 cheapest edits win, of equally cheap ones those whose initials D, I, K, R read least.
 
 One survivor is kept for each of the four states that a prefix can leave. Their edits hang in a tree of back pointers that knows its
-live branches; dead branches are freed at once, and as soon as all survivors share an ancestor the edits up to it are given out, so
+live branches; dead branches, those that have become too dear to win among them, are freed at once, and as soon as all survivors share an ancestor the edits up to it are given out, so
 memory holds the unresolved suffixes alone. Equally cheap survivors are told apart by their complete unresolved suffixes: all
 strings end with a row's own edit, none is the beginning of another, so their order after a row follows from their order before it and from the
 row's edits, and is kept as a rank instead of being read again from the tree.
@@ -42,6 +42,9 @@ NAMES = {"u": "user", "a": "assistant"}
 #: Fewest inserts from a state to others; those that end the conversation well.
 FILLS = (((0, 0), (2, 1), (3, 2)), ((1, 0), (2, 1), (3, 2)), ((2, 0), (3, 1)), ((3, 0), (2, 1)))
 FINISH = (0, 2, 1, 0)
+#: What goes on from the second state goes on from the first for so much more (first row: from 0 to each): by inserts, or by deleting the s that
+#: only state 0 may keep. A survivor dearer than another by more than that cannot win.
+BRIDGE = ((0, 0, 5, 0), (12, 0, 5, 10), (7, 5, 0, 5), (2, 0, 5, 0))
 
 
 def steps(fault: int, initial: str) -> list[list[tuple[int, str, int]]]:
@@ -75,6 +78,7 @@ def advance(front: dict, ways: list) -> dict:
             key = (cost + more, rank, letters, state)
             if to not in best or key < best[to]:
                 best[to] = key
+    best = {t: b for t, b in best.items() if all(b[0] <= best[o][0] + BRIDGE[o][t] for o in best)}
     order = sorted(best, key=lambda t: best[t][1:3])
     return {t: (best[t][0], r, best[t][3], best[t][2]) for r, t in enumerate(order)}
 
