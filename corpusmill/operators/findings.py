@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,25 +99,62 @@ def meets_threshold(findings: DataFrame, severity: str) -> DataFrame:
     return findings.groupBy("repo").agg(at.alias("n_at_or_above"), (at > 0).alias("met"))
 
 
-def drop_foreign_paths(findings: DataFrame, reserved: str, root: str, context: str | None = None) -> DataFrame:
-    """Findings whose path is not below the reserved folder, relative or under root, nor anywhere under the context folder.
+def clean_path(path: Column) -> Column:
+    """The shortest form of a path: slashes forward and single, no empty or . segment, steps up taken; those that lead out of a
+    relative path stay, those above / go. A drive letter stays in front. Null if there is no path."""
+    path = F.translate(path, "\\", "/")
+    drive = F.regexp_extract(path, "^[A-Za-z]:", 0)
+    rest = F.substring(path, F.length(drive) + 1, F.length(path))
+    rooted = F.startswith(rest, F.lit("/"))
+
+    def step(held, part):
+        up = F.when((F.size(held) > 0) & (F.coalesce(F.try_element_at(held, F.lit(-1)), F.lit("")) != ".."), F.slice(held, 1, F.size(held) - 1)).when(rooted, held).otherwise(F.array_append(held, part))
+        return F.when((part == "") | (part == "."), held).when(part == "..", up).otherwise(F.array_append(held, part))
+
+    joined = F.array_join(F.aggregate(F.split(rest, "/"), F.array().cast("array<string>"), step), "/")
+    whole = F.concat(drive, F.when(rooted, "/").otherwise(""), F.when((joined == "") & ~rooted, ".").otherwise(joined))
+    return F.when(rest != "", whole)
+
+
+def path_below(path: Column, root: Column) -> Column:
+    """What is left of an absolute clean path below an absolute clean root, empty for the root itself, null elsewhere; with drive letters without regard
+    to case."""
+    lower = lambda p: F.when(p.rlike("^[A-Za-z]:"), F.lower(p)).otherwise(p)
+    stem = F.when(F.endswith(root, F.lit("/")), root).otherwise(F.concat(root, F.lit("/")))
+    inside = F.startswith(lower(path), lower(stem)) & root.rlike("^([A-Za-z]:)?/")
+    return F.when(lower(path) == lower(root), "").when(inside, F.substring(path, F.length(stem) + 1, F.length(path)))
+
+
+def raw_paths(raw: Column) -> Column:
+    """The paths that a finding's JSON names: of itself, and of its two kinds of places. Unreadable JSON has none."""
+
+    def named(at: str, keys: list[str]) -> Column:
+        texts = [F.get_json_object(raw, f"$.{at}{k}") for k in keys]
+        return F.coalesce(*(F.when((t != "") & ~t.rlike(r"^[{\[]"), t) for t in texts))
+
+    inner = ["sourceFile", "path", "file", "location"]
+    return F.array_compact(F.array(named("", ["sourceFile", "path", "location", "file"]), named("primaryLocation.", inner), named("location.", inner)))
+
 
-    Whole segments count; back slashes, repeated slashes and steps up are put straight; paths with a drive letter compare
-    without regard to case."""
+def drop_foreign_paths(findings: DataFrame, reserved: str, root: str, context: str | None = None, snapshot: tuple[str, str] | None = None, raw: str | None = None) -> DataFrame:
+    """Findings none of whose paths (path, and those in the JSON of column raw) lies in the reserved folder: relative, under root, or
+    anywhere under the context folder; outside both, where its two parent folders begin as snapshot says. Whole segments count."""
+    folder, outer = clean_path(F.lit(root)), clean_path(F.lit(context))
+    below = lambda p: (p == reserved) | F.startswith(p, F.lit(f"{reserved}/"))
 
-    def straight(path: Column) -> Column:
-        path = F.regexp_replace(F.regexp_replace(F.regexp_replace(path, r"\\", "/"), "/+", "/"), r"(^|/)(\./)+", "$1")
-        for _ in range(4):
-            path = F.regexp_replace(path, r"(^|/)[^/]+/\.\.(/|$)", "$1")
-        path = F.regexp_replace(path, "(.)/$", "$1")
-        return F.when(path.rlike("^[A-Za-z]:"), F.lower(path)).otherwise(path)
+    def foreign(path: Column) -> Column:
+        path = clean_path(path)
+        fallback = F.lit(False)
+        if snapshot:
+            before, last = map(re.escape, snapshot)
+            fallback = path.rlike(f"(^|/){before}[^/]*/{last}[^/]*/{re.escape(reserved)}(/|$)")
+        under = F.when(path_below(path, outer).isNotNull(), True).when(path_below(path, folder).isNotNull(), below(path_below(path, folder))).otherwise(fallback)
+        return F.coalesce(F.when(path.rlike("^([A-Za-z]:)?/"), under).otherwise(below(path)), F.lit(False))
 
-    path, folder = straight(F.col("path")), straight(F.lit(root))
-    below = lambda p, f: (p == f) | p.startswith(F.concat(f, F.lit("/")))
-    inside = below(path, F.lit(reserved)) | below(path, F.concat(folder, F.lit("/" + reserved)))
-    if context is not None:
-        inside = inside | below(path, straight(F.lit(context)))
-    return findings.where(~inside | F.col("path").isNull())
+    paths = F.array(F.col("path").cast("string"))
+    if raw is not None:
+        paths = F.concat(paths, F.coalesce(raw_paths(F.col(raw)), F.array().cast("array<string>")))
+    return findings.where(~F.exists(paths, foreign))
 
 
 def filter_findings(findings: DataFrame, severity=None, category=None, runtime=None, confidence=None, triage=None, hide_info: bool = False, text: str | None = None) -> DataFrame:

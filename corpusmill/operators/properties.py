@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.storage import cut
+from corpusmill.functions.storage import cut, discard
 from corpusmill.functions.text import kebab, normal_name, prefixes
 
 # Parts of names that mark a secret.
@@ -162,28 +162,39 @@ def missing_override(properties: DataFrame, base_profile: str | None, override_p
     return base.select("repo", "name").distinct().join(other, ["repo", "name"], "left_anti")
 
 
-def resolve_placeholders(properties: DataFrame, rounds: int = 16) -> DataFrame:
+def resolve_placeholders(properties: DataFrame) -> DataFrame:
     """name, value with ${name:default} expanded by other properties, unresolved: whether one is left.
 
-    A round expands the first placeholder of each value; one that names nothing and has no default stays, with its
-    braces set aside so that the next one gets its turn. Chains of names are followed ``rounds`` deep; values of many
-    placeholders get a round more for each. What is left then, as in a circle of names, is marked unresolved."""
-    table = cut(properties.groupBy("name").agg(F.min("value").alias("value")))
-    source = table.select(F.col("name").alias("_key"), F.col("value").alias("_found"))
-    work = table
-    pattern = r"\$\{([^:{}$]*)(:([^{}$]*))?\}"
-    most = table.agg(F.max(F.size(F.regexp_extract_all("value", F.lit(pattern), F.lit(0))))).first()[0] or 0
-    for _ in range(rounds + most):
-        if work.where(F.col("value").rlike(pattern)).isEmpty():
+    Values fall into text and placeholders, the innermost first. In a round all placeholders of a value meet the names in one join;
+    names that are expanded already give their values, unknown names their defaults, and without one they stay as they are. So names are
+    expanded in the order in which they depend on each other, in as many rounds as the longest chain has names. When a round
+    expands nothing, what is left are circles of names and what leads to them; their placeholders stay."""
+    pattern = r"\$\{([^:{}$]*)(:[^{}$]*)?\}"
+    shut = "\u0001"  # in place of the $ of a placeholder that stays
+    names = properties.groupBy("name").agg(F.min("value").alias("value"))
+    work = cut(names.select("name", "value", (~F.coalesce(F.col("value").rlike(pattern), F.lit(False))).alias("done")))
+    while True:
+        open_ = work.where(~F.col("done"))
+        texts = F.split("value", pattern, -1)
+        found = [F.regexp_extract_all("value", F.lit(pattern), F.lit(k)) for k in (0, 1, 2)]
+        parts = open_.select("name", texts.alias("texts"), F.posexplode(F.arrays_zip(*(f.alias(n) for f, n in zip(found, ("whole", "key", "rest"))))).alias("pos", "part"))
+        parts = parts.select("name", "texts", "pos", "part.whole", F.trim("part.key").alias("key"), "part.rest")
+        known = work.select(F.col("name").alias("key"), F.col("value").alias("given"), F.col("done").alias("ready"))
+        new = F.when(F.col("ready"), F.coalesce("given", F.lit(""))).when(F.col("ready").isNotNull(), F.col("whole"))
+        new = new.when(F.col("rest") != "", F.substring("rest", 2, F.length("rest"))).otherwise(F.concat(F.lit(shut), F.substring("whole", 2, F.length("whole"))))
+        filled = parts.join(known, "key", "left").select("name", "texts", "pos", "whole", new.alias("new"))
+        filled = filled.groupBy("name", "texts").agg(F.array_sort(F.collect_list(F.struct("pos", "new"))).alias("new"), F.bool_or(F.col("new") != F.col("whole")).alias("moved"))
+        last = F.array_append(F.transform("new", lambda x: x["new"]), F.lit(""))
+        value = F.array_join(F.zip_with("texts", last, lambda t, n: F.concat(t, n)), "")
+        filled = cut(filled.select("name", value.alias("value"), (~value.rlike(pattern)).alias("done"), "moved"))
+        stuck = filled.where("moved").isEmpty()
+        before, work = work, cut(work.where("done").unionByName(filled.drop("moved")))
+        discard(before)
+        discard(filled)
+        if stuck:
             break
-        step = work.withColumn("_whole", F.regexp_extract("value", pattern, 0)).withColumn("_key", F.regexp_extract("value", pattern, 1)).withColumn("_rest", F.regexp_extract("value", pattern, 2)).withColumn("_default", F.regexp_extract("value", pattern, 3))
-        step = step.join(source, "_key", "left")
-        kept = F.concat(F.lit("\u0001{"), F.expr("substring(_whole, 3)"))
-        new = F.when(F.col("_found").isNotNull(), F.col("_found")).when(F.col("_rest") != "", F.col("_default")).otherwise(kept)
-        value = F.when(F.col("_whole") == "", F.col("value")).otherwise(F.concat(F.expr("substring(value, 1, locate(_whole, value) - 1)"), new, F.expr("substring(value, locate(_whole, value) + length(_whole))")))
-        work = cut(step.select("name", value.alias("value")))
-    value = F.regexp_replace("value", "\u0001", r"\$")
-    return work.select("name", value.alias("value"), value.rlike(pattern).alias("unresolved"))
+    out = F.regexp_replace("value", shut, r"\$")
+    return work.select("name", out.alias("value"), F.coalesce(out.rlike(pattern), F.lit(False)).alias("unresolved"))
 
 
 def unused_prefixes(owners: DataFrame, properties: DataFrame) -> DataFrame:

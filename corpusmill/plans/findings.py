@@ -187,12 +187,13 @@ def _(spark, d):
     return f.meets_threshold(events(spark, d), "warning")
 
 
-@plan("f8_drop_foreign_paths", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/+', '/', 'g') AS rest FROM pages), q AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN rest WHEN 1 THEN concat('.\', replace(rest, '/', '\')) WHEN 2 THEN concat('C:\Work\', replace(rest, '/', '\')) ELSE concat('x/../', rest) END AS path, rest FROM p)
-SELECT page_id, path FROM q WHERE NOT (CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END = 'blog' OR starts_with(CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END, 'blog/') OR (page_id % 4 = 2 AND (lower(rest) = 'docs' OR starts_with(lower(rest), 'docs/'))))""")
+@plan("f8_drop_foreign_paths", r"""WITH p AS (SELECT page_id, regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/', ''), '/+', '/', 'g') AS rest FROM pages), q AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN rest WHEN 1 THEN concat('.\', replace(rest, '/', '\')) WHEN 2 THEN concat('C:\Work\', replace(rest, '/', '\')) WHEN 3 THEN CASE WHEN page_id % 8 = 7 THEN concat('../../', rest) ELSE concat('a/b/c/d/e/f/../../../x/../../../../', rest) END END AS path, rest FROM p)
+SELECT page_id, path FROM q WHERE page_id % 8 = 7 OR NOT (CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END = 'blog' OR starts_with(CASE WHEN page_id % 4 = 2 THEN lower(rest) ELSE rest END, 'blog/') OR (page_id % 4 = 2 AND (lower(rest) = 'docs' OR starts_with(lower(rest), 'docs/'))))""")
 def _(spark, d):
     rest, k = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/", ""), "/+", "/"), F.col("page_id") % 4
     back = F.translate(rest, "/", "\\")
-    path = F.when(k == 0, rest).when(k == 1, F.concat(F.lit(".\\"), back)).when(k == 2, F.concat(F.lit("C:\\Work\\"), back)).otherwise(F.concat(F.lit("x/../"), rest))
+    path = F.when(k == 0, rest).when(k == 1, F.concat(F.lit(".\\"), back)).when(k == 2, F.concat(F.lit("C:\\Work\\"), back)).when(F.col("page_id") % 8 == 7, F.concat(F.lit("../../"), rest))
+    path = path.otherwise(F.concat(F.lit("a/b/c/d/e/f/../../../x/../../../../"), rest))
     return f.drop_foreign_paths(pages(spark, d).select("page_id", path.alias("path")), "blog", "c:/work", "c:/work/docs")
 
 

@@ -154,12 +154,19 @@ def _(spark, d):
 @plan("p12_resolve_placeholders", """WITH RECURSIVE t AS (SELECT concat('n', p_partkey) AS name, CASE WHEN p_partkey % 4 = 0 THEN concat('v', p_size) WHEN p_partkey % 4 = 1 THEN concat('<${n', p_partkey - 1, '}>') WHEN p_partkey % 4 = 2 THEN concat('${n', p_partkey - 1, ':d}!') ELSE concat('${none', p_size, CASE WHEN p_size % 2 = 0 THEN ':dflt' ELSE '' END, '}') END AS value FROM part),
 s AS (SELECT name, CAST(substr(name, 2) AS BIGINT) AS k, value FROM t)
 SELECT a.name, CASE a.k % 4 WHEN 0 THEN a.value WHEN 1 THEN concat('<', coalesce(b.value, concat('${n', a.k - 1, '}')), '>') WHEN 2 THEN concat('<', coalesce(c.value, concat('${n', a.k - 2, '}')), '>!') ELSE CASE WHEN contains(a.value, ':dflt') THEN 'dflt' ELSE a.value END END AS value, (a.k % 4 = 3 AND NOT contains(a.value, ':dflt')) OR (a.k % 4 = 1 AND b.value IS NULL) OR (a.k % 4 = 2 AND c.value IS NULL) AS unresolved
-FROM s a LEFT JOIN s b ON b.k = a.k - 1 LEFT JOIN s c ON c.k = a.k - 2""")
+FROM s a LEFT JOIN s b ON b.k = a.k - 1 LEFT JOIN s c ON c.k = a.k - 2
+UNION ALL SELECT concat('w', p_partkey), concat_ws('.', 'v' || p_size, 'v' || p_size, 'x', 'v' || p_size), false FROM part WHERE p_partkey % 4 = 0
+UNION ALL SELECT concat('c', p_partkey), concat('v', p_size, '${c', p_partkey, '}'), true FROM part WHERE p_partkey % 4 = 0""")
 def _(spark, d):
     k, size = F.col("p_partkey"), F.col("p_size")
     value = F.when(k % 4 == 0, F.concat(F.lit("v"), size)).when(k % 4 == 1, F.concat(F.lit("<${n"), k - 1, F.lit("}>"))).when(k % 4 == 2, F.concat(F.lit("${n"), k - 1, F.lit(":d}!")))
     value = value.otherwise(F.concat(F.lit("${none"), size, F.when(size % 2 == 0, ":dflt").otherwise(""), F.lit("}")))
-    return p.resolve_placeholders(load(spark, d, "part").select(F.concat(F.lit("n"), k).alias("name"), value.alias("value")))
+    part = load(spark, d, "part")
+    rows = part.select(F.concat(F.lit("n"), k).alias("name"), value.alias("value"))
+    own = F.concat(F.lit("${n"), k, F.lit("}"))
+    wide = part.where(k % 4 == 0).select(F.concat(F.lit("w"), k), F.concat_ws(".", own, own, F.concat(F.lit("${none:x}")), own))
+    ring = part.where(k % 4 == 0).select(F.concat(F.lit("c"), k), F.concat(own, F.lit("${c"), k, F.lit("}")))
+    return p.resolve_placeholders(rows.union(wide).union(ring))
 
 
 @plan("p13_unused_prefixes", f"WITH {PROP}, {NAMES_UP}, {OWNERS} SELECT prefix FROM owners WHERE prefix NOT IN (SELECT prefix FROM ups)")

@@ -2,39 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Folders that no scan enters.
-PRUNED = (".git", ".gradle", "build", "target", "node_modules")
-
-
-def glob_pattern(glob: str) -> str:
-    """A regular expression over relative paths; ** crosses folders, a glob without a slash also matches base names."""
-    out = "".join({"**/": "(?:.*/)?", "**": ".*", "*": "[^/]*", "?": "[^/]"}.get(x, re.escape(x)) for x in re.findall(r"\*\*/|\*\*|\*|\?|[^*?]+", glob))
-    return f"^{out}$" if "/" in glob else f"(^|/){out}$"
+from corpusmill.functions.running import running_totals
+from corpusmill.sources.tree import TreeSource
 
 
 def corpus_scan(spark: SparkSession, root: str, include=("**",), exclude=(), max_depth: int = 64) -> DataFrame:
     """repo, path, content, size, origin of the files below root; the first folder names the repo.
 
-    Files whose base name no include glob can match, and hidden folders, are left out by the listing, so their contents are
-    never read; what is left is tested by its whole path."""
-    names = {g.rsplit("/", 1)[-1] for g in include}
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if not any("**" in n for n in names):
-        reader = reader.option("pathGlobFilter", "{" + ",".join(sorted(names)) + "}" if len(names) > 1 else next(iter(names)))
-    raw = reader.load(root)
-    base = re.escape(re.sub(r"^[a-z0-9]+:/*", "/", root.rstrip("/"))) + "/"
-    rel = F.regexp_replace(F.regexp_replace("path", "^[a-z0-9]+:/*", "/"), f"^{base}", "")
-    files = raw.select(F.regexp_extract(rel, "^([^/]+)/", 1).alias("repo"), F.regexp_replace(rel, "^[^/]+/", "").alias("path"), "content", F.col("length").alias("size"))
-    pruned = "(^|/)(" + "|".join(map(re.escape, PRUNED)) + ")/"
-    files = files.where(~F.col("path").rlike(pruned) & (F.size(F.split("path", "/")) <= max_depth))
-    files = files.where(F.col("path").rlike("|".join(map(glob_pattern, include))))
-    if exclude:
-        files = files.where(~F.col("path").rlike("|".join(map(glob_pattern, exclude))))
+    Dot files are read like others; pruned folders are not entered, and only files that the globs let through are opened. The
+    tree is read by its file system's own reader, so root is a path or an address of a store that the workers can reach."""
+    spark.dataSource.register(TreeSource)
+    reader = spark.read.format("tree").option("include", "\n".join(include)).option("exclude", "\n".join(exclude)).option("maxDepth", max_depth)
+    files = reader.option("folders", 4 * spark.sparkContext.defaultParallelism).load(root)
     return files.select("repo", "path", F.decode("content", "UTF-8").alias("content"), "size", F.lit("PRIMARY").alias("origin"))
 
 
@@ -54,18 +36,10 @@ def within_budget(files: DataFrame, max_files: int, max_file_bytes: int, max_tot
     """Per repo: accepted, and the first path at which a limit is passed; accepted_in_run: whether it and the accepted repos before
     it, in order of name, stay within the limits of the whole run.
 
-    Running sums go block by block (paths that begin alike), with the sums of the blocks before, so that a repo of any size is spread."""
-    # blocks of paths (by their first characters) bound what one task sorts; sums of the blocks before are added
-    block = F.substring(F.col("path").cast("string"), 1, 2)
-    if dict(files.dtypes)["path"] != "string":
-        block = F.floor(F.col("path") / 1000)
-    rows = files.select("repo", "path", "size", block.alias("_b"))
-    before = Window.partitionBy("repo").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy("repo", "_b").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    cells = cells.select("repo", "_b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("s0"))
-    order = Window.partitionBy("repo", "_b").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    run = rows.withColumn("n", F.count("*").over(order)).withColumn("total", F.sum("size").over(order)).join(cells, ["repo", "_b"])
-    over = (F.col("n") + F.col("n0") > max_files) | (F.col("size") > max_file_bytes) | (F.col("total") + F.col("s0") > max_total_bytes)
+    Running sums go over ranges of paths, with the sums of the ranges before, so that a repo of any size is spread."""
+    rows = files.select("repo", "path", "size", F.lit(1).alias("one"))
+    run = running_totals(rows, ["repo"], ["path"], {"n": "one", "total": "size"})
+    over = (F.col("n") > max_files) | (F.col("size") > max_file_bytes) | (F.col("total") > max_total_bytes)
     out = run.groupBy("repo").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.min(F.when(over, F.col("path"))).alias("first_offender")).withColumn("accepted", F.col("first_offender").isNull())
     if run_files is None and run_bytes is None:
         return out
