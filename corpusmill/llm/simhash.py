@@ -37,7 +37,7 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
-PER_ROUND = 64  # candidate pairs for each row of a group that one round tries
+PER_ROUND = 8  # candidate pairs for each row of a group that one round tries
 WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
