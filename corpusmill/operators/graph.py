@@ -197,14 +197,12 @@ def _trimmed(edges: DataFrame) -> DataFrame:
     return edges
 
 
-def cycle_groups(edges: DataFrame) -> DataFrame:
-    """(node, component) of nodes on a cycle; the component is its smallest node.
+def _core_groups(edges: DataFrame) -> DataFrame:
+    """(node, component) of the cycles of edges (a table of cut()), by colouring.
 
-    Nodes without an edge in or out are trimmed until none is left. On the rest, nodes take the smallest label that
-    reaches them and split off those that reach back; all labels' groups of a round are placed at once, until none is left."""
-    edges = cut(edges.select("src", "dst").distinct())
-    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
-    left, out = _trimmed(cut(edges.where("src <> dst"))), []
+    Nodes take the smallest label that reaches them and split off those that reach back; all labels' groups of a round are placed at
+    once, until none is left."""
+    left, out = _trimmed(edges), []
     while not left.isEmpty():
         colour = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct().withColumn("colour", F.col("node"))
         colour = _spread(left, cut(colour))
@@ -215,10 +213,67 @@ def cycle_groups(edges: DataFrame) -> DataFrame:
         gone = found.select("node").distinct()
         left = _trimmed(cut(left.join(gone.select(F.col("node").alias("src")), "src", "left_anti").join(gone.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")))
     if not out:
-        return loops
+        return edges.limit(0).select(F.col("src").alias("node"), F.col("dst").alias("component"))
     whole = joined(out)
-    sized = whole.groupBy("component").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
-    groups = whole.join(sized, "component").select("node", F.col("least").alias("component"))
+    return whole.join(whole.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component").select("node", "component")
+
+
+def _jumps(steps: DataFrame) -> list[DataFrame]:
+    """Of steps (node, to), one a node, the tables (node, to, least, on) after 1, 2, 4, ... steps: where it leads, the smallest node on the
+    way, and whether it goes on from there. The last table stands where all ways end, or on circles."""
+    n = steps.count()
+    first = steps.select("node", "to", F.col("to").alias("least")).join(steps.select(F.col("node").alias("to"), F.lit(True).alias("on")), "to", "left")
+    tables = [cut(first.select("node", "to", "least", F.coalesce("on", F.lit(False)).alias("on")))]
+    while 1 << (len(tables) - 1) < n and not tables[-1].where("on").isEmpty():
+        ahead = tables[-1].select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("on").alias("on2"))
+        met = tables[-1].join(ahead, "to", "left")
+        tables.append(cut(met.select("node", F.coalesce("to2", "to").alias("to"), F.least("least", F.coalesce("least2", "least")).alias("least"), F.coalesce("on2", F.lit(False)).alias("on"))))
+    return tables
+
+
+def cycle_groups(edges: DataFrame) -> DataFrame:
+    """(node, component) of nodes on a cycle; the component is its smallest node.
+
+    First the graph is drawn together, in turns forward and backward. Nodes with one edge lead somewhere in some log n jumps, however long the
+    way: round a circle of such nodes, which is a component; to a node without edges, then they are on no cycle; or to a node with several
+    edges, and then their own edges in are led there. What is left has several edges at every node both ways, and is coloured. Then the
+    nodes drawn together are placed: those on a way from a node of a component to one of the same component belong to it."""
+    edges = cut(edges.select("src", "dst").distinct())
+    loops = edges.where("src = dst").select(F.col("src").alias("node"), F.col("src").alias("component"))
+    left, found, undo, idle = cut(edges.where("src <> dst")), [], [], 0
+    while idle < 2 and not left.isEmpty():
+        degrees = cut(left.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to")))
+        steps = degrees.where("n = 1").select(F.col("src").alias("node"), "to")
+        if steps.isEmpty():
+            idle += 1
+        else:
+            idle, jumps = 0, _jumps(steps)
+            ways = jumps[-1]
+            ring = ways.where("on").select(F.col("to").alias("node")).distinct()
+            found.append(cut(ways.join(ring, "node").select("node", F.col("least").alias("component"))))
+            big = degrees.where("n > 1").select(F.col("src").alias("node"))
+            onward = left.join(big.withColumnRenamed("node", "src"), "src", "left_semi").join(ways.select(F.col("node").alias("dst"), "to", "on"), "dst", "left")
+            onward = onward.where("not coalesce(on, false)").select("src", "dst", F.coalesce("to", "dst").alias("end")).join(big.withColumnRenamed("node", "end"), "end", "left_semi")
+            onward = cut(onward)
+            undo.append((jumps, cut(onward.where("dst <> end"))))
+            found.append(cut(onward.where("src = end").select(F.col("src").alias("node"), F.col("src").alias("component")).distinct()))
+            left = cut(onward.where("src <> end").select("src", F.col("end").alias("dst")).distinct())
+        left = cut(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))  # the other way
+    core = cut(_core_groups(left))
+    known = joined([core, *found]) if found else core
+    known = cut(known.groupBy("node").agg(F.min_by("component", F.when(F.col("node") == F.col("component"), 1).otherwise(0)).alias("component")))
+    for jumps, entries in reversed(undo):
+        at = lambda name: known.select(F.col("node").alias(name), F.col("component").alias(f"c_{name}"))
+        marked = entries.join(at("src"), "src").join(at("end"), "end").where("c_src = c_end").select(F.col("dst").alias("node"), F.col("c_end").alias("component")).distinct()
+        marked = cut(marked)
+        if marked.isEmpty():
+            continue
+        for table in jumps:  # a way of any length is a sum of powers of two
+            more = marked.join(table, "node").select(F.col("to").alias("node"), "component")
+            marked = cut(marked.unionByName(more).distinct())
+        known = cut(known.unionByName(marked.join(known.select("node"), "node", "left_anti")))
+    sized = known.groupBy("component").agg(F.min("node").alias("least"))
+    groups = known.join(sized, "component").select("node", F.col("least").alias("component"))
     return groups.unionByName(loops.join(groups.select("node"), "node", "left_anti"))
 
 
@@ -239,32 +294,118 @@ def _spread(edges: DataFrame, colour: DataFrame) -> DataFrame:
         colour = new
 
 
-def dependency_levels(edges: DataFrame) -> DataFrame:
-    """(node, level): every dependency is on a lower level; a cycle's nodes share their component's level."""
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, c): the component of every node, itself where it is on no cycle; and the edges (cs, cd) between components."""
     edges = cut(edges.select("src", "dst").distinct())
-    comp = cut(cycle_groups(edges))
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
-    named = cut(nodes.join(comp, "node", "left").select("node", F.coalesce("component", "node").alias("c")))
-    flat = edges.join(named.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(named.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst").where("cs <> cd").select("cs", "cd").distinct()
-    left, level, out = cut(flat), 0, []
-    every = named.select("c").distinct()
+    named = cut(nodes.join(cycle_groups(edges), "node", "left").select("node", F.coalesce("component", "node").alias("c")))
+    flat = edges.join(named.select(F.col("node").alias("src"), F.col("c").alias("cs")), "src").join(named.select(F.col("node").alias("dst"), F.col("c").alias("cd")), "dst")
+    return named, cut(flat.where("cs <> cd").select("cs", "cd").distinct())
+
+
+def _longest(steps: DataFrame) -> DataFrame:
+    """Of steps (node, to, low, far), one a node and without circles: to, where it ends, and low, far, so that the node's level is the greater of low and
+    far more than the level there; by doubling."""
+    table = cut(steps)
     while True:
-        placed = joined(out).select("c") if out else every.limit(0)
-        ready = cut(every.join(left.select(F.col("cs").alias("c")).distinct(), "c", "left_anti").join(placed, "c", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            return named.join(joined(out), "c").select("node", "level") if out else named.select("node", F.lit(0).alias("level"))
-        out.append(ready)
-        new = cut(left.join(ready.select(F.col("c").alias("cd")), "cd", "left_anti").select("cs", "cd"))
-        discard(left)
-        left, level = new, level + 1
-
-
-def effective_hash(nodes: DataFrame, closure: DataFrame) -> DataFrame:
-    """node, hash over the sorted (id, content hash) of the node and all it depends on."""
-    own = nodes.select(F.col("node").alias("src"), F.col("node").alias("dst"))
-    pairs = closure.select("src", "dst").unionByName(own).join(nodes.select(F.col("node").alias("dst"), "content_hash"), "dst")
-    item = F.concat_ws(":", F.col("dst").cast("string"), "content_hash")
-    return pairs.groupBy("src").agg(F.sha2(F.concat_ws("\n", F.sort_array(F.collect_list(item))), 256).alias("hash")).withColumnRenamed("src", "node")
+        ahead = table.select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"), F.col("far").alias("far2"))
+        met = table.join(ahead, "to", "left")
+        new = cut(met.select("node", F.coalesce("to2", "to").alias("to"), F.greatest("low", F.coalesce(F.col("low2") + F.col("far"), "low")).alias("low"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far"), F.col("to2").isNotNull().alias("moved")))
+        discard(table)
+        table = new
+        if new.where("moved").isEmpty():
+            return new.drop("moved")
+
+
+def longest_paths(edges: DataFrame) -> DataFrame:
+    """(node, level) of the nodes of a graph (cs, cd) without circles: the most edges of a path from it.
+
+    Edges carry a length. In a round, nodes whose dependencies all have levels get theirs; nodes with one open dependency follow it to its end, over any
+    number of such nodes by doubling, and their own edges in are led there with the length of the way. So a round is needed for each place where
+    several open ways part, not for each edge."""
+    left = cut(edges.select(F.col("cs").alias("src"), F.col("cd").alias("dst"), F.lit(1).alias("far")))
+    nodes = left.select(F.col("src").alias("node")).union(left.select(F.col("dst").alias("node"))).distinct()
+    open_, found = nodes.withColumn("low", F.lit(0)), []
+    while True:
+        degrees = left.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("to"), F.min("far").alias("far")).withColumnRenamed("src", "node")
+        state = cut(open_.join(degrees, "node", "left").select("node", "low", F.coalesce("n", F.lit(0)).alias("n"), "to", "far"))
+        ends, single = state.agg(F.count_if(F.col("n") == 0), F.count_if(F.col("n") == 1)).first()
+        if not ends and not single:
+            break
+        drawn = single > ends  # fewer ends than ways to them: the ways are long
+        placed = state.where("n = 0").select("node", F.col("low").alias("level"), "to", "low", "far")
+        if drawn:
+            ways = _longest(state.where("n = 1").select("node", "to", "low", "far"))
+            ways = ways.join(placed.select(F.col("node").alias("to"), F.col("level").alias("end")), "to", "left")
+            placed = placed.unionByName(ways.select("node", F.greatest("low", F.col("end") + F.col("far")).alias("whole"), "end", "to", "low", "far").select("node", F.when(F.col("end").isNotNull(), F.col("whole")).alias("level"), "to", "low", "far"))
+        found.append(cut(placed))
+        rest = state.where("n > 1" if drawn else "n > 0").select("node", "low")
+        out = left.join(rest.select(F.col("node").alias("src")), "src", "left_semi")
+        out = out.join(found[-1].select(F.col("node").alias("dst"), "level", "to", F.col("low").alias("low2"), F.col("far").alias("far2")), "dst", "left")
+        led = F.col("level").isNull() & F.col("to").isNotNull()
+        out = cut(out.select("src", F.when(led, F.col("to")).otherwise(F.col("dst")).alias("dst"), (F.col("far") + F.when(led, F.col("far2")).otherwise(0)).alias("far"), (F.col("far") + F.coalesce("level", "low2")).alias("least"), F.col("level").isNotNull().alias("done")))
+        lows = out.groupBy("src").agg(F.max("least").alias("least")).withColumnRenamed("src", "node")
+        open_ = rest.join(lows, "node", "left").select("node", F.greatest("low", F.coalesce("least", F.lit(0))).alias("low"))
+        left = out.where("not done").groupBy("src", "dst").agg(F.max("far").alias("far"))
+    if not found:
+        return edges.limit(0).select(F.col("cs").alias("node"), F.lit(0).alias("level"))
+    known = cut(joined(found).where("level is not null").select("node", "level"))
+    for table in reversed(found):
+        later = table.where("level is null")
+        if not later.isEmpty():
+            more = later.drop("level").join(known.select(F.col("node").alias("to"), "level"), "to").select("node", F.greatest("low", F.col("level") + F.col("far")).alias("level"))
+            known = joined([known, cut(more)])
+    return known
+
+
+def dependency_levels(edges: DataFrame) -> DataFrame:
+    """(node, level): every dependency is on a lower level; a cycle's nodes share their component's level."""
+    named, flat = condensed(edges)
+    placed = longest_paths(flat)
+    return named.join(placed.withColumnRenamed("node", "c"), "c", "left").select("node", F.coalesce("level", F.lit(0)).alias("level"))
+
+
+LANES = 4
+
+
+def _sums(hash_: Column) -> list[Column]:
+    """Sums of parts of 60 bits of SHA-256 hashes: one hash for a set of any size, in any order, without a list of it."""
+    return [F.sum(F.conv(F.substring(hash_, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(LANES)]
+
+
+def _joined_sums() -> Column:
+    return F.concat_ws(",", *(F.coalesce(F.col(f"s{k}"), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(LANES)))
+
+
+def leveled(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """condensed(), and (c, level) of the components that have edges."""
+    named, flat = condensed(edges)
+    return named, flat, cut(longest_paths(flat).withColumnRenamed("node", "c"))
+
+
+def effective_hash(nodes: DataFrame, edges: DataFrame, shape: tuple | None = None) -> DataFrame:
+    """node, hash of nodes (node, content_hash); shape is leveled(edges), where it is known already. The hash changes with the node's content and with that of anything it depends on, and with nothing else.
+
+    Hashes roll up the condensed graph, level by level: a component's hash is that of its nodes' contents and of the hashes of the components that it
+    depends on, each of them once; sets are hashed by sums, so no row holds more than one hash. A node's own hash adds its name."""
+    named, flat, levels = shape or leveled(edges)
+    named = cut(nodes.join(named, "node", "left").select("node", F.coalesce("c", "node").alias("c"), "content_hash"))
+    own = named.groupBy("c").agg(*_sums(F.sha2(F.concat_ws(":", F.col("node").cast("string"), "content_hash"), 256)))
+    own = own.select("c", _joined_sums().alias("own"))
+    placed = own.join(levels, "c", "left").select("c", "own", F.coalesce("level", F.lit(0)).alias("level"))
+    placed, parts, level = cut(placed), [], 0
+    top = placed.agg(F.max("level").alias("top")).first().top
+    while top is not None and level <= top:
+        here = placed.where(F.col("level") == level)
+        if parts:
+            below = flat.join(here.select(F.col("c").alias("cs")), "cs", "left_semi").join(joined(parts).select(F.col("c").alias("cd"), F.col("hash").alias("h")), "cd")
+            here = here.join(below.groupBy("cs").agg(*_sums(F.col("h"))).withColumnRenamed("cs", "c"), "c", "left")
+        else:
+            here = here.select("*", *(F.lit(None).cast("decimal(38,0)").alias(f"s{k}") for k in range(LANES)))
+        parts.append(cut(here.select("c", F.sha2(F.concat_ws("|", "own", _joined_sums()), 256).alias("hash"))))
+        level += 1
+    rolled = joined(parts) if parts else placed.select("c", F.col("own").alias("hash"))
+    return named.join(rolled, "c").select("node", F.sha2(F.concat_ws("|", F.col("node").cast("string"), "hash"), 256).alias("hash"))
 
 
 def version_conflicts(resolved: DataFrame) -> DataFrame:

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.storage import cut
 from corpusmill.functions.text import prefixes
+from corpusmill.operators.graph import reach
 
 
 def rule_catalog(spark: SparkSession, rules: list[tuple], disabled=()) -> DataFrame:
@@ -93,9 +95,20 @@ def rule_self_call(calls: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def rule_caller_boundary(members: DataFrame, calls: DataFrame) -> DataFrame:
-    """Members that need a boundary and have none, neither themselves nor in any caller; an unresolved caller silences."""
-    named = members.select(F.col("member").alias("caller"), "boundary")
-    safe = calls.join(named, "caller", "left").where(F.coalesce("boundary", F.lit(False)) | F.col("boundary").isNull()).select(F.col("callee").alias("member")).distinct()
+    """Members (member, boundary, needs, and barrier where there is one) that need a boundary and have none, neither themselves nor in any
+    caller, over any number of calls (caller, callee).
+
+    What a boundary calls runs inside it, and so on, until a barrier: a member that is called but does not run inside its caller's boundary. A
+    caller that is null or no member is not resolved and may have a boundary; it silences what it calls in the same way. Each round
+    follows the calls of the members found last."""
+    barrier = F.coalesce("barrier", F.lit(False)) if "barrier" in members.columns else F.lit(False)
+    named = cut(members.groupBy("member").agg(F.bool_or("boundary").alias("boundary"), F.bool_or(barrier).alias("barrier")))
+    open_ = named.where("not boundary and not barrier").select("member")
+    inside = calls.select("caller", F.col("callee").alias("member")).distinct().join(open_, "member", "left_semi")
+    inside = cut(inside.join(named.select(F.col("member").alias("caller"), F.col("boundary").alias("held")), "caller", "left"))
+    first = inside.where(F.coalesce("held", F.lit(True))).select("member")
+    steps = cut(inside.where(~F.coalesce("held", F.lit(True))).select(F.col("caller").alias("src"), F.col("member").alias("dst")))
+    safe = reach(steps, first.select(F.lit(0).alias("origin"), F.col("member").alias("node"))).select(F.col("node").alias("member"))
     return members.where("needs and not boundary").join(safe, "member", "left_anti").select("member")
 
 

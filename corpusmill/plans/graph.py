@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators import graph as g
@@ -148,13 +149,38 @@ def _(spark, d):
     return g.dependency_levels(edges(spark, d, CYC))
 
 
-@plan("d10_effective_hash", f"""WITH RECURSIVE {closure_sql(DAG)}, n AS (SELECT DISTINCT node, sha256(concat(p_name, p_size)) AS h FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) JOIN part ON node = p_partkey), pairs AS (SELECT src, dst FROM reach WHERE src <> dst UNION SELECT node, node FROM n)
-SELECT src AS node, sha256(string_agg(concat(dst, ':', h), chr(10) ORDER BY concat(dst, ':', h))) AS hash FROM pairs JOIN n ON dst = node GROUP BY src""")
+@plan("d10_effective_hash", f"""WITH RECURSIVE {closure_sql(CYC)}, n AS (SELECT DISTINCT node FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges) JOIN part ON node = p_partkey)
+SELECT node, node % 25 = 0 OR node IN (SELECT src FROM reach WHERE dst % 25 = 0) AS changed FROM n""")
 def _(spark, d):
-    e = edges(spark, d, DAG)
-    part = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.sha2(F.concat("p_name", F.col("p_size").cast("string")), 256).alias("content_hash"))
-    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct().join(part, "node")
-    return g.effective_hash(nodes, g.dependency_closure(e))
+    """Which nodes' hashes change when the contents of every 25th do, on a graph with circles."""
+    e = edges(spark, d, CYC)
+    nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
+    part = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.concat("p_name", F.col("p_size").cast("string")).alias("content")).join(nodes, "node")
+    shape = g.leveled(e)
+    hashes = lambda content: g.effective_hash(part.select("node", F.sha2(content, 256).alias("content_hash")), e, shape)
+    after = hashes(F.when(F.col("node") % 25 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    return hashes(F.col("content")).join(after.withColumnRenamed("hash", "other"), "node").select("node", (F.col("hash") != F.col("other")).alias("changed"))
+
+
+_ISLANDS = "ns AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS node, l_orderkey AS o FROM lineitem), i AS (SELECT node, o, node - row_number() OVER (PARTITION BY o ORDER BY node) AS island FROM ns)"
+
+
+@plan("d8_cycles_of_all_orders", f"WITH {_ISLANDS}, s AS (SELECT o, island, min(node) AS component, count(*) AS n FROM i GROUP BY ALL) SELECT node, component FROM i JOIN s USING (o, island) WHERE n > 1 AND o % 3 = 0")
+def _(spark, d):
+    """Each line of each order depends on the next one; of every third order the last of a run depends on the first as well: the whole table as one graph."""
+    li = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src"), F.col("l_orderkey").alias("o")).distinct()
+    step = li.select("src", (F.col("src") + 1).alias("dst"), "o").join(li.select(F.col("src").alias("dst")), "dst", "left_semi")
+    run = Window.partitionBy("o").orderBy("src")
+    runs = li.withColumn("run", F.col("src") - F.row_number().over(run)).groupBy("o", "run").agg(F.max("src").alias("src"), F.min("src").alias("dst")).where("src <> dst and o % 3 = 0")
+    return g.cycle_groups(step.select("src", "dst").unionByName(runs.select("src", "dst")))
+
+
+@plan("d6_closure_of_all_orders", f"WITH {_ISLANDS} SELECT a.node AS src, b.node AS dst FROM i a JOIN i b ON a.o = b.o AND a.island = b.island AND a.node < b.node WHERE a.node % 10 = 1")
+def _(spark, d):
+    """What the first line of every order depends on, over the whole table."""
+    li = load(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("src")).distinct()
+    step = li.select("src", (F.col("src") + 1).alias("dst")).join(li.select(F.col("src").alias("dst")), "dst", "left_semi")
+    return g.dependency_closure(step, li.where("src % 10 = 1"))
 
 
 @plan("d11_version_conflicts", f'WITH {COORD} SELECT "group", artifact, count(DISTINCT version) AS versions, count(DISTINCT string_split(version, \'.\')[1]) AS majors FROM coord GROUP BY 1, 2 HAVING count(DISTINCT version) > 1')
@@ -185,7 +211,22 @@ def _(spark, d):
     return g.graph_diagnostics(bad, load(spark, d, "part").select("p_name"), g.cycle_groups(edges(spark, d, CYC)).select("node"))
 
 
-@plan("r10_caller_boundary", f"WITH {edges_sql(CYC)}, m AS (SELECT p_partkey AS member, p_size < 25 AS boundary, p_size % 2 = 1 AS needs FROM part WHERE p_partkey % 9 <> 0), safe AS (SELECT dst FROM edges LEFT JOIN m ON src = member WHERE boundary OR boundary IS NULL) SELECT member FROM m WHERE needs AND NOT boundary AND member NOT IN (SELECT dst FROM safe)")
+@plan("r10_caller_boundary", f"""WITH RECURSIVE {edges_sql(CYC)}, m AS (SELECT p_partkey AS member, p_size < 25 AS boundary, p_size % 2 = 1 AS needs, p_size % 10 = 7 AS barrier FROM part WHERE p_partkey % 9 <> 0),
+inside AS (SELECT src, dst, s.boundary AS held FROM edges LEFT JOIN m s ON src = s.member JOIN m t ON dst = t.member WHERE NOT t.boundary AND NOT t.barrier), safe(member) AS (SELECT dst FROM inside WHERE coalesce(held, true) UNION SELECT i.dst FROM safe JOIN inside i ON i.src = safe.member)
+SELECT member FROM m WHERE needs AND NOT boundary AND member NOT IN (SELECT member FROM safe)""")
 def _(spark, d):
-    m = load(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("member"), (F.col("p_size") < 25).alias("boundary"), (F.col("p_size") % 2 == 1).alias("needs"))
+    size = F.col("p_size")
+    m = load(spark, d, "part").where("p_partkey % 9 <> 0").select(F.col("p_partkey").alias("member"), (size < 25).alias("boundary"), (size % 2 == 1).alias("needs"), (size % 10 == 7).alias("barrier"))
     return r.rule_caller_boundary(m, edges(spark, d, CYC).select(F.col("src").alias("caller"), F.col("dst").alias("callee")))
+
+
+@plan("r10_boundaries_of_all_orders", """WITH RECURSIVE m AS (SELECT l_orderkey * 10 + l_linenumber AS member, bool_or(l_returnflag = 'A' AND l_quantity < 10) AS boundary, bool_or(l_discount > 0.07) AS barrier FROM lineitem GROUP BY 1),
+calls AS (SELECT CASE WHEN member % 70 <> 1 THEN member - 1 END AS caller, member AS callee FROM m WHERE member % 70 = 1 OR (member - 1) % 10 <> 0), inside AS (SELECT caller, callee, s.boundary AS held FROM calls LEFT JOIN m s ON caller = s.member JOIN m t ON callee = t.member WHERE NOT t.boundary AND NOT t.barrier),
+safe(member) AS (SELECT callee FROM inside WHERE coalesce(held, true) UNION SELECT i.callee FROM safe JOIN inside i ON i.caller = safe.member)
+SELECT member FROM m WHERE NOT boundary AND member NOT IN (SELECT member FROM safe)""")
+def _(spark, d):
+    """Each line of an order is called by the one before it: the whole table as one call graph; some first lines are called from elsewhere."""
+    li = load(spark, d, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("member"))
+    m = li.agg(F.bool_or((F.col("l_returnflag") == "A") & (F.col("l_quantity") < 10)).alias("boundary"), F.bool_or(F.col("l_discount") > 0.07).alias("barrier")).withColumn("needs", F.lit(True))
+    calls = m.select(F.when(F.col("member") % 70 != 1, F.col("member") - 1).alias("caller"), F.col("member").alias("callee")).where("caller is null or caller % 10 <> 0")
+    return r.rule_caller_boundary(m, calls)
