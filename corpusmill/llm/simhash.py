@@ -37,7 +37,7 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
 BANDS, DEEP = 20, 4  # bands of so many min-hashes
-PER_ROUND = 8  # candidate pairs for each row of a group that one round tries
+GROUP_BYTES = 16 << 20  # of shingle sets that one part of a key's classes holds
 WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
 FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
 TURNS = TURNS | np.uint64(1)
@@ -332,70 +332,89 @@ def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInArrow(test, "a long, b long")
 
 
-def stars_of(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (centre, other) of the links (a, b): all links of one centre after another, those with most links first, until n are
-    taken or none is left."""
-    if len(a) <= n:
-        return a, b
-    out, taken = [], 0
-    while taken < n and len(a):
-        centre = int(np.argmax(np.bincount(np.concatenate([a, b]))))
-        own = (a == centre) | (b == centre)
-        other = np.where(a[own] == centre, b[own], a[own])
-        out.append((np.full(len(other), centre), other))
-        taken += len(other)
-        a, b = a[~own], b[~own]
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-
 def first_shared(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
     """The first band in which all minima of two signatures (rows of bytes) agree."""
     return (sig_a == sig_b).reshape(-1, BANDS, DEEP).all(axis=2).argmax(axis=1)
 
 
-def pairs_apart(dealt: DataFrame, similarity: float) -> DataFrame:
-    """key, lo, hi, a, b: pairs of classes of different roots that may be similar, from dealt (key, lo, hi, own, band, centre, cls, root, size, fp, sig, done).
+def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    """Whether two sets (sorted arrays) have the Jaccard similarity at least."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return both >= similarity * (len(x) + len(y) - both) - 1e-9
+
+
+def with_grams(texts: DataFrame, shingle: int) -> DataFrame:
+    """cls, grams (sorted hashes of the shingles) of texts (cls, text)."""
+
+    def add(batches):
+        for batch in batches:
+            cls, rows, held = batch.column(0).to_pylist(), [], 0
+            for k, grams in enumerate(gram_sets(batch.column(1), shingle)):
+                rows.append((cls[k], grams.view(np.int64)))
+                held += grams.nbytes
+                if held >= GROUP_BYTES:
+                    yield _gram_batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield _gram_batch(rows)
+
+    return texts.select("cls", "text").mapInArrow(add, "cls long, grams array<long>")
 
-    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, and signatures to agree. A pair belongs to the first band that both
-    share, and there to one part or pair of parts, so it is given once; pairs with the key's centre have been tried before. Of a group (key, lo, hi)
-    no more pairs are given than PER_ROUND times its rows, all those of one class a after another; the others come when the classes given
-    as a are marked as done, so that a round's pairs grow with the rows and none is lost."""
+
+def _gram_batch(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([g for _, g in rows], pa.list_(pa.int64()))], ["cls", "grams"])
+
+
+def links_apart(dealt: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links between classes of different roots, from dealt (key, lo, hi, own, band, centre, cls, root, size, fp, sig, grams).
+
+    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, signatures have to agree, and then the sets themselves decide. A pair
+    belongs to the first band that both share, and there to one part or pair of parts, so it is tried once; pairs with the key's centre have been tried
+    before. Pairs that links found in the task connect already are left out, so no more links are given than there are rows,
+    and no pair ever leaves its task."""
 
     def found(table):
         cls, root, size, own, band, centre = (table.column(c).to_numpy() for c in ("cls", "root", "size", "own", "band", "centre"))
-        done = table.column("done").to_numpy(zero_copy_only=False).astype(bool)
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+        grams = table.column("grams").combine_chunks() if isinstance(table.column("grams"), pa.ChunkedArray) else table.column("grams")
+        ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
         places = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
         new = np.zeros(len(table), bool)
         for c in places:
             new[1:] |= c[1:] != c[:-1]
-        group, apart = np.cumsum(new), places[1] != places[2]
-        closed = done | (cls == centre)
-        pairs = []
-        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), group, WIDE):
-            open_ = (root[a] != root[b]) & ~closed[a] & ~closed[b] & (~apart[a] | (own[a] != own[b]))
+        apart, tried = places[1] != places[2], cls == centre
+        names, at = np.unique(root, return_inverse=True)
+        parent = list(range(len(names)))
+
+        def top(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), WIDE):
+            open_ = (root[a] != root[b]) & ~tried[a] & ~tried[b] & (~apart[a] | (own[a] != own[b]))
             a, b = a[open_], b[open_]
             near = may_be_similar(sig[a], sig[b], size[a], size[b], similarity)
             near[near] = first_shared(sig[a[near]], sig[b[near]]) == band[a[near]]
-            pairs.append((a[near], b[near]))
-        if not pairs:
-            return
-        a, b = np.concatenate([x for x, _ in pairs]), np.concatenate([y for _, y in pairs])
-        order = np.argsort(group[a], kind="stable")
-        a, b = a[order], b[order]
-        edges = np.flatnonzero(np.append(True, group[a][1:] != group[a][:-1])) if len(a) else np.zeros(0, np.int64)
-        for i, j in zip(edges, np.append(edges[1:], len(a))):
-            rows = np.flatnonzero(group == group[a[i]])
-            x, y = stars_of(a[i:j] - rows[0], b[i:j] - rows[0], PER_ROUND * len(rows))
-            x, y = x + rows[0], y + rows[0]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[x]) for c in places), pa.array(cls[x]), pa.array(cls[y])], ["key", "lo", "hi", "a", "b"])
+            for i, j in zip(a[near].tolist(), b[near].tolist()):
+                x, y = top(int(at[i])), top(int(at[j]))
+                if x != y and similar(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], similarity):
+                    parent[x] = y
+                    out.append((cls[i], cls[j]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
     def compare(batches):
         for table in whole_groups(batches, ("key", "lo", "hi")):
             yield from found(table)
 
     spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return spread.mapInArrow(compare, "key long, lo int, hi int, a long, b long")
+    return spread.mapInArrow(compare, "a long, b long")
 
 
 def union_all(tables: list[DataFrame]) -> DataFrame:
@@ -408,9 +427,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
     tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
-    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, in
-    rounds, pairs of a key that are not yet connected are, each pair under one key, at most PER_ROUND for each class of the key, until
-    there are none. No link goes unconfirmed, and a round's pairs grow with the classes, not with their square."""
+    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, for keys whose
+    classes are not all connected by that, their classes meet with their shingle sets, in parts of bounded size, and all pairs are tried there, each
+    under one key. No link goes unconfirmed, and what is written grows with the classes, not with their pairs."""
     row = "_row"
     while row in docs.columns:
         row += "_"
@@ -420,7 +439,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "fp", "sig", "keys"))
     least = materialize(prints.groupBy("cls").agg(first.alias("least")).select("cls", "least.*"), "classes")
     discard(prints)
-    keyed = least.select("cls", F.posexplode("keys").alias("band", "key"))
+    keyed = least.select("cls", "size", F.posexplode("keys").alias("band", "key"))
     centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").drop("n")
     met = materialize(keyed.join(centres, "key"), "met")
     named = least.join(met.select("cls").distinct(), "cls").select("cls", "_row")
@@ -429,32 +448,21 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     stars = materialize(met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
     sets = least.select("cls", "size", "fp", "sig")
     links = [materialize(confirmed(likely(stars, sets, similarity), texts, shingle, similarity), "links")]
-    parts = met.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = met.join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
+    parts = met.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / GROUP_BYTES)).cast("int").alias("parts"))
+    dealt = met.drop("size").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "centre", "cls")
-    rounds, roots = [], None
-    while True:
-        if roots is None or not links[-1].isEmpty():
-            before, roots = roots, materialize(components(union_all(links)), "roots")
-            if before is not None:
-                discard(before)
-        rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
-        apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-        rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-        if rounds:
-            marks = union_all(rounds).select("key", "lo", "hi", F.col("a").alias("cls")).distinct().withColumn("done", F.lit(True))
-            rows = rows.join(marks, ["key", "lo", "hi", "cls"], "left").withColumn("done", F.coalesce("done", F.lit(False)))
-        else:
-            rows = rows.withColumn("done", F.lit(False))
-        found = materialize(pairs_apart(rows.select("key", "lo", "hi", "own", "band", "centre", "cls", "root", "size", "fp", "sig", "done"), similarity), "found")
-        if found.isEmpty():
-            break
-        rounds.append(found)
-        links.append(materialize(confirmed(found.select("a", "b"), texts, shingle, similarity), "links"))
+    roots = materialize(components(links[0]), "roots")
+    rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
+    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    rows = materialize(rows.select("key", "lo", "hi", "own", "band", "centre", "cls", "root", "size", "fp", "sig"), "apart")
+    grams = with_grams(texts.join(rows.select("cls").distinct(), "cls", "left_semi"), shingle)
+    links.append(materialize(links_apart(rows.join(grams.hint("merge"), "cls"), similarity), "links"))
+    before, roots = roots, materialize(components(union_all(links)), "roots")
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
-    for table in (least, met, texts, stars, roots, found, *rounds, *links):
+    for table in (least, met, texts, stars, before, roots, rows, *links):
         discard(table)
     out = numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
     out._shared_tables = [numbered, kept]  # to be discarded once the result is written
