@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusmill.functions.running import running_totals
 from corpusmill.functions.storage import components
 from corpusmill.functions.text import normal_severity, severity_rank
 from corpusmill.operators.properties import is_sensitive
@@ -56,24 +57,16 @@ def normalize_severity(df: DataFrame, column: str = "severity") -> DataFrame:
     return df.withColumn("severity_rank", severity_rank(F.col("severity_norm")))
 
 
-def numbered(rows: DataFrame, name: str, scope: list[str], coarse: list[Column], fine: list[Column]) -> DataFrame:
-    """rows with their place (from 1) within the scope, by the coarse order and then the fine one.
-
-    Rows of one scope and one coarse place are ranked together, and the sizes of the coarse places before them are
-    added, so a scope with a large part of all rows does not meet in one task."""
-    names = [f"_c{i}" for i in range(len(coarse))]
-    rows = rows.select("*", *[c.alias(n) for c, n in zip(coarse, names)])
-    before = Window.partitionBy(*scope).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
-    cells = rows.groupBy(*scope, *names).agg(F.count("*").alias("_n")).withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [*scope, *names]]
-    turn = F.row_number().over(Window.partitionBy(*scope, *names).orderBy(*fine))
-    joined = rows.withColumn("_turn", turn).alias("r").join(cells.alias("s"), same).select("r.*", "s._base")
-    return joined.withColumn(name, (F.col("_base") + F.col("_turn")).cast("int")).drop("_base", "_turn", *names)
+def numbered(rows: DataFrame, name: str, scope: list[str], order: list[Column]) -> DataFrame:
+    """rows with their place (from 1) within the scope, by totals over ranges, so that a scope with a large part of all rows, and one key of the
+    order with a large part of those, is spread."""
+    run = running_totals(rows.withColumn("_one", F.lit(1)), scope, order, {name: "_one"})
+    return run.withColumn(name, F.col(name).cast("int")).drop("_one")
 
 
 def sort_findings(findings: DataFrame) -> DataFrame:
     """A position per repo: path, rule, message, severity from the worst down."""
-    return numbered(findings, "position", ["repo"], [F.col("path")], [F.col("rule_id"), F.col("message"), F.desc(severity_rank(F.col("severity"))), F.col("line")])
+    return numbered(findings, "position", ["repo"], [F.col("path"), F.col("rule_id"), F.col("message"), F.desc(severity_rank(F.col("severity"))), F.col("line")])
 
 
 def severity_counts() -> list[Column]:
@@ -272,7 +265,7 @@ def permalinks(findings: DataFrame, repos: DataFrame) -> DataFrame:
 def review_plan(findings: DataFrame, catalog: DataFrame) -> DataFrame:
     """Open findings numbered per repo, the worst first, each with the first fix that the catalogue (rule_id, fix) names."""
     rows = findings.where("status = 'OPEN'").join(catalog.select("rule_id", "fix"), "rule_id", "left")
-    done = numbered(rows, "step", ["repo"], [-severity_rank(F.col("severity")), F.col("rule_id")], [F.col("path"), F.col("line")])
+    done = numbered(rows, "step", ["repo"], [-severity_rank(F.col("severity")), F.col("rule_id"), F.col("path"), F.col("line")])
     return done.select("repo", "step", "rule_id", "category", "severity", "target", "path", "line", "fix")
 
 
@@ -310,7 +303,7 @@ def sarif_export(findings: DataFrame, most: int = 5000) -> DataFrame:
         sites = F.filter("related", lambda x: x["path"].isNotNull())
         related = F.when(F.size(sites) > 0, F.transform(sites, lambda x, i: F.struct((i + 1).alias("id"), F.when(x["message"].isNotNull(), F.struct(x["message"].alias("text"))).alias("message"), place(x["path"], x["line"]).alias("physicalLocation"))))
     result = F.struct(rule.alias("ruleId"), level.alias("level"), F.struct(F.coalesce("message", F.lit("")).alias("text")).alias("message"), places.alias("locations"), related.alias("relatedLocations"))
-    rows = numbered(findings, "_at", ["repo"], [F.col("path")], [F.col("rule_id"), F.col("line"), F.col("message")])
+    rows = numbered(findings, "_at", ["repo"], [F.col("path"), F.col("rule_id"), F.col("line"), F.col("message")])
     rows = rows.select("repo", F.floor((F.col("_at") - 1) / most).alias("part"), F.struct("_at", result.alias("x")).alias("r"), F.struct(rule.alias("id"), name.alias("name")).alias("rule"))
     held = rows.groupBy("repo", "part").agg(F.transform(F.sort_array(F.collect_list("r")), lambda r: r["x"]).alias("results"), F.sort_array(F.collect_set("rule")).alias("rules"))
     run = F.struct(F.struct(F.struct(F.lit("corpusmill").alias("name"), "rules").alias("driver")).alias("tool"), "results")

@@ -310,7 +310,7 @@ def _(spark, d):
     k, line = F.col("path"), F.col("line")
     related = F.array(F.struct(F.when(line % 2 == 0, k).alias("path"), line.alias("line"), F.lit("also").alias("message")))
     found = hits(spark, d).select("repo", "rule_id", "severity", "category", k, line, F.col("evidence").alias("message"), related.alias("related"))
-    order = f.numbered(found, "at", ["repo"], [k], [F.col("rule_id"), line, F.col("message")])
+    order = f.numbered(found, "at", ["repo"], [k, F.col("rule_id"), line, F.col("message")])
     shown = order.select("repo", F.floor((F.col("at") - 1) / 20).alias("_part"), F.when(line % 5 != 0, F.col("rule_id")).alias("rule_id"), "severity", F.when(k % 6 != 0, k).alias("path"), F.when(line % 7 != 0, line).otherwise(0).alias("line"), F.concat_ws("\t", F.lpad(F.col("at").cast("string"), 9, "0"), "message").alias("message"), "related")
     parts = f.sarif_export(shown.withColumn("repo", F.concat_ws("\t", "repo", F.col("_part").cast("string"))), 1 << 30)
     rows = parts.select("repo", "n_rules", F.explode(F.from_json("document", _DOC)["runs"][0]["results"]).alias("x"))
