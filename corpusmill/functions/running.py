@@ -16,11 +16,12 @@ def running_totals(rows: DataFrame, keys: list[str], order: list, sums: dict[str
     keys and order come in any order."""
     by: list[Column] = [F.col(k) for k in keys] + [F.col(o) if isinstance(o, str) else o for o in order]
     dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
-    cells = dealt.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_{n}") for n, c in sums.items()))
+    cells = dealt.groupBy(*keys, "_range").agg(*(F.sum(c).alias(f"_sum_{n}") for n, c in sums.items()))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_range").alias("_at"), *(F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums))
+    bases = [F.coalesce(F.sum(f"_sum_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in sums]
+    cells = cells.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col("_range").alias("_key_range"), *bases)
     within = Window.partitionBy(*keys, "_range").orderBy(*by[len(keys) :]).rowsBetween(Window.unboundedPreceding, 0)
-    run = dealt.select("*", *(F.sum(c).over(within).alias(n) for n, c in sums.items()))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_range") == F.col("_at")]
+    run = dealt.select("*", *(F.sum(c).over(within).alias(f"_run_{n}") for n, c in sums.items()))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys] + [F.col("_range") == F.col("_key_range")]
     run = run.join(cells, same)
-    return run.select(*rows.columns, *((F.col(n) + F.col(f"_{n}")).alias(n) for n in sums))
+    return run.select(*rows.columns, *((F.col(f"_run_{n}") + F.col(f"_base_{n}")).alias(n) for n in sums))
