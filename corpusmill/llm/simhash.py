@@ -13,7 +13,7 @@ components run as rounds of joins with a written table after each.
 
 ``keep_one``, the pipeline's stage, has to find Jaccard similarities of 0.8, at which fingerprints differ in some ten bits.
 Blocks of bits cannot be keys at that radius, so bands of min-hashes are; under a key the same bit-sliced comparison picks the
-pairs within ``WIDE`` bits, and each link is confirmed by the texts.
+pairs within ``WIDE`` bits, and the shingle sets decide on each.
 
 Edge cases: null text has no words and fingerprint zero, as an empty text has; all rows with fingerprint zero
 are linked. Null ids keep their rows; a component's id is its smallest non-null id (null if it has none).
