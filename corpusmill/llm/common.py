@@ -111,6 +111,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((total[ends] - total[starts]) * down[starts])
 
 
+def long_word_hash(word: np.ndarray) -> np.ndarray:
+    """word_hashes() of one word, over a part of it at a time."""
+    total, scale = 0, 1
+    up, step = _power_tables(CHUNK)[0], pow(_BASE, CHUNK, 1 << 64)
+    for a in range(0, len(word), CHUNK):
+        part = word[a : a + CHUNK].astype(np.uint64) + np.uint64(1)
+        total, scale = (total + int((part * up[: len(part)]).sum()) * scale) % (1 << 64), scale * step % (1 << 64)
+    return mix(np.array([total], np.uint64))
+
+
 def words_in_parts(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 1 << 16) -> np.ndarray:
     """word_hashes() of the words, so many at a time, so that what it holds does not grow with the text."""
     parts = [slice(i, i + step) for i in range(0, len(starts), step)]

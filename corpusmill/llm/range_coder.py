@@ -11,6 +11,8 @@ order 1 right, seen, new); a seen id is then coded by its order-0 count in the b
 taken over every ``STRETCHED`` steps; ids that come up in between have a count of one kept for them. All arithmetic
 is in integers, so that any machine decodes what another has coded.
 
+What is held grows with the blocks in step, so ``TOGETHER`` of them at most are coded and decoded at once.
+
 The range has 48 bits and is kept at 2**32 or more by words of 16 bits, one a symbol at most. Carries are added to the
 word before and resolved at the end.
 """
@@ -22,6 +24,7 @@ import zlib
 import numpy as np
 
 IDS = 1 << 16
+TOGETHER = 1024  # blocks in step; each holds some 160 KB while it is coded
 SLOTS2 = 1 << 12
 STRETCHED = 128  # steps from one taking over of the order-0 counts to the next
 FLOOR, M32, M48, S16, S32, S48 = (np.uint64(x) for x in (1 << 32, (1 << 32) - 1, (1 << 48) - 1, 16, 32, 48))
@@ -129,8 +132,12 @@ def second(case: np.ndarray, span: np.ndarray, total: np.ndarray) -> np.ndarray:
     return np.where(case == 2, span // total, span >> S16)
 
 
-def encode(blocks: list[np.ndarray]) -> list[bytes]:
+def encode(blocks: list[np.ndarray], together: int = TOGETHER) -> list[bytes]:
     """Each block's code, behind its length and checksum (4 bytes each); at most 65,535 ids below 65,536 a block."""
+    return [code for i in range(0, len(blocks), together) for code in encode_in_step(blocks[i : i + together])]
+
+
+def encode_in_step(blocks: list[np.ndarray]) -> list[bytes]:
     n, longest = len(blocks), max((len(b) for b in blocks), default=0)
     if longest >= IDS or any(len(b) and int(b.max()) >= IDS for b in blocks):
         raise ValueError("blocks hold at most 65,535 ids, each below 65,536")
@@ -182,8 +189,12 @@ def encode(blocks: list[np.ndarray]) -> list[bytes]:
     return [heads[k].tobytes() + words[k, 1 : ends[k]].tobytes() for k in range(n)]
 
 
-def decode(codes: list[bytes]) -> list[np.ndarray]:
+def decode(codes: list[bytes], together: int = TOGETHER) -> list[np.ndarray]:
     """The blocks' ids; a wrong checksum is an error."""
+    return [block for i in range(0, len(codes), together) for block in decode_in_step(codes[i : i + together])]
+
+
+def decode_in_step(codes: list[bytes]) -> list[np.ndarray]:
     n = len(codes)
     heads = np.array([np.frombuffer(c[:8], "<u4") for c in codes], np.int64).reshape(n, 2)
     sizes = heads[:, 0]
