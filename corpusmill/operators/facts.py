@@ -103,18 +103,58 @@ def property_references(lines: DataFrame) -> DataFrame:
     return value.unionByName(look).unionByName(cond).where("name <> ''").withColumn("required", required)
 
 
-def best_base_url(endpoints: DataFrame, url_properties: DataFrame, least: int = 4) -> DataFrame:
+def best_base_url(endpoints: DataFrame, url_properties: DataFrame, least: int = 4, common: int = 64) -> DataFrame:
     """The URL property whose name tokens occur most often in an endpoint's hint, only if better than the runner-up.
 
-    Occurrences are counted per endpoint and token before the join. Names of the same tokens tie everywhere, so they go as one
-    that cannot win."""
+    Names of the same tokens tie everywhere, so they go as one that cannot win. Tokens in at most `common` names join names
+    directly. Of the other tokens endpoints and names have few different sets: each set of endpoints' tokens meets each set of names' once
+    (see common_scores), and names with rare tokens too add what their common ones count. A name that also has a rare token at the
+    endpoint scores more than its set of common tokens does, so it is never counted twice at the top."""
     split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda t: F.length(t) >= least)
-    e = endpoints.select("endpoint", F.explode(split(F.col("hint"))).alias("token")).groupBy("endpoint", "token").agg(F.count("*").alias("n"))
-    u = url_properties.select("name", F.array_sort(F.array_distinct(split(F.col("name")))).alias("tokens")).groupBy("tokens").agg(F.min("name").alias("name"), F.countDistinct("name").alias("names"))
-    scores = e.join(u.select("name", "names", F.explode("tokens").alias("token")), "token").groupBy("endpoint", "name", "names").agg(F.sum("n").alias("score"))
-    best = scores.groupBy("endpoint").agg(F.max("score").alias("score"))
-    first = scores.join(best, ["endpoint", "score"]).groupBy("endpoint", "score").agg(F.min("name").alias("name"), F.sum("names").alias("names"))
-    return first.where("names = 1").select("endpoint", "name", "score")
+    named = url_properties.select("name", F.array_sort(F.array_distinct(split(F.col("name")))).alias("tokens")).groupBy("tokens").agg(F.min("name").alias("name"), F.countDistinct("name").alias("names"))
+    named = named.select("name", "names", F.explode("tokens").alias("token"))
+    spread = named.groupBy("token").agg(F.count("*").alias("held"))
+    e = endpoints.select("endpoint", F.explode(split(F.col("hint"))).alias("token")).groupBy("endpoint", "token").agg(F.count("*").alias("n")).join(spread, "token")
+    rare = F.col("held") <= common
+    u = named.join(spread, "token").groupBy("name", "names").agg(F.collect_list(F.when(rare, F.col("token"))).alias("rare"), F.array_sort(F.collect_list(F.when(~rare, F.col("token")))).alias("shared"))
+    points = e.where(~rare).groupBy("endpoint").agg(F.array_sort(F.collect_list(F.struct("held", "token", "n"))).alias("points"))
+    direct = e.where(rare).join(u.select("name", "names", "shared", F.explode("rare").alias("token")), "token").groupBy("endpoint", "name", "names").agg(F.sum("n").alias("score"), F.any_value("shared").alias("shared"))
+    direct = direct.join(points, "endpoint", "left").select("endpoint", "name", "names", (F.col("score") + F.coalesce(_points_of("points", "shared"), F.lit(0))).alias("score"))
+    sets = u.where(F.size("shared") > 0).groupBy("shared").agg(F.min("name").alias("name"), F.sum("names").alias("names"))
+    top = _first_alone(common_scores(points.select("points").distinct(), sets), "points")
+    found = direct.unionByName(points.join(top, "points").select("endpoint", "name", "names", "score"))
+    return _first_alone(found, "endpoint").where("names = 1").select("endpoint", "name", "score")
+
+
+def _points_of(points: str, tokens: str) -> Column:
+    """What the tokens count in points (held, token, n)."""
+    return F.aggregate(F.filter(points, lambda p: F.array_contains(tokens, p["token"])), F.lit(0).cast("long"), lambda total, p: total + p["n"])
+
+
+def _first_alone(scored: DataFrame, key: str) -> DataFrame:
+    """key, score, name, names: the best score of each key, its first name and how many names have it."""
+    tied = scored.groupBy(key, "score").agg(F.min("name").alias("name"), F.sum("names").alias("names"))
+    return tied.groupBy(key).agg(F.max_by(F.struct("score", "name", "names"), "score").alias("b")).select(key, "b.*")
+
+
+def common_scores(points: DataFrame, sets: DataFrame) -> DataFrame:
+    """points, shared, name, names, score of the sets of name tokens (shared, name, names) that may be best for points (arrays of
+    held, token, n, the rarest first).
+
+    Sets that hold the rarest token are scored first. Another token is joined only where it and those after it count for as much as the
+    best score so far: a set that holds none but the tokens left out can neither win nor tie."""
+    by_token = sets.select("*", F.explode("shared").alias("token"))
+    left = F.transform("points", lambda p, i: F.struct(p["token"].alias("token"), i.alias("place"), F.aggregate(F.slice("points", i + 1, F.size("points")), F.lit(0).cast("long"), lambda total, q: total + q["n"]).alias("left")))
+    tokens = points.select("points", F.inline(left))
+    score = _points_of("points", "shared").alias("score")
+
+    def meet(some: DataFrame) -> DataFrame:
+        return some.join(by_token, "token").select("points", "shared", "name", "names", score)
+
+    first = meet(tokens.where("place = 0"))
+    best = first.groupBy("points").agg(F.max("score").alias("best"))
+    later = tokens.where("place > 0").join(best, "points", "left").where("left >= coalesce(best, 0)")
+    return first.unionByName(meet(later)).distinct()
 
 
 def pick_version(candidates: DataFrame) -> DataFrame:
