@@ -14,7 +14,7 @@ from corpusmill.operators import surface as h
 from corpusmill.plans.bindings import EV, HITS, LINES, RULES, TAGS, closure_sql, edges, events, files, hits, lines, load, pages, plan
 from corpusmill.sources import files as s
 from corpusmill.operators.graph import dependency_closure
-from corpusmill.streaming.audit import run_available, severity_windows, stream_audit
+from corpusmill.streaming.audit import CHANGE, run_available, run_changes, severity_windows, stream_audit
 
 
 def tags(spark, d):
@@ -285,6 +285,24 @@ def _(spark, d):
     return spark.read.schema("repo string, path long, line int, rule_id string").parquet(f"{base}/out")
 
 
+@plan("i7_withdrawn_findings", f"""WITH {HITS}, v AS (SELECT concat('r', doc_id // 64) AS repo, doc_id // 8 AS file, doc_id, row_number() OVER w AS v, lead(doc_id) OVER w AS next FROM documents WINDOW w AS (PARTITION BY doc_id // 8 ORDER BY doc_id)),
+f AS (SELECT v.*, rule_id, evidence, line, row_number() OVER (PARTITION BY doc_id, rule_id, evidence ORDER BY line) AS nth FROM hits JOIN v ON path = doc_id),
+c AS (SELECT *, doc_id AS place, 'new' AS change FROM f a WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.repo = a.repo AND b.file = a.file AND b.v = a.v - 1 AND b.rule_id = a.rule_id AND b.evidence = a.evidence AND b.nth = a.nth)
+UNION ALL SELECT *, next AS place, 'withdrawn' AS change FROM f a WHERE next IS NOT NULL AND NOT EXISTS (SELECT 1 FROM f b WHERE b.repo = a.repo AND b.file = a.file AND b.v = a.v + 1 AND b.rule_id = a.rule_id AND b.evidence = a.evidence AND b.nth = a.nth))
+SELECT repo, CAST(file AS VARCHAR) AS path, CAST(place % 8 + 1 AS INT) AS version, change, rule_id, CAST(line AS INT) AS line, evidence FROM c""")
+def _(spark, d):
+    """Eight neighbouring documents are versions of one file, a day apart; the first four days arrive, then the
+    others, to a stream that starts again from its state."""
+    base = f"{shared_dir(spark)}/changes-{uuid.uuid4().hex}"
+    day = F.pmod(F.col("path"), F.lit(8)).cast("int")
+    f = files(spark, d).select(F.concat(F.lit("r"), F.floor(F.col("path") / 64)).alias("repo"), F.floor(F.col("path") / 8).cast("string").alias("path"), "content", F.timestamp_add("DAY", day, F.to_timestamp(F.lit("2024-01-01 00:00:00"))).alias("ts"))
+    for days in (F.day("ts") <= 4, F.day("ts") > 4):
+        f.where(days).write.mode("append").parquet(f"{base}/in")
+        run_changes(spark.readStream.schema(f.schema).parquet(f"{base}/in"), RULES, f"{base}/out", f"{base}/state")
+    out = spark.read.schema(CHANGE).parquet(f"{base}/out")
+    return out.select("repo", "path", F.day("ts").alias("version"), "change", "rule_id", "line", "evidence")
+
+
 @plan("i7_severity_windows", f"SELECT CAST(date_trunc('day', ts) AS VARCHAR) AS start, CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARNING' ELSE 'INFO' END AS severity, count(*) AS n FROM events GROUP BY 1, 2")
 def _(spark, d):
     ev = load(spark, d, "events")
