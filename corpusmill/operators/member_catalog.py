@@ -7,10 +7,12 @@ equi-join on words, and rules meet facts by another; nothing grows with texts x
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.operators.members import members
+from corpusmill.functions.storage import cut
+from corpusmill.functions.text import chosen
+from corpusmill.operators.members import head_text
 
 # Name, where it is looked for, words (one of them is in the text, lower case; * for any text), value (- none, 1 the pattern's group, name the
 # member's), pattern.
@@ -179,16 +181,16 @@ def rules() -> list[dict]:
 
 def texts(pieces: DataFrame, paths: DataFrame | None = None) -> DataFrame:
     """repo, path, line, member, class_at, name, part, text: heads, signatures and lines of bodies of scoped_lines(), and paths (repo, path)."""
-    whole = members(pieces)
     own = F.when(F.col("kind") == "class", F.col("member")).otherwise(F.col("owner_at")).alias("class_at")
-    part = lambda name, text: whole.select("repo", "path", F.col("first_line").alias("line"), "member", own, "name", F.lit(name).alias("part"), text.alias("text"))
-    lead = F.regexp_extract("head", rf"^(?:{ANNOTATION}\s*)*", 0)
-    rest = F.substring(F.col("head"), F.length(lead) + 1, F.length("head"))
-    field = F.col("kind") == "field"  # its value is neither an annotation nor part of what it declares
-    head = F.when(field, F.concat(lead, F.regexp_replace(rest, "=.*$", ""))).otherwise(F.col("head"))
-    plain = F.trim(F.regexp_replace(F.when(field, F.regexp_replace(rest, "=.*$", "")).otherwise(F.col("head")), ANNOTATION, " "))
-    body = pieces.where("part = 'body'").select("repo", "path", "line", "member", own, "name", F.lit("body").alias("part"), F.col("code").alias("text"))
-    out = part("head", head).unionByName(part("signature", F.regexp_replace(plain, r"\s+", " "))).unionByName(body)
+    whole, field = F.col("part") == "member", F.col("kind") == "field"  # a field's value is neither an annotation nor part of what it declares
+    rows = pieces.where("part in ('member', 'body')").withColumn("head", F.when(whole, head_text("code")))
+    rows = rows.withColumn("lead", F.regexp_extract("head", rf"^(?:{ANNOTATION}\s*)*", 0))
+    rows = rows.withColumn("rest", F.when(field, F.regexp_replace(F.substring(F.col("head"), F.length("lead") + 1, F.length("head")), "=.*$", "")))
+    plain = F.trim(F.regexp_replace(F.when(field, F.col("rest")).otherwise(F.col("head")), ANNOTATION, " "))
+    part = lambda name, text: F.struct(F.lit(name).alias("part"), text.alias("text"))
+    head = part("head", F.when(field, F.concat("lead", "rest")).otherwise(F.col("head")))
+    parts = F.when(whole, F.array(head, part("signature", F.regexp_replace(plain, r"\s+", " ")))).otherwise(F.array(part("body", F.col("code"))))
+    out = rows.select("repo", "path", "line", "member", own, "name", F.explode(parts).alias("t")).select("repo", "path", "line", "member", "class_at", "name", "t.part", "t.text")
     if paths is not None:
         kinds = {f.name: f.dataType for f in out.schema}
         files = paths.select("repo", "path").distinct().withColumn("text", F.col("path").cast("string")).withColumn("part", F.lit("path")).withColumn("line", F.lit(1).cast(kinds["line"]))
@@ -197,58 +199,61 @@ def texts(pieces: DataFrame, paths: DataFrame | None = None) -> DataFrame:
 
 
 def member_facts(found: DataFrame) -> DataFrame:
-    """repo, path, line, member, class_at, fact, value of every fact in texts()."""
-    rows = [(w, f["name"], f["part"], f["value"], f["pattern"]) for f in facts() for w in f["words"]]
-    table = found.sparkSession.createDataFrame(rows, "word string, fact string, part string, kind string, pattern string")
+    """repo, path, line, member, class_at, fact, value of every fact in texts() that a rule names; the same one can come several times."""
+    used = {f for r in rules() + derived() for f in r["needs"] + r["none"]}
+    kept = [f for f in facts() if f["name"] in used]
+    rows = [(w, k, f["name"], f["part"]) for k, f in enumerate(kept) for w in f["words"]]
+    table = found.sparkSession.createDataFrame(rows, "word string, at int, fact string, part string")
     words = F.array_append(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]+)"), 1)), F.lit("*"))
     met = found.withColumn("word", F.explode(words)).join(F.broadcast(table), ["word", "part"])
-    met = met.where(F.regexp_like("text", F.col("pattern")))
-    group = F.call_function("regexp_extract_all", F.col("text"), F.col("pattern"), F.lit(1))
-    values = F.when(F.col("kind") == "1", group).when(F.col("kind") == "name", F.array("name")).otherwise(F.array(F.lit(None).cast("string")))
-    return met.select("repo", "path", "line", "member", "class_at", "fact", F.explode(values).alias("value")).distinct()
+    none = F.lit(None).cast("array<string>")
 
+    def values(f: dict) -> Column:
+        if f["value"] == "1":
+            return F.array_distinct(F.regexp_extract_all("text", F.lit(f["pattern"]), F.lit(1)))
+        return F.when(F.rlike("text", F.lit(f["pattern"])), F.array("name") if f["value"] == "name" else F.array(F.lit(None).cast("string"))).otherwise(none)
 
-def _rule_rows(spark: SparkSession, chosen: list[dict]) -> tuple[DataFrame, DataFrame]:
-    head = lambda r: (r["rule_id"], r["severity"], r["category"], r["scope"], r["by_value"])
-    names = "rule_id string, severity string, category string, scope string, by_value boolean, fact string"
-    needs = [(*head(r), f, 1 << k, k == 0, (1 << len(r["needs"])) - 1, r["least"]) for r in chosen for k, f in enumerate(r["needs"])]
-    none = [(*head(r), f) for r in chosen for f in r["none"]]
-    return spark.createDataFrame(needs, names + ", bit int, first boolean, bits int, least int"), spark.createDataFrame(none, names)
+    met = met.select("repo", "path", "line", "member", "class_at", "fact", chosen(F.col("at"), list(map(values, kept))).alias("values"))
+    return met.select("repo", "path", "line", "member", "class_at", "fact", F.explode("values").alias("value"))
 
 
-def _key(inner: bool) -> list[Column]:
+def _key() -> list[Column]:
     """Where a fact counts for a rule: its member, class, file or repo, and its value where the rule goes by it."""
     scope = F.col("scope")
-    at = F.when(scope == "member", F.concat(F.lit("m"), "member")).when(scope == "class", F.concat(F.lit("c"), "class_at"))
-    at = F.concat(F.lit("c"), "class_at") if inner else at
     path = F.when(scope != "repo", F.col("path").cast("string"))
-    blank = lambda c: F.coalesce(c, F.lit(""))
-    return [F.col("repo"), blank(path).alias("_path"), blank(at).alias("_at"), F.when(F.col("by_value"), F.col("value")).otherwise("").alias("_value")]
+    at = F.when(scope == "member", F.col("member")).when(scope == "class", F.col("class_at")).otherwise(0)
+    return [F.coalesce(path, F.lit("")).alias("_path"), at.alias("_at"), F.when(F.col("by_value"), F.col("value")).otherwise("").alias("_value")]
 
 
-def satisfied(found: DataFrame, chosen: list[dict], each: bool = False) -> DataFrame:
-    """The chosen rules that hold over facts: place and value of the first fact that they name, rule_id, severity, category. One row for each group of facts
+def satisfied(found: DataFrame, asked: list[dict], each: bool = False) -> DataFrame:
+    """The rules asked for that hold over facts: place and value of the first fact that they name, rule_id, severity, category. One row for each group of facts
     that meets, or for each of the first facts in it. An annotation of a class keeps rules back in all members of the class."""
-    needs, none = (F.broadcast(t) for t in _rule_rows(found.sparkSession, chosen))
-    met = found.join(needs, "fact")
-    place = F.min(F.when(F.col("first"), F.struct("path", "line", "member", "class_at", "value"))).alias("place")
-    names = ["repo", "_path", "_at", "_value", "rule_id"]
-    same_class = F.when(F.col("scope") == "member", F.concat(F.lit("c"), F.coalesce("class_at", F.lit(-1)))).alias("_class")
-    held = met.select("*", *_key(False)[1:], same_class).where("_value is not null and (scope not in ('member', 'class') or _at <> '')")
-    held = held.groupBy(*names, "_class", "severity", "category", "bits", "least").agg(F.bit_or("bit").alias("seen"), F.count_if("first").alias("n"), place)
-    held = held.where("seen = bits and n >= least")
-    guards = found.join(none, "fact")
-    own = guards.select(*_key(False), "rule_id").where("_value is not null").distinct()
+    rule = lambda n, r: (n, r["scope"], r["by_value"], (1 << len(r["needs"])) - 1, r["least"])
+    needs = [(*rule(n, r), f, 1 << k, k == 0) for n, r in enumerate(asked) for k, f in enumerate(r["needs"])]
+    none = [(*rule(n, r), f, 0, False) for n, r in enumerate(asked) for f in r["none"]]  # bit 0: keeps the rule back
+    spark, names = found.sparkSession, ["repo", "_path", "_at", "_value", "rule"]
+    table = spark.createDataFrame(needs + none, "rule int, scope string, by_value boolean, bits int, least int, fact string, bit int, first boolean")
+    told = spark.createDataFrame([(n, r["rule_id"], r["severity"], r["category"]) for n, r in enumerate(asked)], "rule int, rule_id string, severity string, category string")
+    met = found.join(F.broadcast(table), "fact")
+    keyed = met.select("*", *_key(), F.when(F.col("scope") == "member", F.coalesce("class_at", F.lit(-1))).alias("_class")).where("_value is not null and _at is not null")
+    far = (F.col("scope") == "repo") | (F.col("_path") == "")  # elsewhere the key has the path, and the value of rules that go by it
+    place = F.struct(F.when(far, F.col("path")).alias("path"), "line", "member", "class_at", F.when(~F.col("by_value"), F.col("value")).alias("value"))
+    place = F.min(F.when(F.col("first"), place)).alias("place")
+    held = keyed.groupBy(*names, "_class", "bits", "least", "scope", "by_value").agg(F.bit_or("bit").alias("seen"), F.bool_or(F.col("bit") == 0).alias("guarded"), F.count_if("first").alias("n"), place)
+    held = held.where("seen = bits and not guarded and n >= least")
     annotations = [f["name"] for f in facts() if f["part"] == "head"]
-    outer = guards.where("scope = 'member' and member = class_at").where(F.col("fact").isin(annotations)).select(*_key(True), "rule_id").where("_value is not null").withColumnRenamed("_at", "_class").distinct()
-    left = held.join(own, names, "left_anti").join(outer, ["repo", "_path", "_class", "_value", "rule_id"], "left_anti")
+    outer = keyed.where("bit = 0 and scope = 'member' and member = class_at").where(F.col("fact").isin(annotations)).select("repo", "_path", F.col("class_at").alias("_class"), "_value", "rule").distinct()
+    left = held.join(outer, ["repo", "_path", "_class", "_value", "rule"], "left_anti")
     if each:
-        firsts = met.where("first").select("*", *_key(False)[1:]).drop("severity", "category")
-        return firsts.join(left.select(*names, "severity", "category"), names).select("repo", "path", "line", "member", "class_at", "value", "rule_id", "severity", "category")
-    return left.select("repo", "place.*", "rule_id", "severity", "category")
+        return keyed.where("first").join(left.select(*names), names).join(F.broadcast(told), "rule").select("repo", "path", "line", "member", "class_at", "value", "rule_id", "severity", "category")
+    path, value = F.when(far, F.col("place.path")).otherwise(F.col("_path").cast(found.schema["path"].dataType)).alias("path"), F.when(F.col("by_value"), F.col("_value")).otherwise(F.col("place.value")).alias("value")
+    return left.join(F.broadcast(told), "rule").select("repo", path, "place.line", "place.member", "place.class_at", value, "rule_id", "severity", "category")
 
 
 def evaluate(found: DataFrame) -> DataFrame:
-    """Findings (repo, path, line, rule_id, severity, category, value) of all rules over member_facts()."""
+    """Findings (repo, path, line, rule_id, severity, category, value) of all rules over member_facts(), which are written once, as they are read several times."""
+    found = cut(found)
+    counted = F.col("fact").isin(sorted({r["needs"][0] for r in rules() + derived() if r["least"] > 1}))
+    found = found.where(~counted).unionByName(found.where(counted).distinct())  # bits and places do not mind repeats, counts do
     more = satisfied(found, derived(), each=True).select("repo", "path", "line", "member", "class_at", F.col("rule_id").alias("fact"), "value")
     return satisfied(found.unionByName(more), rules()).select("repo", "path", "line", "rule_id", "severity", "category", "value")

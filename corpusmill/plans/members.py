@@ -107,7 +107,7 @@ SELECT repo, path, kind, concat(stem, n) AS name, concat({_heads}[1 + o % 5], o
 UNION ALL SELECT repo, path, 'class', concat({_heads}[1 + o % 5], o % 20), NULL, 4, [4, 6, 7, 5, 7][1 + o % 5], ['', 'Service', 'RestController', 'Entity', 'Component,Scope'][1 + o % 5] FROM hd""",
 )
 def _(spark, d):
-    found = m.members(m.scoped_lines(java(source_lines(spark, d))))
+    found = m.members(m.scoped_lines(java(source_lines(spark, d)), ("member",)))
     return found.select("repo", "path", "kind", "name", "owner", "first_line", "last_line", F.array_join("annotations", ",").alias("annotations"))
 
 
@@ -125,5 +125,5 @@ SELECT repo, path, CAST(line AS INT) AS line, rule_id, value FROM own UNION ALL
 )
 def _(spark, d):
     lines = source_lines(spark, d)
-    found = c.evaluate(c.member_facts(c.texts(m.scoped_lines(java(lines)), lines)))
+    found = c.evaluate(c.member_facts(c.texts(m.scoped_lines(java(lines), ("member", "body")), lines)))
     return found.select("repo", "path", "line", "rule_id", "value")

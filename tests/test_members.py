@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.operators import catalog, members
+from corpusmill.operators import catalog, member_catalog, members
 from corpusmill.plans import members as plans
 
 SOURCE = '''package a.b;
@@ -121,3 +121,17 @@ def test_a_clean_file_has_no_findings(spark):
 def test_members_of_the_query_fit_their_place(t):
     kind, _, lines, _, last, broken = plans.MEMBERS[t]
     assert kind in ("method", "field") and last < len(lines) <= plans.HEIGHT and all(int(x.split()[1]) < plans.HEIGHT for x in broken)
+
+
+def test_sources_are_read_once_and_facts_written_once(spark):
+    lines = lines_of(spark, {("r", "C.java"): SOURCE})
+    found = member_catalog.texts(members.scoped_lines(lines, ("member", "body")), lines)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(found).count("MapInArrow") == 1
+    assert "MapInArrow" not in plan(member_catalog.evaluate(member_catalog.member_facts(found)))
+
+
+def test_a_name_twice_in_one_head_is_no_collision(spark):
+    facts = [("r", "A.java", 1, 1, 1, "bean_name", "one"), ("r", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "B.java", 1, 1, 1, "bean_name", "one")]
+    found = spark.createDataFrame(facts, "repo string, path string, line int, member int, class_at int, fact string, value string")
+    assert [(x.repo, x.path, x.rule_id, x.value) for x in member_catalog.evaluate(found).collect()] == [("s", "A.java", "SPRING_BEAN_NAME_COLLISION", "one")]
