@@ -220,11 +220,17 @@ def _core_groups(edges: DataFrame) -> DataFrame:
 
 def _jumps(steps: DataFrame) -> list[DataFrame]:
     """Of steps (node, to), one a node, the tables (node, to, least, on) after 1, 2, 4, ... steps: where it leads, the smallest node on the
-    way, and whether it goes on from there. The last table stands where all ways end, or on circles."""
+    way, and whether it goes on from there. The last table stands where all ways end, or on circles.
+
+    A node that is the smallest on its own way is on a circle, which it has gone round. Ways that met such a node are on its circle by now, so the
+    longest way and circle set the number of tables, not the number of steps."""
     n = steps.count()
     first = steps.select("node", "to", F.col("to").alias("least")).join(steps.select(F.col("node").alias("to"), F.lit(True).alias("on")), "to", "left")
     tables = [cut(first.select("node", "to", "least", F.coalesce("on", F.lit(False)).alias("on")))]
-    while 1 << (len(tables) - 1) < n and not tables[-1].where("on").isEmpty():
+    while 1 << (len(tables) - 1) < n:
+        on = tables[-1].where("on")
+        if on.join(on.where("node = least").select("least"), "least", "left_anti").isEmpty():
+            break
         ahead = tables[-1].select(F.col("node").alias("to"), F.col("to").alias("to2"), F.col("least").alias("least2"), F.col("on").alias("on2"))
         met = tables[-1].join(ahead, "to", "left")
         tables.append(cut(met.select("node", F.coalesce("to2", "to").alias("to"), F.least("least", F.coalesce("least2", "least")).alias("least"), F.coalesce("on2", F.lit(False)).alias("on"))))

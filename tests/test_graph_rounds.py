@@ -89,3 +89,13 @@ def test_boundaries_over_any_number_of_calls(spark):
     assert {x.member for x in got.collect()} == {"async", "c", "lone", "r1", "r2"}
     alone = r.rule_caller_boundary(spark.createDataFrame(members, "member string, boundary boolean, needs boolean, barrier boolean").drop("barrier"), spark.createDataFrame(calls + [("gone", "lone")], "caller string, callee string"))
     assert {x.member for x in alone.collect()} == {"r1", "r2"}
+
+
+def test_small_circles_need_few_jumps(spark):
+    n = 3000  # circles of three, and ways of two into them
+    ring = spark.range(n).select((F.col("id") * 5).alias("k"))
+    steps = ring.select(F.explode(F.array(*(F.struct((F.col("k") + a).alias("node"), (F.col("k") + b).alias("to")) for a, b in ((0, 1), (1, 2), (2, 0), (4, 3), (3, 1))))).alias("s")).select("s.*")
+    tables = g._jumps(steps)
+    assert len(tables) <= 4
+    got = {(x.node, x.component) for x in g.cycle_groups(steps.select(F.col("node").alias("src"), F.col("to").alias("dst"))).collect()}
+    assert got == {(5 * k + i, 5 * k) for k in range(n) for i in range(3)}
