@@ -23,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back."""
     path = f"{shared_dir(df.sparkSession)}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_paths = [path]
     return out
