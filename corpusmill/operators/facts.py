@@ -84,8 +84,10 @@ def property_references(lines: DataFrame) -> DataFrame:
     """type, name, default_value, required, expected_value, match_if_missing of the uses of properties in lines.
 
     VALUE: ${name:default}; LOOKUP: getProperty("name", "default") and getenv("NAME"); CONDITION: conditional annotations.
-    A use without a default is required. Look-ups of the machine's own properties are left out."""
+    A use without a default is required. Look-ups of the machine's own properties are left out. Lines are dealt anew first: a table of few bytes
+    comes in one piece, however many rows it has."""
     place, none = ["repo", "path", "line"], F.lit(None).cast("string")
+    lines = lines.select(*place, "text").repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), *place)
 
     def uses(pattern: str):
         return lines.select(*place, F.explode(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1)).alias("use"))

@@ -1,6 +1,7 @@
 """The catalogue queries cover all 199 rules, and lines meet facts without a shuffle of their texts."""
 
 from corpusmill.operators import catalog as c
+from corpusmill.operators import facts
 from corpusmill.plans.bindings import SQL
 from corpusmill.registry import QUERIES  # noqa: F401  registers the plans
 
@@ -26,3 +27,9 @@ def test_texts_meet_words_by_a_broadcast(spark):
     lines = spark.range(10).selectExpr("'r' AS repo", "'A.java' AS path", "id AS line", "concat('@Async ', id) AS text")
     plan = c.line_facts(lines)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_lines_of_one_piece_are_dealt(spark):
+    lines = spark.range(100).coalesce(1).selectExpr("'r' AS repo", "id AS path", "1 AS line", "concat('${a.b:', id, '}') AS text")
+    found = facts.property_references(lines)
+    assert found.rdd.getNumPartitions() >= int(spark.conf.get("spark.sql.shuffle.partitions")) and found.count() == 100
