@@ -374,13 +374,13 @@ def dependency_levels(edges: DataFrame) -> DataFrame:
 LANES = 4
 
 
-def _sums(hash_: Column) -> list[Column]:
+def _sums(hash_: Column, of: int) -> list[Column]:
     """Sums of parts of 60 bits of SHA-256 hashes: one hash for a set of any size, in any order, without a list of it."""
-    return [F.sum(F.conv(F.substring(hash_, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{k}") for k in range(LANES)]
+    return [F.sum(F.conv(F.substring(hash_, 15 * k + 1, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{of}_{k}") for k in range(LANES)]
 
 
-def _joined_sums() -> Column:
-    return F.concat_ws(",", *(F.coalesce(F.col(f"s{k}"), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(LANES)))
+def _joined_sums(of: int) -> Column:
+    return F.concat_ws(",", *(F.coalesce(F.col(f"s{of}_{k}"), F.lit(0).cast("decimal(38,0)")).cast("string") for k in range(LANES)))
 
 
 def leveled(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -389,29 +389,31 @@ def leveled(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return named, flat, cut(longest_paths(flat).withColumnRenamed("node", "c"))
 
 
-def effective_hash(nodes: DataFrame, edges: DataFrame, shape: tuple | None = None) -> DataFrame:
+def effective_hash(nodes: DataFrame, edges: DataFrame, shape: tuple | None = None, contents: tuple = ("content_hash",)) -> DataFrame:
     """node, hash of nodes (node, content_hash); shape is leveled(edges), where it is known already. The hash changes with the node's content and with that of anything it depends on, and with nothing else.
 
     Hashes roll up the condensed graph, level by level: a component's hash is that of its nodes' contents and of the hashes of the components that it
-    depends on, each of them once; sets are hashed by sums, so no row holds more than one hash. A node's own hash adds its name."""
+    depends on, each of them once; sets are hashed by sums, so no row holds a list of hashes. A node's own hash adds its name. Several contents are rolled up at
+once; the hash then has the content's name."""
+    turns = range(len(contents))
     named, flat, levels = shape or leveled(edges)
-    named = cut(nodes.join(named, "node", "left").select("node", F.coalesce("c", "node").alias("c"), "content_hash"))
-    own = named.groupBy("c").agg(*_sums(F.sha2(F.concat_ws(":", F.col("node").cast("string"), "content_hash"), 256)))
-    own = own.select("c", _joined_sums().alias("own"))
-    placed = own.join(levels, "c", "left").select("c", "own", F.coalesce("level", F.lit(0)).alias("level"))
+    named = cut(nodes.join(named, "node", "left").select("node", F.coalesce("c", "node").alias("c"), *contents))
+    own = named.groupBy("c").agg(*(x for i in turns for x in _sums(F.sha2(F.concat_ws(":", F.col("node").cast("string"), contents[i]), 256), i)))
+    own = own.select("c", *(_joined_sums(i).alias(f"own{i}") for i in turns))
+    placed = own.join(levels, "c", "left").select("c", *(f"own{i}" for i in turns), F.coalesce("level", F.lit(0)).alias("level"))
     placed, parts, level = cut(placed), [], 0
     top = placed.agg(F.max("level").alias("top")).first().top
     while top is not None and level <= top:
         here = placed.where(F.col("level") == level)
         if parts:
-            below = flat.join(here.select(F.col("c").alias("cs")), "cs", "left_semi").join(joined(parts).select(F.col("c").alias("cd"), F.col("hash").alias("h")), "cd")
-            here = here.join(below.groupBy("cs").agg(*_sums(F.col("h"))).withColumnRenamed("cs", "c"), "c", "left")
+            below = flat.join(here.select(F.col("c").alias("cs")), "cs", "left_semi").join(joined(parts).withColumnRenamed("c", "cd"), "cd")
+            here = here.join(below.groupBy("cs").agg(*(x for i in turns for x in _sums(F.col(f"hash{i}"), i))).withColumnRenamed("cs", "c"), "c", "left")
         else:
-            here = here.select("*", *(F.lit(None).cast("decimal(38,0)").alias(f"s{k}") for k in range(LANES)))
-        parts.append(cut(here.select("c", F.sha2(F.concat_ws("|", "own", _joined_sums()), 256).alias("hash"))))
+            here = here.select("*", *(F.lit(None).cast("decimal(38,0)").alias(f"s{i}_{k}") for i in turns for k in range(LANES)))
+        parts.append(cut(here.select("c", *(F.sha2(F.concat_ws("|", f"own{i}", _joined_sums(i)), 256).alias(f"hash{i}") for i in turns))))
         level += 1
-    rolled = joined(parts) if parts else placed.select("c", F.col("own").alias("hash"))
-    return named.join(rolled, "c").select("node", F.sha2(F.concat_ws("|", F.col("node").cast("string"), "hash"), 256).alias("hash"))
+    rolled = joined(parts) if parts else placed.select("c", *(F.col(f"own{i}").alias(f"hash{i}") for i in turns))
+    return named.join(rolled, "c").select("node", *(F.sha2(F.concat_ws("|", F.col("node").cast("string"), f"hash{i}"), 256).alias(contents[i] if len(contents) > 1 else "hash") for i in turns))
 
 
 def version_conflicts(resolved: DataFrame) -> DataFrame:

@@ -156,10 +156,9 @@ def _(spark, d):
     e = edges(spark, d, CYC)
     nodes = e.select(F.col("src").alias("node")).union(e.select(F.col("dst").alias("node"))).distinct()
     part = load(spark, d, "part").select(F.col("p_partkey").alias("node"), F.concat("p_name", F.col("p_size").cast("string")).alias("content")).join(nodes, "node")
-    shape = g.leveled(e)
-    hashes = lambda content: g.effective_hash(part.select("node", F.sha2(content, 256).alias("content_hash")), e, shape)
-    after = hashes(F.when(F.col("node") % 25 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
-    return hashes(F.col("content")).join(after.withColumnRenamed("hash", "other"), "node").select("node", (F.col("hash") != F.col("other")).alias("changed"))
+    after = F.when(F.col("node") % 25 == 0, F.concat("content", F.lit("!"))).otherwise(F.col("content"))
+    hashes = g.effective_hash(part.select("node", F.sha2("content", 256).alias("before"), F.sha2(after, 256).alias("after")), e, contents=("before", "after"))
+    return hashes.select("node", (F.col("before") != F.col("after")).alias("changed"))
 
 
 _ISLANDS = "ns AS (SELECT DISTINCT l_orderkey * 10 + l_linenumber AS node, l_orderkey AS o FROM lineitem), i AS (SELECT node, o, node - row_number() OVER (PARTITION BY o ORDER BY node) AS island FROM ns)"

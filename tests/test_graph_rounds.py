@@ -99,3 +99,11 @@ def test_small_circles_need_few_jumps(spark):
     assert len(tables) <= 4
     got = {(x.node, x.component) for x in g.cycle_groups(steps.select(F.col("node").alias("src"), F.col("to").alias("dst"))).collect()}
     assert got == {(5 * k + i, 5 * k) for k in range(n) for i in range(3)}
+
+
+def test_two_contents_are_rolled_up_at_once(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (4, 5), (5, 4)], "src long, dst long")
+    nodes = spark.range(1, 6).select(F.col("id").alias("node"), F.lit("x").alias("before"), F.when(F.col("id") == 3, "y").otherwise("x").alias("after"))
+    both = {x.node: (x.before, x.after) for x in g.effective_hash(nodes, edges, contents=("before", "after")).collect()}
+    alone = {x.node: x.hash for x in g.effective_hash(nodes.withColumnRenamed("after", "content_hash"), edges).collect()}
+    assert {n for n, (a, b) in both.items() if a != b} == {1, 2, 3} and {n: b for n, (_, b) in both.items()} == alone
