@@ -1,19 +1,20 @@
 """Adaptive context-mixing range coder for token ids, many blocks in step.
 
 A block is coded on its own: its models start empty, and it carries a checksum. Blocks are coded side by side, one id
-of each per step, with numpy over the blocks; shorter blocks are padded with zeros, which cost next to nothing.
+of each per step, with numpy over the blocks; a block's code ends with the block, whatever stands beside it.
 
 Within a block an id goes by its rank of first appearance. For each id the models of order 2 and order 1 name a
-candidate (the id that followed their context last) and how often they have been right. Chances that a candidate is
-right come from adaptive tables by those confidences, mixed in the logistic domain with weights learned per block; so
-does the chance that the id was seen in the block at all. The step codes which of four cases holds (order 2 right,
-order 1 right, seen, new); a seen id is then coded by its order-0 count in the block, a new one evenly. Order-0 counts are
-taken over every ``STRETCHED`` steps; ids that come up in between have a count of one kept for them. All arithmetic
-is in integers, so that any machine decodes what another has coded.
+candidate (the id that followed their context last) and how often they have been right. What happens under each pair of
+confidences is counted; chances that a candidate is right, and that the id was seen in the block at all, come from these
+counts and from those by one confidence alone, mixed in the logistic domain with weights learned per block. An id is
+coded as one symbol: which of four cases holds (order 2 right, order 1 right, seen, new), and within it a seen id by
+its order-0 count in the block, a new one evenly. Counts and weights are taken over after each stretch of steps, which
+grows with the block; ids that come up in between have a count of one kept for them. All arithmetic is in integers, so
+that any machine decodes what another has coded.
 
 What is held grows with the blocks in step, so ``TOGETHER`` of them at most are coded and decoded at once.
 
-The range has 48 bits and is kept at 2**32 or more by words of 16 bits, one a symbol at most. Carries are added to the
+The range has 64 bits and is kept at 2**32 or more by words of 32 bits, one an id at most. Carries are added to the
 word before and resolved at the end.
 """
 
@@ -24,176 +25,222 @@ import zlib
 import numpy as np
 
 IDS = 1 << 16
-TOGETHER = 1024  # blocks in step; each holds some 160 KB while it is coded
-SLOTS2 = 1 << 12
-STRETCHED = 128  # steps from one taking over of the order-0 counts to the next
-FLOOR, M32, M48, S16, S32, S48 = (np.uint64(x) for x in (1 << 32, (1 << 32) - 1, (1 << 48) - 1, 16, 32, 48))
+TOGETHER = 2048  # blocks in step; each holds some 60 KB while it is coded
+SLOTS2 = 1 << 11
+STRETCHED = 64, 256  # steps from one taking over of the counts to the next: a quarter of those behind, by powers of two, within these
+CASES, UNIT = 12, 28  # bits of a case's share of the range, and of a whole symbol's
+PAIRS = 32  # of confidences: order 2 (four), order 1 (four), whether both name the same
+FLOOR, LOW, S5, S32, LAST = (np.uint64(x) for x in (1 << 32, (1 << 32) - 1, 5, 32, (1 << UNIT) - 1))
+S16 = np.uint32(16)
+UNIT_SHIFT, WHOLE = np.uint64(UNIT), np.uint64((1 << 64) - 1)
 
 _x = np.arange(4096)
 STRETCH = np.round(np.log((_x + 0.5) / (4095.5 - _x)) * 256).clip(-2047, 2047).astype(np.int32)
 SQUASH = np.round(65536 / (1 + np.exp(-(np.arange(4096) - 2048) / 256))).clip(32, 65504).astype(np.int32)
 
-# By whether a candidate was right (8) and how sure it was: how sure it is then, and whether it stays. None is there at 0.
-SURE = np.array([1, 1, 1, 1, 2, 2, 3, 3, 1, 2, 3, 4, 5, 6, 7, 7], np.int32)
-STAYS = np.array([0, 0, 0, 1, 1, 1, 1, 1, 0, 1, 1, 1, 1, 1, 1, 1], bool)
+# An entry has its candidate from bit 8 on and twice its confidence (0 to 3) below. By the entry with the id that came taken off (7 stands
+# for all that named another): twice the confidence then.
+SURE = np.array([2, 2, 4, 2, 6, 2, 6, 2], np.int32)
+RIGHT, SEEN, BELIEVED = np.array([0, 2, 5, 11], np.int32), 12, 4  # shares of 16 at first: a candidate of a confidence is right, an id was seen; their weight
+
+
+def stretch(t: int) -> int:
+    """Steps from a taking over at t to the next."""
+    least, most = STRETCHED
+    return min(max((1 << t.bit_length()) >> 3, least), most)
 
 
 class Models:
     """The state of all blocks, in flat tables with one stretch for each block."""
 
     def __init__(self, blocks: int, longest: int):
-        n, self.room = blocks, longest + STRETCHED + 1
-        lane = np.arange(n)
-        self.at1, self.at2, self.at0 = lane * self.room, lane * SLOTS2, lane * self.room
-        self.next1, self.next2 = np.zeros(n * self.room, np.int32), np.zeros(n * SLOTS2, np.int32)
-        self.counts, self.new = np.zeros((n, self.room), np.uint16), np.zeros((STRETCHED, n), np.int64)
-        self.seen, self.last, self.before, self.t = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), 0
-        ask = np.arange(3)[:, None]
-        self.table_a, self.table_b = np.full(n * 3 * 16, 32768, np.int32), np.full(n * 3 * 128, 32768, np.int32)
-        self.at_a, self.at_b = (lane * 3 + ask) * 16, (lane * 3 + ask) * 128
-        self.weight_a, self.weight_b = np.full((3, n), 40960, np.int32), np.full((3, n), 40960, np.int32)
-        self.key_a, self.key_b, self.asked = np.zeros((3, n), np.int64), np.zeros((3, n), np.int64), np.zeros((3, n), np.int32)
-
-    def predict(self) -> np.ndarray:
-        """Bounds of the four cases, of 65536, as five rows."""
-        self.slot1 = self.at1 + self.last
-        self.slot2 = self.at2 + ((self.last * 0x9E3B + self.before * 0x85EB51 >> 3) & (SLOTS2 - 1))
-        self.entry1, self.entry2 = self.next1[self.slot1], self.next2[self.slot2]
-        self.c1, self.c2 = self.entry1 >> 3, self.entry2 >> 3
-        n1, n2 = self.entry1 & 7, self.entry2 & 7
-        self.n1, self.n2 = n1, n2
-        equal = self.c1 == self.c2
-        ask2 = n2 > 0
-        asked = self.asked
-        asked[0], asked[1], asked[2] = ask2, (n1 > 0) & ~(equal & ask2), self.t > 0
-        a, b = self.key_a, self.key_b
-        a[0], a[1], a[2] = n2, n1, min(self.t.bit_length(), 15)
-        b[1] = n2 * 8 + n1
-        b[0], b[2] = b[1] * 2 + equal, n1
-        a += self.at_a
-        b += self.at_b
-        self.old_a, self.old_b = self.table_a.take(a), self.table_b.take(b)
-        self.in_a, self.in_b = STRETCH.take(self.old_a >> 4), STRETCH.take(self.old_b >> 4)
-        dot = (self.weight_a * self.in_a + self.weight_b * self.in_b) >> 16
-        self.p = p = SQUASH.take(dot + 2048, mode="clip")
-        q = (p * asked).astype(np.int64)
-        bounds = np.empty((5, len(n1)), np.int64)
-        bounds[0], bounds[4] = 0, IDS
-        bounds[1] = q[0]
-        rest = IDS - q[0]  # 32 at least; each case that can come keeps a share
-        bounds[2] = q[0] + np.minimum(np.maximum(rest * q[1] >> 16, 1), rest - 8) * asked[1]
-        rest = IDS - bounds[2]
-        bounds[3] = bounds[2] + (np.minimum(np.maximum(rest * q[2] >> 16, 1), rest - 1) if self.t else 0)
+        most = min(STRETCHED[1], longest)
+        self.n, self.room, self.t, self.begun, self.until = blocks, longest + STRETCHED[1] + 1, 0, 0, 0
+        lane = np.arange(blocks)
+        self.at0, self.at1, self.at2, self.at_pair = lane * self.room, lane * self.room, blocks * self.room + lane * SLOTS2, lane * PAIRS
+        self.next = np.zeros(blocks * (self.room + SLOTS2), np.int32)  # entries of order 1, then of order 2
+        self.counts, self.seen = np.zeros(blocks * self.room, np.uint16), np.zeros(blocks, np.int64)
+        self.x, self.event = np.zeros((most, blocks), np.int64), np.zeros((most, blocks), np.int64)  # since the last taking over
+        # what each question (order 2 right, order 1 right, seen) was answered, by both confidences and by one alone
+        right2, right1 = RIGHT[:, None], RIGHT.repeat(2) * np.array([1, 0] * 4)
+        self.hits = np.empty((3, blocks, 4, 8), np.int32)
+        self.hits[0], self.hits[1], self.hits[2] = right2, right1, SEEN
+        self.hits *= BELIEVED
+        self.asks = np.full((3, blocks, 4, 8), 16 * BELIEVED, np.int32)
+        self.one_hits = [self.hits[0, :, :, :1].copy(), self.hits[1, :, :1].copy(), self.hits[2, :, :1, :1].copy()]
+        self.one_asks = [np.full_like(x, 16 * BELIEVED) for x in self.one_hits]
+        self.weight_one, self.weight = np.full((3, blocks, 1, 1), 24576, np.int32), np.full((3, blocks, 1, 1), 40960, np.int32)
+
+    def take_over(self) -> None:
+        """Order-0 counts and their sums, and the chances of the cases, as of this step."""
+        n, since, steps = self.n, self.t - self.begun, stretch(self.t)
+        if since:
+            np.add.at(self.counts, (self.x[:since] + self.at0).ravel(), np.uint16(1))
+            self.learn(np.bincount(self.event[:since].ravel(), minlength=4 * n * PAIRS).astype(np.int32).reshape(4, n, 4, 8))
+        self.begun, self.until, self.width, self.total = self.t, self.t + steps, int(self.seen.max(initial=0)) + steps + 1, self.t + steps
+        self.row = np.arange(n) * self.width
+        self.held = np.zeros((n, self.width), np.uint16)  # a column more, so that sums begin with none
+        self.held[:, 1:] = self.counts.reshape(n, -1)[:, : self.width - 1]
+        self.held.reshape(-1)[(self.row + self.seen + 1)[:, None] + np.arange(steps)] = 1  # each id that may come up before the next time
+        sums = np.cumsum(self.held, axis=1, dtype=np.uint32)
+        self.filled = sums[:, -1].astype(np.int64)
+        if self.total < IDS:  # of 65536, so that (q * total) >> 16 falls below a sum as q does
+            sums <<= np.uint32(16)
+            sums += np.uint32(self.total - 1)
+            sums //= np.uint32(self.total)
+        self.sums = sums.reshape(-1)
+        self.bounds = self.chances()
+
+    def learn(self, found: np.ndarray) -> None:
+        """found: how often each case came, by pair of confidences."""
+        asks = found[2:].sum(0, dtype=np.int32)
+        asks = np.stack([asks + found[1] + found[0], asks + found[1], asks])
+        error = found[:3] * 4095 - asks * (self.p >> 4)
+        self.weight += np.einsum("anij,anij->an", self.inputs, error)[:, :, None, None] >> 12
+        for ask, (axes, hits, tried) in enumerate(zip(((2,), (1,), (1, 2)), self.one_hits, self.one_asks)):
+            self.weight_one[ask] += (self.one_inputs[ask] * error[ask].sum(axes, keepdims=True, dtype=np.int32)).sum((1, 2), keepdims=True, dtype=np.int32) >> 12
+            hits += found[ask].sum(axes, keepdims=True, dtype=np.int32) - (hits >> 1)
+            tried += asks[ask].sum(axes, keepdims=True, dtype=np.int32) - (tried >> 1)
+        self.hits += found[:3]
+        self.asks += asks
+        for weight in (self.weight, self.weight_one):
+            np.clip(weight, -(1 << 20), 1 << 20, out=weight)  # so that 32 bits hold what is mixed
+
+    def chances(self) -> np.ndarray:
+        """Upper bounds of the first three cases, of 4096, each by block and pair of confidences."""
+        self.inputs = STRETCH.take(self.hits * 4095 // (self.asks + 1))
+        self.one_inputs = [STRETCH.take(h * 4095 // (a + 1)) for h, a in zip(self.one_hits, self.one_asks)]
+        mixed = self.inputs * (self.weight >> 4)
+        for ask, x in enumerate(self.one_inputs):
+            mixed[ask] += x * (self.weight_one[ask] >> 4)
+        mixed >>= 12
+        mixed += 2048
+        self.p = p = SQUASH.take(mixed, mode="clip")
+        bounds, below = np.empty((3, self.n * PAIRS), np.uint32), 0
+        for ask in range(3):
+            rest = (1 << CASES) - below
+            below = below + np.clip(rest * p[ask] >> 16, 4, rest - 4 * (3 - ask))  # each case keeps a share
+            bounds[ask] = below.reshape(-1)
         return bounds
 
-    def take_over(self, inverse: bool) -> None:
-        """Order-0 counts and their sums as of this step, with one for each id that may come up before the next time."""
-        if self.t:
-            keys = (self.new + self.at0).ravel()
-            np.add.at(self.counts.reshape(-1), keys, np.uint16(1))
-        columns = int(self.seen.max()) + STRETCHED
-        held = self.counts[:, :columns].astype(np.uint32)
-        may = np.arange(columns) - self.seen[:, None]
-        held[(may >= 0) & (may < STRETCHED)] = 1
-        self.width = columns + 1
-        self.sums = np.zeros((len(held), self.width), np.uint32)
-        np.cumsum(held, axis=1, out=self.sums[:, 1:])
-        self.total = self.sums[:, -1].astype(np.uint64)
-        self.row, self.sums = np.arange(len(held)) * self.width, self.sums.reshape(-1)
-        if inverse:
-            self.whose = np.repeat(np.broadcast_to(np.arange(columns, dtype=np.uint16), held.shape).ravel(), held.ravel())
-            self.whose_at = np.cumsum(self.total.astype(np.int64)) - self.total.astype(np.int64)
-
-    def range_of(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order-0 counts below x, and of x."""
-        at = self.row + x
-        below = self.sums.take(at)
-        return below, self.sums.take(at + 1) - below
-
-    def update(self, x: np.ndarray, case: np.ndarray) -> None:
-        for guess, sure, table, slot in ((self.c1, self.n1, self.next1, self.slot1), (self.c2, self.n2, self.next2, self.slot2)):
-            state = (guess == x) * 8 + sure
-            table[slot] = np.where(STAYS.take(state), guess, x) << 3 | SURE.take(state)
-        ask = np.arange(3)[:, None]
-        live = self.asked * (case >= ask)
-        target = (case == ask) * np.int32(65535)
-        error = ((target - self.p) >> 4) * live
-        self.table_a[self.key_a] = self.old_a + ((target - self.old_a) >> 4) * live
-        self.table_b[self.key_b] = self.old_b + ((target - self.old_b) >> 4) * live
-        self.weight_a += self.in_a * error >> 10
-        self.weight_b += self.in_b * error >> 10
-        self.new[self.t % STRETCHED] = x
-        self.seen += case == 3
-        self.before, self.last, self.t = self.last, x, self.t + 1
-
-
-def second(case: np.ndarray, span: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """The unit of the range for the second symbol: of the order-0 total for a seen id, else of 65536."""
-    return np.where(case == 2, span // total, span >> S16)
+
+def ranked(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each id's rank of first appearance, and whether it appears first there; first is room for a place an id."""
+    place = np.arange(len(ids), dtype=np.int32)
+    first[ids[::-1]] = place[::-1]
+    at = first[ids]
+    new = at == place
+    return (np.cumsum(new, dtype=np.int32) - 1)[at], new
+
+
+def groups(blocks: list, together: int) -> list[list]:
+    """Of much the same number of blocks each, as a step takes much the same time for few blocks as for many."""
+    size = -(-len(blocks) // max(1, -(-len(blocks) // together)))
+    return [blocks[i : i + size] for i in range(0, len(blocks), size or 1)]
 
 
 def encode(blocks: list[np.ndarray], together: int = TOGETHER) -> list[bytes]:
     """Each block's code, behind its length and checksum (4 bytes each); at most 65,535 ids below 65,536 a block."""
-    return [code for i in range(0, len(blocks), together) for code in encode_in_step(blocks[i : i + together])]
+    return [code for group in groups(blocks, together) for code in encode_in_step(group)]
 
 
 def encode_in_step(blocks: list[np.ndarray]) -> list[bytes]:
     n, longest = len(blocks), max((len(b) for b in blocks), default=0)
     if longest >= IDS or any(len(b) and int(b.max()) >= IDS for b in blocks):
         raise ValueError("blocks hold at most 65,535 ids, each below 65,536")
-    ids = np.zeros((longest, n), np.int64)
+    ids, ranks, fresh = np.zeros((n, longest), np.uint16), np.zeros((n, longest), np.uint16), np.zeros((n, longest), bool)
+    fresh[:, :1] = True
+    first = np.zeros(IDS, np.int32)
     for k, b in enumerate(blocks):
-        ids[: len(b), k] = b
-    m, lane = Models(n, longest), np.arange(n)
-    ranks = np.zeros(n * IDS, np.uint16)  # of ids that have appeared, from 1
-    width = 2 * longest + 4
-    out, pos = np.zeros(n * width, np.uint32), lane * width + 1
-    low, span = np.zeros(n, np.uint64), np.full(n, M48)
-
-    def code(unit, start, freq):
-        nonlocal low, span, pos
-        low = low + unit * start.astype(np.uint64)
-        span = unit * freq.astype(np.uint64)
-        out[pos - 1] += (low >> S48).astype(np.uint32)
-        low = low & M48
-        out[pos] = low >> S32
-        short = span < FLOOR
-        shift = short * S16
-        low, span, pos = (low << shift) & M48, span << shift, pos + short
+        ids[k, : len(b)] = b
+        ranks[k, : len(b)], fresh[k, : len(b)] = ranked(b, first)
+    ids, ranks, fresh = (np.ascontiguousarray(x.T) for x in (ids, ranks, fresh))
+    m, sizes = Models(n, longest), np.array([len(b) for b in blocks], np.int64)
+    words, kept, carried = np.zeros((longest, n), np.uint32), np.zeros((longest, n), bool), np.zeros((longest, n), bool)
+    low, span, ends, ending = np.zeros(n, np.uint64), np.full(n, WHOLE), np.zeros(n, np.uint64), set(sizes.tolist())
+    past = np.zeros((STRETCHED[1] + 2, n), np.int64)  # two steps before, and those to code
+    while m.t < longest:
+        m.take_over()
+        t0, steps = m.t, min(m.until, longest) - m.t
+        part = slice(t0, t0 + steps)
+        x, new = past[2 : steps + 2], fresh[part]
+        x[:] = ranks[part]
+        m.x[:steps] = x
+        slots = np.empty((steps, 2, n), np.int64)
+        np.add(past[1 : steps + 1], m.at1, out=slots[:, 0])
+        np.add((past[1 : steps + 1] * 0x9E3B + past[:steps]) & (SLOTS2 - 1), m.at2, out=slots[:, 1])
+        x8 = (x << 8).astype(np.int32)
+        past[:2] = past[steps : steps + 2].copy()
+        off, table = np.empty((steps, 2, n), np.int32), m.next
+        for slot, x8_, off_ in zip(slots, x8, off):
+            np.bitwise_xor(table.take(slot), x8_, out=off_)
+            table[slot] = SURE.take(off_, mode="clip") + x8_
+        off1, off2 = off[:, 0], off[:, 1]
+        pair = ((off2 << 2 | off1) & (PAIRS - 2)) + ((off1 ^ off2) < 256) + m.at_pair
+        case = np.where(off1 < 256, 1, 2)
+        case[off2 < 256] = 0
+        case[new] = 3
+        event = m.event[:steps]
+        np.multiply(case, n * PAIRS, out=event)
+        event += pair
+        above = m.bounds.reshape(-1).take(np.minimum(event, 3 * n * PAIRS - 1))
+        below = m.bounds.reshape(-1).take(event - n * PAIRS, mode="clip")
+        below[case == 0] = 0
+        above[case == 3] = 1 << CASES
+        share = (above - below).astype(np.uint64)
+        start = below.astype(np.uint64) << np.uint64(16)
+        at, guessed = m.row + x, case < 2
+        within = m.sums.take(at)
+        at += 1
+        size = m.sums.take(at) - within
+        for values, of_new, of_guessed in ((within, ids[part], 0), (size, 1, IDS)):
+            np.copyto(values, of_new, where=new)
+            np.copyto(values, of_guessed, where=guessed)
+        start += within * share
+        share *= size
+        m.seen += new.sum(0)
+        m.t += steps
+        for t, start_, share_ in zip(range(t0, t0 + steps), start, share):
+            unit = span >> UNIT_SHIFT
+            start_ *= unit
+            low += start_
+            np.less(low, start_, out=carried[t])
+            np.right_shift(low, S32, out=words[t], casting="unsafe")
+            span = unit * share_
+            short = np.less(span, FLOOR, out=kept[t]) << S5
+            low <<= short
+            span <<= short
+            if t + 1 in ending:
+                ends = np.where(sizes == t + 1, low, ends)
+    return packed(blocks, words, kept, carried, ends, sizes)
 
-    for t in range(longest):
-        if t % STRETCHED == 0:
-            m.take_over(False)
-        bounds = m.predict()
-        key = lane * IDS + ids[t]
-        rank = ranks.take(key).astype(np.int64)
-        new = rank == 0
-        x = np.where(new, m.seen, rank - 1)
-        case = np.where(m.asked[0] * (x == m.c2), 0, np.where(m.asked[1] * (x == m.c1), 1, 2 + new))
-        at = case * n + lane
-        start = bounds.take(at)
-        code(span >> S16, start, bounds.take(at + n) - start)
-        ranks[key] = x + 1
-        is2, is3 = case == 2, case == 3
-        below, count = m.range_of(x)
-        code(second(case, span, m.total), np.where(is2, below, ids[t] * is3), np.where(is2, count, np.where(is3, 1, IDS)))
-        m.update(x, case)
-    rows, ends = out.reshape(n, width), pos - lane * width
-    for _ in range(3):
-        rows[lane, ends] = low >> S32
-        low, ends = (low << S16) & M48, ends + 1
-    for k in range(int(ends.max(initial=1)) - 1, 0, -1):
-        rows[:, k - 1] += np.where(k < ends, rows[:, k] >> 16, 0).astype(np.uint32)
-    words = (rows & 0xFFFF).astype("<u2")
-    heads = np.array([[len(b), zlib.crc32(b.astype("<u4").tobytes())] for b in blocks], "<u4").reshape(n, 2)
-    return [heads[k].tobytes() + words[k, 1 : ends[k]].tobytes() for k in range(n)]
+
+def packed(blocks, words, kept, carried, ends, sizes) -> list[bytes]:
+    """The words that are kept of each block, with what was carried to them and the two that end it."""
+    longest, n = words.shape
+    inside = np.arange(longest) < sizes[:, None]
+    at = np.flatnonzero(kept.T & inside)
+    lane = at // max(longest, 1)
+    filled = np.bincount(lane, minlength=n) + 2
+    stop = np.cumsum(filled)
+    flat = np.zeros(int(filled.sum()), np.uint64)
+    flat[np.arange(len(at)) + 2 * lane] = words.reshape(-1).take((at - lane * longest) * n + lane)
+    flat[stop - 2], flat[stop - 1] = ends >> S32, ends & LOW
+    over = np.flatnonzero(carried.T & inside)  # carried to the word before those that are kept from this step on
+    np.add.at(flat, np.searchsorted(at, over) - 1 + 2 * (over // max(longest, 1)), np.uint64(1))
+    while (high := np.flatnonzero(flat >> S32)).size:
+        flat[high] &= LOW
+        np.add.at(flat, high - 1, np.uint64(1))
+    flat = flat.astype("<u4")
+    return [np.array([len(b), zlib.crc32(b.astype("<u4").tobytes())], "<u4").tobytes() + (flat[i:j].tobytes() if len(b) else b"") for b, i, j in zip(blocks, stop - filled, stop)]
 
 
 def decode(codes: list[bytes], together: int = TOGETHER) -> list[np.ndarray]:
     """The blocks' ids; a wrong checksum is an error."""
-    return [block for i in range(0, len(codes), together) for block in decode_in_step(codes[i : i + together])]
+    return [block for group in groups(codes, together) for block in decode_in_step(group)]
 
 
+@np.errstate(divide="ignore")  # a range of nothing comes of damage, which the checksum finds, and of steps that are left out
 def decode_in_step(codes: list[bytes]) -> list[np.ndarray]:
     n = len(codes)
     heads = np.array([np.frombuffer(c[:8], "<u4") for c in codes], np.int64).reshape(n, 2)
@@ -201,52 +248,86 @@ def decode_in_step(codes: list[bytes]) -> list[np.ndarray]:
     longest = int(sizes.max(initial=0))
     if longest >= IDS:
         raise ValueError("a block's length is damaged")
-    width = max((len(c) // 2 for c in codes), default=0) + 2 * longest + 4
-    data = np.zeros((n, width), np.uint16)
+    width = max((len(c) // 4 for c in codes), default=0) + 2
+    data = np.zeros(n * width + longest, np.uint64)  # past its end a block reads another's words, for steps that are left out
     for k, c in enumerate(codes):
-        body = c[8 : len(c) - len(c) % 2]
-        data[k, : len(body) // 2] = np.frombuffer(body, "<u2")
+        body = np.frombuffer(c[8 : len(c) - len(c) % 4], "<u4")
+        data[k * width : k * width + len(body)] = body
     m, lane = Models(n, longest), np.arange(n)
-    value, span = np.zeros(n, np.uint64), np.full(n, M48)
-    for k in range(3):
-        value = value << S16 | data[:, k]
-    data, pos = data.reshape(-1), lane * width + 3
-    room = longest + 1
-    named, base = np.zeros(n * room, np.int64), lane * room
-    ranks = np.zeros((longest, n), np.int64)
-    one, last = np.uint64(1), np.uint64(IDS - 1)  # a unit of 0 comes of damage alone, which the checksum finds
-
-    def take(unit, start, freq):
-        nonlocal value, span, pos
-        value = value - unit * start.astype(np.uint64)
-        span = unit * freq.astype(np.uint64)
-        short = span < FLOOR
-        shift = short * S16
-        value = (value << shift) | (data.take(pos, mode="clip") * short)
-        span, pos = span << shift, pos + short
-
+    pos, span = lane * width + 2, np.full(n, WHOLE)
+    value = data.take(pos - 2) << S32 | data.take(pos - 1)
+    ranks, second, over = np.zeros((longest, n), np.uint16), np.zeros((longest, n), np.uint16), np.empty((longest, 3, n), bool)
+    bounds, withins, counts, xs = np.zeros((5, n), np.uint32), np.zeros((4, n), np.uint32), np.full((4, n), IDS, np.uint32), np.zeros((4, n), np.int32)
+    bounds[4], counts[3] = 1 << CASES, 1
+    slots, table, last, before = np.empty((2, n), np.int64), m.next, np.zeros(n, np.int64), np.zeros(n, np.int64)
     for t in range(longest):
-        if t % STRETCHED == 0:
-            m.take_over(True)
-            most = (m.total - one).astype(np.int64)
-        bounds = m.predict()
-        unit = np.maximum(span >> S16, one)
-        v = np.minimum(value // unit, last).astype(np.int64)
-        case = (v >= bounds[1]).astype(np.int64) + (v >= bounds[2]) + (v >= bounds[3])
-        at = case * n + lane
+        if t in (0, m.until):
+            m.take_over()
+            columns = np.arange(-1, m.width - 1).astype(np.uint16)
+            whose = np.repeat(np.broadcast_to(columns, m.held.shape).ravel(), m.held.ravel())
+            bounds1, bounds2, bounds3 = m.bounds
+            whose, whose_at = np.append(whose, np.zeros(m.total, np.uint16)), np.cumsum(m.filled) - m.filled
+        np.add(last, m.at1, out=slots[0])
+        before += last * 0x9E3B
+        before &= SLOTS2 - 1
+        np.add(before, m.at2, out=slots[1])
+        k = t - m.begun
+        entry = table.take(slots)
+        np.right_shift(entry[::-1], 8, out=xs[:2])
+        pair = entry[1] << 2
+        pair |= entry[0]
+        pair &= PAIRS - 2
+        pair |= np.equal(xs[0], xs[1]).view(np.int8)
+        event = np.add(pair, m.at_pair, out=m.event[k])
+        bounds[1], bounds[2], bounds[3] = bounds1.take(event), bounds2.take(event), bounds3.take(event)
+        unit = span >> UNIT_SHIFT
+        v = np.minimum(value // unit, LAST).astype(np.uint32)
+        past = np.greater_equal(v >> S16, bounds[1:4], out=over[t]).view(np.int8)
+        case = (past[0] + past[1] + past[2]).astype(np.int64)
+        at = case * n
+        at += lane
+        case *= n * PAIRS
+        event += case
         start = bounds.take(at)
-        take(unit, start, bounds.take(at + n) - start)
-        unit = np.maximum(second(case, span, m.total), one)
-        v = np.minimum(value // unit, last).astype(np.int64)
-        is2, is3 = case == 2, case == 3
-        found = m.whose.take(m.whose_at + np.minimum(v, most)).astype(np.int64)
-        below, count = m.range_of(found)
-        x = np.where(is2, found, np.where(is3, m.seen, np.where(case == 0, m.c2, m.c1)))
-        take(unit, np.where(is2, below, v * is3), np.where(is2, count, np.where(is3, 1, IDS)))
-        named[base + m.seen] = v
-        m.update(x, case)
-        ranks[t] = x
-    ids = named.take(ranks + base).astype(np.uint32)
+        at += n
+        share = bounds.take(at)
+        at -= n
+        share -= start
+        start <<= S16
+        v -= start
+        q = np.floor_divide(v, share, out=withins[3])
+        second[t] = q
+        found = q * np.int64(m.total)
+        found >>= 16
+        found += whose_at
+        row = whose.take(found)
+        xs[2], xs[3] = row, m.seen
+        row = m.row + row
+        withins[2] = m.sums.take(row)
+        row += 1
+        np.subtract(m.sums.take(row), withins[2], out=counts[2])
+        x, within = xs.take(at), withins.take(at)
+        within *= share
+        start += within
+        share *= counts.take(at)
+        value -= unit * start
+        span = unit * share
+        short = (span < FLOOR).astype(np.int64)
+        shift = (short << 5).view(np.uint64)
+        value <<= shift
+        value |= data.take(pos) * short.view(np.uint64)
+        span <<= shift
+        pos += short
+        m.seen += over[t, 2]
+        x8 = x << 8
+        entry ^= x8
+        table[slots] = SURE.take(entry, mode="clip") + x8
+        m.x[k], ranks[t] = x, x
+        before, last = last, m.x[k].copy()
+        m.t += 1
+    new, past = np.ascontiguousarray(over[:, 2].T), np.ascontiguousarray(second.T)  # the ids that came up, in turn, block by block
+    named = np.append(past[new], np.zeros(m.room, np.uint16))
+    ids = named.take(ranks + (np.cumsum(m.seen) - m.seen), mode="clip").astype(np.uint32)
     blocks = [np.ascontiguousarray(ids[: sizes[k], k]) for k in range(n)]
     for b, check in zip(blocks, heads[:, 1]):
         if zlib.crc32(b.astype("<u4").tobytes()) != check:

@@ -73,6 +73,45 @@ def test_range_coder_in_groups_of_any_number():
             assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(range_coder.encode(blocks, write), read)))
 
 
+def test_a_block_has_one_code_whatever_stands_beside_it():
+    rng = np.random.default_rng(5)
+    blocks = [np.minimum(rng.zipf(1.3, n), 49407).astype("<u4") for n in (0, 1, 3, 65, 700, 2048)] + [np.full(300, 9, "<u4")]
+    assert range_coder.encode(blocks) == [range_coder.encode([b])[0] for b in blocks]
+
+
+def test_range_coder_leaves_no_block_to_a_group_of_its_own():
+    """A frame ends with a whole document, so it has one block more than its ids would fill; a step costs much the same for one block as for many."""
+    many = [np.arange(2, dtype="<u4")] * (range_coder.TOGETHER + 1)
+    steps = []
+    step = range_coder.encode_in_step
+    range_coder.encode_in_step = lambda blocks: steps.append(len(blocks)) or step(blocks)
+    try:
+        assert len(range_coder.encode(many)) == len(many)
+    finally:
+        range_coder.encode_in_step = step
+    assert sum(steps) == len(many) and max(steps) - min(steps) <= 1
+
+
+def test_range_coder_on_blocks_of_65535_ids():
+    rng = np.random.default_rng(6)
+    blocks = [rng.permutation(1 << 16)[:-1], np.zeros(65_535), np.minimum(rng.zipf(1.2, 65_535), 65_535), np.resize(rng.integers(0, 65_536, 50), 65_535)]
+    blocks = [b.astype("<u4") for b in blocks]
+    codes = range_coder.encode(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, range_coder.decode(codes)))
+    assert len(codes[1]) < 1200 and len(codes[3]) < 4000
+
+
+def test_range_coder_finds_damage_anywhere():
+    rng = np.random.default_rng(7)
+    blocks = [np.minimum(rng.zipf(1.4, n), 49407).astype("<u4") for n in (400, 900)]
+    whole = range_coder.encode(blocks)[0]
+    for at in rng.integers(4, len(whole) - 8, 40):
+        bad = bytearray(whole)
+        bad[at] ^= int(rng.integers(1, 256))
+        with pytest.raises(ValueError):
+            range_coder.decode([bytes(bad), range_coder.encode(blocks)[1]])
+
+
 def test_range_coder_holds_little_of_many_blocks():
     """As a text of tens of MB gives; short blocks, as the tables of a block do not depend on its length."""
     blocks = [np.arange(k % 7, k % 7 + 12, dtype="<u4") for k in range(8 * range_coder.TOGETHER)]
