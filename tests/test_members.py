@@ -131,6 +131,35 @@ def test_sources_are_read_once_and_facts_written_once(spark):
     assert "MapInArrow" not in plan(member_catalog.evaluate(member_catalog.member_facts(found)))
 
 
+def test_lines_and_heads_that_come_again_are_taken_apart_once(spark, monkeypatch):
+    """Their results are kept, by the state that a line is met in, and no more than so many; long texts are not kept."""
+    calls, lexed = [], members.lexed
+    monkeypatch.setattr(members, "lexed", lambda text, state: calls.append(text) or lexed(text, state))
+    monkeypatch.setattr(members, "_lines", ({}, {}, {}))
+    monkeypatch.setattr(members, "KNOWN", 50)
+    lines = ["class A {", "/* class B { ", "class A {", "*/", "@Async", "void f() {", '  s = """', "class A {", '  """;', "}", "// " + "x" * 300] * 40
+    found = [p for scan in [members.Scan()] for n, x in enumerate(lines, 1) for p in scan.line(n, x)]
+    assert len(calls) == 10 + 40 and all(len(x) <= members.SHORT for known in members._lines for x in known)
+    assert [p[0] for p in found if p[2] == "head" and p[3] == "class"] == [1 + 11 * k for k in range(40)]
+    for n in range(500):
+        members.marked(f"int x{n};", members.CODE)
+    assert len(members._lines[members.CODE]) <= 50
+
+
+def test_places_of_files_at_any_cut_of_the_batches():
+    import pyarrow as pa
+
+    columns = [["r", "r", None, None, "s", "s", "s"], ["a", "a", "a", None, None, "b", "b"]]
+    assert members.runs(*(pa.array(c, pa.string()) for c in columns)).tolist() == [0, 2, 3, 4, 5]
+    assert members.runs(*(pa.array(c[:1], pa.string()) for c in columns)).tolist() == [0] and members.runs(*[pa.array([], pa.string())] * 2).tolist() == []
+
+
+def test_annotations_are_those_of_the_head_in_one_line(spark):
+    text = 'class A {\n  @A(\n  "@B {\\"@C",\n  x = @D)\n  @interface E { }\n  @F @G.H int y;\n  @I void f() { @J int z; }\n}'
+    got = {x.name: x.annotations for x in members.members(members.scoped_lines(lines_of(spark, {("r", "A.java"): text}))).collect()}
+    assert got["y"] == ["F", "G.H"] and got["f"] == ["I"] and ["A", "D"] in got.values()
+
+
 def test_a_name_twice_in_one_head_is_no_collision(spark):
     facts = [("r", "A.java", 1, 1, 1, "bean_name", "one"), ("r", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "B.java", 1, 1, 1, "bean_name", "one")]
     found = spark.createDataFrame(facts, "repo string, path string, line int, member int, class_at int, fact string, value string")
