@@ -7,7 +7,7 @@ looked up, in a cache of at most ``bound`` units; units it lacks go to the libra
 model's merges alone. The ids of the whole group are then put together by position. Special tokens' strings hold no white
 space, so the tokenizer itself finds them in the word that holds them.
 
-When the cache is full, the units that no group has asked for since it was last full leave it.
+When the cache is full, the units that the fewest groups have asked for leave it; what was asked before it was last full counts half.
 """
 
 from __future__ import annotations
@@ -60,13 +60,13 @@ class UnitCache:
 
     def __init__(self, bound: int, kind: str | None = None):
         self.bound, self.fixed, self.at = bound, 0, {}
-        self.start, self.count, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        self.start, self.count, self.asked = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.ids = None if kind is None else np.zeros(0, kind)
 
     def places(self, units: list[str]) -> np.ndarray:
         """The units' places, -1 where they are not held."""
         found = np.fromiter(map(self.at.get, units, repeat(-1)), np.int64, len(units))
-        self.asked[found[found >= 0]] = True
+        self.asked[found[found >= 0]] += 1  # the units are distinct
         return found
 
     def add(self, units: list[str], count: np.ndarray, ids: np.ndarray | None = None) -> np.ndarray:
@@ -74,7 +74,7 @@ class UnitCache:
         first = len(self.count)
         self.at.update(zip(units, range(first, first + len(units))))
         self.count = np.append(self.count, count)
-        self.asked = np.append(self.asked, np.ones(len(units), bool))
+        self.asked = np.append(self.asked, np.ones(len(units), np.int32))
         if self.ids is not None:
             self.start = np.append(self.start, len(self.ids) + np.cumsum(count) - count)
             self.ids = np.append(self.ids, ids.astype(self.ids.dtype))
@@ -84,18 +84,17 @@ class UnitCache:
         """Between groups only: places change."""
         if len(self.at) <= self.bound + self.fixed:
             return
-        keep = self.asked.copy()
-        if keep.sum() > self.bound // 2 + self.fixed:
-            keep &= np.random.default_rng(1).random(len(keep)) < 0.5
+        keep = np.zeros(len(self.count), bool)
         keep[: self.fixed] = True
+        keep[self.fixed + np.argpartition(-self.asked[self.fixed :], self.bound // 2)[: self.bound // 2]] = True
         units = [u for u, k in zip(self.at, keep.tolist()) if k]
-        count, ids = self.count[keep], None
+        count, asked, ids = self.count[keep], self.asked[keep], None
         if self.ids is not None:
             ids = gather(self.ids, self.start[keep], count)
             self.start, self.ids = self.start[:0], self.ids[:0]
         self.at, self.count, self.asked = {}, self.count[:0], self.asked[:0]
         self.add(units, count, ids)
-        self.asked[:] = False
+        self.asked[:] = asked >> 1
 
 
 def gather(ids: np.ndarray, start: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -109,7 +108,8 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.signs, self.model = byte_signs(), self.tokenizer.model
+        self.signs, self.model = np.array([ord(c) for c in byte_signs()], "<u4"), self.tokenizer.model
+        self.signs[32] = 32  # words are joined by spaces
         vocabulary = self.tokenizer.get_vocab()
         self.cache = UnitCache(bound, "<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -136,7 +136,9 @@ class WordIds:
         return places
 
     def signed(self, words: list[str]) -> list[str]:
-        return [w if w.isascii() else "".join(self.signs[b] for b in w.encode()) for w in words]
+        """Words without white space as the vocabulary writes their bytes."""
+        data = np.frombuffer(" ".join(words).encode(), np.uint8)
+        return self.signs[data].tobytes().decode("utf-32-le").split(" ") if words else []
 
     def encode_group(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, end to end, and each text's bounds in them."""
@@ -153,11 +155,13 @@ class WordIds:
             lower = np.zeros(len(column.dictionary), bool)
             if mask is not None:
                 lower[at[mask]] = True
-            parts.append(self.units(column.dictionary, lower)[at][codes])
-        places = np.stack(parts, axis=1).ravel()
+            parts.append(self.units(column.dictionary, lower)[at])
+        places = np.stack(parts, axis=1)  # of each distinct word's two units
         count = self.cache.count[places]
-        bounds = np.concatenate([[0], np.cumsum(count)])[2 * (edges - edges[0])]
-        return gather(self.cache.ids, self.cache.start[places], count), bounds
+        ids, count = gather(self.cache.ids, self.cache.start[places].ravel(), count.ravel()), count.sum(1)
+        start, count = (np.cumsum(count) - count)[codes], count[codes]
+        bounds = np.concatenate([[0], np.cumsum(count)])[edges - edges[0]]
+        return gather(ids, start, count), bounds
 
     def encode_column(self, texts: pa.Array):
         """The ids (unsigned, 32 bits) of each text in turn; null is empty."""
