@@ -11,9 +11,9 @@ A key with more than ``block`` fingerprints is split by hash, and every two part
 Of the pairs found in a key only a spanning forest is written, which loses no connection; connected
 components run as rounds of joins with a written table after each.
 
-``keep_one``, the pipeline's stage, has to find Jaccard similarities of 0.8, at which fingerprints differ in some ten bits.
-Blocks of bits cannot be keys at that radius, so bands of min-hashes are; under a key the same bit-sliced comparison picks the
-pairs within ``WIDE`` bits, and the shingle sets decide on each.
+``keep_one``, the pipeline's stage, has to find all pairs of Jaccard similarity 0.8, at which fingerprints differ in some ten bits.
+Blocks of bits cannot be keys at that radius, and bands of min-hashes lose pairs, so the first shingles of each set in one order
+are; under a key, bits that say how many shingles differ at least pick the pairs, and the shingle sets decide on each.
 
 Edge cases: null text has no words and fingerprint zero, as an empty text has; all rows with fingerprint zero
 are linked. Null ids keep their rows; a component's id is its smallest non-null id (null if it has none).
@@ -36,11 +36,8 @@ from corpusmill.llm.common import LOWER, discard, flag_table, gram_hashes, mater
 
 CUTS = [0, 11, 22, 33, 44, 54, 64]
 SLICE = 1 << 15
-BANDS, DEEP = 20, 4  # bands of so many min-hashes
-GROUP_BYTES = 16 << 20  # of shingle sets that one part of a key's classes holds
-WIDE = 26  # bits that fingerprints of sets at similarity 0.8 may differ in: ten on average, for sets of a few shingles twelve, at a spread of three
-FLIPS, TURNS = np.random.default_rng(7).integers(0, 1 << 64, (2, BANDS * DEEP), np.uint64)
-TURNS = TURNS | np.uint64(1)
+GROUP_BYTES = 16 << 20  # of shingle sets that one part of a group's classes holds
+SAMPLE, COMMON, ORDERED = 4096, 3, 1 << 16  # texts that tell common shingles, in how many of them these are, and how many of these are known
 BLANK = flag_table(b" \t\n\r\x0b\x0c").astype(bool)
 
 
@@ -243,48 +240,82 @@ def gram_sets(column: pa.Array, shingle: int):
             yield np.unique(gram_hashes(words[a:b], min(shingle, b - a))) if b > a else words[:0]
 
 
-def min_hashes(grams: np.ndarray) -> np.ndarray:
-    """BANDS * DEEP smallest values of a set under as many hash functions."""
-    low = np.full(BANDS * DEEP, ~np.uint64(0))
-    for i in range(0, len(grams), 2048):
-        low = np.minimum(low, ((grams[i : i + 2048] ^ FLIPS[:, None]) * TURNS[:, None]).min(axis=1))
-    return mix(low)
+def common_grams(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many of some SAMPLE texts share, sorted, and in how many. Only the order of the others' keys goes by them, so results do not."""
+    every = max(1, -(-texts.count() // SAMPLE))
 
+    def add(batches):
+        for batch in batches:
+            for grams in gram_sets(batch.column(1), shingle):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["gram"])
+
+    some = texts.where(F.pmod(F.xxhash64("_row"), F.lit(every)) == 0).select("_row", "text").mapInArrow(add, "gram long")
+    rows = some.groupBy("gram").agg(F.count("*").alias("n")).where(f"n >= {COMMON}").orderBy(F.desc("n"), "gram").limit(ORDERED).collect()
+    rows.sort(key=lambda r: r.gram % (1 << 64))
+    return np.array([r.gram for r in rows], np.int64).view(np.uint64), np.array([r.n for r in rows], np.int64)
+
+
+def least_shared(n, similarity: float):
+    """How many of its n elements a set shares at least with any other one that has the similarity."""
+    return np.ceil(np.asarray(n) * similarity - 1e-9).astype(np.int64)
 
-def set_print(grams: np.ndarray) -> int:
-    """The SimHash of a set of shingle hashes."""
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(grams), 4096):
-        ones += np.unpackbits(mix(grams[i : i + 4096]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(grams), bitorder="little").view("<i8")[0])
 
+def prefix(grams: np.ndarray, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first elements of a set in one order of all (rare ones first, then by hash): so many that any set of the similarity has one of them among its own first ones."""
+    n = len(grams)
+    keys, many = mix(grams), n - int(least_shared(n, similarity)) + 1
+    if many >= n:
+        return keys
+    known, counts = common
+    at = np.minimum(np.searchsorted(known, grams), max(0, len(known) - 1))
+    weight = np.where(known[at] == grams, counts[at], 0) if len(known) else np.zeros(n, np.int64)
+    return keys[np.lexsort((keys, weight))[:many]] if weight.any() else np.partition(keys, many - 1)[:many]
 
-SETS = "_row long, doc_id long, cls long, size int, fp long, sig binary, keys array<long>"
 
+def parities(grams: np.ndarray) -> bytes:
+    """Whether an odd number of a set's elements falls on each of at least twice as many places. Two sets differ in at least as many elements as their parities do
+    in places, at any number of places, and half as many places come from the two halves of these."""
+    places = 1 << min(max(6, (2 * len(grams) - 1).bit_length()), 15)
+    odd = np.bincount((grams >> np.uint64(16) & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
-def with_sets(docs: DataFrame, shingle: int) -> DataFrame:
-    """_row, doc_id, cls (equal for equal shingle sets), size, fp (SimHash), sig (a byte of each minimum), keys (one per band) of docs (_row, doc_id, text)."""
+
+SETS = "_row long, doc_id long, cls long, size int, odd binary, keys array<long>"
+
+
+def with_sets(docs: DataFrame, shingle: int, similarity: float, common) -> DataFrame:
+    """_row, doc_id, cls (equal for equal shingle sets), size, odd (parities), keys (prefix) of docs (_row, doc_id, text); common is a broadcast of common_grams()."""
 
     def add(batches):
         for batch in batches:
-            cls, sizes, prints, sigs, keys = [], [], [], [], []
+            cls, sizes, odd, keys = [], [], [], []
             for grams in gram_sets(batch.column(2), shingle):
-                low = min_hashes(grams)
                 cls.append(signed(xxh64_intdigest(grams.tobytes())))
                 sizes.append(len(grams))
-                prints.append(set_print(grams))
-                sigs.append(low.astype(np.uint8).tobytes())
-                bands = low.reshape(BANDS, DEEP)
-                key = np.arange(BANDS, dtype=np.uint64)
-                for k in range(DEEP):
-                    key = mix(key * np.uint64(0xBF58476D1CE4E5B9) + bands[:, k])
-                keys.append(key.view(np.int64) if len(grams) else [])
-            columns = [batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(prints, pa.int64()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "cls", "size", "fp", "sig", "keys"])
+                odd.append(parities(grams))
+                keys.append(prefix(grams, similarity, common.value).view(np.int64))
+            columns = [batch.column(0), batch.column(1), pa.array(cls, pa.int64()), pa.array(sizes, pa.int32()), pa.array(odd, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["_row", "doc_id", "cls", "size", "odd", "keys"])
 
     return docs.select("_row", "doc_id", "text").mapInArrow(add, SETS)
 
 
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """key, cls, n of the keys that n > 1 classes have, each class once, from keyed (key, cls), which may hold a pair several times."""
+
+    def count(batches):
+        for table in whole_groups(batches, ("key",)):
+            key, cls = (table.column(c).to_numpy() for c in ("key", "cls"))
+            once = np.ones(len(key), bool)
+            once[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
+            key, cls = key[once], cls[once]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            n = np.repeat(np.diff(np.append(first, len(key))), np.diff(np.append(first, len(key))))
+            yield pa.RecordBatch.from_arrays([pa.array(x[n > 1]) for x in (key, cls, n)], ["key", "cls", "n"])
+
+    return keyed.repartition("key").sortWithinPartitions("key", "cls").mapInArrow(count, "key long, cls long, n long")
+
+
 def dealt_texts(pairs: DataFrame, texts: DataFrame, side: str, other: str, block: int) -> DataFrame:
     """pairs with the text of one side; a class in many pairs is dealt over parts, each with a copy of its text."""
     parts = pairs.groupBy(side).agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
@@ -308,33 +339,89 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: floa
     return dealt_texts(one, texts, "b", "a", block).select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a long, b long")
 
 
-def may_be_similar(sig_a: np.ndarray, sig_b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of these sizes and minima (rows of bytes) may have the similarity: sizes further apart cannot reach it, and
-    of the minima as many agree as the similarity lets expect, less five times the spread."""
-    n = sig_a.shape[1]
-    least = n * similarity - 5 * (n * similarity * (1 - similarity)) ** 0.5
-    near = np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9
-    near[near] = (sig_a[near] == sig_b[near]).sum(axis=1) >= least
-    return near
+def folded(odd: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By numbers of bytes, largest first: rows with parities of so many or more, and theirs folded to so many, as words."""
+    sizes, out, rows, words = np.array([len(x) for x in odd]), {}, np.zeros(0, np.int64), np.zeros((0, 0), np.uint64)
+    size = int(sizes.max(initial=0))
+    while size >= 8:
+        if len(rows):
+            half = words.shape[1] // 2
+            words = words[:, :half] ^ words[:, half:]
+        new = np.flatnonzero(sizes == size)
+        own = np.frombuffer(b"".join(odd[i] for i in new.tolist()), "<u8").reshape(len(new), size // 8)
+        rows, words = np.concatenate([rows, new]), np.concatenate([words.reshape(len(rows), size // 8), own])
+        out[size] = rows, words
+        size //= 2
+    return out
 
 
-def likely(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) that may be similar, by sets (cls, size, sig)."""
-    rows = pairs.join(sets.select(F.col("cls").alias("a"), F.col("size").alias("na"), F.col("sig").alias("sa")), "a")
-    rows = rows.join(sets.select(F.col("cls").alias("b"), F.col("size").alias("nb"), F.col("sig").alias("sb")), "b").select("a", "b", "na", "nb", "sa", "sb")
+def near_sets(odd: list[bytes], size: np.ndarray, group: np.ndarray, similarity: float, wanted=None):
+    """Row pairs (i, j) of equal group (sorted) whose sets may have the similarity, in slices of bounded size; of the pairs wanted(i, j) alone, if given.
+
+    None that has it is left out: the smaller set is not too small, and parities differ in no more places than such sets differ in elements."""
+    n = len(size)
+    if n < 2:
+        return
+    own = np.array([len(x) for x in odd])
+    places = {}
+    for k, (rows, words) in folded(odd).items():
+        at = np.zeros(n, np.int64)
+        at[rows] = np.arange(len(rows))
+        places[k] = at, words
+    last = np.append(np.flatnonzero(group[1:] != group[:-1]) + 1, n)
+    end = last[np.searchsorted(last, np.arange(n), "right")]
+    size = size.astype(np.int64)
+    i, d = np.arange(n), 1
+    while len(i := i[i + d < end[i]]):
+        j = i + d
+        near = np.minimum(size[i], size[j]) >= least_shared(np.maximum(size[i], size[j]), similarity)
+        if wanted is not None:
+            near[near] = wanted(i[near], j[near])
+        a, b = i[near], j[near]
+        k = np.minimum(own[a], own[b])
+        for width in np.unique(k).tolist():
+            at, words = places[width]
+            rows = np.flatnonzero(k == width)
+            for s in range(0, len(rows), step := max(1, SLICE * 8 // width)):
+                x, y = a[rows[s : s + step]], b[rows[s : s + step]]
+                differ = np.bitwise_count(words[at[x]] ^ words[at[y]]).sum(axis=1, dtype=np.int64)
+                found = differ <= (1 - similarity) / (1 + similarity) * (size[x] + size[y]) + 1e-6
+                if found.any():
+                    yield x[found], y[found]
+        d += 1
+
+
+def candidates(dealt: DataFrame, similarity: float) -> DataFrame:
+    """a, b: pairs of classes that may be similar, from dealt (key, lo, hi, own, cls, size, odd): a spanning forest of all such pairs that meet under a key."""
+
+    def found(table):
+        cls, size, own, lo, hi = (table.column(c).to_numpy() for c in ("cls", "size", "own", "lo", "hi"))
+        group = group_numbers(table, ("key", "lo", "hi"))
+        pairs = [*near_sets(table.column("odd").to_pylist(), size, group, similarity, lambda i, j: (lo[i] == hi[i]) | (own[i] != own[j]))]
+        if pairs:
+            a, b = forest(*(np.concatenate(x) for x in zip(*pairs)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(cls[a], cls[b])), pa.array(np.maximum(cls[a], cls[b]))], ["a", "b"])
+
+    def compare(batches):
+        for table in whole_groups(batches, ("key", "lo", "hi")):
+            yield from found(table)
+
+    spread = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return spread.mapInArrow(compare, "a long, b long").distinct()
 
-    def test(batches):
-        for batch in batches:
-            sa, sb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, BANDS * DEEP) for c in ("sa", "sb"))
-            keep = may_be_similar(sa, sb, batch.column("na").to_numpy(), batch.column("nb").to_numpy(), similarity)
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    return rows.mapInArrow(test, "a long, b long")
+def group_numbers(table: pa.Table, names: tuple) -> np.ndarray:
+    """A number for each row of a sorted table, equal for rows with equal values in the named columns."""
+    new = np.zeros(len(table), bool)
+    for c in (table.column(c).to_numpy() for c in names):
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
 
 
-def first_shared(sig_a: np.ndarray, sig_b: np.ndarray) -> np.ndarray:
-    """The first band in which all minima of two signatures (rows of bytes) agree."""
-    return (sig_a == sig_b).reshape(-1, BANDS, DEEP).all(axis=2).argmax(axis=1)
+def in_parts(rows: DataFrame, key: str) -> DataFrame:
+    """rows (with key and parts) with lo, hi, own in place of parts: every two parts of a key's rows meet once."""
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)))
+    return dealt.select(F.col(key).alias("key"), F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", *[c for c in rows.columns if c not in (key, "parts")])
 
 
 def similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
@@ -369,23 +456,15 @@ def _gram_batch(rows: list) -> pa.RecordBatch:
 
 
 def links_apart(dealt: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links between classes of different roots, from dealt (key, lo, hi, own, band, centre, cls, root, size, fp, sig, grams).
+    """a, b: links between classes of different roots, from dealt (key, lo, hi, own, cls, root, size, odd, grams).
 
-    Fingerprints have to lie within WIDE bits, by bit-sliced comparison, signatures have to agree, and then the sets themselves decide. A pair
-    belongs to the first band that both share, and there to one part or pair of parts, so it is tried once; pairs with the key's centre have been tried
-    before. Pairs that links found in the task connect already are left out, so no more links are given than there are rows,
-    and no pair ever leaves its task."""
+    Sizes and parities have to allow a pair, and then the sets themselves decide. Pairs that links found in the task connect already are left out, so no
+    more links are given than there are rows, and no pair ever leaves its task."""
 
     def found(table):
-        cls, root, size, own, band, centre = (table.column(c).to_numpy() for c in ("cls", "root", "size", "own", "band", "centre"))
-        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint8).reshape(len(table), -1)
+        cls, root, size, own, lo, hi = (table.column(c).to_numpy() for c in ("cls", "root", "size", "own", "lo", "hi"))
         grams = table.column("grams").combine_chunks() if isinstance(table.column("grams"), pa.ChunkedArray) else table.column("grams")
         ends, values = grams.offsets.to_numpy(), grams.values.to_numpy().view(np.uint64)
-        places = [table.column(c).to_numpy() for c in ("key", "lo", "hi")]
-        new = np.zeros(len(table), bool)
-        for c in places:
-            new[1:] |= c[1:] != c[:-1]
-        apart, tried = places[1] != places[2], cls == centre
         names, at = np.unique(root, return_inverse=True)
         parent = list(range(len(names)))
 
@@ -395,13 +474,12 @@ def links_apart(dealt: DataFrame, similarity: float) -> DataFrame:
                 x = parent[x]
             return x
 
+        def wanted(i, j):
+            return (root[i] != root[j]) & ((lo[i] == hi[i]) | (own[i] != own[j]))
+
         out = []
-        for a, b in near_lanes(table.column("fp").to_numpy().view(np.uint64), np.cumsum(new), WIDE):
-            open_ = (root[a] != root[b]) & ~tried[a] & ~tried[b] & (~apart[a] | (own[a] != own[b]))
-            a, b = a[open_], b[open_]
-            near = may_be_similar(sig[a], sig[b], size[a], size[b], similarity)
-            near[near] = first_shared(sig[a[near]], sig[b[near]]) == band[a[near]]
-            for i, j in zip(a[near].tolist(), b[near].tolist()):
+        for a, b in near_sets(table.column("odd").to_pylist(), size, group_numbers(table, ("key", "lo", "hi")), similarity, wanted):
+            for i, j in zip(a.tolist(), b.tolist()):
                 x, y = top(int(at[i])), top(int(at[j]))
                 if x != y and similar(values[ends[i] : ends[i + 1]], values[ends[j] : ends[j + 1]], similarity):
                     parent[x] = y
@@ -425,44 +503,45 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, block: int = 1024) -> DataFrame:
     """One row of each near-duplicate group (smallest id, then first by place), all columns as they are.
 
-    Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles. A 64-bit SimHash cannot
-    tell these (pairs at 0.8 differ in about ten bits), so candidates share a band of min-hashes: a pair at 0.8 is missed with
-    a chance of (1 - 0.8 ** DEEP) ** BANDS = 0.00003. Each key's classes are first confirmed against its smallest one. Then, for keys whose
-    classes are not all connected by that, their classes meet with their shingle sets, in parts of bounded size, and all pairs are tried there, each
-    under one key. No link goes unconfirmed, and what is written grows with the classes, not with their pairs."""
+    Near-duplicates have Jaccard similarity ``similarity`` at least between their sets of word shingles, and every such pair counts. Two
+    sets that are so similar share one of their first elements, in one order of all, so each of those is a key. Under a key, sizes and parities tell the pairs that may
+    be similar; of these a spanning forest is confirmed by the sets. Classes that the forests hold together but that are not all confirmed
+    then meet with their sets, in parts of bounded size, and all pairs of them that are not connected yet are tried, each once. No link goes
+    unconfirmed, none is left out, and what is written grows with the classes, not with their pairs."""
     row = "_row"
     while row in docs.columns:
         row += "_"
     numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # so that the numbers hold
     chosen = numbered.select(F.col(row).alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prints = materialize(with_sets(chosen, shingle), "prints")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row", "size", "fp", "sig", "keys"))
-    least = materialize(prints.groupBy("cls").agg(first.alias("least")).select("cls", "least.*"), "classes")
+    common = docs.sparkSession.sparkContext.broadcast(common_grams(chosen, shingle))
+    prints = materialize(with_sets(chosen, shingle, similarity, common), "prints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("least")
+    least = materialize(prints.groupBy("cls").agg(first).select("cls", "least.*"), "classes")
+    met = materialize(shared_keys(prints.select(F.explode("keys").alias("key"), "cls")), "met")
+    sets = prints.join(least.select("_row"), "_row", "left_semi").select("cls", "size", "odd")
+    sets = materialize(sets.join(met.select("cls").distinct(), "cls", "left_semi"), "sets")
     discard(prints)
-    keyed = least.select("cls", "size", F.posexplode("keys").alias("band", "key"))
-    centres = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("cls").alias("centre")).where("n > 1").drop("n")
-    met = materialize(keyed.join(centres, "key"), "met")
-    named = least.join(met.select("cls").distinct(), "cls").select("cls", "_row")
+    common.unpersist()
+    dealt = in_parts(met.select("key", "cls", F.ceil(F.col("n") / block).cast("int").alias("parts")), "key").join(sets, "cls")
+    maybe = materialize(candidates(dealt, similarity), "maybe")
+    discard(met)
+    groups = materialize(components(maybe), "groups")
+    held = groups.select(F.col("node").alias("cls"), F.col("root").alias("held"))
+    named = least.join(held, "cls").select("cls", "_row")
     # joins that carry texts are merge joins at every size, so their cost grows with the texts alone
     texts = materialize(chosen.join(named.hint("merge"), "_row").select("cls", "text"), "texts")
-    stars = materialize(met.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "stars")
-    sets = least.select("cls", "size", "fp", "sig")
-    links = [materialize(confirmed(likely(stars, sets, similarity), texts, shingle, similarity), "links")]
-    parts = met.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / GROUP_BYTES)).cast("int").alias("parts"))
-    dealt = met.drop("size").join(parts, "key").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band", "centre", "cls")
+    links = [materialize(confirmed(maybe, texts, shingle, similarity), "links")]
     roots = materialize(components(links[0]), "roots")
-    rooted = met.select("key", "cls").join(roots, F.col("cls") == F.col("node"), "left").select("key", F.coalesce("root", "cls").alias("root"))
-    apart = rooted.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    rows = dealt.join(apart, "key").join(sets, "cls").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
-    rows = materialize(rows.select("key", "lo", "hi", "own", "band", "centre", "cls", "root", "size", "fp", "sig"), "apart")
+    rooted = held.join(roots, F.col("cls") == F.col("node"), "left").select("held", "cls", F.coalesce("root", "cls").alias("root")).join(sets, "cls")
+    parts = F.ceil(F.greatest(F.count("*") / block, F.sum("size") * 8 / GROUP_BYTES)).cast("int").alias("parts")
+    apart = rooted.groupBy("held").agg(F.min("root").alias("x"), F.max("root").alias("y"), parts).where("x <> y").select("held", "parts")
+    rows = materialize(in_parts(rooted.join(apart, "held"), "held"), "apart")
     grams = with_grams(texts.join(rows.select("cls").distinct(), "cls", "left_semi"), shingle)
     links.append(materialize(links_apart(rows.join(grams.hint("merge"), "cls"), similarity), "links"))
     before, roots = roots, materialize(components(union_all(links)), "roots")
     rooted = least.join(roots, F.col("cls") == F.col("node"), "left").select(F.coalesce("root", "cls").alias("root"), F.struct("none", "doc_id", "_row").alias("least"))
     kept = materialize(rooted.groupBy("root").agg(F.min("least").alias("least")).select(F.col("least._row").alias(row)), "kept")
-    for table in (least, met, texts, stars, before, roots, rows, *links):
+    for table in (least, sets, maybe, groups, texts, before, roots, rows, *links):
         discard(table)
     out = numbered.join(kept.hint("merge"), row, "left_semi").drop(row)
     out._shared_tables = [numbered, kept]  # to be discarded once the result is written

@@ -589,3 +589,52 @@ def test_pipeline_on_odd_rows(spark, odd, tmp_path):
                 assert sorted(str(r["doc_id"]) for r in rows) == ["1", "2", "5", "6", "None"]
             if stage == "decontamination":
                 assert all(r["doc_id"] != 1 for r in rows)
+
+
+LOST = ["w3176 w6950 w9745 w2120 w8534 w6158 w929 w2457 w9142", "w4243 w5810 w4520 w8703 w3752 w1032 w955 w829 w6995", "w2000 w1070 w7556 w6176 w7137 w3922 w6965 w5063 w63", "w7194 w457 w7602 w4938 w4381 w5433 w2779 w8001 w2749"]
+
+
+def test_keep_one_loses_no_pair_to_chance(spark):
+    """Texts at 0.8 whose min-hashes agree in none of 20 bands of four."""
+    rows = [(k + 10 * n, t) for k, text in enumerate(LOST) for n, t in enumerate((text, text.rsplit(" ", 1)[0]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(frame).collect()) == [0, 1, 2, 3]
+
+
+def test_keep_one_with_passages_that_many_texts_share(spark, monkeypatch):
+    """Against brute force: passages common to a third of the texts, pairs just above and just below the bound, sets of any size, parts of few classes."""
+    rng = np.random.default_rng(3)
+    passage, texts = [f"p{k}" for k in range(30)], []
+    for size in rng.integers(1, 90, 150):
+        base = [f"t{x}" for x in rng.integers(0, 50_000, size)] + (passage if rng.random() < 0.3 else [])
+        texts += [" ".join(base[: max(1, len(base) - cut)]) for cut in rng.integers(0, len(base) // 4 + 2, 3)]
+    sets = [{" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both) - 1e-9:
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in simhash.keep_one(frame, block=8).collect()) == sorted(set(root))
+    known, _ = simhash.common_grams(frame.selectExpr("doc_id as _row", "text"), 5)
+    assert len(known) >= 26 and (np.diff(known.astype(object)) > 0).all()
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.8, 1.0])
+def test_pairs_that_may_be_similar_hold_all_that_are(similarity):
+    rng = np.random.default_rng(5)
+    sets = []
+    for size in [1, 2, 4, 5, 9, 31, 32, 33, 64, 300, 5000, 40_000]:
+        base = np.unique(rng.integers(0, 1 << 63, size).astype(np.uint64))
+        for share in (1, 0.95, 0.85, 0.8, 0.6, 0.3):
+            sets.append(np.unique(np.concatenate([base[: max(1, round(len(base) * share))], rng.integers(0, 1 << 63, int(rng.integers(0, 2))).astype(np.uint64)])))
+    common = (np.sort(np.concatenate([s[:2] for s in sets[::6]])), np.full(24, 5))
+    common = tuple(c[np.unique(common[0], return_index=True)[1]] for c in common)
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if simhash.similar(sets[i], sets[j], similarity)}
+    sizes, odd = np.array([len(s) for s in sets]), [simhash.parities(s) for s in sets]
+    got = [(int(x), int(y)) for a, b in simhash.near_sets(odd, sizes, np.zeros(len(sets), int), similarity) for x, y in zip(a, b)]
+    assert near <= set(got) and len(got) == len(set(got)) < len(sets) ** 2 / 4
+    keys = [set(simhash.prefix(s, similarity, common).tolist()) for s in sets]
+    assert all(keys[i] & keys[j] for i, j in near)
