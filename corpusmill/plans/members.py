@@ -63,10 +63,24 @@ CLASSES = [
 ]
 
 
-def _filled(text, n, s, o):
-    for mark, value in (("{n}", n), ("{p}", n - 1), ("{s}", s), ("{o}", o % 20), ("{b}", o % 2)):
-        text = F.replace(text, F.lit(mark), value.cast("string"))
-    return text
+MARKS = ("{n}", "{p}", "{s}", "{o}", "{b}")
+
+
+def _cut(text):
+    """A line in pieces: what stands before its mark, the mark's number (-1 none), what stands behind it."""
+    found = [(text.index(mark), k) for k, mark in enumerate(MARKS) if mark in text]
+    if not found:
+        return F.struct(F.lit(text).alias("before"), F.lit(-1).alias("mark"), F.lit("").alias("behind"))
+    [(at, k)] = found
+    assert text.count(MARKS[k]) == 1, text
+    return F.struct(F.lit(text[:at]).alias("before"), F.lit(k).alias("mark"), F.lit(text[at + 3 :]).alias("behind"))
+
+
+def _filled(x, n, s, o):
+    value = F.lit("")
+    for k, v in enumerate((n, n - 1, s, o % 20, o % 2)):
+        value = F.when(x["mark"] == k, v.cast("string")).otherwise(value)
+    return F.when(n.isNotNull() & s.isNotNull() & o.isNotNull(), F.concat(x["before"], value, x["behind"]))
 
 
 def source_lines(spark, d):
@@ -74,7 +88,7 @@ def source_lines(spark, d):
     li = load(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_suppkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
     li = li.select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").cast("long").alias("n"), (F.col("l_suppkey") % 20).alias("s"), ((F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(MEMBERS)).alias("t"))
     repo, path = F.concat(F.lit("r"), F.floor(F.col("o") / 8)).alias("repo"), F.concat(F.lit("m"), "o", F.lit("/A.java")).alias("path")
-    choose = lambda lists, k: F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in lists]), (k + 1).cast("int"))
+    choose = lambda lists, k: F.element_at(F.array(*[F.array(*map(_cut, x)) for x in lists]), (k + 1).cast("int"))
     body = li.select(repo, path, "o", "n", "s", F.posexplode(choose([x[2] for x in MEMBERS], F.col("t"))).alias("k", "text"))
     body = body.select("repo", "path", (TOP + (F.col("n") - 1) * HEIGHT + F.col("k")).cast("int").alias("line"), _filled(F.col("text"), F.col("n"), F.col("s"), F.col("o")).alias("text"))
     files = li.groupBy("o").agg(F.max("n").alias("n"))
@@ -124,6 +138,5 @@ far AS (SELECT * FROM beans UNION ALL SELECT * FROM protos UNION ALL SELECT * FR
 SELECT repo, path, CAST(line AS INT) AS line, rule_id, value FROM own UNION ALL SELECT repo, path, CAST(line AS INT), rule_id, value FROM calls UNION ALL SELECT repo, spot[1], CAST(spot[2] AS INT), rule_id, value FROM far""",
 )
 def _(spark, d):
-    lines = source_lines(spark, d)
-    found = c.evaluate(c.member_facts(c.texts(m.scoped_lines(java(lines), ("member", "body")), lines)))
+    found = c.evaluate_members(c.scoped_facts(source_lines(spark, d)))
     return found.select("repo", "path", "line", "rule_id", "value")

@@ -1,5 +1,6 @@
 """Members and the rules over them, on sources of several lines: each case once as it breaks a rule and once as it does not."""
 
+import random
 import time
 
 import pytest
@@ -164,3 +165,48 @@ def test_a_name_twice_in_one_head_is_no_collision(spark):
     facts = [("r", "A.java", 1, 1, 1, "bean_name", "one"), ("r", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "A.java", 1, 1, 1, "bean_name", "one"), ("s", "B.java", 1, 1, 1, "bean_name", "one")]
     found = spark.createDataFrame(facts, "repo string, path string, line int, member int, class_at int, fact string, value string")
     assert [(x.repo, x.path, x.rule_id, x.value) for x in member_catalog.evaluate(found).collect()] == [("s", "A.java", "SPRING_BEAN_NAME_COLLISION", "one")]
+
+
+def test_facts_come_out_of_the_scan_as_from_the_texts(spark):
+    """Facts that the workers find, against patterns as Spark reads them: on the sources above, and on lines made of pieces of them and odd characters."""
+    rng = random.Random(4)
+    files = {(f"{kind} {rule}", f"src/{kind}.java"): text for rule, pair in BREAKS.items() for kind, text in zip(("breaks", "keeps"), pair)}
+    files |= {("r", "C.java"): SOURCE, ("r", "db/V1__a.sql"): "x\ny", ("s", "V2_3__b.sql"): "", (None, "V4__c.sql"): "x", ("r", "a.txt"): "@Async", (None, "E.java"): "class E { @Async private void f() { g(); } }", ("n", None): "class F { }"}
+    pieces = [w for text in files.values() for w in text.split(" ")] + ["\u00e9", "\u2028", "\x85", "\u00a0", "\x0b", "\u0130", "\u212a", "=", "$", "\r", "@Async\u00e9", "\u00b2@Bean\u00b2", "public", "final", "{", "}", ";", "(", ")", "@Scheduled", "readOnly = true", "Cookie c = new Cookie (", "\u0665"]
+    files |= {("odd", f"{k}.java"): "class A {\n" + "\n".join(rng.choice(["", " ", "  "]).join(rng.choices(pieces, k=rng.randint(1, 9))).replace("\n", " ") for _ in range(60)) for k in range(40)}
+    lines = lines_of(spark, files)
+    java = lines.where("path like '%.java'")
+    want = member_catalog.member_facts(member_catalog.texts(members.scoped_lines(java, ("member", "body")), lines)).distinct().collect()
+    names = member_catalog.fact_names()
+    rows = member_catalog.scoped_facts(lines).collect()
+    got = [(x.repo, x.path, f.line, x.member, x.class_at, names[f.fact], f.value) for x in rows for f in x.facts]
+    assert len(want) > 1000 and {tuple(x) for x in want} == {*got}
+    places = [(x.repo, x.path, x.member) for x in rows]
+    assert len(places) == len({*places})
+    plain = spark.createDataFrame(want, "repo string, path string, line int, member int, class_at int, fact string, value string")
+    found = [sorted(map(str, e.collect())) for e in (member_catalog.evaluate(plain), member_catalog.evaluate_members(member_catalog.scoped_facts(lines)))]
+    assert found[0] == found[1] and len(found[0]) > 30
+
+
+def test_rules_within_a_member_are_held_against_rules_that_meet(spark):
+    """Those rules that bits decide give what groups of facts give, with annotations of a class, repeated facts and odd places."""
+    rng, inside = random.Random(8), member_catalog.within_members(member_catalog.rules())
+    names = sorted({f for r in inside for f in r["needs"] + r["none"]})
+    rows = [(rng.choice(["r", "s", None]), rng.choice(["a", "b", ""]), rng.choice([1, 2, None]), m := rng.randint(1, 60), m % 7 or None, rng.choice(names), rng.choice(["x", "y", None])) for _ in range(1500)]
+    rows += [("r", "a", 1, 70, 70, "transactional", None), ("r", "a", 2, 71, 70, "modifying", None), ("r", "a", 3, 72, 73, "modifying", None)]
+    facts = spark.createDataFrame(rows, "repo string, path string, line int, member int, class_at int, fact string, value string")
+    columns = ["repo", "path", "line", "member", "class_at", "value", "rule_id", "severity", "category"]
+    want = sorted(map(str, member_catalog.satisfied(facts, inside).select(columns).collect()))
+    bits = member_catalog.with_bits(member_catalog.grouped(facts), inside)
+    got = sorted(map(str, member_catalog.satisfied_within(bits, inside, member_catalog._spots(inside)).select(columns).collect()))
+    assert want == got and len(got) > 50 and len(inside) > 30
+
+
+def test_a_member_is_one_row_and_only_facts_that_meet_are_dealt_anew(spark, monkeypatch):
+    written = []
+    cut = member_catalog.cut
+    monkeypatch.setattr(member_catalog, "cut", lambda df: written.append(cut(df)) or written[-1])
+    lines = lines_of(spark, {("r", "A.java"): "class A {\n" + "@Async @Transactional\nprivate void f() { }\n" * 20 + "}"})
+    found = member_catalog.evaluate_members(member_catalog.scoped_facts(lines))
+    assert written[0].count() == 21 and {x.fact for x in written[1].collect()} == {"async_member", "tx_member"}
+    assert found.where("rule_id = 'SPRING_ASYNC_TRANSACTIONAL'").count() == 20
